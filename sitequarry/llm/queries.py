@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitequarry.llm import exact_dedup, packing, quality, sharding, toxicity
+from sitequarry.llm import exact_dedup, near_dedup, packing, quality, sharding, toxicity
 from sitequarry.llm.common import table
 
 
@@ -26,12 +26,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("raw")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents")).drop("raw")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_toxicity, op4_packing, op6_exact_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_sharding, op3_toxicity, op4_packing, op6_exact_dedup, op9_near_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
