@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import public_tokenizers
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,37 +26,70 @@ WINDOW = 4096
 END = 2
 BUCKET = 1000
 #: Words kept with their ids in each Python worker; then the cache starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 _state: dict = {}
 
 
+#: The tokenizer's splitting pattern, and the bytes that byte-level vocabularies show as themselves.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+SHOWN = (range(33, 127), range(161, 173), range(174, 256))
+
+
+def _byte_map() -> dict[int, int]:
+    """Byte -> code point of its visible stand-in: shown bytes are themselves, the others follow 255 in order."""
+    shown = {b for r in SHOWN for b in r}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
 class _Encoder:
-    """The tokenizer's ids, word by word: its splitter never crosses white space, so words are encoded once each."""
+    """The tokenizer's ids, word by word: its splitter never crosses white space, so words are encoded once each.
+
+    Words of plain Latin letters are split as the tokenizer does and their parts given to its model; all others, and
+    those that might hold a special token, go through the tokenizer as a whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.split, self.shown = regex.compile(SPLIT), _byte_map()
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def part(self, text: str) -> bytes:
+        ids = self.model.tokenize(text.encode().decode("latin-1").translate(self.shown))
+        return array("I", [t.id for t in ids]).tobytes()
+
+    def word(self, word: str) -> bytes:
+        if "<|" in word or max(word) >= "\u0180":
+            return self.whole(word)
+        parts, out = self.parts, []
+        for p in self.split.findall(word.lower()):
+            if p not in parts:
+                if len(parts) > CACHE_WORDS:
+                    parts.clear()
+                parts[p] = self.part(p)
+            out.append(parts[p])
+        return b"".join(out)
+
     def batch(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
             if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # str.split() breaks at these, the tokenizer doesn't
                 yield self.whole(text)
                 continue
             words, known = text.split(), self.known
-            new = list({w for w in words if w not in known})
-            if new:
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                    new = list(set(words))
-                for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                    known[w] = np.array(e.ids, dtype="<u4").tobytes()
+            if len(known) > CACHE_WORDS:
+                known.clear()
+            for w in words:
+                if w not in known:
+                    known[w] = self.word(w)
             yield b"".join([known[w] for w in words])
 
 
