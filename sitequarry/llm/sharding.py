@@ -102,8 +102,10 @@ def _places(rows: DataFrame, linked: DataFrame, cells: DataFrame, n: int, n_shar
     label = F.when(F.col("cells").isNotNull(), F.filter("cells", lambda c: c["end"] > F.col("number"))[0]["shard"])
     rows = rows.withColumn("number", number).withColumn("label", label).select("doc_id", "size", "text_crc32", "hub", "label", F.coalesce("group_rows", F.lit(1)).alias("group_rows"))
     rows = materialise(rows, "labelled")
+    # small hubs stay together in one bucket, so that few are parted where a shard overflows; large ones are spread
+    spread = F.when(F.col("group_rows") > 1000, F.xxhash64("doc_id")).otherwise(F.col("hub"))
     quotas = [n // n_shards + (s < n % n_shards) for s in range(n_shards)]
-    settled = numbered(rows.filter("label is not null"), ["label"], [F.col("hub"), F.col("doc_id")], F.col("hub"), n_buckets, "slot")
+    settled = numbered(rows.filter("label is not null"), ["label"], [F.col("hub"), F.col("doc_id")], spread, n_buckets, "slot")
     quota = F.element_at(F.array(*[F.lit(q).cast("long") for q in quotas]), F.col("label") + 1)
     settled = materialise(settled.withColumn("fits", F.col("slot") < quota), "settled")
     loads = {r["label"]: r["n"] for r in settled.filter("fits").groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -115,7 +117,7 @@ def _places(rows: DataFrame, linked: DataFrame, cells: DataFrame, n: int, n_shar
             at += gap
     names = ["doc_id", "size", "text_crc32", "group_rows", "hub"]
     pool = rows.filter("label is null").select(*names).unionByName(settled.filter("not fits").select(*names))
-    pool = numbered(pool, [], [F.col("hub"), F.col("doc_id")], F.col("hub"), n_buckets, "number")
+    pool = numbered(pool, [], [F.col("hub"), F.col("doc_id")], spread, n_buckets, "number")
     place = F.filter(F.array(*[F.struct(F.lit(s).alias("shard"), F.lit(b).cast("long").alias("end"), F.lit(f - a).cast("long").alias("shift")) for s, a, b, f in gaps]), lambda g: g["end"] > F.col("number"))[0] if gaps else None
     fitting = settled.filter("fits").select(*names, F.col("label").alias("shard"), "slot")
     if place is not None:
