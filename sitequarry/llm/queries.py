@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitequarry.llm import exact_dedup, near_dedup, packing, quality, sharding, toxicity
+from sitequarry.llm import exact_dedup, licenses, near_dedup, packing, quality, sharding, toxicity
 from sitequarry.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,11 +39,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_toxicity, op4_packing, op6_exact_dedup, op9_near_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_sharding, op2_licenses, op3_toxicity, op4_packing, op6_exact_dedup, op9_near_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6}
+    return {"op2_licenses": licenses.oracle(), "op6_exact_dedup": OP6}
 
 
 #: A-Z alone are lower-cased: translate() leaves every other character as it is.
