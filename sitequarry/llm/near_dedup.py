@@ -66,7 +66,9 @@ def shingles(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     first = np.cumsum(lengths) - lengths
     whole = left >= SHINGLE
     whole[first[(lengths > 0) & (lengths < SHINGLE)]] = True
-    packed, times = np.unique((owner[whole].astype(np.uint64) << np.uint64(32)) | (mix(s[whole]) >> np.uint64(32)), return_counts=True)
+    packed = np.sort((owner[whole].astype(np.uint64) << np.uint64(32)) | (mix(s[whole]) >> np.uint64(32)))
+    at = np.flatnonzero(np.concatenate([[True], packed[1:] != packed[:-1]])) if len(packed) else np.zeros(0, np.int64)
+    packed, times = packed[at], np.diff(at, append=len(packed))
     return (packed >> np.uint64(32)).astype(np.int64), packed & np.uint64(0xFFFFFFFF), times
 
 

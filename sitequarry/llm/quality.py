@@ -8,6 +8,7 @@ and scores every document. No hand-made label is used.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,35 +34,54 @@ _stop = frozenset(STOP_WORDS)
 _state: dict = {}
 
 
-def _kind(c: str) -> str:
-    return "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
+class _Kinds(dict):
+    """Code point -> X for capitals, x for other letters, 9 for digits, itself for all else."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = kind = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
+        return kind
+
+
+_kinds, _runs = _Kinds(), re.compile(r"([xX9])\1+")
+
+
+def _hash(shape: str) -> int:
+    return zlib.crc32(shape.encode("utf-8", "surrogatepass")) & 0xFFFFFF
 
 
 def _row(word: str) -> tuple:
-    kinds = "".join(map(_kind, word))
-    shape = "".join(k for i, k in enumerate(kinds) if k not in "xX9" or i < 2 or kinds[i - 1] != k)[:24]
+    if word.isalpha() and word.islower():  # most words
+        return (_LOWER, 0, 0, 1, word in _stop, len(word), 0, 0)
+    kinds = word.translate(_kinds)
     bare = word.strip(".,;:!?\"'()")
     plain = bare.isalpha() and (bare[1:].islower() or len(bare) == 1)
-    tail = len(word) - len(word.rstrip("#$%&*@~^=_<>/\\+"))
-    letters = sum(map(kinds.count, "xX"))
-    return (zlib.crc32(shape.encode()) % (1 << 30), tail >= 3 or (len(word) > 1 and not letters and not kinds.count("9")), word.endswith("!!"), plain, plain and bare.lower() in _stop, letters, kinds.count("X"), word[-1] in ".,;:!?")
+    upper = kinds.count("X")
+    letters = kinds.count("x") + upper
+    symbols = len(word) - len(word.rstrip("#$%&*@~^=_<>/\\+")) >= 3 or (len(word) > 1 and not letters and "9" not in kinds)
+    return (_hash(_runs.sub(r"\1", kinds)[:24]), symbols, word.endswith("!!"), plain, plain and bare.lower() in _stop, letters, upper, word[-1] in ".,;:!?")
+
+
+_LOWER = _hash("x")
 
 
 def _table() -> WordTable:
     if "table" not in _state:
-        _state["table"] = WordTable(lambda words: np.array([_row(w) for w in words], dtype=np.float64).reshape(-1, WIDTH), WIDTH, dtype=np.float64)
+        _state["table"] = WordTable(lambda words: np.array([_row(w) for w in words], dtype=np.float32).reshape(-1, WIDTH), WIDTH, 400_000)
     return _state["table"]
 
 
 def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Sums over consecutive runs; empty runs give 0."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
-    ends = np.cumsum(lengths)
-    return total[ends] - total[ends - lengths]
+    out = np.zeros((len(lengths), *values.shape[1:]))
+    some = lengths > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(lengths) - lengths)[some], axis=0)
+    return out
 
 
-def measure(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a list of whole texts: numbers and rows of all words, words in each text, and the labellers' rates."""
+def read_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of whole texts: numbers and rows of all words, whether each repeats the one before, and words in each text."""
     words: list[str] = []
     lengths = np.empty(len(texts), dtype=np.int64)
     for i, t in enumerate(texts):
@@ -71,20 +91,25 @@ def measure(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     table = _table()
     numbers = table.numbers(words)
     rows = table.rows[numbers]
-    n = np.maximum(lengths, 1)
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    again = np.zeros(len(words))
-    if len(words) > 1:
-        again[1:] = (numbers[1:] == numbers[:-1]) & (owner[1:] == owner[:-1])
+    again = np.zeros(len(words), dtype=bool)
+    again[1:] = numbers[1:] == numbers[:-1]
+    again[(np.cumsum(lengths) - lengths)[lengths > 0]] = False
+    return numbers, rows, again, lengths
+
+
+def measure(numbers: np.ndarray, rows: np.ndarray, again: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The labellers' rates, a row for each text."""
+    n, texts = np.maximum(lengths, 1), len(lengths)
+    owner = np.repeat(np.arange(texts), lengths)
     s = _sums(rows[:, 1:], lengths)
-    each, count = np.unique(owner * (1 << 32) + numbers, return_counts=True)
-    different = np.bincount(each >> 32, minlength=len(texts))
-    most = np.zeros(len(texts))
-    np.maximum.at(most, each >> 32, count)
-    pairs = np.unique(owner[1:] * (1 << 44) + numbers[1:] * (1 << 22) + numbers[:-1]) >> 44
-    fresh = np.bincount(pairs, minlength=len(texts)) / n
-    rates = np.stack([s[:, ORDINARY - 1] / n, s[:, STOP - 1] / n, (s[:, SYMBOL - 1] + s[:, LOUD - 1]) / n, s[:, UPPER - 1] / np.maximum(s[:, LETTERS - 1], 1), _sums(again, lengths) / n, different / n, most / n, s[:, ENDS - 1] / n, fresh, lengths], axis=1)
-    return rows, again, lengths, rates
+    each = np.sort(owner << 32 | numbers)
+    first = np.flatnonzero(np.diff(each, prepend=-1))
+    different = np.bincount(each[first] >> 32, minlength=texts)
+    most = np.zeros(texts)
+    np.maximum.at(most, each[first] >> 32, np.diff(first, append=len(each)))
+    pairs = np.sort(owner[1:] << 44 | numbers[1:] << 22 | numbers[:-1])
+    fresh = np.bincount(pairs[np.diff(pairs, prepend=-1) != 0] >> 44, minlength=texts) / n
+    return np.stack([s[:, ORDINARY - 1] / n, s[:, STOP - 1] / n, (s[:, SYMBOL - 1] + s[:, LOUD - 1]) / n, s[:, UPPER - 1] / np.maximum(s[:, LETTERS - 1], 1), _sums(again.astype(np.float32), lengths) / n, different / n, most / n, s[:, ENDS - 1] / n, fresh, lengths], axis=1)
 
 
 def votes(rates: np.ndarray) -> np.ndarray:
@@ -157,7 +182,7 @@ def _vote_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = [x or "" for x in batch.column(1).to_pylist()]
         for a, b in chunks_of(texts):
-            v = votes(measure(texts[a:b])[3])
+            v = votes(measure(*read_words(texts[a:b])))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(["".join("-0+"[x + 1] for x in r) for r in v])], names=["doc_id", "pattern"])
 
 
@@ -165,8 +190,9 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for batch in batches:
         texts = [x or "" for x in batch.column(1).to_pylist()]
         for a, b in chunks_of(texts):
-            rows, again, lengths, rates = measure(texts[a:b])
-            numbers, ends = hashed(rows, again, lengths), np.cumsum(lengths)
+            read = read_words(texts[a:b])
+            _, rows, again, lengths = read
+            rates, numbers, ends = measure(*read), hashed(rows, again, lengths), np.cumsum(lengths)
             found = [np.unique(numbers[e - n : e], return_counts=True) for e, n in zip(ends, lengths)]
             v = votes(rates)
             yield pa.RecordBatch.from_arrays(
@@ -200,9 +226,9 @@ def score_texts(texts: list[str], model: dict) -> np.ndarray:
     """Probability of good for whole texts."""
     out = np.empty(len(texts))
     for a, b in chunks_of(texts):
-        rows, again, lengths, _ = measure(texts[a:b])
+        _, rows, again, lengths = read_words(texts[a:b])
         numbers = hashed(rows, again, lengths)
-        total = _sums(model["weights"][numbers].sum(1, dtype=np.float64), lengths) / np.maximum(lengths, 1)
+        total = _sums(model["weights"][numbers].sum(1), lengths) / np.maximum(lengths, 1)
         out[a:b] = 1 / (1 + np.exp(-np.clip(total + model["bias"], -30, 30)))
         out[a:b][lengths == 0] = 0.0
     return out

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from sitequarry.llm.words import WordTable, chunks_of
 
 #: Labelled rows used for training at most: toxic ones, others; first by hash of the id.
-TRAIN_TOXIC, TRAIN_OTHER = 1500, 2500
+TRAIN_TOXIC, TRAIN_OTHER = 1000, 1500
 WINDOW, STRIDE = 32, 24
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 8, 8, 8, 8
 #: Rows of the table of byte runs: half for runs of 3, half for runs of 5.
@@ -146,7 +146,7 @@ def _distinct(texts: list[str]) -> list[int]:
     return out
 
 
-def train(texts: list[str], labels: np.ndarray, rounds: int = 3, epochs: int = 3, seed: int = 0) -> dict | None:
+def train(texts: list[str], labels: np.ndarray, rounds: int = 3, epochs: int = 2, seed: int = 0) -> dict | None:
     """The model, or None if a class has no text."""
     chosen = _distinct(texts)
     texts, labels = [texts[i] for i in chosen], labels[chosen]
@@ -165,6 +165,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 3, epochs: int = 3
     every = list(dict.fromkeys(w for t in tokens for w in t))
     place = {w: i for i, w in enumerate(every)}
     grams, counts = grams_of(every)
+    grams = grams.astype(np.int32)
     ends = np.cumsum(counts)
     gram_seen, gram_toxic = np.zeros(GRAMS), np.zeros(GRAMS)
     for t, y in zip(tokens, labels):
@@ -183,10 +184,11 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 3, epochs: int = 3
     # of each distinct word: its own tie or that of its strongest character run
     strongest = np.maximum.reduceat(np.append(gram_tie[grams], -9), np.minimum(ends - counts, len(grams))) if len(every) else np.zeros(0)
     tied = np.maximum(np.where(counts > 0, strongest, -9), [word_tie[vocab.get(w, 0)] for w in every])
-    flat_place = np.array([place[w] for t in tokens for w in t])
-    flat_word = np.array([vocab.get(w, 0) for t in tokens for w in t])
+    flat_place = np.array([place[w] for t in tokens for w in t], dtype=np.int32)
+    flat_word = np.array([vocab.get(w, 0) for w in every], dtype=np.int32)[flat_place]
+    del tokens, place, seen, toxic
     start, size, owner = _windows(lengths)
-    at = np.minimum(start[:, None] + np.arange(WINDOW), max(0, len(flat_word) - 1))
+    at = np.minimum(start[:, None] + np.arange(WINDOW), max(0, len(flat_word) - 1)).astype(np.int32)
     mask = (np.arange(WINDOW) < size[:, None]).astype(np.float32)
     evidence = np.where(mask > 0, tied[flat_place[at]], -9).max(1)
     rng = np.random.default_rng(seed)
@@ -217,17 +219,14 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 3, epochs: int = 3
                 spans = [grams[ends[i] - counts[i] : ends[i]] for i in places]
                 n_grams = np.array([len(s) for s in spans])
                 joined, of = np.concatenate(spans) if spans else np.zeros(0, int), np.repeat(np.arange(len(places)), n_grams)
-                mean = np.zeros((len(places), CHAR_DIM), np.float32)
-                np.add.at(mean, of, net.p["char"][joined])
+                mean = _scatter(of, net.p["char"][joined], len(places))
                 mean /= np.maximum(n_grams, 1)[:, None]
                 hidden = np.where(rng.random(words.shape) < 0.15, 0, words)  # so that characters carry weight too
                 g, dx = net.gradients(hidden, mean[inverse], m, target[order[lo : lo + 128]])
-                dword = np.zeros_like(net.p["word"])
-                np.add.at(dword, hidden, dx[:, :, :WORD_DIM])
-                dmean = np.zeros_like(mean)
-                np.add.at(dmean, inverse, dx[:, :, WORD_DIM:])
-                dchar = np.zeros_like(net.p["char"])
-                np.add.at(dchar, joined, (dmean / np.maximum(n_grams, 1)[:, None])[of])
+                flat_dx = dx.reshape(-1, dx.shape[2])
+                dword = _scatter(hidden.ravel(), flat_dx[:, :WORD_DIM], len(net.p["word"]))
+                dmean = _scatter(inverse.ravel(), flat_dx[:, WORD_DIM:], len(places))
+                dchar = _scatter(joined, (dmean / np.maximum(n_grams, 1)[:, None])[of], GRAMS)
                 step += 1
                 for k, v in (g | {"word": dword, "char": dchar}).items():
                     a, b = moments.setdefault(k, [np.zeros_like(net.p[k]), np.zeros_like(net.p[k])])
@@ -242,6 +241,11 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 3, epochs: int = 3
     return model
 
 
+def _scatter(to: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by their number."""
+    return np.stack([np.bincount(to, weights=values[:, j], minlength=n) for j in range(values.shape[1])], 1).astype(np.float32)
+
+
 def _threshold(best: np.ndarray, labels: np.ndarray) -> float:
     """The middle of the gap that makes fewest errors on the training texts."""
     order = np.argsort(best)
@@ -253,16 +257,19 @@ def _threshold(best: np.ndarray, labels: np.ndarray) -> float:
     return float((s[max(0, i - 1)] + s[min(len(s) - 1, i)]) / 2)
 
 
-def project(model: dict, words: list[str]) -> np.ndarray:
+def project(model: dict, words: list[str], at_once: int = 20_000) -> np.ndarray:
     """Projected inputs of both directions for distinct bare words, [n, 6 * HIDDEN]."""
-    p = model["p"]
-    grams, counts = grams_of(words)
-    total = np.zeros((len(grams) + 1, CHAR_DIM))
-    np.cumsum(p["char"][grams], axis=0, out=total[1:], dtype=np.float64)
-    ends = np.cumsum(counts)
-    mean = (total[ends] - total[ends - counts]) / np.maximum(counts, 1)[:, None]
-    x = np.concatenate([p["word"][[model["vocab"].get(w, 0) for w in words]], mean.astype(np.float32)], 1)
-    return np.concatenate([x @ p["w_f"] + p["b_f"], x @ p["w_b"] + p["b_b"]], 1)
+    p, out = model["p"], np.empty((len(words), 6 * HIDDEN), np.float32)
+    for lo in range(0, len(words), at_once):
+        part = words[lo : lo + at_once]
+        grams, counts = grams_of(part)
+        total = np.zeros((len(grams) + 1, CHAR_DIM))
+        np.cumsum(p["char"][grams], axis=0, out=total[1:], dtype=np.float64)
+        ends = np.cumsum(counts)
+        mean = (total[ends] - total[ends - counts]) / np.maximum(counts, 1)[:, None]
+        x = np.concatenate([p["word"][[model["vocab"].get(w, 0) for w in part]], mean.astype(np.float32)], 1)
+        out[lo : lo + len(part)] = np.concatenate([x @ p["w_f"] + p["b_f"], x @ p["w_b"] + p["b_b"]], 1)
+    return out
 
 
 def window_logits(model: dict, every: list[str], numbers: np.ndarray, at: np.ndarray, mask: np.ndarray) -> Iterator[np.ndarray]:

@@ -2,35 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Hashable, Sequence
 
 import numpy as np
 
 
+class _Index(dict):
+    """Numbers words from 1 as they come; new ones are listed."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, word):
+        self[word] = number = len(self) + 1
+        self.new.append(word)
+        return number
+
+
 class WordTable:
-    """Rows of `width` floats per distinct word. Row 0 is a blank. Beyond `most` words the table starts anew."""
+    """Rows of `width` numbers per distinct word. Row 0 is a blank. Beyond `most` words the table starts anew."""
 
-    def __init__(self, rows_of: Callable[[list[str]], np.ndarray], width: int, most: int = 200_000, dtype=np.float32):
+    def __init__(self, rows_of: Callable[[list], np.ndarray], width: int, most: int = 200_000, dtype=np.float32):
         self.rows_of, self.most = rows_of, most
-        self.index: dict[str, int] = {}
+        self.index = _Index()
         self.rows = np.zeros((1024, width), dtype=dtype)
 
-    def numbers(self, words: list[str]) -> np.ndarray:
-        """Row numbers of the words; earlier numbers lose their meaning if the table starts anew, so look up per call."""
+    def numbers(self, words: Sequence[Hashable]) -> np.ndarray:
+        """Row numbers of the words. A later call may start the table anew and replace `rows`."""
         index = self.index
-        new = [w for w in dict.fromkeys(words) if w not in index]
-        if new:
-            if len(index) + len(new) > self.most:
-                index.clear()
-                new = list(dict.fromkeys(words))
-            at = len(index) + 1
+        if len(index) > self.most:
+            index.clear()
+        at = len(index) + 1
+        out = np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))
+        if index.new:
+            new, index.new = index.new, []
             if at + len(new) > len(self.rows):
                 grown = np.zeros((max(2 * len(self.rows), at + len(new)), self.rows.shape[1]), dtype=self.rows.dtype)
                 grown[: len(self.rows)] = self.rows
                 self.rows = grown
             self.rows[at : at + len(new)] = self.rows_of(new)
-            index.update(zip(new, range(at, at + len(new))))
-        return np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))
+        return out
 
 
 def chunks_of(texts: list[str], most_chars: int = 4_000_000):
