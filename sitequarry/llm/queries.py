@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitequarry.llm import exact_dedup, html_text, licenses, near_dedup, packing, pieces, quality, sharding, toxicity
+from sitequarry.llm import exact_dedup, html_text, licenses, near_dedup, neighbours, packing, pieces, quality, sharding, toxicity
 from sitequarry.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("raw")
 
@@ -47,7 +51,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_licenses, op3_toxicity, op4_packing, op6_exact_dedup, op7_pieces, op8_html_text, op9_near_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_sharding, op2_licenses, op3_toxicity, op4_packing, op5_neighbours, op6_exact_dedup, op7_pieces, op8_html_text, op9_near_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
