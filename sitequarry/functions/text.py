@@ -108,7 +108,7 @@ def is_hreflang(c: Column) -> Column:
 
 def text_list(c: Column) -> Column:
     """A JSON list of strings, or else a list by lines or semicolons."""
-    parts = F.filter(F.transform(F.split(c, "[\\n;]"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(c, "[\\n;]"), lambda x: F.trim(x)), lambda p: p != "")
     return F.coalesce(F.from_json(c, "array<string>"), parts)
 
 

@@ -9,6 +9,7 @@ from urllib.parse import urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values.
 SEARCH_KEYS = ["s", "search", "q", "query", "keyword", "terms", "find"]
@@ -240,7 +241,7 @@ def resolve_text(link: str | None, base: str | None) -> str | None:
     return f"{parts.scheme}://{host_}{port}{(parts.path or '/').replace(' ', '%20')}{'?' + parts.query if parts.query else ''}{keep}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def resolve(link: pd.Series, base: pd.Series) -> pd.Series:
     """Relative links need more than a Column can say: resolved in batches."""
     return pd.Series([resolve_text(a, b) for a, b in zip(link, base)], dtype=object)
