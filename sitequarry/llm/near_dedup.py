@@ -5,9 +5,10 @@ slots as a Poisson process of its weight's rate and keeps the earliest arrival i
 next arrival is later than every slot's. Two texts agree in a slot with their probability Jaccard similarity. Bands of
 slots give candidates; a candidate is a link if the Jaccard similarity of the two shingle sets is 0.8 or more.
 
-Equal texts are one node. In each bucket every node is compared with the bucket's first node (a star, not all pairs).
-Jaccard distance is a metric, so of the other pairs only those whose distances to the first node differ by 0.2 at most,
-and that no path of links joins yet, can still matter; all of those are compared too. No pair is dropped by a cap.
+Equal texts are one node. In each bucket every node is compared with the bucket's head (a star, not all pairs), the
+node that meets most others. Of the other pairs of a bucket only those that no path of links joins yet can matter.
+Jaccard distance is a metric, so their distances to the head must differ by 0.2 at most; and two sets share no more than
+each of them has in common with any other. Pairs that pass both bounds are compared. No pair is dropped by a cap.
 """
 
 from __future__ import annotations
@@ -139,7 +140,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, similarity of node pairs. Rows of pairs are narrow, and one node's many pairs are split by the adaptive skew join."""
     left = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    return pairs.select("a", "b").join(left, "b").join(right, "a").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, similarity double")
+    return pairs.select("a", "b").join(left.hint("merge"), "b").join(right.hint("merge"), "a").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, similarity double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,26 +189,57 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 500):
+            part = batch.slice(lo, 500)
+            sets = [np.frombuffer(x.as_buffer(), "<u4") for x in part.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])), pa.array(np.concatenate(sets).astype(np.int64))], names=["node", "token"])
+
+
+def _bounds(sets: DataFrame) -> DataFrame:
+    """node, n, usable: shingles of each set, and those that occur in another of these sets too.
+
+    Nothing shares the others, so two sets have no more in common than the smaller `usable` of the two.
+    """
+    tokens = sets.select("node", "shingles").mapInArrow(_tokens, "node long, token long")
+    own = tokens.groupBy("token").agg(F.count("*").alias("sets"), F.min("node").alias("node")).filter("sets = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    n = (F.octet_length("shingles") / 4).cast("long")
+    return sets.select("node", n.alias("n")).join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("usable"))
+
+
 def _links(sketch: DataFrame, members: DataFrame, n: int) -> tuple[DataFrame, list[DataFrame]]:
     """a, b: links that join all nodes that belong together, and the tables to discard when they have been read."""
     again = members.filter("uid <> node").select("uid")
     buckets = sketch.select("uid", "bands").join(again, "uid", "left_anti").select(F.col("uid").alias("node"), F.explode("bands").alias("bucket"))
-    sizes = materialise(buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("a")).filter("size > 1"), "bucket_sizes")
-    shared = materialise(attach(buckets, sizes, ["bucket"], n, "size").filter("size is not null").select("bucket", "a", F.col("node").alias("b")), "shared_buckets")
-    stars = materialise(shared.filter("a <> b").select("a", "b").distinct(), "stars")
+    sizes = materialise(buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "bucket_sizes")
+    shared = materialise(attach(buckets, sizes, ["bucket"], n, "size").filter("size is not null"), "shared_buckets")
+    # a bucket's head is the node that meets most others in all its buckets: near the middle of a group of copies
+    weights = shared.groupBy("node").agg(F.sum("size").alias("weight"))
+    weighed = shared.join(weights.hint("merge"), "node").select("bucket", "node", "weight")
+    heads = materialise(weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("a"), F.count("*").alias("size")), "heads")
+    shared2 = materialise(attach(shared.select("bucket", F.col("node").alias("b")), heads, ["bucket"], n, "size").select("bucket", "a", "b"), "stars_of_buckets")
+    stars = materialise(shared2.filter("a <> b").select("a", "b").distinct(), "stars")
     wanted = stars.select(F.col("a").alias("uid")).unionByName(stars.select(F.col("b").alias("uid"))).distinct()
-    sets = materialise(sketch.select("uid", "shingles").join(wanted, "uid", "left_semi").withColumnRenamed("uid", "node"), "shingle_sets")
+    sets = materialise(sketch.select("uid", "shingles").join(wanted.hint("merge"), "uid", "left_semi").withColumnRenamed("uid", "node"), "shingle_sets")
     near = materialise(verified(stars, sets), "similarities")
     links = near.filter(F.col("similarity") >= THRESHOLD).select("a", "b")
     labels = materialise(components(links), "first_components")
     # buckets whose nodes aren't all joined yet
-    known = shared.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
-    known = materialise(known.join(near, ["a", "b"], "left").select("bucket", "b", "label", F.coalesce(1 - F.col("similarity"), F.lit(0.0)).alias("away"), (F.col("a") == F.col("b")).alias("is_first")), "known_buckets")
+    known = shared2.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    known = materialise(known.join(near, ["a", "b"], "left").select("bucket", "b", "label", F.coalesce(1 - F.col("similarity"), F.lit(0.0)).alias("away"), (F.col("a") == F.col("b")).alias("is_head")), "known_buckets")
     parted = known.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size")).filter("least <> most and size > 2").select("bucket")
-    rest = materialise(known.filter("not is_first").join(parted, "bucket", "left_semi").select("bucket", "b", "label", "away"), "parted_buckets")
-    x, y = rest.alias("x"), rest.alias("y")
-    could = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & (F.abs(F.col("x.away") - F.col("y.away")) <= 1 - THRESHOLD + 1e-9)
+    rest = materialise(known.filter("not is_head").join(parted, "bucket", "left_semi").select("bucket", "b", "label", "away"), "parted_buckets")
+    # nodes that too few shared shingles keep from any link leave, which leaves fewer shared ones to the others
+    left = sets.join(rest.select(F.col("b").alias("node")).distinct(), "node", "left_semi")
+    able = _bounds(left).filter(F.col("usable") >= THRESHOLD * F.col("n")).select("node")
+    left = materialise(left.join(able, "node", "left_semi"), "able_sets")
+    bounds = materialise(_bounds(left).withColumnRenamed("node", "b"), "bounds")
+    rest2 = materialise(rest.join(bounds, "b"), "able_buckets")
+    x, y = rest2.alias("x"), rest2.alias("y")
+    common = F.least("x.usable", "y.usable")
+    could = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & (F.abs(F.col("x.away") - F.col("y.away")) <= 1 - THRESHOLD + 1e-9) & (common >= THRESHOLD * (F.col("x.n") + F.col("y.n") - common) - 1e-9)
     more = materialise(x.join(y, could).select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct(), "more_pairs")
-    found = materialise(verified(more, sets).filter(F.col("similarity") >= THRESHOLD), "more_links")
-    discard(sizes, shared, stars, known, rest, more, sets, labels)
+    found = materialise(verified(more, left).filter(F.col("similarity") >= THRESHOLD), "more_links")
+    discard(sizes, shared, heads, shared2, stars, known, rest, rest2, bounds, more, sets, left, labels)
     return links.unionByName(found.select("a", "b")), [near, found]
