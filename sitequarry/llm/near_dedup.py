@@ -176,7 +176,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     copies = materialise(sketch.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("uid").alias("first")).filter("copies > 1"), "copies")
     members = attach(sketch.select("uid", "doc_id", "raw", "k1", "k2"), copies, ["k1", "k2"], n, "copies")
     members = materialise(members.select("uid", "doc_id", "raw", F.coalesce("first", "uid").alias("node")), "members")
-    links, scratch = _links(sketch, members, n)
+    links, scratch = _links(sketch, members)
     labels = materialise(components(links), "components")
     nodes = materialise(members.groupBy("node").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "uid")).alias("least")).join(labels, "node", "left").filter("copies > 1 or label is not null").withColumn("label", F.coalesce("label", "node")), "nodes")
     classes = materialise(nodes.groupBy("label").agg(F.sum("copies").alias("class_size"), F.count("*").alias("texts"), F.min("least").alias("top")), "classes")
@@ -208,17 +208,18 @@ def _bounds(sets: DataFrame) -> DataFrame:
     return sets.select("node", n.alias("n")).join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("usable"))
 
 
-def _links(sketch: DataFrame, members: DataFrame, n: int) -> tuple[DataFrame, list[DataFrame]]:
+def _links(sketch: DataFrame, members: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """a, b: links that join all nodes that belong together, and the tables to discard when they have been read."""
     again = members.filter("uid <> node").select("uid")
     buckets = sketch.select("uid", "bands").join(again, "uid", "left_anti").select(F.col("uid").alias("node"), F.explode("bands").alias("bucket"))
     sizes = materialise(buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "bucket_sizes")
-    shared = materialise(attach(buckets, sizes, ["bucket"], n, "size").filter("size is not null"), "shared_buckets")
+    # bucket rows are two numbers each; a hot bucket is split by the adaptive skew join, whose two sides come from files
+    shared = materialise(buckets.join(sizes.hint("merge"), "bucket"), "shared_buckets")
     # a bucket's head is the node that meets most others in all its buckets: near the middle of a group of copies
     weights = shared.groupBy("node").agg(F.sum("size").alias("weight"))
     weighed = shared.join(weights.hint("merge"), "node").select("bucket", "node", "weight")
     heads = materialise(weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("a"), F.count("*").alias("size")), "heads")
-    shared2 = materialise(attach(shared.select("bucket", F.col("node").alias("b")), heads, ["bucket"], n, "size").select("bucket", "a", "b"), "stars_of_buckets")
+    shared2 = materialise(shared.select("bucket", F.col("node").alias("b")).join(heads.hint("merge"), "bucket").select("bucket", "a", "b"), "stars_of_buckets")
     stars = materialise(shared2.filter("a <> b").select("a", "b").distinct(), "stars")
     wanted = stars.select(F.col("a").alias("uid")).unionByName(stars.select(F.col("b").alias("uid"))).distinct()
     sets = materialise(sketch.select("uid", "shingles").join(wanted.hint("merge"), "uid", "left_semi").withColumnRenamed("uid", "node"), "shingle_sets")
