@@ -1,9 +1,9 @@
 """Near-duplicates by ProbMinHash, banding and exact verification.
 
-A text is its set of five-word shingles, weighted by 1 + ln(times). ProbMinHash lets each shingle arrive at random
-slots as a Poisson process of its weight's rate and keeps the earliest arrival in each slot; a shingle stops when its
-next arrival is later than every slot's. Two texts agree in a slot with their probability Jaccard similarity. Bands of
-slots give candidates; a candidate is a link if the Jaccard similarity of the two shingle sets is 0.8 or more.
+A text is its set of five-word shingles, all of weight 1 however often they occur. ProbMinHash lets each shingle arrive
+at random slots as a Poisson process of its weight's rate and keeps the earliest arrival in each slot; a shingle stops
+when its next arrival is later than every slot's. Two texts agree in a slot with the Jaccard similarity of their sets.
+Bands of slots give candidates; a candidate is a link if that same similarity is 0.8 or more.
 
 Equal texts are one node. In each bucket every node is compared with the bucket's head (a star, not all pairs), the
 node that meets most others. Of the other pairs of a bucket only those that no path of links joins yet can matter.
@@ -48,8 +48,8 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.array([zlib.crc32(w) | zlib.crc32(w, 0x5BD1E995) << 32 for w in words], dtype=np.uint64).reshape(-1, 1)
 
 
-def shingles(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Owner, 32-bit shingle and times, by owner and shingle. Texts of one to four words are one shingle."""
+def shingles(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and 32-bit shingle, once each, by owner and shingle. Texts of one to four words are one shingle."""
     if "table" not in _state:
         _state["table"] = WordTable(_hashes, 1, 400_000, np.uint64)
     table = _state["table"]
@@ -69,8 +69,8 @@ def shingles(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     whole[first[(lengths > 0) & (lengths < SHINGLE)]] = True
     packed = np.sort((owner[whole].astype(np.uint64) << np.uint64(32)) | (mix(s[whole]) >> np.uint64(32)))
     at = np.flatnonzero(np.concatenate([[True], packed[1:] != packed[:-1]])) if len(packed) else np.zeros(0, np.int64)
-    packed, times = packed[at], np.diff(at, append=len(packed))
-    return (packed >> np.uint64(32)).astype(np.int64), packed & np.uint64(0xFFFFFFFF), times
+    packed = packed[at]
+    return (packed >> np.uint64(32)).astype(np.int64), packed & np.uint64(0xFFFFFFFF)
 
 
 def probminhash(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, slots: int = SLOTS) -> np.ndarray:
@@ -115,8 +115,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [x or "" for x in batch.column(1).to_pylist()]
         for a, b in chunks_of(texts, 2_000_000):
             words = [words_of(t) for t in texts[a:b]]
-            owner, element, times = shingles(words)
-            keys = band_keys(probminhash(owner, element, 1 + np.log(times), b - a))
+            owner, element = shingles(words)
+            keys = band_keys(probminhash(owner, element, np.ones(len(element)), b - a))
             cuts = np.searchsorted(owner, np.arange(b - a + 1))
             flat = element.astype("<u4")
             digest = np.array([np.frombuffer(hashlib.blake2b(b" ".join(w) if w else b"\0" + t.encode(), digest_size=16).digest(), "<i8") for w, t in zip(words, texts[a:b])])

@@ -256,6 +256,17 @@ def test_near_groups(spark, docs, none):
     assert edge.set_index("doc_id").class_id.to_dict()[5] == 3 and edge.kept.sum() == edge.class_id.nunique()
 
 
+def test_near_groups_by_repeated_lines(spark):
+    texts = []
+    for i in range(80):  # pairs of similarity 86 / 106, whose own lines are repeated
+        base = " ".join(f"b{i}x{k}" for k in range(90))
+        texts += [base + "\n" + "\n".join([" ".join(f"{own}{i}x{k}" for k in range(6))] * 200) for own in "lr"]
+    assert components_by_force(texts) == [i - i % 2 for i in range(160)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = near_dedup.near_groups(table).toPandas().sort_values("doc_id")
+    assert got.class_id.tolist() == [i - i % 2 for i in range(160)]
+
+
 def test_probminhash_estimates_similarity():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 1 << 32, 300).astype(np.uint64), rng.integers(0, 1 << 32, 100).astype(np.uint64)
