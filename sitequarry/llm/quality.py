@@ -2,8 +2,8 @@
 
 Overlapping heuristic labellers vote good, bad or nothing on every document. Expectation-maximisation estimates, from
 the counts of vote patterns over all documents, how accurate each labeller is and how common good documents are; the
-posteriors then label a bounded sample, on which a hashed linear scorer is trained. The scorer reads token shapes only,
-and scores every document. No hand-made label is used.
+posteriors then label a bounded sample, on which a hashed linear scorer is trained. The scorer reads token shapes and the
+labellers' votes and binned rates, and scores every document. No hand-made label is used.
 """
 
 from __future__ import annotations
@@ -28,7 +28,9 @@ EM_ROUNDS = 100
 STOP_WORDS = "a an and are as at be by for from in is it of on or that the this to was with au aux dans de des du elle en est et la le les leur ne pas pour que qui se sur un une das dem den der die ein eine für ist im mit nicht sich und von zu al con del el es lo los las mi no para por su una y".split()
 #: Columns of a word's row: shape bucket, then the properties that the labellers count.
 SHAPE, SYMBOL, LOUD, ORDINARY, STOP, LETTERS, UPPER, ENDS, WIDTH = 0, 1, 2, 3, 4, 5, 6, 7, 8
-LABELLERS = ("ordinary_words", "function_words", "characters", "repetition", "variety", "one_word", "sentences", "runs", "pairs")
+LABELLERS = ("ordinary_words", "function_words", "characters", "repetition", "variety", "one_word", "sentences", "pairs")
+#: Bins of a rate, and numbers of words at which a class of lengths begins.
+BINS, LENGTHS = 20, (5, 30, 200)
 
 _stop = frozenset(STOP_WORDS)
 _state: dict = {}
@@ -107,8 +109,8 @@ def measure(numbers: np.ndarray, rows: np.ndarray, again: np.ndarray, lengths: n
     different = np.bincount(each[first] >> 32, minlength=texts)
     most = np.zeros(texts)
     np.maximum.at(most, each[first] >> 32, np.diff(first, append=len(each)))
-    pairs = np.sort(owner[1:] << 44 | numbers[1:] << 22 | numbers[:-1])
-    fresh = np.bincount(pairs[np.diff(pairs, prepend=-1) != 0] >> 44, minlength=texts) / n
+    pairs = np.sort((owner[1:] << 44 | numbers[1:] << 22 | numbers[:-1])[owner[1:] == owner[:-1]])
+    fresh = np.where(lengths > 1, np.bincount(pairs[np.diff(pairs, prepend=-1) != 0] >> 44, minlength=texts) / np.maximum(lengths - 1, 1), 1.0)
     return np.stack([s[:, ORDINARY - 1] / n, s[:, STOP - 1] / n, (s[:, SYMBOL - 1] + s[:, LOUD - 1]) / n, s[:, UPPER - 1] / np.maximum(s[:, LETTERS - 1], 1), _sums(again.astype(np.float32), lengths) / n, different / n, most / n, s[:, ENDS - 1] / n, fresh, lengths], axis=1)
 
 
@@ -127,6 +129,7 @@ def votes(rates: np.ndarray) -> np.ndarray:
         vote((n >= 30) & (variety < 0.3), variety > 0.5),
         vote((n >= 10) & (most > 0.2) | (n >= 50) & (most > 0.105), (n >= 5) & (most < 0.09)),
         vote((n >= 10) & ((ends < 0.01) | (ends > 0.4)), (ends >= 0.02) & (ends < 0.35)),
+        vote((n >= 30) & (fresh < 0.4), (n >= 5) & (fresh > 0.8)),
     ], axis=1).astype(np.int8)
 
 
@@ -162,9 +165,29 @@ def hashed(rows: np.ndarray, again: np.ndarray, lengths: np.ndarray) -> np.ndarr
     return np.stack([shape % (1 << (BITS - 1)), (pair * 0x9E3779B1 >> 7) % (1 << (BITS - 1)) + (1 << (BITS - 1))], axis=1)
 
 
-def train(features: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs: int = 30, seed: int = 0) -> tuple[np.ndarray, float]:
-    """Logistic regression on posterior labels by AdaGrad: weights of the hashed features and a bias."""
-    w, b, cache, cache_b = np.zeros(1 << BITS), 0.0, np.full(1 << BITS, 1e-6), 1e-6
+def rated(rates: np.ndarray) -> np.ndarray:
+    """Feature numbers of each text, after those of words: each rate's bin at the text's class of lengths, and each vote."""
+    n, v = rates[:, -1], votes(rates)
+    bins = np.minimum((rates[:, :-1] * BINS).astype(np.int64), BINS)
+    bins += (np.arange(bins.shape[1]) * (len(LENGTHS) + 1) + np.searchsorted(LENGTHS, n, "right")[:, None]) * (BINS + 1)
+    first = (rates.shape[1] - 1) * (len(LENGTHS) + 1) * (BINS + 1)
+    return np.concatenate([bins, first + np.arange(v.shape[1]) * 3 + v + 1], axis=1) + (1 << BITS)
+
+
+#: Features of words and of texts.
+FEATURES = (1 << BITS) + 9 * (len(LENGTHS) + 1) * (BINS + 1) + 3 * len(LABELLERS)
+
+
+def train(features: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, table: np.ndarray, epochs: int = 30, seed: int = 0) -> tuple[np.ndarray, float]:
+    """Logistic regression on posterior labels by AdaGrad: weights of the hashed features and a bias.
+
+    Votes start at the log ratio that expectation-maximisation found for them, so a vote that is rare in the sample,
+    or rare without others, counts as well; training fits the rest.
+    """
+    w, b, cache, cache_b = np.zeros(FEATURES), 0.0, np.full(FEATURES, 1e-6), 1e-6
+    ratios = np.log(table[1] / table[0])
+    ratios[:, 1] = 0  # silence
+    w[-ratios.size :] = ratios.ravel()
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(len(features)):
@@ -194,9 +217,9 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             _, rows, again, lengths = read
             rates, numbers, ends = measure(*read), hashed(rows, again, lengths), np.cumsum(lengths)
             found = [np.unique(numbers[e - n : e], return_counts=True) for e, n in zip(ends, lengths)]
-            v = votes(rates)
+            v, more = votes(rates), rated(rates).tolist()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0].tolist() for x in found], pa.list_(pa.int64())), pa.array([(x[1] / max(1, n)).tolist() for x, n in zip(found, lengths)], pa.list_(pa.float64())), pa.array(["".join("-0+"[x + 1] for x in r) for r in v])],
+                [pa.array([x[0].tolist() + m for x, m in zip(found, more)], pa.list_(pa.int64())), pa.array([(x[1] / max(1, n)).tolist() + [1.0] * len(m) for x, n, m in zip(found, lengths, more)], pa.list_(pa.float64())), pa.array(["".join("-0+"[x + 1] for x in r) for r in v])],
                 names=["at", "x", "pattern"],
             )
 
@@ -206,7 +229,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict | None:
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     voted = materialise(own.mapInArrow(_vote_batches, "doc_id long, pattern string"), "votes")
-    # at most 3^9 patterns, whatever the input
+    # at most 3^8 patterns, whatever the input
     seen = voted.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()
     if not seen:
         return None
@@ -218,7 +241,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict | None:
     chosen = spark.createDataFrame([(i,) for i in sorted({i for i in ids if i is not None})], "doc_id long")
     sample = own.join(F.broadcast(chosen), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", "text")).limit(train_docs).mapInArrow(_feature_batches, "at array<long>, x array<double>, pattern string").collect()
     features = [(np.array(r["at"], dtype=np.int64), np.array(r["x"])) for r in sample]
-    w, b = train(features, np.array([by_pattern[r["pattern"]] for r in sample]))
+    w, b = train(features, np.array([by_pattern[r["pattern"]] for r in sample]), table)
     return {"weights": w.astype(np.float32), "bias": b, "good": good, "accuracy": dict(zip(LABELLERS, table.tolist()))}
 
 
@@ -226,9 +249,11 @@ def score_texts(texts: list[str], model: dict) -> np.ndarray:
     """Probability of good for whole texts."""
     out = np.empty(len(texts))
     for a, b in chunks_of(texts):
-        _, rows, again, lengths = read_words(texts[a:b])
+        read = read_words(texts[a:b])
+        _, rows, again, lengths = read
         numbers = hashed(rows, again, lengths)
         total = _sums(model["weights"][numbers].sum(1), lengths) / np.maximum(lengths, 1)
+        total += model["weights"][rated(measure(*read))].sum(1)
         out[a:b] = 1 / (1 + np.exp(-np.clip(total + model["bias"], -30, 30)))
         out[a:b][lengths == 0] = 0.0
     return out

@@ -285,6 +285,21 @@ def test_quality(spark, docs, none):
     assert quality.keep_good(docs).columns == docs.columns
 
 
+def test_quality_of_repeated_text(spark):
+    folder = f"{SF}/../sf0.01"  # enough rows to learn from
+    table = spark.read.parquet(f"{folder}/documents.parquet")
+    d = pd.read_parquet(f"{folder}/documents.parquet").merge(pd.read_parquet(f"{folder}/labels.parquet")[["doc_id", "quality"]].rename(columns={"quality": "keep"}), on="doc_id")
+    good = [" ".join(t.split()) for t in d[(d.keep == 1) & d.text.str.len().gt(600)].text[:20]]
+    model = quality.fit(table)
+    phrases = [" ".join(t.split()[:12] * 400) for t in good]
+    lines = ["\n".join([" ".join(t.split()[:40])] * 100) for t in good]
+    assert len(good) == 20 and (quality.score_texts(good, model) >= 0.5).all()
+    assert (quality.score_texts(phrases, model) < 0.5).all() and (quality.score_texts(lines, model) < 0.5).all()
+    alone = [quality.score_texts([t], model)[0] for t in good + phrases]
+    assert np.allclose(alone, quality.score_texts(good + phrases, model), atol=1e-5)
+    assert quality.votes(np.ones((1, 10))).shape[1] == len(quality.LABELLERS)
+
+
 def test_expectation_maximisation_finds_the_bad_labeller():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.8
