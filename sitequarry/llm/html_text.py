@@ -1,8 +1,8 @@
 """Main text of web pages, with site templates removed.
 
 Each page is read once into blocks of text and hashes of its element subtrees (a subtree's hash covers its tag, class,
-texts and its children's hashes). Spark counts, per host, the distinct pages on which a subtree recurs; subtrees found
-on many are deleted. Menus, footers and the like go by tag, role and class as well.
+texts and its children's hashes). Spark counts, per host and per section of a host, the distinct pages on which a subtree
+recurs; subtrees found on many are deleted. Menus, footers and the like go by tag, role and class as well.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from sitequarry.llm.common import attach, discard, materialise
 from sitequarry.llm.words import chunks_of
 
-#: A subtree is template when it recurs on at least so many distinct pages of its host, and on this share of them.
+#: A subtree is template when it recurs on at least so many distinct pages of its host, and on this share of them; or
+#: likewise of its section (the first folder of the path), so a section's own blocks don't depend on the host's size.
 LEAST_PAGES, SHARE = 5, 0.05
 #: Fixed values of HTML: elements without end tags, elements of raw text, and elements that end a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,7 +35,9 @@ CONTENT_WORDS = frozenset("article post entry content main story body title head
 CONTAINERS = frozenset("div section ul ol table figure details dl header".split())
 LANDMARKS = frozenset(("article", "main"))
 
-_TOKEN = re.compile(r"<!--|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/?[a-zA-Z])")
+#: As HTML has it, quotes delimit only right after "="; elsewhere they belong to a name or a bare value, and a quote that is
+#: never closed delimits nothing.
+_TOKEN = re.compile(r"<!--|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*+)?+)?+)*+)>|<(?=/?[a-zA-Z])")
 _ATTR = re.compile(r"(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
 
@@ -200,23 +203,27 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHA
     """page_id, url, text, n_chars, n_blocks_removed: one row per page row.
 
     Null html is empty; a page without main text has an empty text. Pages without a host share one nameless host.
-    Equal pages of a host count once, so copies of a page do not make it template. Repeated rows give equal rows. An
+    Equal pages of a host or section count once, so copies of a page do not make it template. Repeated rows give equal rows. An
     empty table gives no rows; other columns are not read.
     """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.xxhash64("html").alias("digest"), "html")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    read = materialise(own.mapInArrow(_read, PAGE).withColumn("uid", F.monotonically_increasing_id()).withColumn("host", host), "page_blocks")
+    section = F.regexp_extract(F.coalesce("url", F.lit("")), "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^/?#]+)/", 1)
+    read = materialise(own.mapInArrow(_read, PAGE).withColumn("uid", F.monotonically_increasing_id()).withColumn("host", host).withColumn("section", section), "page_blocks")
     nodes = F.array_distinct(F.flatten("owners"))
-    distinct = read.groupBy("host", "digest").agg(F.min("uid").alias("uid"))
-    hosts = distinct.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = read.join(distinct.select("uid"), "uid", "left_semi").select("host", F.explode(nodes).alias("node")).groupBy("host", "node").agg(F.count("*").alias("on_pages")).filter(F.col("on_pages") >= least_pages)
-    template = materialise(counts.join(hosts, "host").filter(F.col("on_pages") >= share * F.col("pages")).select("host", "node", "on_pages"), "template_nodes")
-    if template.isEmpty():
-        gone = read.select("uid", "page_id", "url", "texts", "owners", F.array().cast("array<long>").alias("gone"))
-    else:
-        held = read.select("uid", "host", F.explode(nodes).alias("node"))
-        hit = attach(held, template, ["host", "node"], held.count(), "on_pages").filter("on_pages is not null").groupBy("uid").agg(F.collect_set("node").alias("gone"))
-        gone = read.drop("host", "digest").join(hit, "uid", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<long>")))
+    gone = read
+    for i, keys in enumerate((["host"], ["host", "section"])):
+        distinct = read.groupBy(*keys, "digest").agg(F.min("uid").alias("uid"))
+        sizes = distinct.groupBy(*keys).agg(F.count("*").alias("pages"))
+        counts = read.join(distinct.select("uid"), "uid", "left_semi").select(*keys, F.explode(nodes).alias("node")).groupBy(*keys, "node").agg(F.count("*").alias("on_pages")).filter(F.col("on_pages") >= least_pages)
+        template = materialise(counts.join(sizes, keys).filter(F.col("on_pages") >= share * F.col("pages")).select(*keys, "node", "on_pages"), "template_nodes")
+        if template.isEmpty():
+            gone = gone.withColumn(f"gone{i}", F.array().cast("array<long>"))
+        else:
+            held = read.select("uid", *keys, F.explode(nodes).alias("node"))
+            hit = attach(held, template, [*keys, "node"], held.count(), "on_pages").filter("on_pages is not null").groupBy("uid").agg(F.collect_set("node").alias(f"gone{i}"))
+            gone = gone.join(hit, "uid", "left").withColumn(f"gone{i}", F.coalesce(f"gone{i}", F.array().cast("array<long>")))
+    gone = gone.withColumn("gone", F.concat("gone0", "gone1"))
     kept = F.filter(F.arrays_zip("texts", "owners"), lambda b: ~F.arrays_overlap(b["owners"], F.col("gone")))
     out = gone.withColumn("kept", F.transform(kept, lambda b: b["texts"])).withColumn("text", F.array_join("kept", "\n\n"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), (F.size("texts") - F.size("kept")).alias("n_blocks_removed"))

@@ -216,6 +216,21 @@ def test_html(spark):
     assert html_text.extract(table.filter("page_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("tag", ['<p title="5" tall">', "<p title=don't>", "<p title=\"don't>", "<p don't>", '<p title="a>b" x=\'c>d\'/>'])
+def test_html_stray_quotes(tag):
+    assert html_text.read_page(f"<article><p>one</p>{tag}two</p><p>three</p></article>")[0] == ["one", "two", "three"]
+    if tag != "<p title=\"don't>":  # by HTML's rules a later quote closes this one
+        assert html_text.read_page(f"<article><p>one</p>{tag}two</p><p class=\"c\" id='d'>three</p></article>")[0] == ["one", "two", "three"]
+    assert html_text.read_page("<p>one</p><p title=")[0] == ["one"]
+
+
+def test_html_section_template(spark):
+    page = "<html><body>{}<div><p>own {}</p></div></body></html>"
+    rows = [(i, f"https://h.test/{'news' if i < 8 else 'shop'}/{i}", page.format("<div><p>News advert</p></div>" if i < 8 else "", i)) for i in range(300)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"own {i}" for i in range(300)}
+
+
 def components_by_force(texts):
     words = [near_dedup.words_of(t or "") for t in texts]
     sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else None for w in words]
