@@ -1,31 +1,39 @@
 """Approximate nearest neighbours: a graph by NN-descent, queries by greedy search on it.
 
-Equal vectors are one node. Random projection trees, split on a bounded sample, put every node into TREES leaves, whose
-nodes are compared with each other; this is the first graph. NN-descent then joins, for every node, its neighbours and
-reverse neighbours with their vectors, compares them with each other and keeps the nearest. A query walks the graph:
-in each round the nearest nodes that it has not yet expanded are, all queries together, joined with their edges, and new
-nodes with their vectors. Graph and walk use half-precision vectors; the last ranking uses the originals in double.
+Equal vectors are one node. A first graph comes from sorting the nodes by random hyperplane codes, a few times over, and
+comparing runs of LEAF neighbours in that order. NN-descent then lets nodes that share a neighbour meet: every node sends
+its vector to the neighbours on its list, the vectors that arrive at a node are compared with each other where one of the
+two is new there, and each node keeps the nearest it has heard of. Rounds go on until few lists change. A query walks the
+graph: the nearest nodes that it has not expanded name their neighbours, these are joined with their vectors, and the
+query keeps the nearest. All queries walk together, a join for each round.
+
+Vectors keep the precision they come with, distances are differences in double, so near copies are told apart.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitequarry.llm.common import discard, materialise
 
-TREES, LEAF, DEGREE, DESCENTS = 8, 1000, 20, 1
-#: Vectors on which the trees are split at most, and sampled vectors in a leaf at least.
-SAMPLE, SAMPLE_LEAF = 20_000, 8
-#: Nodes that a query keeps and expands in a round; nodes near enough for the exact ranking.
-BEAM, EXPAND, RERANK = 256, 128, 40
-ENTRIES = 16
-LISTS = "node long, near binary, away binary"
+#: Sorted orders for the first graph, nodes compared in each run of them, neighbours of a list.
+ORDERS, LEAF, DEGREE = 8, 64, 40
+#: NN-descent ends when under this share of list entries is new in a round, or after so many rounds.
+CHANGED, MOST_ROUNDS = 0.02, 12
+#: Of the nodes that have a node on their lists so many meet there in one round, as in the paper chosen at random anew
+#: each time; each hears of so many nearer ones from one meeting; so many reverse edges serve the search (the nearest).
+MEET, HEAR, BACK = 80, 8, 40
+#: Nodes that a query keeps, and those it expands in a round.
+BEAM, EXPAND = 96, 48
+#: Pairs of a task that are merged together before they are sent.
+AT_ONCE = 1_000_000
+LISTS = "node long, vector binary, near binary, away binary, fresh binary"
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -47,222 +55,296 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def _matrix(column, dtype) -> np.ndarray:
-    """Rows of equal length from a binary column."""
-    rows = column.to_pylist() if hasattr(column, "to_pylist") else list(column)
-    return np.frombuffer(b"".join(rows), dtype).reshape(len(rows), -1) if rows else np.zeros((0, 0), dtype)
-
-
-def grow(sample: np.ndarray, leaf: int, seed: int) -> list:
-    """A random projection tree: (normal, threshold, left, right), or a leaf's number."""
-    rng, count = np.random.default_rng(seed), 0
-
-    def split(rows: np.ndarray):
-        nonlocal count
-        if len(rows) > leaf:
-            a, b = sample[rng.choice(rows, 2, replace=False)]
-            p = sample[rows] @ (a - b)
-            m = float(np.median(p))
-            left = p <= m
-            if 0 < left.sum() < len(rows):
-                return [a - b, m, split(rows[left]), split(rows[~left])]
-        count += 1
-        return count - 1
-
-    return split(np.arange(len(sample)))
-
-
-def leaves_of(tree, vectors: np.ndarray) -> np.ndarray:
-    out, todo = np.zeros(len(vectors), np.int64), [(tree, np.arange(len(vectors)))]
-    while todo:
-        t, rows = todo.pop()
-        if isinstance(t, int):
-            out[rows] = t
-        elif len(rows):
-            left = vectors[rows] @ t[0] <= t[1]
-            todo += [(t[2], rows[left]), (t[3], rows[~left])]
-    return out
+def _matrix(rows: list, dtype, width: int = 0) -> np.ndarray:
+    """Rows of equal length from binary values."""
+    return np.frombuffer(b"".join(rows), dtype).reshape(len(rows), -1) if rows else np.zeros((0, width), dtype)
+
+
+def _binary(rows) -> pa.Array:
+    return pa.array([r.tobytes() for r in rows], pa.binary())
+
+
+def _squares(x: np.ndarray) -> np.ndarray:
+    """Squared distances of all pairs of rows [.., n, d]. Rows are first moved to their mean, so near copies don't cancel."""
+    x = x - x.mean(-2, keepdims=True)
+    s = (x * x).sum(-1)
+    return np.maximum(s[..., :, None] + s[..., None, :] - 2 * x @ np.swapaxes(x, -1, -2), 0)
 
 
-def _nearest(vectors: np.ndarray, nodes: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest of each row among the others, as binary lists; short lists end with node -1."""
-    square = (vectors * vectors).sum(1)
-    away = square[:, None] + square[None] - 2 * vectors @ vectors.T
-    np.fill_diagonal(away, np.inf)
-    k0 = min(k, len(nodes) - 1)
-    at = np.argpartition(away, k0 - 1, 1)[:, :k0] if k0 > 0 else np.zeros((len(nodes), 0), int)
-    near, d = np.full((len(nodes), k), -1, np.int64), np.full((len(nodes), k), np.inf, np.float32)
-    near[:, :k0], d[:, :k0] = nodes[at], np.maximum(np.take_along_axis(away, at, 1), 0)
-    return pd.DataFrame({"node": nodes, "near": [x.tobytes() for x in near], "away": [x.tobytes() for x in d]})
-
-
-def _merge_rows(owner: np.ndarray, near: np.ndarray, away: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each owner its k nearest distinct nodes, padded with -1."""
-    good = near >= 0
-    owner, near, away = owner[good], near[good], away[good]
-    order = np.lexsort((near, away, owner))
-    owner, near, away = owner[order], near[order], away[order]
-    by = np.lexsort((away, near, owner))  # the first of each pair is its nearest copy
-    fresh = np.zeros(len(owner), bool)
-    if len(by):
-        o, w = owner[by], near[by]
-        fresh[by[np.concatenate([[True], (o[1:] != o[:-1]) | (w[1:] != w[:-1])])]] = True
-    owner, near, away = owner[fresh], near[fresh], away[fresh]
+def _merge(owner: np.ndarray, near: np.ndarray, away: np.ndarray, fresh: np.ndarray, k: int):
+    """For each owner its k nearest distinct nodes, padded with -1. An entry that was on the list before isn't new."""
+    order = np.lexsort((fresh, near, away, owner))  # copies of a pair have one distance: old ones come first
+    owner, near, away, fresh = owner[order], near[order], away[order], fresh[order]
+    first = np.ones(len(owner), bool)
+    first[1:] = (owner[1:] != owner[:-1]) | (near[1:] != near[:-1])
+    owner, near, away, fresh = owner[first], near[first], away[first], fresh[first]
     heads, start = np.unique(owner, return_index=True)
     rank = np.arange(len(owner)) - np.repeat(start, np.diff(np.append(start, len(owner))))
-    row = np.searchsorted(heads, owner)
-    use = rank < k
-    out, d = np.full((len(heads), k), -1, np.int64), np.full((len(heads), k), np.inf, np.float32)
-    out[row[use], rank[use]], d[row[use], rank[use]] = near[use], away[use]
-    return heads, out, d
+    row, use = np.searchsorted(heads, owner), rank < k
+    out, d, f = np.full((len(heads), k), -1, np.int64), np.full((len(heads), k), np.inf, np.float32), np.zeros((len(heads), k), bool)
+    at = row[use], rank[use]
+    out[at], d[at], f[at] = near[use], away[use], fresh[use]
+    return heads, out, d, f
+
+
+def _lists(heads: np.ndarray, vectors: pa.Array, out: np.ndarray, d: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+    """Rows of LISTS without the padding."""
+    ends = (out >= 0).sum(1).tolist()
+    near, away, fresh = out, d.astype(np.float32), f
+    cut = lambda x: pa.array([row[:e].tobytes() for row, e in zip(x, ends)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(heads, pa.int64()), vectors, cut(near), cut(away), cut(fresh)], names=["node", "vector", "near", "away", "fresh"])
+
+
+class _Heard:
+    """Pairs (owner, other, distance) of a task, merged into lists of the k nearest and sent when there are many."""
+
+    def __init__(self, k: int):
+        self.k, self.size, self.parts = k, 0, []
+
+    def add(self, owner: np.ndarray, near: np.ndarray, away: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append((owner, near, away.astype(np.float32)))
+        self.size += len(owner)
+        if self.size >= AT_ONCE:
+            yield from self.send()
+
+    def send(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            owner, near, away = (np.concatenate(c) for c in zip(*self.parts))
+            self.parts, self.size = [], 0
+            heads, out, d, f = _merge(owner, near, away, np.ones(len(owner), bool), self.k)
+            yield _lists(heads, pa.nulls(len(heads), pa.binary()), out, d, f & (out >= 0))
 
 
 def merged(lists: DataFrame, k: int) -> DataFrame:
-    """One list per node from many lists of any length."""
+    """One list for each node, with its vector, from all lists that name it as owner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "node"):
-            near, away = t["near"].to_pylist(), t["away"].to_pylist()
-            owner = np.repeat(t["node"].to_numpy(), [len(x) // 8 for x in near])
-            heads, n, d = _merge_rows(owner, np.frombuffer(b"".join(near), np.int64), np.frombuffer(b"".join(away), np.float32), k)
-            yield pa.RecordBatch.from_arrays([pa.array(heads), pa.array([x.tobytes() for x in n], pa.binary()), pa.array([x.tobytes() for x in d], pa.binary())], names=["node", "near", "away"])
+            near, away, fresh, vectors = (t[c].to_pylist() for c in ("near", "away", "fresh", "vector"))
+            node = t["node"].to_numpy()
+            n, d, f = np.frombuffer(b"".join(near), np.int64), np.frombuffer(b"".join(away), np.float32), np.frombuffer(b"".join(fresh), bool)
+            owner = np.repeat(node, [len(x) // 8 for x in near])
+            own = {i: v for i, v in zip(node.tolist(), vectors) if v is not None}
+            heads, n, d, f = _merge(owner, n, d, f, k)
+            at = np.searchsorted(heads, np.array(list(own), np.int64))
+            alone = np.array([i >= len(heads) or heads[i] != h for i, h in zip(at.tolist(), own)], bool)
+            at[alone] = len(heads)  # a row of padding: a node that has heard of none
+            n, d, f = np.vstack([n, np.full((1, k), -1)]), np.vstack([d, np.full((1, k), np.inf, np.float32)]), np.vstack([f, np.zeros((1, k), bool)])
+            yield _lists(np.array(list(own), np.int64), pa.array(list(own.values()), pa.binary()), n[at], d[at], f[at])
 
     return lists.repartition("node").sortWithinPartitions("node").mapInArrow(run, LISTS)
 
 
-def first_graph(nodes: DataFrame, k: int, trees: int, leaf: int) -> DataFrame:
-    """Neighbour lists from the leaves of random projection trees."""
-    spark = nodes.sparkSession
-    n = nodes.count()
-    taken = nodes.select("node", "half").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()
-    sample = _matrix([r["half"] for r in taken], np.float16).astype(np.float32)
-    size = max(SAMPLE_LEAF, int(leaf * len(sample) / max(n, 1)))
-    forest = spark.sparkContext.broadcast([grow(sample, size, seed) for seed in range(trees)])
+def first_graph(nodes: DataFrame, n: int, kind: str, k: int, orders: int, leaf: int) -> DataFrame:
+    """Lists from runs of `leaf` nodes in `orders` sorted orders.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    An order goes by the signs of the vector on random directions, so many that a cell of equal signs holds about one run,
+    and within a cell by one more direction: large cells, as of near copies, are sorted too.
+    """
+    width = len(nodes.select("vector").first()["vector"]) // np.dtype(kind).itemsize
+    bits = max(1, math.ceil(math.log2(max(2, n / leaf))))
+    # the mean of all vectors is where the planes meet: a row of sums from each task
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
         for batch in batches:
-            v = _matrix(batch.column(1), np.float16).astype(np.float32)
-            for t, tree in enumerate(forest.value):
-                if len(v):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), pa.array(leaves_of(tree, v)), batch.column(0), batch.column(1)], names=["tree", "leaf", "node", "half"])
-
-    placed = materialise(nodes.select("node", "half").mapInArrow(run, "tree int, leaf long, node long, half binary"), "leaves")
-    # at most SAMPLE / SAMPLE_LEAF leaves in each tree; a leaf over twice its size is dealt into parts
-    sizes = placed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / (2 * leaf)).cast("int").alias("parts"))
-    part = placed.join(F.broadcast(sizes), ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
-    lists = part.groupBy("tree", "leaf", "part").applyInPandas(lambda g: _nearest(_matrix(g["half"], np.float16).astype(np.float32), g["node"].to_numpy(), k), LISTS)
-    out = materialise(merged(lists, k), "graph")
-    discard(placed)
-    return out
-
+            total += (_matrix(batch.column(0).to_pylist(), kind, width).astype(np.float64) / n).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(total)], names=["i", "v"])
 
-def _edges(lists: DataFrame) -> DataFrame:
-    """node, other, away, rank: a row for each entry of each list."""
+    mean = np.zeros(width)
+    for r in nodes.select("vector").mapInArrow(sums, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        mean[r["i"]] = r["v"]
+    planes = np.random.default_rng(0).standard_normal((orders, bits + 1, width))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near, away = _matrix(batch.column(1), np.int64), _matrix(batch.column(2), np.float32)
-            rows, rank = np.nonzero(near >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[rows]), pa.array(near[rows, rank]), pa.array(away[rows, rank])], names=["node", "other", "away"])
-
-    return lists.mapInArrow(run, "node long, other long, away float")
+            x = _matrix(batch.column(1).to_pylist(), kind, width) - mean
+            for t in range(orders):
+                p = x @ planes[t].T
+                gray = p[:, :bits] > 0
+                gray = np.bitwise_xor.accumulate(gray, 1) @ (1 << np.arange(bits - 1, -1, -1))  # neighbours in Gray code are near
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(gray.astype(np.int64)), pa.array(p[:, bits]), batch.column(0), batch.column(1)], names=["t", "code", "place", "node", "vector"])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        heard = _Heard(k)
+
+        def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            node, x = t["node"].to_numpy(), _matrix(t["vector"].to_pylist(), kind, width).astype(np.float64)
+            for lo in range(0, len(node), leaf):
+                d = _squares(x[lo : lo + leaf])
+                i, j = np.nonzero(~np.eye(len(d), dtype=bool))
+                own = node[lo : lo + leaf]
+                yield from heard.add(own[i], own[j], d[i, j])
 
+        for batch in batches:
+            held.append(batch)
+            if (rows := sum(b.num_rows for b in held)) >= leaf:
+                t = pa.Table.from_batches(held)
+                yield from compare(t.slice(0, rows // leaf * leaf))
+                held = t.slice(rows // leaf * leaf).combine_chunks().to_batches()
+        if held:
+            yield from compare(pa.Table.from_batches(held))
+        yield from heard.send()
 
-def descend(lists: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """A round of NN-descent: neighbours of neighbours become neighbours where they are nearer."""
-    edges = materialise(_edges(lists), "graph_edges")
-    # of the reverse neighbours, as many as a list holds meet here, chosen by hash; the others meet at other nodes
-    back = edges.select(F.col("other").alias("node"), F.col("node").alias("other"))
-    chosen = back.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("node", "other")))).filter(F.col("r") <= k).drop("r")
-    around = edges.select("node", "other").unionByName(chosen).distinct()
-    worst = lists.select("node", F.col("away").alias("bounds"))
-    vectors = nodes.select("node", "half").join(worst, "node").select(F.col("node").alias("other"), "half", F.expr("substring(bounds, length(bounds) - 3, 4)").alias("bound"))
+    placed = nodes.select("node", "vector").mapInArrow(codes, "t int, code long, place double, node long, vector binary")
+    lists = placed.repartitionByRange("t", "code", "place").sortWithinPartitions("t", "code", "place").select("node", "vector").mapInArrow(runs, LISTS)
+    empty = F.lit(b"").cast("binary")
+    own = nodes.select("node", "vector", empty.alias("near"), empty.alias("away"), empty.alias("fresh"))
+    return materialise(merged(own.unionByName(lists), k), "graph")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, "node"):
-            key, other = t["node"].to_numpy(), t["other"].to_numpy()
-            v, bound = _matrix(t["half"], np.float16).astype(np.float32), _matrix(t["bound"], np.float32)[:, 0]
-            _, start, count = np.unique(key, return_index=True, return_counts=True)
-            width = count.max()
-            for lo in range(0, len(start), 500):
-                s, c = start[lo : lo + 500], count[lo : lo + 500]
-                at = np.minimum(s[:, None] + np.arange(width), len(key) - 1)
-                real = np.arange(width) < c[:, None]
-                x = v[at]
-                square = (x * x).sum(2)
-                d = np.maximum(square[:, :, None] + square[:, None] - 2 * x @ x.transpose(0, 2, 1), 0)
-                g, i, j = np.nonzero(real[:, :, None] & real[:, None] & (d < bound[at][:, :, None]) & (other[at][:, :, None] != other[at][:, None]))
-                owner, near, away = _packed(other[at[g, i]], other[at[g, j]], d[g, i, j])
-                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(near, pa.binary()), pa.array(away, pa.binary())], names=["node", "near", "away"])
-
-    found = around.join(vectors, "other").repartition("node").sortWithinPartitions("node").mapInArrow(run, LISTS)
-    out = materialise(merged(lists.unionByName(found), k), "graph")
-    discard(edges)
-    return out
 
+def _flat(near: list, away: list, fresh: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, node, distance and newness of each entry of some lists."""
+    rows = np.repeat(np.arange(len(near)), [len(x) // 8 for x in near])
+    return rows, np.frombuffer(b"".join(near), np.int64), np.frombuffer(b"".join(away), np.float32), np.frombuffer(b"".join(fresh), bool)
 
-def _packed(owner: np.ndarray, near: np.ndarray, away: np.ndarray) -> tuple[np.ndarray, list[bytes], list[bytes]]:
-    """One binary list per owner."""
-    order = np.argsort(owner, kind="stable")
-    owner, near, away = owner[order], near[order].astype(np.int64), away[order].astype(np.float32)
-    heads, start = np.unique(owner, return_index=True)
-    ends = np.append(start[1:], len(owner))
-    return heads, [near[a:b].tobytes() for a, b in zip(start, ends)], [away[a:b].tobytes() for a, b in zip(start, ends)]
 
+def _entries(lists: DataFrame) -> DataFrame:
+    """node, other, away: a row for each entry of each list."""
 
-def _distances(dtype, squared: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = _matrix(batch.column(2), dtype), _matrix(batch.column(3), dtype)
-            d = a.astype(np.float32 if squared else np.float64) - b
-            d = (d * d).sum(1) if len(d) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d.astype(np.float64) if squared else np.sqrt(d))], names=["query", "node", "away"])
+            rows, near, away, _ = _flat(*(batch.column(i).to_pylist() for i in (1, 2, 3)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(near), pa.array(away)], names=["node", "other", "away"])
 
-    return run
+    return lists.select("node", "near", "away", "fresh").mapInArrow(run, "node long, other long, away float")
 
 
-def measured(pairs: DataFrame, nodes: DataFrame, column: str, dtype, squared: bool) -> DataFrame:
-    """query, node, away of (query, node) pairs."""
-    a = nodes.select(F.col("node").alias("query"), F.col(column).alias("x"))
-    b = nodes.select("node", F.col(column).alias("y"))
-    return pairs.select("query", "node").join(b, "node").join(a, "query").select("query", "node", "x", "y").mapInArrow(_distances(dtype, squared), "query long, node long, away double")
+def descend(lists: DataFrame, n: int, kind: str, k: int, turn: int) -> DataFrame:
+    """A round of NN-descent: nodes that share a neighbour meet there and become neighbours where they are nearer."""
+    # a node that very many lists hold: of the vectors sent to it a random share that still gives MEET is sent
+    hubs = _entries(lists).groupBy("other").agg(F.count("*").alias("lists")).filter(F.col("lists") > max(10 * MEET, n * k // 200)).collect()  # 200 rows at most
+    shares = {r["other"]: 4 * MEET / r["lists"] for r in hubs}
 
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column(0).to_numpy()
+            rows, to, away, new = _flat(*(batch.column(i).to_pylist() for i in (2, 3, 4)))
+            count = np.bincount(rows, minlength=len(node))
+            worst = np.where(count >= k, np.append(away, 0)[np.maximum(np.cumsum(count) - 1, 0)], np.inf).astype(np.float32)
+            luck = np.random.default_rng([turn, int(node[0]) & 0x7FFFFFFF] if len(node) else turn).random(len(rows), np.float32)
+            if shares:
+                keep = luck < np.array([shares.get(x, 1.0) for x in to.tolist()])
+                rows, to, new, luck = rows[keep], to[keep], new[keep], luck[keep]
+            # the node itself meets those who list it
+            everyone = np.concatenate([rows, np.arange(len(node))])
+            new, luck = np.concatenate([new, np.zeros(len(node), bool)]), np.concatenate([luck, np.full(len(node), -1, np.float32)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([to, node])), pa.array(node[everyone]), pa.array(luck), pa.array(new), pa.array(worst[everyone]), batch.column(1).take(pa.array(everyone))], names=["at", "node", "luck", "fresh", "worst", "vector"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heard = _Heard(k)
+        for t in whole_groups(batches, "at"):
+            at, node, fresh, worst = (t[c].to_numpy() for c in ("at", "node", "fresh", "worst"))
+            start, count = np.unique(at, return_index=True, return_counts=True)[1:]
+            vectors = t["vector"].combine_chunks()
+            for lo in range(0, len(start), 200):
+                s, c = start[lo : lo + 200], np.minimum(count[lo : lo + 200], MEET + 1)
+                width = int(c.max())
+                i = np.minimum(s[:, None] + np.arange(width), len(at) - 1)
+                real, new = np.arange(width) < c[:, None], fresh[i]
+                d = _squares(_matrix(vectors.take(pa.array(i.ravel())).to_pylist(), kind).reshape(*i.shape, -1).astype(np.float64))
+                d[~(real[:, :, None] & real[:, None] & (new[:, :, None] | new[:, None]) & (d < worst[i][:, :, None]) & (node[i][:, :, None] != node[i][:, None]))] = np.inf
+                if width > HEAR:
+                    b = np.argpartition(d, HEAR, 2)[:, :, :HEAR]
+                    d = np.take_along_axis(d, b, 2)
+                else:
+                    b = np.broadcast_to(np.arange(width), d.shape)
+                g, a, e = np.nonzero(np.isfinite(d))
+                yield from heard.add(node[i[g, a]], node[i[g, b[g, a, e]]], d[g, a, e])
+        yield from heard.send()
+
+    messages = lists.select("node", "vector", "near", "away", "fresh").mapInArrow(sent, "at long, node long, luck float, fresh boolean, worst float, vector binary")
+    found = messages.repartition("at").sortWithinPartitions("at", "luck", "node").mapInArrow(meet, LISTS)
+    old = lists.withColumn("fresh", F.expr("unhex(repeat('00', length(fresh)))"))
+    return materialise(merged(old.unionByName(found), k), "graph")
+
+
+def build(nodes: DataFrame, n: int, kind: str, k: int = DEGREE, orders: int = ORDERS, leaf: int = LEAF, changed: float = CHANGED, most_rounds: int = MOST_ROUNDS) -> tuple[DataFrame, int]:
+    """The graph, and the rounds it took."""
+    lists = first_graph(nodes, n, kind, k, orders, leaf)
+    for turn in range(1, most_rounds + 1):
+        new = descend(lists, n, kind, k, turn)
+        discard(lists)
+        lists = new
+        moved = lists.agg(F.sum(F.regexp_count(F.hex("fresh"), F.lit("01"))).alias("n")).first()["n"] or 0  # bytes 00 or 01, so hex digits pair up
+        if moved <= changed * n * k:
+            break
+    return lists, turn
+
+
+def walk(queries: DataFrame, lists: DataFrame, kind: str, beam: int, expand: int) -> DataFrame:
+    """query, node, away (squared): the beam of each query when all its nodes are expanded.
+
+    A query starts at its own node. A round sends its vector to the neighbours of the nearest nodes that it hasn't
+    expanded; those nearer than the last of its beam answer with their distance and their own neighbours.
+    """
+    entries = _entries(lists)
+    back = entries.select(F.col("other").alias("node"), F.col("node").alias("other"), "away")
+    nearest = back.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("away", "other"))).filter(F.col("r") <= BACK)
+    around = entries.select("node", "other").unionByName(nearest.select("node", "other")).groupBy("node").agg(F.collect_set("other").alias("around"))
+    graph = materialise(lists.select("node", "vector").join(around, "node", "left"), "search_graph")
+    state = "query long, vector binary, nodes array<long>, away array<double>, done array<boolean>, around array<array<long>>"
+    start = queries.join(graph.withColumnRenamed("node", "query"), "query")
+    walks = materialise(start.select("query", "vector", F.array("query").alias("nodes"), F.array(F.lit(0.0)).alias("away"), F.array(F.lit(False)).alias("done"), F.array(F.coalesce("around", F.array().cast("array<long>"))).alias("around")), "walks")
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            query, node, worst, rows = [], [], [], []
+            for r, (q, nodes, away, done, around) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)))):
+                turn = [a for a, d in zip(around, done) if not d][:expand]
+                to = sorted({x for a in turn for x in a} - set(nodes))
+                query += [q] * len(to)
+                node += to
+                worst += [away[-1] if len(away) >= beam else float("inf")] * len(to)
+                rows += [r] * len(to)
+            yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(node, pa.int64()), pa.array(worst, pa.float64()), batch.column(1).take(pa.array(rows, pa.int64()))], names=["query", "node", "worst", "x"])
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            d = _matrix(batch.column(3).to_pylist(), kind).astype(np.float64) - _matrix(batch.column(4).to_pylist(), kind)
+            d = (d * d).sum(1)
+            near = pa.array(np.flatnonzero(d <= batch.column(2).to_numpy()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(near), batch.column(1).take(near), pa.array(d).take(near), batch.column(5).take(near)], names=["query", "node", "away", "around"])
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "query"):
+            held: dict[int, dict] = {}
+            for r in t.to_pylist():
+                w = held.setdefault(r["query"], {"vector": None, "seen": []})
+                if r["vector"] is not None:
+                    w["vector"], open_ = r["vector"], 0
+                    for x in zip(r["away"], r["nodes"], r["done"], r["around"]):
+                        open_ += not x[2]
+                        w["seen"].append((x[0], x[1], x[2] or open_ <= expand, x[3]))
+                else:
+                    w["seen"].append((r["away"][0], r["nodes"][0], False, r["around"][0]))
+            rows = [(q, w["vector"], sorted(w["seen"], key=lambda x: x[:2])[:beam]) for q, w in held.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary()), *(pa.array([[x[i] for x in r[2]] for r in rows], kind_) for i, kind_ in ((1, pa.list_(pa.int64())), (0, pa.list_(pa.float64())), (2, pa.list_(pa.bool_())), (3, pa.list_(pa.list_(pa.int64())))))], names=["query", "vector", "nodes", "away", "done", "around"])
+
+    while not walks.filter(F.exists("done", lambda d: ~d)).isEmpty():
+        wanted = walks.mapInArrow(asked, "query long, node long, worst double, x binary")
+        pairs = wanted.join(graph, "node").select("query", "node", "worst", "x", "vector", F.coalesce("around", F.array().cast("array<long>")).alias("around"))
+        found = pairs.mapInArrow(measured, "query long, node long, away double, around array<long>")
+        answers = found.select("query", F.lit(None).cast("binary").alias("vector"), F.array("node").alias("nodes"), F.array("away").alias("away"), F.array(F.lit(False)).alias("done"), F.array("around").alias("around"))
+        following = materialise(walks.unionByName(answers).repartition("query").sortWithinPartitions("query").mapInArrow(step, state), "walks")
+        discard(walks)
+        walks = following
+    out = materialise(walks.select("query", F.explode(F.arrays_zip("nodes", "away")).alias("b")).select("query", F.col("b.nodes").alias("node"), F.col("b.away").alias("away")), "beams")
+    discard(walks, graph)
+    return out
 
-def walk(queries: DataFrame, lists: DataFrame, nodes: DataFrame, beam: int, expand: int) -> DataFrame:
-    """query, node, away: the beam of each query when all its nodes are expanded.
 
-    Every query starts at its own node and at a few nodes that all share. What is kept of a query is the list of the
-    nodes it has met; no more than `beam` of them can still be expanded.
-    """
-    one_way = _edges(lists).select("node", "other")
-    graph = materialise(one_way.unionByName(one_way.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct().repartition("node"), "search_graph")
-    entries = nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(ENTRIES)
-    start = queries.select("query", F.col("query").alias("node")).unionByName(queries.join(F.broadcast(entries)).select("query", "node")).distinct()
-    met = materialise(measured(start, nodes, "half", np.float16, True).withColumn("done", F.lit(False)), "met")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("away", "node"))
-    turn = F.row_number().over(Window.partitionBy("query").orderBy("away", "node"))
-    while True:
-        best = met.withColumn("rank", rank).filter(F.col("rank") <= beam).filter(~F.col("done"))
-        front = materialise(best.withColumn("turn", turn).filter(F.col("turn") <= expand).select("query", "node"), "frontier")
-        if front.isEmpty():
-            out = materialise(met.withColumn("rank", rank).filter(F.col("rank") <= beam).select("query", "node", "away"), "beams")
-            discard(graph, met, front)
-            return out
-        reached = front.join(graph, "node").select("query", F.col("other").alias("node")).distinct()
-        new = measured(reached.join(met.select("query", "node"), ["query", "node"], "left_anti"), nodes, "half", np.float16, True).withColumn("done", F.lit(False))
-        old = met.join(front.withColumn("now", F.lit(True)), ["query", "node"], "left").select("query", "node", "away", (F.col("done") | F.col("now").isNotNull()).alias("done"))
-        following = materialise(old.unionByName(new), "met")
-        discard(met, front)
-        met = following
-
-
-def search(embeddings: DataFrame, every: int = 100, k: int = 10, trees: int = TREES, leaf: int = LEAF, degree: int = DEGREE, descents: int = DESCENTS, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
+def search(embeddings: DataFrame, every: int = 100, k: int = 10, beam: int = BEAM, expand: int = EXPAND, **graph) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by `every`.
 
     Vectors that are null, zero, of another length than the first by id, or that hold null or non-finite components take
     no part, nor do null ids. Ties go to the smaller vec_id; equal vectors all count; rows that repeat an id and vector
-    count once. Fewer than k candidates give fewer rows; an empty table gives none. Other columns are not read.
+    count once. Fewer than k candidates give fewer rows; an empty table gives none. Other columns are not read. `graph`
+    are arguments of build().
     """
+    kind = "<f4" if dict(embeddings.dtypes)["embedding"] == "array<float>" else "<f8"
     x = F.col("embedding").cast("array<double>")
     fine = F.col("vec_id").isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(x, lambda c: c != 0)
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("v")).filter(fine)
@@ -270,29 +352,28 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, trees: int = TR
     if width is None:
         return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.filter(F.size("v") == width["n"])
-    scale = rows.select(F.max(F.array_max(F.transform("v", F.abs))).alias("m")).first()["m"]
 
     def binary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(batch.num_rows, -1) + 0.0  # -0 is 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in v], pa.binary()), pa.array([r.tobytes() for r in (v / scale).astype(np.float16)], pa.binary())], names=["vec_id", "full", "half"])
-
-    plain = materialise(rows.mapInArrow(binary, "vec_id long, full binary, half binary"), "vectors")
-    nodes = materialise(plain.groupBy("full", "half").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    lists = first_graph(nodes, degree, trees, leaf)
-    for _ in range(descents):
-        lists = descend(lists, nodes, degree)
-    # a node that holds a query is walked once; single vectors know their id, copies are looked up by their vector
-    several = plain.join(nodes.filter("copies > 1").select("full", "node"), "full").select("node", "vec_id").distinct()
-    single = nodes.filter("copies = 1").select("node", F.col("least").alias("vec_id"))
-    members = materialise(single.unionByName(several), "members")
+            yield pa.RecordBatch.from_arrays([batch.column(0), _binary(v.astype(kind))], names=["vec_id", "vector"])
+
+    plain = materialise(rows.mapInArrow(binary, "vec_id long, vector binary"), "vectors")
+    nodes = materialise(plain.groupBy("vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    n = nodes.count()
+    lists, _ = build(nodes, n, kind, **{"k": max(DEGREE, k)} | graph)
+    # a node that holds queries is walked once; single vectors know their id, the rows of copies are looked up by digest
+    digest = F.xxhash64("vector")
+    several = nodes.filter("copies > 1").select(digest.alias("digest"), "vector", "node")
+    found = plain.withColumn("digest", digest).join(several, ["digest", "vector"]).select("node", "vec_id").distinct()
+    members = materialise(nodes.filter("copies = 1").select("node", F.col("least").alias("vec_id")).unionByName(found), "members")
     asked = materialise(members.filter(F.col("vec_id") % every == 0), "queries")
-    beams = walk(asked.select(F.col("node").alias("query")).distinct(), lists, nodes, beam, expand)
-    close = beams.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("away", "node"))).filter(F.col("r") <= max(RERANK, 4 * k)).select("query", "node")
-    exact = measured(close, nodes, "full", np.float64, False)
-    # of a node's copies only the k + 1 smallest ids can be among the k nearest
-    few = members.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).filter(F.col("r") <= k + 1).select("node", "vec_id")
-    found = exact.join(few, "node").withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("away", "vec_id"))).filter(F.col("r") <= k + 1).select("query", "vec_id", "away")
-    pairs = asked.select(F.col("node").alias("query"), F.col("vec_id").alias("query_id")).join(found, "query").filter("vec_id <> query_id")
+    close = walk(asked.select(F.col("node").alias("query")).distinct(), lists, kind, max(beam, 2 * k), expand)
+    # of a node's copies only the k + 1 smallest ids can be among the k nearest: k + 1 of each task, then of all
+    part = F.spark_partition_id()
+    some = members.withColumn("p", part).withColumn("r", F.row_number().over(Window.partitionBy("node", "p").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
+    few = some.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).filter(F.col("r") <= k + 1).select("node", "vec_id")
+    best = close.join(few, "node").withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("away", "vec_id"))).filter(F.col("r") <= k + 1).select("query", "vec_id", "away")
+    pairs = asked.select(F.col("node").alias("query"), F.col("vec_id").alias("query_id")).join(best, "query").filter("vec_id <> query_id")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("away", "vec_id"))).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("away").alias("score"))
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.sqrt("away").alias("score"))
