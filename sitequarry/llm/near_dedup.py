@@ -5,10 +5,12 @@ at random slots as a Poisson process of its weight's rate and keeps the earliest
 when its next arrival is later than every slot's. Two texts agree in a slot with the Jaccard similarity of their sets.
 Bands of slots give candidates; a candidate is a link if that same similarity is 0.8 or more.
 
-Equal texts are one node. In each bucket every node is compared with the bucket's head (a star, not all pairs), the
-node that meets most others. Of the other pairs of a bucket only those that no path of links joins yet can matter.
-Jaccard distance is a metric, so their distances to the head must differ by 0.2 at most; and two sets share no more than
-each of them has in common with any other. Pairs that pass both bounds are compared. No pair is dropped by a cap.
+Equal texts are one node. Every node is compared with the heaviest head of its buckets, then with the heads of those
+buckets that this hasn't joined it to (stars, not all pairs). In buckets that are still not all one, nodes outside the
+main part meet the others, and are compared unless one of two exact bounds rules a link out: Jaccard distance is a
+metric, so distances to a common head must differ by 0.2 at most; and sets whose parity bitmaps differ in h bits differ
+in h shingles at least. No pair is dropped by a cap. Shingles are 32-bit hashes: two different ones of a pair of texts
+of 1,000 shingles are taken for one with probability 2e-4, which moves the similarity by a thousandth.
 """
 
 from __future__ import annotations
@@ -189,23 +191,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Words of 64 bits in a bitmap of a set.
+BITMAP = 16
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, n, w0 ..: a set's size and bitmap. A bit is the parity of the set's shingles that fall on it."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
             part = batch.slice(lo, 500)
             sets = [np.frombuffer(x.as_buffer(), "<u4") for x in part.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])), pa.array(np.concatenate(sets).astype(np.int64))], names=["node", "token"])
-
-
-def _bounds(sets: DataFrame) -> DataFrame:
-    """node, n, usable: shingles of each set, and those that occur in another of these sets too.
-
-    Nothing shares the others, so two sets have no more in common than the smaller `usable` of the two.
-    """
-    tokens = sets.select("node", "shingles").mapInArrow(_tokens, "node long, token long")
-    own = tokens.groupBy("token").agg(F.count("*").alias("sets"), F.min("node").alias("node")).filter("sets = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    n = (F.octet_length("shingles") / 4).cast("long")
-    return sets.select("node", n.alias("n")).join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("usable"))
+            n = np.array([len(x) for x in sets])
+            at = np.repeat(np.arange(len(sets)), n) * (64 * BITMAP) + (mix(np.concatenate(sets).astype(np.uint64)) % np.uint64(64 * BITMAP)).astype(np.int64)
+            bits = (np.bincount(at, minlength=len(sets) * 64 * BITMAP) & 1).astype(np.uint8).reshape(len(sets), -1)
+            words = np.packbits(bits, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), *(pa.array(words[:, w]) for w in range(BITMAP))], names=["b", "n", *(f"w{w}" for w in range(BITMAP))])
 
 
 def _links(sketch: DataFrame, members: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -218,29 +218,43 @@ def _links(sketch: DataFrame, members: DataFrame) -> tuple[DataFrame, list[DataF
     # a bucket's head is the node that meets most others in all its buckets: near the middle of a group of copies
     weights = shared.groupBy("node").agg(F.sum("size").alias("weight"))
     weighed = shared.join(weights.hint("merge"), "node").select("bucket", "node", "weight")
-    heads = materialise(weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("a"), F.count("*").alias("size")), "heads")
-    shared2 = materialise(shared.select("bucket", F.col("node").alias("b")).join(heads.hint("merge"), "bucket").select("bucket", "a", "b"), "stars_of_buckets")
-    stars = materialise(shared2.filter("a <> b").select("a", "b").distinct(), "stars")
-    wanted = stars.select(F.col("a").alias("uid")).unionByName(stars.select(F.col("b").alias("uid"))).distinct()
+    heads = materialise(weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("top")).select("bucket", F.col("top.node").alias("a"), F.col("top.weight").alias("weight")), "heads")
+    stars = materialise(shared.select("bucket", F.col("node").alias("b")).join(heads.hint("merge"), "bucket").select("bucket", "a", "b", "weight"), "stars_of_buckets")
+    wanted = shared.select(F.col("node").alias("uid")).distinct()
     sets = materialise(sketch.select("uid", "shingles").join(wanted.hint("merge"), "uid", "left_semi").withColumnRenamed("uid", "node"), "shingle_sets")
-    near = materialise(verified(stars, sets), "similarities")
+    # first every node against the heaviest head of its buckets: most members of a group of copies are joined by that
+    best = stars.groupBy("b").agg(F.max(F.struct("weight", "a"))["a"].alias("a")).filter("a <> b")
+    near = materialise(verified(best, sets), "similarities")
     links = near.filter(F.col("similarity") >= THRESHOLD).select("a", "b")
     labels = materialise(components(links), "first_components")
-    # buckets whose nodes aren't all joined yet
-    known = shared2.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
-    known = materialise(known.join(near, ["a", "b"], "left").select("bucket", "b", "label", F.coalesce(1 - F.col("similarity"), F.lit(0.0)).alias("away"), (F.col("a") == F.col("b")).alias("is_head")), "known_buckets")
-    parted = known.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size")).filter("least <> most and size > 2").select("bucket")
-    rest = materialise(known.filter("not is_head").join(parted, "bucket", "left_semi").select("bucket", "b", "label", "away"), "parted_buckets")
-    # nodes that too few shared shingles keep from any link leave, which leaves fewer shared ones to the others
-    left = sets.join(rest.select(F.col("b").alias("node")).distinct(), "node", "left_semi")
-    able = _bounds(left).filter(F.col("usable") >= THRESHOLD * F.col("n")).select("node")
-    left = materialise(left.join(able, "node", "left_semi"), "able_sets")
-    bounds = materialise(_bounds(left).withColumnRenamed("node", "b"), "bounds")
-    rest2 = materialise(rest.join(bounds, "b"), "able_buckets")
-    x, y = rest2.alias("x"), rest2.alias("y")
-    common = F.least("x.usable", "y.usable")
-    could = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & (F.abs(F.col("x.away") - F.col("y.away")) <= 1 - THRESHOLD + 1e-9) & (common >= THRESHOLD * (F.col("x.n") + F.col("y.n") - common) - 1e-9)
-    more = materialise(x.join(y, could).select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct(), "more_pairs")
-    found = materialise(verified(more, left).filter(F.col("similarity") >= THRESHOLD), "more_links")
-    discard(sizes, shared, heads, shared2, stars, known, rest, rest2, bounds, more, sets, left, labels)
-    return links.unionByName(found.select("a", "b")), [near, found]
+    # then against the heads of buckets that are not joined to it yet
+    own = labels.withColumnRenamed("node", "b")
+    stars2 = stars.select("bucket", "a", "b").join(own, "b", "left").withColumn("label", F.coalesce("label", "b"))
+    labelled = materialise(stars2.join(labels.select(F.col("node").alias("a"), F.col("label").alias("head_label")), "a", "left").withColumn("head_label", F.coalesce("head_label", "a")), "labelled_stars")
+    open_ = labelled.filter("label <> head_label").select("a", "b").distinct().join(near, ["a", "b"], "left_anti")
+    near2 = materialise(verified(open_, sets), "similarities")
+    links2 = materialise(links.unionByName(near2.filter(F.col("similarity") >= THRESHOLD).select("a", "b")), "links")
+    labels2 = materialise(components(links2), "second_components")
+    # last, in buckets whose nodes still aren't all joined, those outside the bucket's main label meet the others
+    known = stars.select("bucket", "b").join(labels2.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    shares = known.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    parted = shares.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("size")).filter("labels > 1 and size > 2").select("bucket", "main")
+    away = near.select("b", F.col("a").alias("head"), (1 - F.col("similarity")).alias("away"))
+    rest = materialise(known.join(parted.hint("merge"), "bucket").join(away, "b", "left").select("bucket", "b", "label", "main", F.coalesce("head", "b").alias("head"), F.coalesce("away", F.lit(0.0)).alias("away")), "parted_buckets")
+    few = sets.join(rest.select(F.col("b").alias("node")).distinct(), "node", "left_semi").select("node", "shingles")
+    bitmaps = materialise(few.mapInArrow(_bitmaps, "b long, n long, " + ", ".join(f"w{w} long" for w in range(BITMAP))), "bitmaps")
+    rest2 = materialise(rest.join(bitmaps.hint("merge"), "b"), "bitmap_buckets")
+    x, y = rest2.filter("label <> main").alias("x"), rest2.alias("y")
+    # sets whose bitmaps differ in h bits differ in h shingles at least; distances to a common head differ by no more than their own
+    differ = sum((F.bit_count(F.col(f"x.w{w}").bitwiseXOR(F.col(f"y.w{w}"))) for w in range(BITMAP)), F.lit(0))
+    both = (F.col("x.n") + F.col("y.n") - differ) / 2
+    near_enough = (F.col("x.head") != F.col("y.head")) | (F.abs(F.col("x.away") - F.col("y.away")) <= 1 - THRESHOLD + 1e-9)
+    once = (F.col("y.label") == F.col("y.main")) | (F.col("x.label") < F.col("y.label"))
+    could = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & once & near_enough & (both >= THRESHOLD * (F.col("x.n") + F.col("y.n") - both) - 1e-9)
+    compared = near.select("a", "b").unionByName(near2.select("a", "b"))
+    compared = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = x.join(y, could).select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
+    more = materialise(pairs, "more_pairs")
+    found = materialise(verified(more, sets).filter(F.col("similarity") >= THRESHOLD), "more_links")
+    discard(sizes, shared, heads, stars, labelled, near, near2, rest, rest2, bitmaps, more, sets, labels, labels2)
+    return links2.unionByName(found.select("a", "b")), [links2, found]
