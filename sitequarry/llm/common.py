@@ -82,13 +82,18 @@ def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], sprea
 
 
 def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of docs, with their own columns, whose decision (doc_id, raw = xxhash64 of the text, kept) is true."""
-    decisions = materialise(decisions.select(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw"), "kept"), "decisions")
-    kept = decisions.filter("kept").select("_id", "_raw")
-    dropped = decisions.filter("not kept").select("_id", "_raw").distinct()
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_raw"))
-    twins = dropped.join(kept, (dropped["_id"].eqNullSafe(kept["_id"])) & (dropped["_raw"] == kept["_raw"]), "left_semi")
+    """The rows of docs, with their own columns, whose decision (doc_id, raw = xxhash64 of the text, kept) is true.
+
+    Of rows that repeat an id and a text one stays, the least by its columns in order; texts move for such rows only.
+    """
+    at, raw = (next(n for i in range(len(docs.columns) + 1) if (n := f"{name}{i}") not in docs.columns) for name in ("key_id", "key_raw"))
+    decisions = materialise(decisions.select(F.col("doc_id").alias(at), F.col("raw").alias(raw), "kept"), "decisions")
+    kept = decisions.filter("kept").select(at, raw)
+    dropped = decisions.filter("not kept").select(at, raw).distinct()
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col(at)) & (F.xxhash64("text") == F.col(raw))
+    twins = dropped.join(kept.withColumnsRenamed({at: "x", raw: "y"}), F.col(at).eqNullSafe(F.col("x")) & (F.col(raw) == F.col("y")), "left_semi")
+    out = docs.join(dropped, match, "left_anti")
     if twins.isEmpty():
-        return docs.join(dropped, match, "left_anti")
-    # the same id and text more than once: one row of each stays
-    return docs.join(kept, match, "left_semi").withColumn("_raw", F.xxhash64("text")).dropDuplicates(["doc_id", "_raw"]).drop("_raw")
+        return out
+    again = docs.join(twins, match, "left_semi").groupBy(F.col("doc_id").alias(at), F.xxhash64("text").alias(raw)).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return out.unionByName(again.select("row.*"))

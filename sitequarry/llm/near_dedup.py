@@ -25,14 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitequarry.llm.common import attach, discard, materialise
-from sitequarry.llm.words import WordTable, chunks_of
+from sitequarry.llm.words import WordTable, text_slices
 
 SHINGLE, SLOTS, BAND, THRESHOLD = 5, 96, 4, 0.8
 #: Words are runs of digits, a-z (after A-Z are lower-cased) and bytes of non-ASCII characters.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _STEPS = [np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) | 1) for j in range(SHINGLE)]
-_state: dict = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,11 +49,13 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.array([zlib.crc32(w) | zlib.crc32(w, 0x5BD1E995) << 32 for w in words], dtype=np.uint64).reshape(-1, 1)
 
 
-def shingles(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+def word_table() -> WordTable:
+    """Hashes of words; a task has its own, which ends with it."""
+    return WordTable(_hashes, 1, 200_000, np.uint64)
+
+
+def shingles(words: list[list[bytes]], table: WordTable) -> tuple[np.ndarray, np.ndarray]:
     """Owner and 32-bit shingle, once each, by owner and shingle. Texts of one to four words are one shingle."""
-    if "table" not in _state:
-        _state["table"] = WordTable(_hashes, 1, 400_000, np.uint64)
-    table = _state["table"]
     lengths = np.array([len(w) for w in words], dtype=np.int64)
     flat = [x for w in words for x in w]
     numbers = table.numbers(flat)  # may replace table.rows
@@ -113,15 +114,16 @@ SKETCH = "doc_id long, raw long, k1 long, k2 long, bands array<long>, shingles b
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = word_table()
     for batch in batches:
-        texts = [x or "" for x in batch.column(1).to_pylist()]
-        for a, b in chunks_of(texts, 2_000_000):
-            words = [words_of(t) for t in texts[a:b]]
-            owner, element = shingles(words)
+        for a, texts in text_slices(batch.column(1)):
+            b = a + len(texts)
+            words = [words_of(t) for t in texts]
+            owner, element = shingles(words, table)
             keys = band_keys(probminhash(owner, element, np.ones(len(element)), b - a))
             cuts = np.searchsorted(owner, np.arange(b - a + 1))
             flat = element.astype("<u4")
-            digest = np.array([np.frombuffer(hashlib.blake2b(b" ".join(w) if w else b"\0" + t.encode(), digest_size=16).digest(), "<i8") for w, t in zip(words, texts[a:b])])
+            digest = np.array([np.frombuffer(hashlib.blake2b(b" ".join(w) if w else b"\0" + t.encode(), digest_size=16).digest(), "<i8") for w, t in zip(words, texts)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([list(k) if w else [] for k, w in zip(keys.tolist(), words)], pa.list_(pa.int64())), pa.array([flat[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())],
                 names=["doc_id", "raw", "k1", "k2", "bands", "shingles"],

@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitequarry.llm.common import buckets_for, materialise
+from sitequarry.llm.words import text_slices
 
 WINDOW = 4096
 END = 2
 BUCKET = 1000
-#: Words kept with their ids in each Python worker; then the cache starts anew.
-CACHE_WORDS = 500_000
+#: Characters of words and parts kept with their ids in a task; then the cache starts anew.
+CACHE_CHARS = 2_000_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 _state: dict = {}
@@ -59,6 +60,12 @@ class _Encoder:
         self.split, self.shown = regex.compile(SPLIT), _byte_map()
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.held = 0
+
+    def clear(self) -> None:
+        self.known.clear()
+        self.parts.clear()
+        self.held = 0
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -73,8 +80,7 @@ class _Encoder:
         parts, out = self.parts, []
         for p in self.split.findall(word.lower()):
             if p not in parts:
-                if len(parts) > CACHE_WORDS:
-                    parts.clear()
+                self.held += len(p)
                 parts[p] = self.part(p)
             out.append(parts[p])
         return b"".join(out)
@@ -85,10 +91,11 @@ class _Encoder:
                 yield self.whole(text)
                 continue
             words, known = text.split(), self.known
-            if len(known) > CACHE_WORDS:
-                known.clear()
+            if self.held > CACHE_CHARS:
+                self.clear()
             for w in words:
                 if w not in known:
+                    self.held += len(w)
                     known[w] = self.word(w)
             yield b"".join([known[w] for w in words])
 
@@ -167,11 +174,13 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = _encoder(tokenizer), np.array([END], dtype="<u4").tobytes()
         for batch in batches:
-            rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.batch([x or "" for x in batch.column(1).to_pylist()])):
-                ids += end
-                rows += [(doc_id, s, n, crc, len(ids) // 4) for s, n, crc in cut(ids, window)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 5)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            for at, texts in text_slices(batch.column(1)):
+                rows = []
+                for doc_id, ids in zip(batch.column(0).slice(at, len(texts)).to_pylist(), encoder.batch(texts)):
+                    ids += end
+                    rows += [(doc_id, s, n, crc, len(ids) // 4) for s, n, crc in cut(ids, window)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        encoder.clear()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECE)
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitequarry.llm.common import discard, materialise
-from sitequarry.llm.words import WordTable, chunks_of
+from sitequarry.llm.words import WordTable, chunks_of, text_slices
 
 #: Documents, first by hash of their id, on which the linear scorer is trained.
 TRAIN_DOCS = 4000
@@ -33,7 +33,6 @@ LABELLERS = ("ordinary_words", "function_words", "characters", "repetition", "va
 BINS, LENGTHS = 20, (5, 30, 200)
 
 _stop = frozenset(STOP_WORDS)
-_state: dict = {}
 
 
 class _Kinds(dict):
@@ -67,10 +66,9 @@ def _row(word: str) -> tuple:
 _LOWER = _hash("x")
 
 
-def _table() -> WordTable:
-    if "table" not in _state:
-        _state["table"] = WordTable(lambda words: np.array([_row(w) for w in words], dtype=np.float32).reshape(-1, WIDTH), WIDTH, 400_000)
-    return _state["table"]
+def word_table() -> WordTable:
+    """A task has its own, which ends with it."""
+    return WordTable(lambda words: np.array([_row(w) for w in words], dtype=np.float32).reshape(-1, WIDTH), WIDTH)
 
 
 def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -82,7 +80,7 @@ def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def read_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def read_words(texts: list[str], table: WordTable) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of whole texts: numbers and rows of all words, whether each repeats the one before, and words in each text."""
     words: list[str] = []
     lengths = np.empty(len(texts), dtype=np.int64)
@@ -90,7 +88,6 @@ def read_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         w = t.split()
         lengths[i] = len(w)
         words += w
-    table = _table()
     numbers = table.numbers(words)
     rows = table.rows[numbers]
     again = np.zeros(len(words), dtype=bool)
@@ -155,6 +152,11 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     return post, good, table
 
 
+def accuracies(table: np.ndarray) -> dict[str, dict[str, float]]:
+    """Of each labeller: how often its votes are right on good and on bad documents."""
+    return {name: {"good": float(table[1, j, 2]), "bad": float(table[0, j, 0])} for j, name in enumerate(LABELLERS)}
+
+
 def hashed(rows: np.ndarray, again: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Feature numbers of each word: its shape, and its shape with the one before and whether it repeats that word."""
     shape = rows[:, SHAPE].astype(np.int64)
@@ -202,18 +204,18 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, tab
 
 
 def _vote_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = word_table()
     for batch in batches:
-        texts = [x or "" for x in batch.column(1).to_pylist()]
-        for a, b in chunks_of(texts):
-            v = votes(measure(*read_words(texts[a:b])))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(["".join("-0+"[x + 1] for x in r) for r in v])], names=["doc_id", "pattern"])
+        for at, texts in text_slices(batch.column(1)):
+            v = votes(measure(*read_words(texts, table)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(["".join("-0+"[x + 1] for x in r) for r in v])], names=["doc_id", "pattern"])
 
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = word_table()
     for batch in batches:
-        texts = [x or "" for x in batch.column(1).to_pylist()]
-        for a, b in chunks_of(texts):
-            read = read_words(texts[a:b])
+        for _, texts in text_slices(batch.column(1)):
+            read = read_words(texts, table)
             _, rows, again, lengths = read
             rates, numbers, ends = measure(*read), hashed(rows, again, lengths), np.cumsum(lengths)
             found = [np.unique(numbers[e - n : e], return_counts=True) for e, n in zip(ends, lengths)]
@@ -242,14 +244,14 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict | None:
     sample = own.join(F.broadcast(chosen), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", "text")).limit(train_docs).mapInArrow(_feature_batches, "at array<long>, x array<double>, pattern string").collect()
     features = [(np.array(r["at"], dtype=np.int64), np.array(r["x"])) for r in sample]
     w, b = train(features, np.array([by_pattern[r["pattern"]] for r in sample]), table)
-    return {"weights": w.astype(np.float32), "bias": b, "good": good, "accuracy": dict(zip(LABELLERS, table.tolist()))}
+    return {"weights": w.astype(np.float32), "bias": b, "good": good, "accuracy": accuracies(table)}
 
 
-def score_texts(texts: list[str], model: dict) -> np.ndarray:
+def score_texts(texts: list[str], model: dict, table: WordTable | None = None) -> np.ndarray:
     """Probability of good for whole texts."""
-    out = np.empty(len(texts))
-    for a, b in chunks_of(texts):
-        read = read_words(texts[a:b])
+    out, table = np.empty(len(texts)), table or word_table()
+    for a, b in chunks_of(texts, 1_000_000):
+        read = read_words(texts[a:b], table)
         _, rows, again, lengths = read
         numbers = hashed(rows, again, lengths)
         total = _sums(model["weights"][numbers].sum(1), lengths) / np.maximum(lengths, 1)
@@ -268,20 +270,26 @@ def score(docs: DataFrame, model: dict | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = word_table()
         for batch in batches:
-            s = score_texts([x or "" for x in batch.column(1).to_pylist()], shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            for at, texts in text_slices(batch.column(1)):
+                s = score_texts(texts, shared.value, table)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: dict | None = None) -> DataFrame:
-    """The rows of docs, unchanged, with score 0.5 or more."""
+    """The rows of docs, unchanged, with score 0.5 or more. Null, empty and blank texts score 0 and go.
+
+    Only the text travels to the Python workers, and only scores come back.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
-    at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(score_texts([x or "" for x in batch.column(at).to_pylist()], shared.value) >= 0.5))
+    @F.arrow_udf("double")
+    def good(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = word_table()
+        for column in columns:
+            yield pa.array(np.concatenate([np.zeros(0), *(score_texts(texts, shared.value, table) for _, texts in text_slices(column))]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(good("text") >= 0.5)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitequarry.llm.words import WordTable, chunks_of
+from sitequarry.llm.words import WordTable, chunks_of, text_slices
 
 #: Labelled rows used for training at most: toxic ones, others; first by hash of the id.
 TRAIN_TOXIC, TRAIN_OTHER = 1000, 1500
@@ -286,15 +286,15 @@ def _run(model: dict, table: np.ndarray, numbers: np.ndarray, at: np.ndarray, ma
     yield np.zeros(0, np.float32)
 
 
-_state: dict = {}
+def word_table(model: dict) -> WordTable:
+    """Projected inputs of words; a task has its own, which ends with it."""
+    return WordTable(lambda words: project(model, [bare(w) for w in words]), 6 * HIDDEN, 100_000)
 
 
-def score_texts(texts: list[str], model: dict, key: object = None) -> np.ndarray:
+def score_texts(texts: list[str], model: dict, table: WordTable | None = None) -> np.ndarray:
     """Scores of whole texts: the sigmoid of the largest window logit less the shift; 0 for texts without words."""
-    if _state.get("key") is not (key or model):
-        _state.update(key=key or model, table=WordTable(lambda words: project(model, [bare(w) for w in words]), 6 * HIDDEN, 150_000))
-    table, out = _state["table"], np.zeros(len(texts))
-    for a, b in chunks_of(texts, 2_000_000):
+    table, out = table or word_table(model), np.zeros(len(texts))
+    for a, b in chunks_of(texts, 1_000_000):
         words: list[str] = []
         lengths = np.empty(b - a, dtype=np.int64)
         for i, t in enumerate(texts[a:b]):
@@ -330,11 +330,14 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = TRAIN_TOXIC, most_
 
 
 def _scorer(docs: DataFrame, model: dict | None):
+    """Scores of text columns, batch by batch. Without a model everything scores 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(texts: list) -> np.ndarray:
+    def run(columns: Iterator[pa.Array]) -> Iterator[np.ndarray]:
         m = shared.value
-        return np.zeros(len(texts)) if m is None else score_texts([x or "" for x in texts], m)
+        table = None if m is None else word_table(m)
+        for column in columns:
+            yield np.zeros(len(column)) if m is None else np.concatenate([np.zeros(0), *(score_texts(texts, m, table) for _, texts in text_slices(column))])
 
     return run
 
@@ -348,8 +351,15 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     run = _scorer(docs, fit(docs, labels))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            s = run(batch.column(2).to_pylist())
+        held: list[pa.RecordBatch] = []
+
+        def texts() -> Iterator[pa.Array]:
+            for batch in it:
+                held.append(batch.select([0, 1]))
+                yield batch.column(2)
+
+        for s in run(texts()):
+            batch = held.pop()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -357,11 +367,15 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, unchanged, that score under 0.5."""
-    run, at = _scorer(docs, fit(docs, labels)), docs.columns.index("text")
+    """The rows of docs, unchanged, that score under 0.5. Null, empty and blank texts score 0 and stay.
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            yield batch.filter(pa.array(run(batch.column(at).to_pylist()) < 0.5))
+    Only the text travels to the Python workers, and only scores come back.
+    """
+    run = _scorer(docs, fit(docs, labels))
+
+    @F.arrow_udf("double")
+    def toxic(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for s in run(columns):
+            yield pa.array(s)
 
-    return docs.mapInArrow(batches, docs.schema)
+    return docs.filter(toxic("text") < 0.5)

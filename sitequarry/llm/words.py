@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Hashable, Sequence
+from collections.abc import Callable, Hashable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 class _Index(dict):
@@ -45,6 +47,19 @@ class WordTable:
         return out
 
 
+def text_slices(column: pa.Array, most_bytes: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
+    """(place of the first, texts) of slices of a text column of about most_bytes at most; null is empty.
+
+    Only a slice at a time becomes Python strings, so a batch of long texts costs no more than itself.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most_bytes, "right")))
+        yield start, [x or "" for x in column.slice(start, stop - start).to_pylist()]
+        start = stop
+
+
 def chunks_of(texts: list[str], most_chars: int = 4_000_000):
     """Slices (from, to) of a list whose texts sum to about most_chars at most."""
     start = size = 0

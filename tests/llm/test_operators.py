@@ -167,7 +167,7 @@ def test_nearest_neighbours(spark):
     x[7] = x[100]
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(1000, None, 0), (1100, [0.0] * 16, 0), (1200, [float("nan")] + [1.0] * 15, 0), (1300, [None] + [1.0] * 15, 0)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, node int")
-    got = neighbours.search(table, leaf=100).toPandas()
+    got = neighbours.search(table).toPandas()
     assert sorted(got.query_id.unique()) == [0, 100, 200, 300, 400, 500]
     hits = 0
     for q, g in got.groupby("query_id"):

@@ -31,3 +31,14 @@ def test_repeated_rows_are_kept_once(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "en", "s", 11), (1, "a b c d e f", "en", "s", 11), (2, "a b c d e f g", "en", "s", 13)], "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.without_copies(spark, docs, SF)
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 2] and out.columns == docs.columns
+
+
+def test_names_that_clash_and_ties(spark):
+    rows = [(1, "a b c d e f", 7, "y"), (1, "a b c d e f", 7, "x"), (2, None, 7, "z"), (3, "", 7, "z"), (None, "g h i j k l", 7, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _raw long, key_id0 string")
+    for stage in (corpus_pipeline.without_copies, corpus_pipeline.without_near_copies):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        got = sorted((r["doc_id"] or 0, r["key_id0"]) for r in out.collect())
+        assert (1, "x") in got and (0, "z") in got and len(got) == 3
+    assert corpus_pipeline.without_copies(spark, docs.filter("doc_id = 9"), SF).count() == 0
