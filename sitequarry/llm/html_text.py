@@ -2,7 +2,8 @@
 
 Each page is read once into blocks of text and hashes of its element subtrees (a subtree's hash covers its tag, class,
 texts and its children's hashes). Spark counts, per host and per section of a host, the distinct pages on which a subtree
-recurs; subtrees found on many are deleted. Menus, footers and the like go by tag, role and class as well.
+recurs; subtrees found on many are deleted, whatever their tags say. What a page alone shows to be a menu, footer, form or
+the like, by tag, role and class, goes as well: a host's only page has nothing to be compared with.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitequarry.llm.common import attach, discard, materialise
-from sitequarry.llm.words import chunks_of
+from sitequarry.llm.words import text_slices
 
 #: A subtree is template when it recurs on at least so many distinct pages of its host, and on this share of them; or
 #: likewise of its section (the first folder of the path), so a section's own blocks don't depend on the host's size.
@@ -27,7 +28,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split())
 #: Elements and roles that never hold main text, and words of class and id that mark such elements.
-DROPPED = frozenset("nav footer aside form script style noscript iframe head template button select option textarea svg canvas object audio video dialog menu search title xmp noembed noframes".split())
+UNSEEN = frozenset("script style noscript iframe head template title xmp noembed noframes svg canvas object audio video".split())
+DROPPED = frozenset("nav footer aside form button select option textarea dialog menu search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar form".split())
 MARKS = frozenset("ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu navbar nav navigation breadcrumb breadcrumbs header masthead footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus replies respond".split())
 CONTENT_WORDS = frozenset("article post entry content main story body title headline".split())
@@ -38,33 +40,42 @@ LANDMARKS = frozenset(("article", "main"))
 #: As HTML has it, quotes delimit only right after "="; elsewhere they belong to a name or a bare value, and a quote that is
 #: never closed delimits nothing.
 _TOKEN = re.compile(r"<!--|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*+)?+)?+)*+)>|<(?=/?[a-zA-Z])")
-_ATTR = re.compile(r"(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 
-def _marked(attrs: str, in_article: bool) -> tuple[bool, str]:
-    """Whether attributes mark an element as no main text; its class, for the hash."""
+def _marked(attrs: str) -> tuple[bool, str]:
+    """Whether class, id or role mark an element as no main text; its class, for the hash."""
     if not attrs or attrs.isspace():
         return False, ""
-    bad, name = False, ""
+    bad, own = False, ""
     for key, *values in _ATTR.findall(attrs):
-        key, value = key.lower(), next((v for v in values if v), "").lower()
-        if key == "class":
-            name = value
+        key = key.lower()
+        if key not in ("class", "id", "role"):
+            continue
+        value = next((v for v in values if v), "").lower()
         if key == "role":
             bad |= value in ROLES
-        elif key != "hidden":
-            for token in value.split():
-                parts = set(_PARTS.split(token))
-                bad |= bool(parts & MARKS) and not parts & CONTENT_WORDS
-    return bad, name
+            continue
+        if key == "class":
+            own = value
+        for token in value.split():
+            parts = set(_PARTS.split(token))
+            bad |= bool(parts & MARKS) and not parts & CONTENT_WORDS
+    return bad, own
 
 
 class _Page:
-    """One pass over a page: blocks (text, subtrees that hold it, within a landmark) and subtree hashes."""
+    """One pass over a page: blocks (text, subtrees that hold it, within a landmark) and subtree hashes.
+
+    Blocks that the lists drop have their subtrees in `listed`; they are counted like all others.
+    """
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, lists: bool = True):
+        self.lists = lists
         self.blocks: list[tuple[str, list[int], bool]] = []
+        self.listed: list[list[int]] = []
+        self.gone: list[str] = []
         self.hashes: dict[int, int] = {}  # node -> hash, of closed elements that may be template
         self.stack: list[list] = []  # tag, node, drops, landmark, candidate, hasher
         self.dropping = self.landmarks = self.nodes = 0
@@ -99,8 +110,7 @@ class _Page:
             self.pop()
 
     def words(self, raw: str) -> None:
-        if not self.dropping:
-            self.text.append(raw)
+        (self.gone if self.dropping else self.text).append(raw)
         if self.stack:
             self.stack[-1][5].append(raw)
 
@@ -110,6 +120,10 @@ class _Page:
             if line:
                 self.blocks.append((line, [e[1] for e in self.stack if e[4]], self.landmarks > 0))
             self.text.clear()
+        if self.gone:
+            if not all(x.isspace() for x in self.gone):
+                self.listed.append([e[1] for e in self.stack if e[4]])
+            self.gone.clear()
 
     def open(self, tag: str, attrs: str) -> None:
         if tag in ("br", "td", "th", "hr"):
@@ -132,10 +146,8 @@ class _Page:
             self.close_within("option", ("select",))
         if tag in VOID:
             return
-        bad, name = _marked(attrs, self.landmarks > 0)
-        drops = bad or tag in DROPPED or tag == "header" and not self.landmarks
-        if tag in LANDMARKS and not bad:
-            drops = False
+        bad, name = _marked(attrs)
+        drops = tag in UNSEEN or self.lists and (bad or tag in DROPPED or tag == "header" and not self.landmarks)
         self.nodes += 1
         candidate = tag in CONTAINERS or tag in BLOCKS and not self.landmarks and tag not in ("html", "body") and tag not in LANDMARKS
         self.stack.append([tag, self.nodes, drops, tag in LANDMARKS, candidate, [f"<{tag} {name}>"]])
@@ -169,38 +181,44 @@ class _Page:
         self.dropping -= drops
         self.landmarks -= landmark
         digest = hashlib.blake2b(" ".join("".join(parts).split()).encode("utf-8", "surrogatepass"), digest_size=8).digest()
-        if candidate and not drops and not self.dropping:
+        if candidate and tag not in UNSEEN:
             self.hashes[node] = int.from_bytes(digest, "little", signed=True)
         if self.stack:
             self.stack[-1][5].append(f"[{digest.hex()}]")
 
 
-def read_page(source: str) -> tuple[list[str], list[list[int]]]:
-    """Blocks of a page in order, and for each block the hashes of the subtrees that hold it.
+def read_page(source: str, lists: bool = True) -> tuple[list[str], list[list[int]], list[list[int]]]:
+    """Blocks of a page in order, for each block the hashes of the subtrees that hold it, and those of the other blocks.
 
-    If an article or main element holds text, only blocks in such elements count.
+    If an article or main element holds text, only blocks in such elements count; the others, and what the lists drop,
+    are the other blocks.
     """
-    page = _Page(source)
+    page = _Page(source, lists)
     blocks = [b for b in page.blocks if b[2]] or page.blocks
-    return [b[0] for b in blocks], [[page.hashes[n] for n in b[1] if n in page.hashes] for b in blocks]
+    rest = page.listed + ([b[1] for b in page.blocks if not b[2]] if len(blocks) < len(page.blocks) else [])
+    hashed = lambda nodes: [page.hashes[n] for n in nodes if n in page.hashes]
+    return [b[0] for b in blocks], [hashed(b[1]) for b in blocks], [hashed(n) for n in rest]
+
+
+PAGE = "page_id long, url string, digest long, texts array<string>, owners array<array<long>>, others array<array<long>>"
 
 
-PAGE = "page_id long, url string, digest long, texts array<string>, owners array<array<long>>"
+def _reader(lists: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, sources in text_slices(batch.column(3)):
+                pages = [read_page(s, lists) for s in sources]
+                own = [batch.column(i).slice(at, len(sources)) for i in range(3)]
+                nested = pa.list_(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*own, pa.array([p[0] for p in pages], pa.list_(pa.string())), pa.array([p[1] for p in pages], nested), pa.array([p[2] for p in pages], nested)], names=["page_id", "url", "digest", "texts", "owners", "others"])
 
+    return run
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sources = [x or "" for x in batch.column(3).to_pylist()]
-        for a, b in chunks_of(sources, 8_000_000):
-            pages = [read_page(s) for s in sources[a:b]]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([p[0] for p in pages], pa.list_(pa.string())), pa.array([p[1] for p in pages], pa.list_(pa.list_(pa.int64())))],
-                names=["page_id", "url", "digest", "texts", "owners"],
-            )
 
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE, lists: bool = True) -> DataFrame:
+    """page_id, url, text, n_chars, n_blocks_removed (blocks in template subtrees): one row per page row.
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """page_id, url, text, n_chars, n_blocks_removed: one row per page row.
+    Without `lists` only templates are removed, nothing by tag, role or class.
 
     Null html is empty; a page without main text has an empty text. Pages without a host share one nameless host.
     Equal pages of a host or section count once, so copies of a page do not make it template. Repeated rows give equal rows. An
@@ -209,8 +227,8 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHA
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.xxhash64("html").alias("digest"), "html")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     section = F.regexp_extract(F.coalesce("url", F.lit("")), "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^/?#]+)/", 1)
-    read = materialise(own.mapInArrow(_read, PAGE).withColumn("uid", F.monotonically_increasing_id()).withColumn("host", host).withColumn("section", section), "page_blocks")
-    nodes = F.array_distinct(F.flatten("owners"))
+    read = materialise(own.mapInArrow(_reader(lists), PAGE).withColumn("uid", F.monotonically_increasing_id()).withColumn("host", host).withColumn("section", section), "page_blocks")
+    nodes = F.array_distinct(F.concat(F.flatten("owners"), F.flatten("others")))
     gone = read
     for i, keys in enumerate((["host"], ["host", "section"])):
         distinct = read.groupBy(*keys, "digest").agg(F.min("uid").alias("uid"))
@@ -226,4 +244,4 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHA
     gone = gone.withColumn("gone", F.concat("gone0", "gone1"))
     kept = F.filter(F.arrays_zip("texts", "owners"), lambda b: ~F.arrays_overlap(b["owners"], F.col("gone")))
     out = gone.withColumn("kept", F.transform(kept, lambda b: b["texts"])).withColumn("text", F.array_join("kept", "\n\n"))
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), (F.size("texts") - F.size("kept")).alias("n_blocks_removed"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), (F.size("texts") - F.size("kept") + F.size(F.filter("others", lambda o: F.arrays_overlap(o, F.col("gone"))))).alias("n_blocks_removed"))

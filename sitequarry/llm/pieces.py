@@ -4,11 +4,17 @@ A text is a lattice of the model's pieces. A forward Viterbi pass gives the best
 are exact heuristics for a backward A-star search, which then yields segmentations in falling order of score. The
 lattice falls apart at every place that no piece spans: words are searched once each, and the N best of a whole text
 follow exactly from the N best of its words.
+
+The model file is a merge model: a piece's score in it is its merge's rank, not a probability, and ranks don't add up.
+The lattice takes ln 1/(rank + MANDELBROT) instead, by the Zipf-Mandelbrot law the log-probability of a piece of that
+rank but for a constant. So `ids` are the likeliest pieces, not the model's own encoding, which joins pieces in the
+order of its merges; that one comes from the library, as merge_ids.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -19,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitequarry.llm.words import chunks_of
+from sitequarry.llm.words import text_slices
 
 N_BEST = 3
 SPACE = "▁"
-#: Words (and parts of words) kept in each Python worker; then the caches start anew.
-CACHE = 400_000
+#: The offset of the Zipf-Mandelbrot law; nothing is fitted to a corpus.
+MANDELBROT = 1000
+#: Characters of words kept in a task; then the caches start anew.
+CACHE_CHARS = 2_000_000
 _state: dict = {}
 
 
@@ -34,7 +42,7 @@ class Lattice:
     def __init__(self, path: str):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        sp = self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.pieces: dict[str, tuple[int, float]] = {}
         self.bytes: dict[int, int] = {}
         self.texts: list[bytes | None] = []
@@ -49,8 +57,9 @@ class Lattice:
                 self.texts.append(p.replace(SPACE, " ").encode())
                 if s > -1e8 or len(p) == 1:  # longer runs of blanks serve the merging order only
                     self.pieces[p] = (i, s)
-        least = min(s for _, s in self.pieces.values() if s > -1e8)
-        self.pieces = {p: (i, max(s, least)) for p, (i, s) in self.pieces.items()}
+        last = max(-s for _, s in self.pieces.values() if s > -1e8)
+        self.pieces = {p: (i, -math.log(min(-s, last) + MANDELBROT)) for p, (i, s) in self.pieces.items()}
+        least = -math.log(last + MANDELBROT)
         self.missing = least - 10
         self.starts = {p[:i] for p in self.pieces for i in range(1, len(p))}
         #: All pieces and their beginnings, so that one look-up tells both whether to use and whether to go on.
@@ -62,9 +71,15 @@ class Lattice:
 
     def clear(self) -> None:
         self.words.clear()
-        self.losses: dict[tuple[str, int], list] = {}
+        self.parts.clear()
+        self.options: dict[tuple[str, int], list] = {}
+        self.held = 0
+        #: Of each word: ids, the library's ids, decoded ids, best score, gap to the second best.
         self.ids: list[bytes] = []
-        self.counts, self.scores, self.gaps = array("i"), array("d"), array("d")
+        self.merged: list[bytes] = []
+        self.raw: list[bytes] = []
+        self.scores: list[float] = []
+        self.gaps: list[float] = []
 
     def units(self, word: str) -> list[str]:
         """The word cut where no piece spans two neighbours."""
@@ -160,59 +175,73 @@ class Lattice:
             path.append((s, p, at))
             at = s
         path.reverse()
-        if len(self.parts) > CACHE:
-            self.parts.clear()
         self.parts[unit] = out = (first[n], first[n] - second[n] if second[n] > -1e200 else float("inf"), self.encode_ids(unit, path))
         return out
 
-    def look_up(self, words: list[str]) -> np.ndarray:
-        """Numbers of words (each with its leading blank), into ids, counts, scores and gaps."""
+    def look_up(self, words: list[str]) -> list[int]:
+        """Numbers of words (each with its leading blank), into ids, merged, raw, scores and gaps."""
         known = self.words
-        if len(known) > CACHE:
+        if self.held > CACHE_CHARS:
             self.clear()
         for w in words:
             if w not in known:
+                self.held += len(w)
                 parts = [self.part(u) for u in self.units(SPACE + w)]
                 known[w] = len(self.ids)
                 self.ids.append(b"".join(p[2] for p in parts))
-                self.counts.append(len(self.ids[-1]) // 4)
+                self.merged.append(array("I", self.library.encode(w)).tobytes())
+                self.raw.append(b"".join([self.texts[i] or b"" for i in array("I", self.ids[-1])]))
                 self.scores.append(sum(p[0] for p in parts))
                 self.gaps.append(min(p[1] for p in parts))
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return list(map(known.__getitem__, words))
 
-    def encode(self, text: str, n: int = 1) -> tuple[bytes, list[float]]:
-        """Ids of the best segmentation, and the scores of the n best of the whole text.
+    def encode(self, text: str, n: int = 1) -> tuple[list[tuple[float, bytes]], bytes, bytes]:
+        """The n best segmentations of the whole text (score, ids), the library's ids, and the decoded bytes of the best.
 
         Only the words whose second best is nearest can take part in the n best: n - 1 of them are searched.
         """
         if not text:
-            return b"", [0.0]
+            return [(0.0, b"")], b"", b""
         words = text.split(" ")
         numbers = self.look_up(words)
-        total = float(np.asarray(self.scores)[numbers].sum()) if len(words) > 64 else sum(self.scores[i] for i in numbers)
-        ids = b"".join([self.ids[i] for i in numbers.tolist()])
-        totals = [total]
+        total = math.fsum(map(self.scores.__getitem__, numbers))
+        parts = list(map(self.ids.__getitem__, numbers))
+        ids = b"".join(parts)
+        # runs of blanks are pieces of the library's own that cross words
+        plain = "" not in words
+        merged = b"".join(map(self.merged.__getitem__, numbers)) if plain else array("I", self.library.encode(text)).tobytes()
+        best = [(0.0, ())]
         if n > 1:
-            gaps = np.frombuffer(self.gaps, np.float64)[numbers]
+            gaps = np.fromiter(map(self.gaps.__getitem__, numbers), np.float64, len(numbers))
             near = np.argsort(gaps, kind="stable")[: n - 1] if len(gaps) <= 4 * n else np.argpartition(gaps, n - 2)[: n - 1]
-            losses = [0.0]
-            for i in near:
+            for i in sorted(near.tolist()):
                 if np.isfinite(gaps[i]):
-                    for own in self.word_losses(words[i], n):
-                        losses = sorted(a + b for a in losses for b in own)[:n]
-            totals = [total - x for x in losses]
-            del gaps
-        return ids, totals
-
-    def word_losses(self, word: str, n: int) -> list[list[float]]:
-        if (known := self.losses.get((word, n))) is not None:
-            return known
+                    options = self.word_options(words[i], n)
+                    best = sorted((a + b, (*chosen, (i, own)) if b else chosen) for a, chosen in best for b, own in options)[:n]
         out = []
+        for loss, chosen in best:
+            other = ids
+            if chosen:
+                ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+                at, pieces = 0, []
+                for i, own in chosen:
+                    pieces += [ids[at : ends[i] - len(parts[i])], own]
+                    at = ends[i]
+                other = b"".join([*pieces, ids[at:]])
+            out.append((total - loss, other))
+        return out, merged, b"".join(map(self.raw.__getitem__, numbers))
+
+    def word_options(self, word: str, n: int) -> list[tuple[float, bytes]]:
+        """The n best segmentations of a word: what each loses against the best, and its ids."""
+        if (known := self.options.get((word, n))) is not None:
+            return known
+        out = [(0.0, b"")]
         for u in self.units(SPACE + word):
             found = self.n_best(u, n)
-            if len(found) > 1:
-                out.append([found[0][0] - s for s, _ in found])
-        self.losses[word, n] = out
+            # the first pass and the search may differ between segmentations of one score: the first pass holds
+            found = [(0.0, self.part(u)[2])] + [(found[0][0] - s, x) for s, x in found if x != self.part(u)[2]]
+            out = sorted((a + b, x + y) for a, x in out for b, y in found)[:n]
+        self.options[word, n] = out
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -227,39 +256,40 @@ def lattice(path: str) -> Lattice:
     return _state["lattice"]
 
 
-OUT = "doc_id long, n_pieces long, ids_crc32 long, score double, n_best array<double>, decoded_crc32 long, round_trip boolean"
+OUT = "doc_id long, n_pieces long, ids_crc32 long, score double, n_best array<double>, n_best_crc32 array<long>, n_merged long, merged_crc32 long, decoded_crc32 long, round_trip boolean"
 
 
 def encode_documents(docs: DataFrame, model: str | None = None, n_best: int = N_BEST, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32, score, n_best, decoded_crc32, round_trip [, ids]: one row per input row.
+    """doc_id, n_pieces, ids_crc32, score, n_best, n_best_crc32, n_merged, merged_crc32, decoded_crc32, round_trip [, ids,
+    n_best_ids, merge_ids]: one row per input row.
 
     score is the best segmentation's, n_best the scores of the n best of the whole text (fewer if there are no more),
-    and decoding gives decoded_crc32; round_trip says whether it is the text itself (texts with the blank mark U+2581
-    are not). Null is empty text: no pieces, score 0. Repeated rows encode alike; an empty table gives no rows.
+    n_best_crc32 the checksums of their ids (32-bit little-endian); n_merged and merged_crc32 belong to the library's own
+    ids. Decoding the best gives decoded_crc32; round_trip says whether it is the text itself (texts with the blank mark
+    U+2581 are not). Null is empty text: no pieces, score 0. Repeated rows encode alike; an empty table gives no rows.
     """
     path = model or public_tokenizers.path("piece_bpe_32k.model")
+    lists = ["ids", "n_best_ids", "merge_ids"] if with_ids else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = lattice(path)
+        numbers = lambda ids: np.frombuffer(ids, "<u4").tolist()
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in chunks_of(texts, 8_000_000):
-                rows, held = [], []
-                for t in texts[a:b]:
-                    ids, totals = coder.encode(t, n_best)
-                    numbers = np.frombuffer(ids, "<u4")
-                    back = coder.decode(numbers)
-                    rows.append((len(numbers), zlib.crc32(ids), totals[0], totals, zlib.crc32(back.encode()), back == t))
-                    held.append(numbers if with_ids else None)
-                cols = list(zip(*rows))
-                arrays = [batch.column(0).slice(a, b - a)] + [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.int64(), pa.bool_()))]
-                names = ["doc_id", "n_pieces", "ids_crc32", "score", "n_best", "decoded_crc32", "round_trip"]
-                if with_ids:
-                    arrays.append(pa.array([h.tolist() for h in held], pa.list_(pa.int64())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, OUT + (", ids array<long>" if with_ids else ""))
+            for at, texts in text_slices(batch.column(1)):
+                rows = []
+                for t in texts:
+                    best, merged, raw = coder.encode(t, n_best)
+                    back = (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+                    row = (len(best[0][1]) // 4, zlib.crc32(best[0][1]), best[0][0], [s for s, _ in best], [zlib.crc32(x) for _, x in best], len(merged) // 4, zlib.crc32(merged), zlib.crc32(back.encode()), back == t)
+                    rows.append((*row, numbers(best[0][1]), [numbers(x) for _, x in best], numbers(merged)) if with_ids else row)
+                long, longs = pa.int64(), pa.list_(pa.int64())
+                kinds = [long, long, pa.float64(), pa.list_(pa.float64()), longs, long, long, long, pa.bool_(), longs, pa.list_(longs), longs]
+                names = ["n_pieces", "ids_crc32", "score", "n_best", "n_best_crc32", "n_merged", "merged_crc32", "decoded_crc32", "round_trip", *lists]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["doc_id", *names])
+        coder.clear()
+
+    more = ", ids array<long>, n_best_ids array<array<long>>, merge_ids array<long>" if with_ids else ""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, OUT + more)
 
 
 def decode_documents(encoded: DataFrame, model: str | None = None) -> DataFrame:

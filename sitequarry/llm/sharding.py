@@ -59,7 +59,7 @@ def label_round(cells: DataFrame, loads: dict[int, int], quota: int, n_shards: i
 
 
 def shard(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, group_rows, n_shards_of_group: one row per input row.
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, group_rows: one row per input row.
 
     Null text has size 1 and the crc32 of no bytes, and counts as an empty text. Hubs are equal texts. Row counts of
     shards differ by one at most (law `rows`); a hub is split when it is larger than a shard, or where the counts
@@ -102,8 +102,8 @@ def _places(rows: DataFrame, linked: DataFrame, cells: DataFrame, n: int, n_shar
     label = F.when(F.col("cells").isNotNull(), F.filter("cells", lambda c: c["end"] > F.col("number"))[0]["shard"])
     rows = rows.withColumn("number", number).withColumn("label", label).select("doc_id", "size", "text_crc32", "hub", "label", F.coalesce("group_rows", F.lit(1)).alias("group_rows"))
     rows = materialise(rows, "labelled")
-    # small hubs stay together in one bucket, so that few are parted where a shard overflows; large ones are spread
-    spread = F.when(F.col("group_rows") > 1000, F.xxhash64("doc_id")).otherwise(F.col("hub"))
+    # a hub takes as many neighbouring buckets as it has 1000 rows: few are parted where a shard overflows, none is one task's
+    spread = F.xxhash64("hub", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("group_rows") / 1000)))
     quotas = [n // n_shards + (s < n % n_shards) for s in range(n_shards)]
     settled = numbered(rows.filter("label is not null"), ["label"], [F.col("hub"), F.col("doc_id")], spread, n_buckets, "slot")
     quota = F.element_at(F.array(*[F.lit(q).cast("long") for q in quotas]), F.col("label") + 1)

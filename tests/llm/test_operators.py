@@ -83,11 +83,30 @@ def test_sharding_keeps_groups_together(spark):
     assert (shards == 1).mean() > 0.95
 
 
-def test_licenses_edges(docs, none):
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+
+
+def test_licenses_edges(spark, docs, none):
     by = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
     assert licenses.scan(none).count() == 0
     assert (by[0]["n_words"], by[0]["labels"], by[0]["score"]) == (0, "", 0.0)
     assert (by[11]["base_labels"], by[11]["labels"], by[11]["first_word"], by[11]["last_word"]) == ("mit", "mit,mit-notice", 3, 3)
+    filler = "some other words of a file " * 30
+    cases = {
+        "The code was released under the Apache license.": "apache", "Licensed under CC BY 4.0": "cc-by,cc-by-4.0", "licensed under cc by sa 4.0": "cc-by,cc-by-sa-4.0", "licensed under CC BY-NC 4.0": "cc-by,cc-by-nc-4.0",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa-4.0",
+        "This library is licensed under the GNU Lesser General Public License version 2.1": "lgpl-2.1", "Licensed under the Apache License,\nVersion 2.0": "apache,apache-2.0",
+        MIT_TEXT: "mit-text", filler + MIT_TEXT + filler: "mit-text", BSD_TEXT: "bsd", filler + BSD_TEXT: "bsd", filler: "", "": "",
+    }
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(cases.values()))
 
 
 def test_toxicity(spark, docs, none):
@@ -183,25 +202,43 @@ def test_nearest_neighbours(spark):
 
 def test_pieces(spark, docs, none):
     import public_tokenizers
+    import sentencepiece
 
-    coder = pieces.Lattice(public_tokenizers.path("piece_bpe_32k.model"))
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, coder = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Lattice(path)
+    worth = {i: -np.log(min(-library.get_score(i), 31740) + pieces.MANDELBROT) for i in range(32000) if not library.is_byte(i) and not library.is_control(i)}
 
-    def every(unit):
-        edges = coder.edges(unit)
+    def every(text):
+        """All segmentations of a text into pieces, by plain recursion."""
+        text = pieces.SPACE + text.replace(" ", pieces.SPACE)
 
         def rec(at):
-            return [0.0] if at == 0 else [v + r for s, _, v in edges[at] for r in rec(s)]
-
-        return sorted(rec(len(unit)), reverse=True)
-
-    for text in ["the cat", "hello wörld", "日本 a", "  two", "a\nb"]:
-        ids, scores = coder.encode(text, 3)
-        assert np.allclose(scores, every(pieces.SPACE + text.replace(" ", pieces.SPACE))[:3])
-        assert coder.decode(np.frombuffer(ids, "<u4")) == text
+            if at == len(text):
+                yield 0.0, ()
+            for e in range(at + 1, len(text) + 1):
+                i = library.piece_to_id(text[at:e])
+                if i and not (set(text[at:e]) == {pieces.SPACE} and e - at > 1):
+                    for s, rest in rec(e):
+                        yield worth[i] + s, (i, *rest)
+
+        return sorted(rec(0), key=lambda x: -x[0])
+
+    texts = ["the cat", "hello world", "abc de", "to to to", "an apple", "", None]
+    small = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pieces.encode_documents(small, n_best=4, with_ids=True).collect():
+        all_ = every(texts[r["doc_id"]]) if texts[r["doc_id"]] else [(0.0, ())]
+        assert np.allclose(r["n_best"], [s for s, _ in all_[:4]])
+        by_ids = {x: s for s, x in all_}
+        assert np.allclose(r["n_best"], [by_ids[tuple(x)] for x in r["n_best_ids"]]) and len({tuple(x) for x in r["n_best_ids"]}) == len(r["n_best_ids"])
+        assert [zlib.crc32(np.array(x, "<u4").tobytes()) for x in r["n_best_ids"]] == r["n_best_crc32"] and r["n_best_ids"][0] == r["ids"]
     out = pieces.encode_documents(docs, with_ids=True).cache()
     assert out.count() == len(TEXTS) + 1 and out.filter("not round_trip").count() == 0 and pieces.encode_documents(none).count() == 0
     back = {r["doc_id"]: r["text"] for r in pieces.decode_documents(out).collect()}
     assert back == {i: t or "" for i, t in enumerate(TEXTS)}
+    whole = pieces.encode_documents(spark.read.parquet(f"{SF}/documents.parquet"), with_ids=True).toPandas().set_index("doc_id")
+    text = sf_documents().set_index("doc_id").text
+    assert all(library.encode(text[i] or "") == list(whole.merge_ids[i]) for i in whole.index)
+    assert all(library.decode([int(x) for x in whole.ids[i]]) == text[i] for i in whole.index if text[i])
 
 
 def test_html(spark):
@@ -216,6 +253,24 @@ def test_html(spark):
     assert html_text.extract(table.filter("page_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("tag", ['<a href="/x?id=login">', '<p data-id="share-3">', '<p title="see class=menu">', '<div data-role="banner" data-class="footer">', "<p title='id=\"nav\"'>"])
+def test_html_attribute_names_are_whole(tag):
+    assert html_text.read_page(f"<article>{tag}words</article>")[0] == ["words"]
+    assert html_text.read_page(f'<article data-role="banner">{tag}words</article>')[0] == ["words"]
+    assert html_text.read_page('<div class="x menu"><p>a</p></div><p id=login>b</p><p>c</p>')[0] == ["c"]
+
+
+def test_html_templates_go_without_lists(spark):
+    page = '<html><body><nav><a href="/">Home</a></nav><div class="zz"><p>Follow us</p></div><p>own {0}</p><p>more {0} <b>x</b></p><footer>All rights</footer></body></html>'
+    rows = [(i, f"https://h.test/{i}", page.format(i)) for i in range(12)] + [(12, "https://h.test/0", page.format(0)), (13, "https://one.test/", page.format(13))]
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, host string, uid long")
+    got = {r["page_id"]: r for r in html_text.extract(table, lists=False).collect()}
+    assert all(got[i]["text"] == f"own {i}\n\nmore {i} x" and got[i]["n_blocks_removed"] == 3 for i in range(12))
+    assert got[12]["text"] == got[0]["text"] and got[13]["text"].startswith("Home") and got[13]["n_blocks_removed"] == 0
+    long = "<p>" + "word " * 200_000 + "</p>"
+    assert html_text.extract(spark.createDataFrame([(1, "u", long)], "page_id long, url string, html string")).first()["n_chars"] == 999_999
+
+
 @pytest.mark.parametrize("tag", ['<p title="5" tall">', "<p title=don't>", "<p title=\"don't>", "<p don't>", '<p title="a>b" x=\'c>d\'/>'])
 def test_html_stray_quotes(tag):
     assert html_text.read_page(f"<article><p>one</p>{tag}two</p><p>three</p></article>")[0] == ["one", "two", "three"]
