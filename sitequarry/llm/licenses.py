@@ -105,18 +105,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     listed_words = lambda ws: F.array(*[F.lit(w) for w in ws])
     parsed = own.select("doc_id", F.xxhash64("text").alias("h"), words(F.col("text")).alias("words"))
     parsed = parsed.withColumn("joined", F.concat(F.lit(" "), F.array_join("words", "  "), F.lit(" "))).withColumn("n_words", F.size("words").cast("long"))
+    # a document's words of notices, found in one pass: what they rule out needs no blocks
+    parsed = parsed.withColumn("mine", F.array_intersect(listed_words(vocabulary), F.col("words")))
     blocks = []
     for size in sorted({t["stride"] for t in table}):
         group = [t for t in table if t["stride"] == size]
         known = listed_words(sorted({w for t in group for w in t["tokens"]}, key=order.get))
         possible = F.lit(False)
         for t in group:
-            possible = possible | (F.arrays_overlap("words", listed_words(t["prefix"])) & (F.size(F.array_intersect(listed_words(t["must"]), F.col("words"))) == len(t["must"])))
+            possible = possible | ((F.size(F.array_intersect(listed_words(t["tokens"]), F.col("mine"))) >= t["need"]) & (F.size(F.array_intersect(listed_words(t["must"]), F.col("mine"))) == len(t["must"])))
         # array_intersect keeps the order of its first argument: a block's words of notices, in global order
         cut = F.transform(F.sequence(F.lit(1), F.size("words"), F.lit(size)), lambda i: F.array_intersect(known, F.slice("words", i, F.lit(2 * size))))  # noqa: B023
         least = min(t["need"] for t in group)
         own_blocks = F.transform(F.array_distinct(F.filter(cut, lambda t: F.size(t) >= least)), lambda t: F.struct(F.lit(size).alias("stride"), t.alias("block")))  # noqa: B023
-        blocks.append(F.when((F.size("words") > 0) & possible, own_blocks).otherwise(F.array().cast("array<struct<stride:int,block:array<string>>>")))
+        blocks.append(F.when((F.size("mine") >= least) & possible, own_blocks).otherwise(F.array().cast("array<struct<stride:int,block:array<string>>>")))
     rows = materialise(parsed.select("doc_id", "h", "n_words", *_base(F.col("joined"), F.col("n_words")), F.concat(*blocks).alias("blocks")), "license_rows")
     # the notices are a constant of this module
     templates = spark.createDataFrame([(w, p, *(t[c] for c in ("stride", "notice", "label", "tokens", "must", "need", "larger"))) for t in table for p, w in enumerate(t["prefix"])], "token string, p int, stride int, notice int, label string, tokens array<string>, must array<string>, need int, larger array<int>")

@@ -18,6 +18,7 @@ import math
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import public_tokenizers
@@ -32,7 +33,7 @@ SPACE = "▁"
 #: The offset of the Zipf-Mandelbrot law; nothing is fitted to a corpus.
 MANDELBROT = 1000
 #: Characters of words kept in a task; then the caches start anew.
-CACHE_CHARS = 2_000_000
+CACHE_CHARS = 4_000_000
 _state: dict = {}
 
 
@@ -66,7 +67,7 @@ class Lattice:
         self.walk = dict.fromkeys(self.starts, (-1, 0.0)) | self.pieces
         self.spanned = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
         self.words: dict[str, int] = {}
-        self.parts: dict[str, tuple[float, float, bytes]] = {}
+        self.parts: dict[str, tuple[float, float, bytes, bytes]] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -83,6 +84,8 @@ class Lattice:
 
     def units(self, word: str) -> list[str]:
         """The word cut where no piece spans two neighbours."""
+        if self.spanned.issuperset(map(add, word, word[1:])):
+            return [word]
         out, start = [], 0
         for i in range(1, len(word)):
             if word[i - 1 : i + 1] not in self.spanned:
@@ -141,8 +144,8 @@ class Lattice:
                 heapq.heappush(queue, (-(best[s] + v + done), made, s, v + done, ((s, p, at), path)))
         return out
 
-    def part(self, unit: str) -> tuple[float, float, bytes]:
-        """Best score, gap to the second best (inf if there is none), best ids: one Viterbi pass that keeps two scores."""
+    def part(self, unit: str) -> tuple[float, float, bytes, bytes]:
+        """Best score, gap to the second best (inf if there is none), best ids and what they decode to: one Viterbi pass that keeps two scores."""
         if (known := self.parts.get(unit)) is not None:
             return known
         n, low = len(unit), -1e300
@@ -175,7 +178,11 @@ class Lattice:
             path.append((s, p, at))
             at = s
         path.reverse()
-        self.parts[unit] = out = (first[n], first[n] - second[n] if second[n] > -1e200 else float("inf"), self.encode_ids(unit, path))
+        ids = self.encode_ids(unit, path)
+        raw = b"".join([self.texts[i] or b"" for i in array("I", ids)])
+        out = (first[n], first[n] - second[n] if second[n] > -1e200 else float("inf"), ids, raw)
+        if n <= 2:  # single characters come back in many words, whole words are kept by look_up
+            self.parts[unit] = out
         return out
 
     def look_up(self, words: list[str]) -> list[int]:
@@ -183,16 +190,20 @@ class Lattice:
         known = self.words
         if self.held > CACHE_CHARS:
             self.clear()
-        for w in words:
-            if w not in known:
-                self.held += len(w)
-                parts = [self.part(u) for u in self.units(SPACE + w)]
-                known[w] = len(self.ids)
-                self.ids.append(b"".join(p[2] for p in parts))
-                self.merged.append(array("I", self.library.encode(w)).tobytes())
-                self.raw.append(b"".join([self.texts[i] or b"" for i in array("I", self.ids[-1])]))
-                self.scores.append(sum(p[0] for p in parts))
-                self.gaps.append(min(p[1] for p in parts))
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        for w, merged in zip(new, self.library.encode(new, num_threads=1) if new else ()):
+            self.held += len(w)
+            units = self.units(SPACE + w)
+            score, gap, ids, raw = self.part(units[0])
+            for u in units[1:]:
+                more, gap2, ids2, raw2 = self.part(u)
+                score, gap, ids, raw = score + more, min(gap, gap2), ids + ids2, raw + raw2
+            known[w] = len(self.ids)
+            self.ids.append(ids)
+            self.merged.append(array("I", merged).tobytes())
+            self.raw.append(raw)
+            self.scores.append(score)
+            self.gaps.append(gap)
         return list(map(known.__getitem__, words))
 
     def encode(self, text: str, n: int = 1) -> tuple[list[tuple[float, bytes]], bytes, bytes]:
