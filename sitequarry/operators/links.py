@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitequarry.functions import text as T
-from sitequarry.functions import urls as U
-from sitequarry.operators.scratch import materialise
+from sitequarry.operators.scratch import discard, materialise
 
 
 def link_counts(urls: DataFrame, edges: DataFrame) -> DataFrame:
@@ -43,9 +42,9 @@ def referring_pages(edges: DataFrame, urls: DataFrame) -> DataFrame:
     return rows.select("target_host", "source_url", "target_url", "source_host").distinct()
 
 
-def backlinks(edges: DataFrame, urls: DataFrame, nofollow: str = "(source_id + pos) % 5 = 0") -> DataFrame:
-    """Links from other hosts, one per (source, target), with authority and toxicity of the source."""
-    rows = edges.filter("source_host <> target_host").withColumn("nofollow", F.expr(nofollow))
+def backlinks(edges: DataFrame, urls: DataFrame) -> DataFrame:
+    """Links from other hosts, one per (source, target), with authority and toxicity of the source. edges: with nofollow."""
+    rows = edges.filter("source_host <> target_host")
     first = rows.groupBy("source_id", "target_id").agg(F.min_by("nofollow", "pos").alias("nofollow"))
     named = first.join(urls.select(F.col("id").alias("source_id"), F.col("address").alias("source_url")), "source_id").join(urls.select(F.col("id").alias("target_id"), F.col("address").alias("target_url")), "target_id")
     return named.select("source_url", "target_url", "nofollow", T.authority(F.col("source_url"), F.col("nofollow")).alias("authority"), T.is_toxic_domain(F.col("source_url")).alias("toxic"))
@@ -65,10 +64,10 @@ def crawl_depth(edges: DataFrame, seeds: DataFrame, most: int = 10) -> DataFrame
     return seen
 
 
-def page_rank(urls: DataFrame, edges: DataFrame, rounds: int = 5, damping: float = 0.85) -> DataFrame:
+def page_rank(urls: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """id, link_score: page rank over the links inside each site, scaled so that the site's best page has 100.
 
-    Pages without links out give their rank to all pages of the site. Fixed rounds, written every few.
+    Pages without links out give their rank to all pages of the site. Each round is written, the one before deleted.
     """
     pages = materialise(urls.select("id", F.col("run_host").alias("host")), "rank_pages")
     inner = edges.filter("source_host = target_host").select("source_id", "target_id").distinct()
@@ -81,7 +80,10 @@ def page_rank(urls: DataFrame, edges: DataFrame, rounds: int = 5, damping: float
         given = inner.join(ranks.select(F.col("id").alias("source_id"), "rank"), "source_id").groupBy(F.col("target_id").alias("id")).agg(F.sum(F.col("rank") / F.col("fan")).alias("got"))
         stuck = ranks.join(out, "id", "left_anti").groupBy("host").agg(F.sum("rank").alias("stuck"))
         ranks = ranks.join(given, "id", "left").join(stuck, "host", "left").select("id", "host", ((1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.coalesce("stuck", F.lit(0.0)) / F.col("n"))).alias("rank"), "n")
-        ranks = materialise(ranks, "ranks")
+        new = materialise(ranks, "ranks")
+        if i:
+            discard(old)
+        ranks = old = new
     best = ranks.groupBy("host").agg(F.max("rank").alias("best"))
     return ranks.join(best, "host").select("id", F.round(100 * F.col("rank") / F.col("best"), 4).alias("link_score"))
 
@@ -95,8 +97,6 @@ def dedup_links(links: DataFrame) -> DataFrame:
 
 
 def anchor_links(pages: DataFrame) -> DataFrame:
-    """Anchors by pattern alone: source_id, pos, href, anchor, target_url, nofollow. For pages whose anchors are plain."""
+    """Anchors by pattern alone: source_id, pos, href, anchor. For pages whose anchors are plain; others need link_facts."""
     pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit('<a href="([^"]*)">[^<]*</a>'), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit('<a href="[^"]*">([^<]*)</a>'), F.lit(1)).alias("anchor"))
-    site = F.regexp_extract("url", "^(https?://[^/?#]+)", 1)
-    rows = pages.select(F.col("page_id").alias("source_id"), F.lower(site).alias("site"), F.posexplode(pairs).alias("pos", "a"))
-    return rows.select("source_id", "pos", F.col("a.href").alias("href"), F.col("a.anchor").alias("anchor"), F.concat("site", "a.href").alias("target_url"), ((F.col("source_id") + F.col("pos")) % 5 == 0).alias("nofollow"), U.is_valid(F.concat("site", "a.href")).alias("is_internal"))
+    return pages.select(F.col("page_id").alias("source_id"), F.posexplode(pairs).alias("pos", "a")).select("source_id", "pos", "a.href", "a.anchor")

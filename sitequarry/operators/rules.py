@@ -295,15 +295,21 @@ def local_issues(pages: DataFrame, schema_types: DataFrame) -> DataFrame:
     return home.unionByName(apply_rules(of_contact, [Rule("local-seo", "contact_page_missing_phone", "medium", F.col("phone") == ""), Rule("local-seo", "contact_page_missing_address", "medium", F.col("zip") == "")]))
 
 
+def all_duplicates(urls: DataFrame) -> list[DataFrame]:
+    return [
+        duplicates(urls, "run_host", "title1", "page-titles", "duplicate_title"),
+        duplicates(urls, "run_host", "meta_description1", "meta-description", "duplicate_meta_description"),
+        duplicates(urls, "run_host", "h1", "headings", "duplicate_h1"),
+        duplicates(urls, "run_host", "hash", "content", "exact_duplicate_content", "high", exact=True),
+    ]
+
+
 def audit_pages(urls: DataFrame, extra: list[Rule] | None = None) -> DataFrame:
     """All findings that need pages only: one pass of row rules, duplicates, canonicals and pagination."""
     rules = response_rules() + title_rules() + meta_rules() + heading_rules() + url_rules() + content_rules() + language_rules() + (extra or [])
     parts = [
         apply_rules(urls, rules),
-        duplicates(urls, "run_host", "title1", "page-titles", "duplicate_title"),
-        duplicates(urls, "run_host", "meta_description1", "meta-description", "duplicate_meta_description"),
-        duplicates(urls, "run_host", "h1", "headings", "duplicate_h1"),
-        duplicates(urls, "run_host", "hash", "content", "exact_duplicate_content", "high", exact=True),
+        *all_duplicates(urls),
         canonical_issues(urls),
         pagination_issues(urls),
     ]

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sitequarry.functions import text as T
 from sitequarry.functions import urls as U
-from sitequarry.operators import keywords, links, logs, rules, runs
+from sitequarry.operators import extract, keywords, links, logs, rules, runs, site
+from sitequarry.operators.scratch import materialise
 from sitequarry.plans.tables import derived, duck_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,8 +49,8 @@ def _width(column: str, kind: str) -> str:
     return f"coalesce(floor(list_sum(list_transform(string_split({column}, ''), lambda c: CASE {cases} ELSE {FALLBACK_WIDTH} END)) * ({factor}) + 0.5)::BIGINT, 0)"
 
 
-def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    return derived(spark, sf, "url_fx")
+def _pages(spark: SparkSession, sf: str, given: dict | None = None) -> DataFrame:
+    return derived(spark, sf, "url_fx", given)
 
 
 RESPONSE = _issues("response-codes", ("broken_internal_page", "CASE WHEN status_code >= 500 THEN 'critical' ELSE 'high' END", "status_code >= 400", "status_code"), ("no_response", "critical", "status_code = 0", "NULL"))
@@ -106,7 +107,27 @@ SELECT block_id AS url_id, schema_type AS url, 'structured-data' AS category, i.
   CASE WHEN errors <> '' THEN {'type': 'structured_data_error', 'priority': 'high', 'value': substr(errors, 1, 200)} END,
   CASE WHEN warnings <> '' THEN {'type': 'structured_data_warning', 'priority': 'medium', 'value': warnings} END,
   CASE WHEN NOT eligible AND coalesce(errors, '') = '' AND coalesce(warnings, '') = '' THEN {'type': 'not_rich_result_eligible', 'priority': 'low', 'value': NULL::VARCHAR} END]) AS i) WHERE i IS NOT NULL"""
-ALL_ISSUES = " UNION ALL ".join(f"({s})" for s in (RESPONSE, TITLES, METAS, HEADINGS, URLS_SQL, CONTENT, LANG, EXACT)) + f" UNION ALL SELECT * FROM ({CANONICALS}) UNION ALL SELECT * FROM ({PAGINATION})"
+REDIRECTS = """SELECT id AS url_id, address AS url, 'redirects' AS category, type, priority, value FROM (
+SELECT id, address, 'redirect_chain' AS type, 'medium' AS priority, '2' AS value FROM url_fx WHERE redirect_hops = 2
+UNION ALL SELECT id, address, 'redirect_loop', 'critical', NULL FROM url_fx WHERE redirect_hops = 2 AND id % 2 = 0
+UNION ALL SELECT id, address, 'temporary_redirect', 'medium', status_code::VARCHAR FROM url_fx WHERE status_code IN (302, 307))"""
+SECURITY = """WITH h AS (SELECT id, address, path, list_filter(['strict-transport-security', 'content-security-policy', 'x-content-type-options', 'x-frame-options', 'referrer-policy'], lambda n, i: id % (i + 2) <> 0) AS names, CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'text/plain' ELSE 'text/html' END AS kind FROM url_fx),
+i AS (SELECT id, address, 'insecure_http' AS type, 'high' AS priority FROM h WHERE starts_with(address, 'http://')
+UNION ALL SELECT id, address, 'missing_hsts', 'medium' FROM h WHERE NOT list_contains(names, 'strict-transport-security')
+UNION ALL SELECT id, address, 'missing_csp', 'medium' FROM h WHERE NOT list_contains(names, 'content-security-policy')
+UNION ALL SELECT id, address, 'missing_x_content_type_options', 'medium' FROM h WHERE NOT list_contains(names, 'x-content-type-options')
+UNION ALL SELECT id, address, 'missing_x_frame_options', 'medium' FROM h WHERE NOT list_contains(names, 'x-frame-options')
+UNION ALL SELECT id, address, 'missing_referrer_policy', 'medium' FROM h WHERE NOT list_contains(names, 'referrer-policy')
+UNION ALL SELECT id, address, CASE WHEN kind IS NULL THEN 'missing_content_type' ELSE 'bad_content_type' END, 'medium' FROM h WHERE (kind IS NULL OR NOT contains(kind, 'text/html')) AND lower(string_split(path, '.')[-1]) IN ('', 'html', 'htm', 'php', 'aspx', 'jsp'))
+SELECT id AS url_id, address AS url, 'security' AS category, type, priority, NULL::VARCHAR AS value FROM i"""
+_ISSUE_LINKS = """SELECT l.source_id AS url_id, u.address AS url, 'links' AS category, i.type, i.priority, i.value FROM (SELECT page_id AS source_id, lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) AS site,
+  unnest(regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS anchor, unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1)))) AS pos FROM pages) l
+JOIN url_fx u ON u.id = l.source_id, LATERAL (SELECT unnest([
+  CASE WHEN lower(trim(anchor)) IN ('', 'click', 'click here', 'here', 'read more', 'more', 'link', 'this', 'that', 'page', 'website', 'site') THEN {'type': 'non_descriptive_anchor', 'priority': 'medium', 'value': anchor} END,
+  CASE WHEN (l.source_id + pos) % 5 = 0 THEN {'type': 'nofollow_internal_link', 'priority': 'low', 'value': concat(site, href)} END]) AS i) WHERE i IS NOT NULL"""
+FAMILIES = [RESPONSE, TITLES, METAS, HEADINGS, URLS_SQL, CONTENT, LANG, EXACT, CANONICALS, PAGINATION, HREFLANG, IMAGES, STRUCTURED, REDIRECTS, SECURITY, _ISSUE_LINKS]
+ALL_ISSUES = " UNION ALL ".join(f"SELECT * FROM ({q})" for q in FAMILIES)
+_ALL = ["url_fx", "edge_fx", "alternate_fx", "image_fx", "block_fx"]
 
 
 @query(RESPONSE, "url_fx")
@@ -164,72 +185,89 @@ def issues_pagination(spark, sf):
 
 @query(HREFLANG, "url_fx", "alternate_fx")
 def issues_hreflang(spark, sf):
-    return rules.hreflang_issues(derived(spark, sf, "alternate_fx"), _pages(spark, sf))
+    return _hreflang(spark, sf)
+
+
+def _hreflang(spark, sf, given=None):
+    return rules.hreflang_issues(derived(spark, sf, "alternate_fx", given), _pages(spark, sf, given))
 
 
 @query(IMAGES, "url_fx", "image_fx")
 def issues_images(spark, sf):
-    return rules.image_issues(derived(spark, sf, "image_fx"), _pages(spark, sf))
+    return _images(spark, sf)
+
+
+def _images(spark, sf, given=None):
+    return rules.image_issues(derived(spark, sf, "image_fx", given), _pages(spark, sf, given))
 
 
 @query(STRUCTURED, "block_fx")
 def issues_structured_data(spark, sf):
-    return rules.apply_rules(derived(spark, sf, "block_fx"), rules.structured_rules(), "block_id", "schema_type")
+    return _structured(spark, sf)
 
 
-@query("""SELECT id AS url_id, address AS url, 'redirects' AS category, type, priority, value FROM (
-SELECT id, address, 'redirect_chain' AS type, 'medium' AS priority, '2' AS value FROM url_fx WHERE redirect_hops = 2
-UNION ALL SELECT id, address, 'redirect_loop', 'critical', NULL FROM url_fx WHERE redirect_hops = 2 AND id % 2 = 0
-UNION ALL SELECT id, address, 'temporary_redirect', 'medium', status_code::VARCHAR FROM url_fx WHERE status_code IN (302, 307))""", "url_fx")
+def _structured(spark, sf, given=None):
+    return rules.apply_rules(derived(spark, sf, "block_fx", given), rules.structured_rules(), "block_id", "schema_type")
+
+
+@query(REDIRECTS, "url_fx")
 def issues_redirects(spark, sf):
+    return _redirects(spark, sf)
+
+
+def _redirects(spark, sf, given=None):
     hop = lambda i: F.concat("address", F.lit(f"?hop={i}"))
     chain = F.when(F.col("redirect_hops") == 1, F.array(hop(1))).when(F.col("redirect_hops") == 2, F.array(hop(1), F.when(F.col("id") % 2 == 0, hop(1)).otherwise(hop(2))))
-    return rules.apply_rules(_pages(spark, sf).withColumn("redirect_chain", chain), rules.redirect_rules())
+    return rules.apply_rules(_pages(spark, sf, given).withColumn("redirect_chain", chain), rules.redirect_rules())
 
 
-@query("""WITH h AS (SELECT id, address, path, list_filter(['strict-transport-security', 'content-security-policy', 'x-content-type-options', 'x-frame-options', 'referrer-policy'], lambda n, i: id % (i + 2) <> 0) AS names, CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'text/plain' ELSE 'text/html' END AS kind FROM url_fx),
-i AS (SELECT id, address, 'insecure_http' AS type, 'high' AS priority FROM h WHERE starts_with(address, 'http://')
-UNION ALL SELECT id, address, 'missing_hsts', 'medium' FROM h WHERE NOT list_contains(names, 'strict-transport-security')
-UNION ALL SELECT id, address, 'missing_csp', 'medium' FROM h WHERE NOT list_contains(names, 'content-security-policy')
-UNION ALL SELECT id, address, 'missing_x_content_type_options', 'medium' FROM h WHERE NOT list_contains(names, 'x-content-type-options')
-UNION ALL SELECT id, address, 'missing_x_frame_options', 'medium' FROM h WHERE NOT list_contains(names, 'x-frame-options')
-UNION ALL SELECT id, address, 'missing_referrer_policy', 'medium' FROM h WHERE NOT list_contains(names, 'referrer-policy')
-UNION ALL SELECT id, address, CASE WHEN kind IS NULL THEN 'missing_content_type' ELSE 'bad_content_type' END, 'medium' FROM h WHERE (kind IS NULL OR NOT contains(kind, 'text/html')) AND lower(string_split(path, '.')[-1]) IN ('', 'html', 'htm', 'php', 'aspx', 'jsp'))
-SELECT id AS url_id, address AS url, 'security' AS category, type, priority, NULL::VARCHAR AS value FROM i""", "url_fx")
+@query(SECURITY, "url_fx")
 def issues_security(spark, sf):
-    names = F.array_compact(F.array(*[F.when(F.col("id") % (i + 3) != 0, F.lit(n)) for i, n in enumerate(rules.HEADERS)]))
-    kind = F.when(F.col("id") % 3 == 1, "text/plain").when(F.col("id") % 3 == 2, "text/html")
-    return rules.apply_rules(_pages(spark, sf).withColumn("header_names", names).withColumn("content_type", kind).withColumn("mixed_content", F.lit(False)), rules.security_rules())
+    return _security(spark, sf)
 
 
-_ISSUE_LINKS = """SELECT l.source_id AS url_id, u.address AS url, 'links' AS category, i.type, i.priority, i.value FROM (SELECT page_id AS source_id, lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) AS site,
-  unnest(regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS anchor, unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1)))) AS pos FROM pages) l
-JOIN url_fx u ON u.id = l.source_id, LATERAL (SELECT unnest([
-  CASE WHEN lower(trim(anchor)) IN ('', 'click', 'click here', 'here', 'read more', 'more', 'link', 'this', 'that', 'page', 'website', 'site') THEN {'type': 'non_descriptive_anchor', 'priority': 'medium', 'value': anchor} END,
-  CASE WHEN (l.source_id + pos) % 5 = 0 THEN {'type': 'nofollow_internal_link', 'priority': 'low', 'value': concat(site, href)} END]) AS i) WHERE i IS NOT NULL"""
+def _security(spark, sf, given=None):
+    names = F.array_compact(F.array(*[F.when(F.col("id") % (i + 3) != 0, F.lit(n)) for i, n in enumerate(rules.HEADERS)]))
+    kind = F.when(F.col("id") % 3 == 1, "text/plain").when(F.col("id") % 3 == 2, "text/html")
+    return rules.apply_rules(_pages(spark, sf, given).withColumn("header_names", names).withColumn("content_type", kind).withColumn("mixed_content", F.lit(False)), rules.security_rules())
 
 
 @query(_ISSUE_LINKS, "url_fx")
 def issues_links(spark, sf):
-    return rules.link_issues(links.anchor_links(derived(spark, sf, "pages")), _pages(spark, sf))
+    return _links(spark, sf)
+
+
+def _links(spark, sf, given=None):
+    """Anchors of the given pages, which all name places of their own site; every fifth stands in for a nofollow one."""
+    site = F.lower(F.regexp_extract("url", "^(https?://[^/?#]+)", 1))
+    pages = derived(spark, sf, "pages")
+    anchors = links.anchor_links(pages).join(pages.select(F.col("page_id").alias("source_id"), site.alias("site")), "source_id")
+    target = F.concat("site", "href")
+    return rules.link_issues(anchors.withColumn("target_url", target).withColumn("nofollow", (F.col("source_id") + F.col("pos")) % 5 == 0).withColumn("is_internal", U.is_valid(target)), _pages(spark, sf, given))
 
 
-@query(f"SELECT * FROM ({ALL_ISSUES})", "url_fx")
+@query(f"SELECT * FROM ({ALL_ISSUES})", *_ALL)
 def audit_issues(spark, sf):
-    return rules.audit_pages(_pages(spark, sf))
+    """Every family over one written page table."""
+    given = {"url_fx": materialise(_pages(spark, sf), "url_fx")}
+    given["edge_fx"] = derived(spark, sf, "edge_fx", given)
+    out = rules.audit_pages(given["url_fx"])
+    for family in (_hreflang, _images, _structured, _redirects, _security, _links):
+        out = out.unionByName(family(spark, sf, given))
+    return out
 
 
-@query(f"WITH i AS ({ALL_ISSUES}) SELECT 'priority' AS kind, priority AS name, count(*) AS n FROM i GROUP BY priority UNION ALL SELECT 'category', category, count(*) FROM i GROUP BY category", "url_fx")
+@query(f"WITH i AS ({ALL_ISSUES}) SELECT 'priority' AS kind, priority AS name, count(*) AS n FROM i GROUP BY priority UNION ALL SELECT 'category', category, count(*) FROM i GROUP BY category", *_ALL)
 def issue_counts(spark, sf):
     return runs.issue_counts(audit_issues(spark, sf))
 
 
-@query(f"WITH i AS ({ALL_ISSUES}) SELECT category, type, priority, count(*) AS n, count(DISTINCT url_id) AS pages, list_position(['critical', 'high', 'medium', 'low', 'opportunity'], priority) AS severity FROM i GROUP BY category, type, priority", "url_fx")
+@query(f"WITH i AS ({ALL_ISSUES}) SELECT category, type, priority, count(*) AS n, count(DISTINCT url_id) AS pages, list_position(['critical', 'high', 'medium', 'low', 'opportunity'], priority) AS severity FROM i GROUP BY category, type, priority", *_ALL)
 def issue_groups(spark, sf):
     return runs.issue_groups(audit_issues(spark, sf))
 
 
-@query(f"WITH i AS ({ALL_ISSUES}) SELECT * FROM i WHERE contains(lower(url), 'duplicate') OR contains(lower(type), 'duplicate') OR contains(lower(category), 'duplicate') OR contains(lower(priority), 'duplicate') OR contains(lower(value), 'duplicate')", "url_fx")
+@query(f"WITH i AS ({ALL_ISSUES}) SELECT * FROM i WHERE contains(lower(url), 'duplicate') OR contains(lower(type), 'duplicate') OR contains(lower(category), 'duplicate') OR contains(lower(priority), 'duplicate') OR contains(lower(value), 'duplicate')", *_ALL)
 def search_issues(spark, sf):
     return runs.search_issues(audit_issues(spark, sf), "Duplicate")
 
@@ -237,12 +275,12 @@ def search_issues(spark, sf):
 _PENALTY = "CASE priority WHEN 'critical' THEN 10.0 WHEN 'high' THEN 6.0 WHEN 'medium' THEN 3.0 WHEN 'low' THEN 1.0 WHEN 'opportunity' THEN 0.5 ELSE 0 END::DOUBLE"
 
 
-@query(f"WITH i AS ({ALL_ISSUES}) SELECT p.pages, f.issues, greatest(0, least(100, floor(100 - coalesce(f.total, 0) / greatest(p.pages, 1) * 10 + 0.5)))::BIGINT AS score FROM (SELECT count(*) AS issues, sum({_PENALTY}) AS total FROM i) f, (SELECT count(*) AS pages FROM url_fx) p", "url_fx")
+@query(f"WITH i AS ({ALL_ISSUES}) SELECT p.pages, f.issues, greatest(0, least(100, floor(100 - coalesce(f.total, 0) / greatest(p.pages, 1) * 10 + 0.5)))::BIGINT AS score FROM (SELECT count(*) AS issues, sum({_PENALTY}) AS total FROM i) f, (SELECT count(*) AS pages FROM url_fx) p", *_ALL)
 def health_score(spark, sf):
     return runs.health(_pages(spark, sf), audit_issues(spark, sf))
 
 
-@query(f"WITH i AS ({ALL_ISSUES}) SELECT c.category, coalesce(f.issues, 0) AS issues, greatest(0, least(100, floor(100 - coalesce(f.total, 0) / greatest(p.pages, 1) * 10 + 0.5)))::BIGINT AS score FROM (SELECT unnest({runs.CATEGORIES}) AS category) c LEFT JOIN (SELECT category, count(*) AS issues, sum({_PENALTY}) AS total FROM i GROUP BY category) f USING (category), (SELECT count(*) AS pages FROM url_fx) p", "url_fx")
+@query(f"WITH i AS ({ALL_ISSUES}) SELECT c.category, coalesce(f.issues, 0) AS issues, greatest(0, least(100, floor(100 - coalesce(f.total, 0) / greatest(p.pages, 1) * 10 + 0.5)))::BIGINT AS score FROM (SELECT unnest({runs.CATEGORIES}) AS category) c LEFT JOIN (SELECT category, count(*) AS issues, sum({_PENALTY}) AS total FROM i GROUP BY category) f USING (category), (SELECT count(*) AS pages FROM url_fx) p", *_ALL)
 def health_by_category(spark, sf):
     return runs.health_by_category(_pages(spark, sf), audit_issues(spark, sf))
 
@@ -312,7 +350,7 @@ def referring_pages(spark, sf):
 SELECT s.address AS source_url, t.address AS target_url, f.nofollow, CASE WHEN f.nofollow THEN 20 WHEN regexp_matches(s.address, '(?i)[.](edu|gov)$') THEN 80 WHEN regexp_matches(s.address, '(?i)[.](com|org|net)$') THEN 50 ELSE 30 END AS authority, regexp_matches(s.address, '(?i)spam|porn|xxx|gambling|casino|payday|pharma|warez|torrent|blackhat') AS toxic
 FROM f JOIN url_fx s ON s.id = f.source_id JOIN url_fx t ON t.id = f.target_id""", "url_fx", "edge_fx")
 def backlinks(spark, sf):
-    return links.backlinks(derived(spark, sf, "edge_fx"), _pages(spark, sf))
+    return links.backlinks(derived(spark, sf, "edge_fx").withColumn("nofollow", F.expr("(source_id + pos) % 5 = 0")), _pages(spark, sf))
 
 
 @query("""WITH RECURSIVE r AS (SELECT min(id) AS id, 0 AS depth FROM url_fx GROUP BY run_host UNION SELECT e.target_id, r.depth + 1 FROM r JOIN edge_fx e ON e.source_id = r.id WHERE r.depth < 10)
@@ -322,11 +360,11 @@ def crawl_depth(spark, sf):
     return links.crawl_depth(derived(spark, sf, "edge_fx"), u.groupBy("run_host").agg(F.min("id").alias("id")))
 
 
-def _rank_sql(rounds: int = 5, d: float = 0.85) -> str:
+def _rank_sql(rounds: int = 20, d: float = 0.85) -> str:
     parts = ["WITH inner_ AS (SELECT DISTINCT source_id, target_id FROM edge_fx WHERE source_host = target_host), fan AS (SELECT source_id, count(*) AS fan FROM inner_ GROUP BY 1), n AS (SELECT run_host, count(*) AS n FROM url_fx GROUP BY 1), r0 AS (SELECT id, run_host, 1.0::DOUBLE / n AS rank, n FROM url_fx JOIN n USING (run_host))"]
     for i in range(rounds):
-        parts.append(f"g{i} AS (SELECT target_id AS id, sum(rank / fan) AS got FROM inner_ JOIN fan USING (source_id) JOIN r{i} ON r{i}.id = source_id GROUP BY 1), s{i} AS (SELECT run_host, sum(rank) AS stuck FROM r{i} WHERE id NOT IN (SELECT source_id FROM inner_) GROUP BY 1)")
-        parts.append(f"r{i + 1} AS (SELECT r.id, r.run_host, (1 - {d}::DOUBLE) / n + {d}::DOUBLE * (coalesce(got, 0) + coalesce(stuck, 0) / n) AS rank, n FROM r{i} r LEFT JOIN g{i} g ON g.id = r.id LEFT JOIN s{i} s ON s.run_host = r.run_host)")
+        parts.append(f"g{i} AS MATERIALIZED (SELECT target_id AS id, sum(rank / fan) AS got FROM inner_ JOIN fan USING (source_id) JOIN r{i} ON r{i}.id = source_id GROUP BY 1), s{i} AS MATERIALIZED (SELECT run_host, sum(rank) AS stuck FROM r{i} WHERE NOT EXISTS (SELECT 1 FROM fan WHERE fan.source_id = r{i}.id) GROUP BY 1)")
+        parts.append(f"r{i + 1} AS MATERIALIZED (SELECT r.id, r.run_host, (1 - {d}::DOUBLE) / n + {d}::DOUBLE * (coalesce(got, 0) + coalesce(stuck, 0) / n) AS rank, n FROM r{i} r LEFT JOIN g{i} g ON g.id = r.id LEFT JOIN s{i} s ON s.run_host = r.run_host)")
     return ", ".join(parts) + f" SELECT id, round(100 * rank / max(rank) OVER (PARTITION BY run_host), 4) AS link_score FROM r{rounds}"
 
 
@@ -373,7 +411,10 @@ _LOG = f"WITH l AS (SELECT *, {_BOT} AS bot, {_BOT} IS NOT NULL AND NOT status_c
 
 
 def _log(spark, sf):
-    return derived(spark, sf, "log_fx")
+    """The entries written as lines of a server's log, and parsed again."""
+    e = derived(spark, sf, "log_fx")
+    line = F.format_string('%s - - [%s] "%s %s HTTP/1.1" %d 512 "-" "%s"', "ip", F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss Z"), "method", "url", "status_code", "user_agent")
+    return logs.parse_lines(e.select("line_no", line.alias("value")))
 
 
 @query(_LOG + " SELECT count(*) AS total_requests, count(bot) AS bot_requests, count(DISTINCT url) AS unique_urls FROM l", "log_fx")
@@ -486,3 +527,69 @@ def url_page(spark, sf):
 @query("SELECT u.id, u.address, u.title1, coalesce((SELECT string_agg(s::VARCHAR, ',' ORDER BY s) FROM (SELECT DISTINCT source_id AS s FROM edge_fx e WHERE e.target_id = u.id)), '') AS sources, coalesce((SELECT string_agg(t::VARCHAR, ',' ORDER BY t) FROM (SELECT DISTINCT target_id AS t FROM edge_fx e WHERE e.source_id = u.id)), '') AS targets FROM url_fx u", "url_fx", "edge_fx")
 def url_detail(spark, sf):
     return runs.url_detail(_pages(spark, sf), derived(spark, sf, "edge_fx"))
+
+
+def _rendered(spark, sf):
+    """The pages with the stand-in facts written into their html, as a crawl would bring them."""
+    pages = derived(spark, sf, "rendered_fx")
+    i, address = F.col("page_id"), F.split_part("url", F.lit("#"), F.lit(1))
+    headers = F.map_concat(F.create_map(F.lit("Content-Type"), F.lit("text/html; charset=utf-8")), F.when(i % 8 == 3, F.create_map(F.lit("X-Robots-Tag"), F.lit("none"))).otherwise(F.create_map().cast("map<string,string>")), F.when(i % 7 == 2, F.create_map(F.lit("Link"), F.concat(F.lit("</x>; rel=\"next\", <"), address, F.lit(">; rel=\"canonical\"")))).otherwise(F.create_map().cast("map<string,string>")))
+    chain = F.when(i % 12 == 5, F.array(F.concat(F.lit("https://other.example.com"), F.regexp_extract("url", "^https?://[^/?#]+([^?#]*)", 1)), address))
+    return pages.withColumns({"headers": headers, "redirect_chain": chain})
+
+
+@query("SELECT u.id, title1, meta_description1, h1, h1_count, h2_count, lang, body_text, len(list_filter(string_split(body_text, ' '), lambda w: w <> ''))::INTEGER AS word_count, md5(r.html) AS hash, canonical, rel_next, rel_prev, id % 10 = 1 AS noindex, strlen(r.html)::INTEGER AS content_length FROM url_fx u JOIN rendered_fx r ON r.page_id = u.id", "url_fx", "rendered_fx")
+def extracted_pages(spark, sf):
+    """Facts that the parser finds in pages into which they were written."""
+    facts = extract.url_facts(extract.extract_pages(_rendered(spark, sf)))
+    return facts.select("id", "title1", "meta_description1", "h1", "h1_count", "h2_count", "lang", "body_text", "word_count", "hash", "canonical", "rel_next", "rel_prev", "noindex", "content_length")
+
+
+@query("""WITH a AS (SELECT page_id AS source_id, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS anchor FROM pages)
+SELECT source_id, 'a' AS link_type, nullif(trim(anchor), '') AS anchor, count(*) AS n FROM a GROUP BY ALL UNION ALL SELECT page_id, 'img', CASE WHEN page_id % 3 <> 0 THEN 'x' END, 1 FROM pages""", "url_fx")
+def extracted_links(spark, sf):
+    found = extract.link_facts(extract.extract_pages(_rendered(spark, sf)))
+    return found.groupBy("source_id", "link_type", "anchor").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id AS source_id, lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) || '/a.png' AS url, CASE WHEN page_id % 3 <> 0 THEN 'x' END AS alt, CASE WHEN page_id % 4 <> 0 THEN 640 END AS width, CASE WHEN page_id % 4 <> 0 THEN 480 END AS height, 'png' AS format FROM pages")
+def extracted_images(spark, sf):
+    return extract.image_facts(extract.extract_pages(_rendered(spark, sf))).select("source_id", "url", "alt", "width", "height", "format")
+
+
+@query("SELECT page_id AS source_id, CASE WHEN page_id % 5 = 1 THEN 'Product' END AS schema_type, CASE WHEN page_id % 5 = 0 THEN 'invalid JSON' END AS errors FROM pages WHERE page_id % 5 < 2")
+def extracted_data(spark, sf):
+    return extract.data_blocks(extract.extract_pages(_rendered(spark, sf))).select("source_id", "schema_type", "errors")
+
+
+@query("SELECT page_id AS id, 'input' AS tag, 'c' || page_id AS control_id FROM pages WHERE page_id % 2 = 1")
+def unlabelled_controls(spark, sf):
+    return extract.unlabelled_controls(extract.extract_pages(_rendered(spark, sf))).select("id", "tag", "control_id")
+
+
+_WHY = """SELECT id, address, status_code, canonical, CASE WHEN status_code = 404 THEN '404 Page Not Found' WHEN status_code = 500 THEN '500 Server Error' WHEN status_code = 0 THEN 'No Response' WHEN status_code = 302 THEN 'Redirected'
+  WHEN id % 10 = 1 THEN 'Blocked by Meta Robots' WHEN id % 8 = 3 THEN 'Blocked by X-Robots-Tag' WHEN canonical <> address THEN 'Canonicalised to ' || canonical END AS why FROM url_fx"""
+
+
+@query(f"SELECT id, why AS indexability_status, why IS NULL AS indexable FROM ({_WHY})", "url_fx")
+def indexability(spark, sf):
+    pages = _rendered(spark, sf)
+    kept = pages.select("page_id", "status_code", "headers", "redirect_chain")
+    return site.site_urls(extract.extract_pages(pages).join(kept, "page_id")).select("id", "indexability_status", "indexable")
+
+
+@query(f"""WITH w AS ({_WHY}), c AS (SELECT *, regexp_extract(address, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM w WHERE status_code = 200),
+i AS (SELECT id, address, 'non_indexable' AS type, 'medium' AS priority FROM w WHERE why IS NOT NULL
+UNION ALL SELECT id, address, 'multiple_canonicals', 'high' FROM c WHERE id % 7 = 2 AND canonical <> address
+UNION ALL SELECT id, address, 'canonical_chain_loop', 'critical' FROM c WHERE id % 12 = 5 AND canonical = 'https://other.example.com' || path
+UNION ALL SELECT id, address, 'redirect_chain', 'medium' FROM w WHERE id % 12 = 5
+UNION ALL SELECT id, address, 'missing_form_label', 'medium' FROM c WHERE id % 2 = 1
+UNION ALL SELECT id, address, 'missing_alt_text', 'high' FROM c WHERE id % 3 = 0
+UNION ALL SELECT id, address, 'missing_image_dimensions', 'low' FROM c WHERE id % 4 = 0
+UNION ALL SELECT id, address, 'structured_data_error', 'high' FROM c WHERE id % 5 = 0
+UNION ALL SELECT id, address, 'not_rich_result_eligible', 'low' FROM c WHERE id % 5 = 1)
+SELECT id AS url_id, type, priority FROM i""", "url_fx")
+def site_findings(spark, sf):
+    """The audit from raw pages on, for the types that the written facts decide."""
+    types = ["non_indexable", "multiple_canonicals", "canonical_chain_loop", "redirect_chain", "missing_form_label", "missing_alt_text", "missing_image_dimensions", "structured_data_error", "not_rich_result_eligible"]
+    return site.audit_site(_rendered(spark, sf)).filter(F.col("type").isin(types)).select("url_id", "type", "priority")

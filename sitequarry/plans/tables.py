@@ -20,10 +20,24 @@ SELECT page_id AS id, host AS run_host, concat(scheme, '://', host, '/') AS star
   CASE page_id % 9 WHEN 3 THEN 1 WHEN 6 THEN 2 ELSE 0 END AS redirect_hops
 FROM (SELECT page_id, html, regexp_extract(url, '^(https?)://', 1) AS scheme, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, split_part(url, '#', 1) AS address,
   regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '[?]([^#]*)', 1) AS query,
-  nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') AS title1, nullif(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '') AS h1,
+  nullif(trim(UNESC(regexp_extract(html, '<title>([^<]*)</title>', 1))), '') AS title1, nullif(trim(UNESC(regexp_extract(html, '<h1>([^<]*)</h1>', 1))), '') AS h1,
   CAST((length(html) - length(replace(html, '<h1>', ''))) / 4 AS INT) AS h1_count, CAST((length(html) - length(replace(html, '<h2>', ''))) / 4 AS INT) AS h2_count,
   regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
-  trim(RX(RX(RX(html, '<(script|style)[^>]*>[^<]*(</p>[^<]*)?</(script|style)>', ' '), '<[^>]+>', ' '), '[ \t\r\n]+', ' ')) AS body_text FROM pages) p
+  trim(RX(UNESC(RX(split_part(html, '<body>', 2), '<[^>]+>', '')), '[ \t\r\n]+', ' ')) AS body_text FROM pages) p
+"""
+#: The stand-in facts written into the pages, for extraction to find: descriptions, canonicals, neighbours, images, data, forms.
+RENDERED = """
+SELECT p.page_id, p.url, u.status_code,
+  replace(replace(p.html, '</head>', concat(
+    CASE WHEN u.meta_description1 IS NULL THEN '' ELSE concat('<META NAME="Description" content="', ESC(u.meta_description1), '">') END,
+    CASE WHEN u.canonical IS NULL THEN '' ELSE concat('<link rel="canonical" href="', ESC(u.canonical), '">') END,
+    CASE WHEN u.rel_next IS NULL THEN '' ELSE concat('<link rel=next href="', ESC(u.rel_next), '">') END,
+    CASE WHEN u.rel_prev IS NULL THEN '' ELSE concat('<link href="', ESC(u.rel_prev), '" rel="prev">') END,
+    CASE WHEN u.id % 10 = 1 THEN '<meta name="robots" content="NOINDEX, follow">' ELSE '' END,
+    CASE u.id % 5 WHEN 0 THEN '<script type="application/ld+json">{bad</script>' WHEN 1 THEN '<script type="application/ld+json">{"@type": "Product"}</script>' ELSE '' END, '</head>')),
+  '<body>', concat('<body><img src="/a.png"', CASE WHEN u.id % 3 = 0 THEN '' ELSE ' alt="x"' END, CASE WHEN u.id % 4 = 0 THEN '' ELSE ' width=640 height="480"' END, '>',
+    CASE WHEN u.id % 2 = 0 THEN concat('<label for="c', CAST(u.id AS VARCHAR(20)), '"></label>') ELSE '' END, '<input id="c', CAST(u.id AS VARCHAR(20)), '">')) AS html
+FROM pages p JOIN url_fx u ON u.id = p.page_id
 """
 EDGES = """
 SELECT s.id AS source_id, t.id AS target_id, s.run_host AS source_host, t.run_host AS target_host, k.pos AS pos
@@ -59,22 +73,52 @@ SELECT id * 2 AS block_id, id AS source_id, CASE id % 5 WHEN 0 THEN 'bad json' W
   CASE id % 4 WHEN 0 THEN 'Product' WHEN 1 THEN 'BreadcrumbList' WHEN 2 THEN 'LocalBusiness' ELSE 'Article' END AS schema_type FROM url_fx
 """
 #: Names in the order in which they build on each other.
-DERIVED = {"url_fx": URLS, "edge_fx": EDGES, "log_fx": LOGS, "run_b_fx": RUN_B, "image_fx": IMAGES, "alternate_fx": ALTERNATES, "block_fx": BLOCKS}
-_NEEDS = {"url_fx": ["pages"], "edge_fx": ["url_fx"], "log_fx": ["events"], "run_b_fx": ["url_fx"], "image_fx": ["url_fx"], "alternate_fx": ["edge_fx", "url_fx"], "block_fx": ["url_fx"]}
+DERIVED = {"url_fx": URLS, "rendered_fx": RENDERED, "edge_fx": EDGES, "log_fx": LOGS, "run_b_fx": RUN_B, "image_fx": IMAGES, "alternate_fx": ALTERNATES, "block_fx": BLOCKS}
+_NEEDS = {"url_fx": ["pages"], "rendered_fx": ["pages", "url_fx"], "edge_fx": ["url_fx"], "log_fx": ["events"], "run_b_fx": ["url_fx"], "image_fx": ["url_fx"], "alternate_fx": ["edge_fx", "url_fx"], "block_fx": ["url_fx"]}
+
+
+def _call(sql: str, name: str, put) -> str:
+    """Replace name(argument) by put(argument), innermost last."""
+    while (i := sql.find(name + "(")) >= 0:
+        depth, j = 0, i + len(name)
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[j], 0) if not _in_string(sql, j) else 0
+            if depth == 0:
+                break
+            j += 1
+        sql = sql[:i] + put(sql[i + len(name) + 1 : j]) + sql[j + 1 :]
+    return sql
+
+
+#: Entities of the given pages, and what an attribute value needs.
+ENTITIES = [("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")]
+
+
+def _replaces(sql: str, pairs: list[tuple[str, str]]) -> str:
+    for a, b in pairs:
+        sql = f"replace({sql}, '{a}', '{b}')"
+    return sql
+
+
+def _common(name: str) -> str:
+    sql = _call(DERIVED[name], "UNESC", lambda x: _replaces(x, ENTITIES))
+    return _call(sql, "ESC", lambda x: _replaces(x, [("&", "&amp;"), ('"', "&quot;"), ("<", "&lt;")]))
 
 
 def spark_sql(name: str) -> str:
-    return DERIVED[name].replace("RX(", "regexp_replace(")
+    return _common(name).replace("RX(", "regexp_replace(").replace("{", "{{").replace("}", "}}")  # spark.sql() formats its text
 
 
-def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table as a DataFrame; given tables are read as they are."""
+def derived(spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A derived table as a DataFrame; given tables are read as they are, `given` ones taken as they come."""
+    if given and name in given:
+        return given[name]
     if name not in DERIVED:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = spark_sql(name)
     for need in _NEEDS[name]:
         sql = _named(sql, need)
-    return spark.sql(sql, **{need: derived(spark, sf_dir, need) for need in _NEEDS[name]})
+    return spark.sql(sql, **{need: derived(spark, sf_dir, need, given) for need in _NEEDS[name]})
 
 
 def _named(sql: str, table: str) -> str:
@@ -96,16 +140,8 @@ def duck_sql(query: str, *names: str) -> str:
     parts = []
     for n in DERIVED:
         if n in wanted:
-            sql, out, at = DERIVED[n], "", 0
             # RX(x, pattern, to) replaces all matches
-            while (i := sql.find("RX(")) >= 0:
-                depth, j = 0, i + 2
-                while True:
-                    depth += {"(": 1, ")": -1}.get(sql[j], 0) if not _in_string(sql, j) else 0
-                    if depth == 0:
-                        break
-                    j += 1
-                sql = sql[:i] + "regexp_replace(" + sql[i + 3 : j] + ", 'g')" + sql[j + 1 :]
+            sql = _call(_common(n), "RX", lambda x: f"regexp_replace({x}, 'g')")
             parts.append(f"{n} AS MATERIALIZED ({sql})")
     recursive = "RECURSIVE " if re.match(r"\s*WITH\s+RECURSIVE\s", query) else ""
     body = re.sub(r"^\s*WITH\s+(RECURSIVE\s+)?", ", ", query, count=1) if re.match(r"\s*WITH\s", query) else query
