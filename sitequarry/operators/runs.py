@@ -13,6 +13,16 @@ PENALTIES = {"critical": 10.0, "high": 6.0, "medium": 3.0, "low": 1.0, "opportun
 CATEGORIES = "response-codes page-titles meta-descriptions headings content links images canonicals redirects structured-data security accessibility local-seo ecommerce urls hreflang pagination duplicates".split()
 
 
+#: Fields that a comparison of runs reads.
+COMPARED = "status_code status status_category indexability indexability_status title1 title_length meta_description1 description_length h1 h1_count h2_count canonical canonical_header meta_robots x_robots word_count content_length response_time is_secure mixed_content".split()
+
+
+def counters(urls: DataFrame) -> DataFrame:
+    """Of each site: pages found, errors, redirects, and pages read."""
+    s = F.col("status_code")
+    return urls.groupBy("run_host").agg(F.count("*").alias("found"), F.count_if((s >= 400) | (s == 0)).alias("errors"), F.count_if(s.between(300, 399)).alias("redirects"), F.count_if(s == 200).alias("crawled"))
+
+
 def mapped(address: Column, mapping: list[tuple[str, str]]) -> Column:
     """The first mapping whose old text begins the address is applied once."""
     out = F.when(F.lit(False), address)
@@ -21,7 +31,7 @@ def mapped(address: Column, mapping: list[tuple[str, str]]) -> Column:
     return out.otherwise(address)
 
 
-def diff_runs(a: DataFrame, b: DataFrame, fields: list[str], mapping: list[tuple[str, str]] | None = None) -> DataFrame:
+def diff_runs(a: DataFrame, b: DataFrame, fields: list[str] = COMPARED, mapping: list[tuple[str, str]] | None = None) -> DataFrame:
     """address, status (added, removed, changed, same), changes (field, old, new). Of repeated addresses the last id counts."""
     own = lambda df, address: df.groupBy(address.alias("address")).agg(F.max_by(F.struct(*fields), "id").alias("v"))
     x, y = own(a, mapped(F.col("address"), mapping or [])).withColumnRenamed("v", "x"), own(b, F.col("address")).withColumnRenamed("v", "y")

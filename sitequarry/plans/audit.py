@@ -113,6 +113,7 @@ UNION ALL SELECT id, address, 'redirect_loop', 'critical', NULL FROM url_fx WHER
 UNION ALL SELECT id, address, 'temporary_redirect', 'medium', status_code::VARCHAR FROM url_fx WHERE status_code IN (302, 307))"""
 SECURITY = """WITH h AS (SELECT id, address, path, list_filter(['strict-transport-security', 'content-security-policy', 'x-content-type-options', 'x-frame-options', 'referrer-policy'], lambda n, i: id % (i + 2) <> 0) AS names, CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'text/plain' ELSE 'text/html' END AS kind FROM url_fx),
 i AS (SELECT id, address, 'insecure_http' AS type, 'high' AS priority FROM h WHERE starts_with(address, 'http://')
+UNION ALL SELECT id, address, 'mixed_content', 'high' FROM h WHERE id % 9 = 4
 UNION ALL SELECT id, address, 'missing_hsts', 'medium' FROM h WHERE NOT list_contains(names, 'strict-transport-security')
 UNION ALL SELECT id, address, 'missing_csp', 'medium' FROM h WHERE NOT list_contains(names, 'content-security-policy')
 UNION ALL SELECT id, address, 'missing_x_content_type_options', 'medium' FROM h WHERE NOT list_contains(names, 'x-content-type-options')
@@ -229,7 +230,7 @@ def issues_security(spark, sf):
 def _security(spark, sf, given=None):
     names = F.array_compact(F.array(*[F.when(F.col("id") % (i + 3) != 0, F.lit(n)) for i, n in enumerate(rules.HEADERS)]))
     kind = F.when(F.col("id") % 3 == 1, "text/plain").when(F.col("id") % 3 == 2, "text/html")
-    return rules.apply_rules(_pages(spark, sf, given).withColumn("header_names", names).withColumn("content_type", kind).withColumn("mixed_content", F.lit(False)), rules.security_rules())
+    return rules.apply_rules(_pages(spark, sf, given).withColumn("header_names", names).withColumn("content_type", kind).withColumn("mixed_content", F.col("id") % 9 == 4), rules.security_rules())
 
 
 @query(_ISSUE_LINKS, "url_fx")
@@ -452,31 +453,41 @@ def log_by_hour(spark, sf):
     return logs.by_hour(_log(spark, sf))
 
 
-FIELDS = ["title1", "status_code", "word_count", "h1_count", "canonical"]
-_DIFF = "WITH a AS (SELECT address, arg_max({'title1': title1, 'status_code': status_code, 'word_count': word_count, 'h1_count': h1_count, 'canonical': canonical}, id) AS v FROM url_fx GROUP BY 1), b AS (SELECT address, arg_max({'title1': title1, 'status_code': status_code, 'word_count': word_count, 'h1_count': h1_count, 'canonical': canonical}, id) AS v FROM run_b_fx GROUP BY 1)"
-_FIELDS_SQL = " UNION ALL ".join(f"SELECT a.address, '{f}' AS field, coalesce(a.v.{f}::VARCHAR, '') AS old, coalesce(b.v.{f}::VARCHAR, '') AS \"new\" FROM a JOIN b USING (address) WHERE coalesce(a.v.{f}::VARCHAR, '') <> coalesce(b.v.{f}::VARCHAR, '')" for f in FIELDS)
+_STRUCT = "arg_max({" + ", ".join(f"'{f}': {f}" for f in runs.COMPARED) + "}, id) AS v"
+_DIFF = f"WITH a AS (SELECT address, {_STRUCT} FROM run_a_fx GROUP BY 1), b AS (SELECT address, {_STRUCT} FROM run_b_fx GROUP BY 1)"
+_FIELDS_SQL = " UNION ALL ".join(f"SELECT a.address, '{f}' AS field, coalesce(a.v.{f}::VARCHAR, '') AS old, coalesce(b.v.{f}::VARCHAR, '') AS \"new\" FROM a JOIN b USING (address) WHERE coalesce(a.v.{f}::VARCHAR, '') <> coalesce(b.v.{f}::VARCHAR, '')" for f in runs.COMPARED)
 
 
 def _diff(spark, sf):
-    return runs.diff_runs(_pages(spark, sf), derived(spark, sf, "run_b_fx"), FIELDS)
+    return runs.diff_runs(derived(spark, sf, "run_a_fx"), derived(spark, sf, "run_b_fx"))
 
 
-@query(f"{_DIFF}, c AS ({_FIELDS_SQL}) SELECT coalesce(a.address, b.address) AS address, CASE WHEN a.address IS NULL THEN 'added' WHEN b.address IS NULL THEN 'removed' WHEN c.address IS NOT NULL THEN 'changed' ELSE 'same' END AS status FROM a FULL JOIN b ON a.address = b.address LEFT JOIN (SELECT DISTINCT address FROM c) c ON c.address = a.address AND b.address IS NOT NULL", "url_fx", "run_b_fx")
+@query(f"{_DIFF}, c AS ({_FIELDS_SQL}) SELECT coalesce(a.address, b.address) AS address, CASE WHEN a.address IS NULL THEN 'added' WHEN b.address IS NULL THEN 'removed' WHEN c.address IS NOT NULL THEN 'changed' ELSE 'same' END AS status FROM a FULL JOIN b ON a.address = b.address LEFT JOIN (SELECT DISTINCT address FROM c) c ON c.address = a.address AND b.address IS NOT NULL", "run_a_fx", "run_b_fx")
 def run_diff(spark, sf):
     return _diff(spark, sf).select("address", "status")
 
 
-@query(f"{_DIFF} {_FIELDS_SQL}", "url_fx", "run_b_fx")
+@query(f"{_DIFF} {_FIELDS_SQL}", "run_a_fx", "run_b_fx")
 def run_diff_fields(spark, sf):
     return runs.changed_fields(_diff(spark, sf))
 
 
-@query(_DIFF + " SELECT address FROM b WHERE address NOT IN (SELECT address FROM a)", "url_fx", "run_b_fx")
+@query(f"{_DIFF}, c AS ({_FIELDS_SQL}) SELECT * FROM c WHERE field IN ('status_code', 'title1')", "run_a_fx", "run_b_fx")
+def run_score_card(spark, sf):
+    return runs.changed_fields(_diff(spark, sf)).filter(F.col("field").isin("status_code", "title1"))
+
+
+@query("SELECT run_host, count(*) AS found, count(*) FILTER (status_code >= 400 OR status_code = 0) AS errors, count(*) FILTER (status_code BETWEEN 300 AND 399) AS redirects, count(*) FILTER (status_code = 200) AS crawled FROM url_fx GROUP BY 1", "url_fx")
+def run_counters(spark, sf):
+    return runs.counters(_pages(spark, sf))
+
+
+@query(_DIFF + " SELECT address FROM b WHERE address NOT IN (SELECT address FROM a)", "run_a_fx", "run_b_fx")
 def run_added(spark, sf):
     return _diff(spark, sf).filter("status = 'added'").select("address")
 
 
-@query(_DIFF + " SELECT address FROM a WHERE address NOT IN (SELECT address FROM b)", "url_fx", "run_b_fx")
+@query(_DIFF + " SELECT address FROM a WHERE address NOT IN (SELECT address FROM b)", "run_a_fx", "run_b_fx")
 def run_removed(spark, sf):
     return _diff(spark, sf).filter("status = 'removed'").select("address")
 
@@ -538,7 +549,7 @@ def _rendered(spark, sf):
     return pages.withColumns({"headers": headers, "redirect_chain": chain})
 
 
-@query("SELECT u.id, title1, meta_description1, h1, h1_count, h2_count, lang, body_text, len(list_filter(string_split(body_text, ' '), lambda w: w <> ''))::INTEGER AS word_count, md5(r.html) AS hash, canonical, rel_next, rel_prev, id % 10 = 1 AS noindex, strlen(r.html)::INTEGER AS content_length FROM url_fx u JOIN rendered_fx r ON r.page_id = u.id", "url_fx", "rendered_fx")
+@query("SELECT u.id, title1, meta_description1, h1, h1_count, h2_count, nullif(lang, '') AS lang, body_text, len(list_filter(string_split(body_text, ' '), lambda w: w <> ''))::INTEGER AS word_count, md5(r.html) AS hash, canonical, rel_next, rel_prev, id % 10 = 1 AS noindex, strlen(r.html)::INTEGER AS content_length FROM url_fx u JOIN rendered_fx r ON r.page_id = u.id", "url_fx", "rendered_fx")
 def extracted_pages(spark, sf):
     """Facts that the parser finds in pages into which they were written."""
     facts = extract.url_facts(extract.extract_pages(_rendered(spark, sf)))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 URLS = """
 SELECT page_id AS id, host AS run_host, concat(scheme, '://', host, '/') AS start_url, address, path, query, title1, h1, h1_count, h2_count, lang, body_text,
   length(body_text) - length(replace(body_text, ' ', '')) + 1 AS word_count,
-  round(CAST(100 AS DOUBLE) * length(body_text) / length(html), 2) AS text_ratio, md5(html) AS hash,
+  round(CAST(100 AS DOUBLE) * length(body_text) / length(html), 2) AS text_ratio, md5(CASE WHEN page_id % 10 = 4 THEN host ELSE html END) AS hash,
   CASE page_id % 20 WHEN 7 THEN 404 WHEN 11 THEN 500 WHEN 13 THEN 302 WHEN 17 THEN 0 ELSE 200 END AS status_code,
   CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN title1 ELSE trim(substr(body_text, 1, CAST(40 + page_id % 150 AS INT))) END AS meta_description1,
   CASE page_id % 6 WHEN 0 THEN NULL WHEN 1 THEN concat('http://', host, path) WHEN 2 THEN concat('https://other.example.com', path) ELSE address END AS canonical,
@@ -22,13 +22,13 @@ FROM (SELECT page_id, html, regexp_extract(url, '^(https?)://', 1) AS scheme, lo
   regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '[?]([^#]*)', 1) AS query,
   nullif(trim(UNESC(regexp_extract(html, '<title>([^<]*)</title>', 1))), '') AS title1, nullif(trim(UNESC(regexp_extract(html, '<h1>([^<]*)</h1>', 1))), '') AS h1,
   CAST((length(html) - length(replace(html, '<h1>', ''))) / 4 AS INT) AS h1_count, CAST((length(html) - length(replace(html, '<h2>', ''))) / 4 AS INT) AS h2_count,
-  regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
+  CASE WHEN page_id % 25 = 6 THEN '' ELSE regexp_extract(html, '<html lang="([^"]*)"', 1) END AS lang,
   trim(RX(UNESC(RX(split_part(html, '<body>', 2), '<[^>]+>', '')), '[ \t\r\n]+', ' ')) AS body_text FROM pages) p
 """
 #: The stand-in facts written into the pages, for extraction to find: descriptions, canonicals, neighbours, images, data, forms.
 RENDERED = """
 SELECT p.page_id, p.url, u.status_code,
-  replace(replace(p.html, '</head>', concat(
+  replace(replace(CASE WHEN u.id % 25 = 6 THEN replace(p.html, '<html lang=', '<html data-lang=') ELSE p.html END, '</head>', concat(
     CASE WHEN u.meta_description1 IS NULL THEN '' ELSE concat('<META NAME="Description" content="', ESC(u.meta_description1), '">') END,
     CASE WHEN u.canonical IS NULL THEN '' ELSE concat('<link rel="canonical" href="', ESC(u.canonical), '">') END,
     CASE WHEN u.rel_next IS NULL THEN '' ELSE concat('<link rel=next href="', ESC(u.rel_next), '">') END,
@@ -53,9 +53,22 @@ SELECT event_id AS line_no, concat('10.0.', CAST(user_id % 256 AS VARCHAR(9)), '
   CASE user_id % 8 WHEN 0 THEN 'Mozilla/5.0 (compatible; Googlebot/2.1)' WHEN 1 THEN 'Mozilla/5.0 (compatible; bingbot/2.0)' WHEN 2 THEN 'GPTBot/1.0' WHEN 3 THEN 'ClaudeBot/1.0' WHEN 4 THEN 'Googlebot-Image/1.0' ELSE 'Mozilla/5.0 (X11)' END AS user_agent
 FROM events
 """
+#: Two runs with all the fields that a comparison reads.
+RUN_A = """
+SELECT id, address, status_code, CASE status_code WHEN 200 THEN 'OK' WHEN 404 THEN 'Not Found' WHEN 500 THEN 'Internal Server Error' WHEN 302 THEN 'Found' ELSE 'No Response' END AS status,
+  CASE status_code WHEN 200 THEN 'success' WHEN 404 THEN 'client-error' WHEN 500 THEN 'server-error' WHEN 302 THEN 'redirect' ELSE 'no-response' END AS status_category,
+  CASE WHEN status_code = 200 THEN 'indexable' ELSE 'non-indexable' END AS indexability, CASE WHEN status_code <> 200 THEN concat('status ', CAST(status_code AS VARCHAR(9))) END AS indexability_status,
+  title1, length(title1) AS title_length, meta_description1, length(meta_description1) AS description_length, h1, h1_count, h2_count, canonical,
+  CASE WHEN id % 7 = 2 THEN address END AS canonical_header, CASE WHEN id % 10 = 1 THEN 'noindex' END AS meta_robots, CASE WHEN id % 8 = 3 THEN 'none' END AS x_robots, word_count, word_count * 7 AS content_length,
+  id % 700 AS response_time, address LIKE 'https:%' AS is_secure, id % 9 = 4 AS mixed_content
+FROM url_fx
+"""
 RUN_B = """
-SELECT id, CASE WHEN id % 11 = 3 THEN concat(address, '-new') ELSE address END AS address, CASE WHEN id % 5 = 2 THEN concat(title1, ' v2') ELSE title1 END AS title1,
-  CASE WHEN id % 13 = 4 THEN 404 ELSE status_code END AS status_code, word_count, h1_count, canonical FROM url_fx WHERE id % 7 <> 6
+SELECT id, CASE WHEN id % 11 = 3 THEN concat(address, '-new') ELSE address END AS address, CASE WHEN id % 13 = 4 THEN 404 ELSE status_code END AS status_code, status, status_category, indexability,
+  CASE WHEN id % 13 = 4 THEN 'status 404' ELSE indexability_status END AS indexability_status, CASE WHEN id % 5 = 2 THEN concat(title1, ' v2') ELSE title1 END AS title1, CASE WHEN id % 5 = 2 THEN title_length + 3 ELSE title_length END AS title_length,
+  meta_description1, description_length, CASE WHEN id % 6 = 1 THEN NULL ELSE h1 END AS h1, h1_count, h2_count + CAST(id % 3 AS INT) AS h2_count, canonical, CASE WHEN id % 7 = 2 THEN '' ELSE canonical_header END AS canonical_header, CASE WHEN id % 20 = 1 THEN 'none' ELSE meta_robots END AS meta_robots,
+  x_robots, word_count, content_length, response_time + 1 AS response_time, is_secure, id % 9 = 5 AS mixed_content
+FROM run_a_fx WHERE id % 7 <> 6
 """
 IMAGES = """
 SELECT id * 2 + k.pos AS image_id, id AS source_id, concat(start_url, 'img/', CAST(id % 40 AS VARCHAR(9)), '.png') AS url,
@@ -73,8 +86,8 @@ SELECT id * 2 AS block_id, id AS source_id, CASE id % 5 WHEN 0 THEN 'bad json' W
   CASE id % 4 WHEN 0 THEN 'Product' WHEN 1 THEN 'BreadcrumbList' WHEN 2 THEN 'LocalBusiness' ELSE 'Article' END AS schema_type FROM url_fx
 """
 #: Names in the order in which they build on each other.
-DERIVED = {"url_fx": URLS, "rendered_fx": RENDERED, "edge_fx": EDGES, "log_fx": LOGS, "run_b_fx": RUN_B, "image_fx": IMAGES, "alternate_fx": ALTERNATES, "block_fx": BLOCKS}
-_NEEDS = {"url_fx": ["pages"], "rendered_fx": ["pages", "url_fx"], "edge_fx": ["url_fx"], "log_fx": ["events"], "run_b_fx": ["url_fx"], "image_fx": ["url_fx"], "alternate_fx": ["edge_fx", "url_fx"], "block_fx": ["url_fx"]}
+DERIVED = {"url_fx": URLS, "rendered_fx": RENDERED, "edge_fx": EDGES, "log_fx": LOGS, "run_a_fx": RUN_A, "run_b_fx": RUN_B, "image_fx": IMAGES, "alternate_fx": ALTERNATES, "block_fx": BLOCKS}
+_NEEDS = {"url_fx": ["pages"], "rendered_fx": ["pages", "url_fx"], "edge_fx": ["url_fx"], "log_fx": ["events"], "run_a_fx": ["url_fx"], "run_b_fx": ["run_a_fx"], "image_fx": ["url_fx"], "alternate_fx": ["edge_fx", "url_fx"], "block_fx": ["url_fx"]}
 
 
 def _call(sql: str, name: str, put) -> str:
