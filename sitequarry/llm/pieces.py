@@ -32,7 +32,7 @@ N_BEST = 3
 SPACE = "▁"
 #: The offset of the Zipf-Mandelbrot law; nothing is fitted to a corpus.
 MANDELBROT = 1000
-#: Characters of words kept in a task; then the caches start anew.
+#: Characters of words kept in a Python worker from task to task; then the caches start anew.
 CACHE_CHARS = 4_000_000
 _state: dict = {}
 
@@ -297,7 +297,6 @@ def encode_documents(docs: DataFrame, model: str | None = None, n_best: int = N_
                 kinds = [long, long, pa.float64(), pa.list_(pa.float64()), longs, long, long, long, pa.bool_(), longs, pa.list_(longs), longs]
                 names = ["n_pieces", "ids_crc32", "score", "n_best", "n_best_crc32", "n_merged", "merged_crc32", "decoded_crc32", "round_trip", *lists]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["doc_id", *names])
-        coder.clear()
 
     more = ", ids array<long>, n_best_ids array<array<long>>, merge_ids array<long>" if with_ids else ""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, OUT + more)
