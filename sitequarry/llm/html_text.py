@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitequarry.llm.common import attach, discard, materialise
+from sitequarry.llm.common import attach, materialise
 from sitequarry.llm.words import text_slices
 
 #: A subtree is template when it recurs on at least so many distinct pages of its host, and on this share of them; or
@@ -229,19 +229,18 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHA
     section = F.regexp_extract(F.coalesce("url", F.lit("")), "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^/?#]+)/", 1)
     read = materialise(own.mapInArrow(_reader(lists), PAGE).withColumn("uid", F.monotonically_increasing_id()).withColumn("host", host).withColumn("section", section), "page_blocks")
     nodes = F.array_distinct(F.concat(F.flatten("owners"), F.flatten("others")))
-    gone = read
+    held, n_pages = read, read.count()
     for i, keys in enumerate((["host"], ["host", "section"])):
         distinct = read.groupBy(*keys, "digest").agg(F.min("uid").alias("uid"))
         sizes = distinct.groupBy(*keys).agg(F.count("*").alias("pages"))
         counts = read.join(distinct.select("uid"), "uid", "left_semi").select(*keys, F.explode(nodes).alias("node")).groupBy(*keys, "node").agg(F.count("*").alias("on_pages")).filter(F.col("on_pages") >= least_pages)
-        template = materialise(counts.join(sizes, keys).filter(F.col("on_pages") >= share * F.col("pages")).select(*keys, "node", "on_pages"), "template_nodes")
-        if template.isEmpty():
-            gone = gone.withColumn(f"gone{i}", F.array().cast("array<long>"))
-        else:
-            held = read.select("uid", *keys, F.explode(nodes).alias("node"))
-            hit = attach(held, template, [*keys, "node"], held.count(), "on_pages").filter("on_pages is not null").groupBy("uid").agg(F.collect_set("node").alias(f"gone{i}"))
-            gone = gone.join(hit, "uid", "left").withColumn(f"gone{i}", F.coalesce(f"gone{i}", F.array().cast("array<long>")))
-    gone = gone.withColumn("gone", F.concat("gone0", "gone1"))
+        # each node is on that share of the pages, so a list has at most 1 / share times the nodes of a mean page
+        lists = counts.join(sizes, keys).filter(F.col("on_pages") >= share * F.col("pages")).groupBy(*keys).agg(F.collect_list("node").alias(f"gone{i}"))
+        rows = read.groupBy(*keys).agg(F.count("*").alias(f"rows{i}"))
+        template = materialise(lists.join(rows, keys), "template_nodes")
+        held = attach(held, template, keys, n_pages, f"rows{i}").drop(f"rows{i}")
+    listed = F.concat(*[F.coalesce(f"gone{i}", F.array().cast("array<long>")) for i in range(2)])
+    gone = held.withColumn("gone", F.array_intersect(nodes, listed))
     kept = F.filter(F.arrays_zip("texts", "owners"), lambda b: ~F.arrays_overlap(b["owners"], F.col("gone")))
     out = gone.withColumn("kept", F.transform(kept, lambda b: b["texts"])).withColumn("text", F.array_join("kept", "\n\n"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), (F.size("texts") - F.size("kept") + F.size(F.filter("others", lambda o: F.arrays_overlap(o, F.col("gone"))))).alias("n_blocks_removed"))
