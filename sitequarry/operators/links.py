@@ -42,6 +42,11 @@ def referring_pages(edges: DataFrame, urls: DataFrame) -> DataFrame:
     return rows.select("target_host", "source_url", "target_url", "source_host").distinct()
 
 
+def referring_domains(referring: DataFrame) -> DataFrame:
+    """target_host, domains, pages: distinct hosts that refer to a host, and referring links between pages."""
+    return referring.groupBy("target_host").agg(F.count_distinct("source_host").alias("domains"), F.count("*").alias("pages"))
+
+
 def backlinks(edges: DataFrame, urls: DataFrame) -> DataFrame:
     """Links from other hosts, one per (source, target), with authority and toxicity of the source. edges: with nofollow."""
     rows = edges.filter("source_host <> target_host")

@@ -39,19 +39,20 @@ def issues_without_advice(issues: DataFrame, urls: DataFrame) -> DataFrame:
 def validate_listing(lines: DataFrame) -> DataFrame:
     """doc, line_no, error of listing texts (doc, line_no, line); line_no 0 is about the whole text.
 
-    A text needs a header line and at least one address; entries are list items with an absolute address, and a line
-    that is indented must follow an entry.
+    A text needs a header line (#) and an entry (- URL: address); addresses are absolute; lines of an entry up to the next
+    blank one are its title or description. A text without a line has no rows.
     """
     line = F.trim(F.coalesce("line", F.lit("")))
-    link = F.regexp_extract(line, "^- *\\[[^\\]]*\\]\\(([^)]*)\\)", 1)
+    entry, head = F.startswith(line, F.lit("- URL:")), F.startswith(line, F.lit("#"))
     w = Window.partitionBy("doc").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    marker = F.when(line == "", "blank").when(link != "", "entry")
-    rows = lines.select("doc", "line_no", F.col("line").alias("raw"), line.alias("line"), link.alias("link"), F.last(marker, ignorenulls=True).over(w).alias("before"))
-    bad = rows.filter((F.col("link") != "") & ~U.is_seed(F.col("link"))).select("doc", "line_no", F.lit("bad address").alias("error"))
-    stray = rows.filter((F.col("line") != "") & (F.col("link") == "") & F.col("raw").rlike("^\\s+\\S") & ~F.col("before").eqNullSafe("entry")).select("doc", "line_no", F.lit("stray line").alias("error"))
-    totals = rows.groupBy("doc").agg(F.bool_or(F.col("line").rlike("^# ")).alias("header"), F.count_if(U.is_seed(F.col("link"))).alias("addresses"))
-    whole = totals.select("doc", F.lit(0).alias("line_no"), F.explode(F.array_compact(F.array(F.when(~F.col("header"), "no header"), F.when(F.col("addresses") == 0, "no addresses")))).alias("error"))
-    return bad.unionByName(stray).unionByName(whole)
+    state = F.last(F.when(line == "", False).when(entry, True), ignorenulls=True).over(w)
+    rows = lines.select("doc", "line_no", line.alias("line"), entry.alias("entry"), head.alias("head"), F.coalesce(state, F.lit(False)).alias("inside"))
+    known = F.startswith("line", F.lit("Title:")) | F.startswith("line", F.lit("Description:"))
+    error = F.when(F.col("entry") & ~U.is_seed(F.trim(F.substring("line", 7, 1 << 30))), "bad address").when(F.col("inside") & ~F.col("entry") & ~F.col("head") & ~known & (F.col("line") != ""), "stray line")
+    bad = rows.select("doc", "line_no", error.alias("error")).filter("error IS NOT NULL")
+    totals = rows.groupBy("doc").agg(F.bool_or("head").alias("header"), F.bool_or("entry").alias("entries"))
+    whole = totals.select("doc", F.lit(0).alias("line_no"), F.explode(F.array_compact(F.array(F.when(~F.col("header"), "no header"), F.when(~F.col("entries"), "no addresses")))).alias("error"))
+    return bad.unionByName(whole)
 
 
 def admit(found: DataFrame, seen: DataFrame, most_depth: int | None = None, include: list[str] | None = None, exclude: list[str] | None = None, search_pages: bool = True) -> DataFrame:

@@ -94,15 +94,14 @@ def search_issues(issues: DataFrame, term: str) -> DataFrame:
     return issues.filter(hit)
 
 
-def url_page(urls: DataFrame, by: str = "id", limit: int = 25, offset: int = 0) -> DataFrame:
-    return urls.orderBy(by, "id").offset(offset).limit(limit)
+def url_page(urls: DataFrame, by: str = "id", limit: int = 25, offset: int = 0, descending: bool = False) -> DataFrame:
+    return urls.orderBy(F.desc(by) if descending else F.asc(by), "id").offset(offset).limit(limit)
 
 
 def url_detail(urls: DataFrame, edges: DataFrame) -> DataFrame:
-    """Each page with its sorted sources and targets."""
-    ins = edges.groupBy(F.col("target_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("source_id")), ",").alias("sources"))
-    outs = edges.groupBy(F.col("source_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("target_id")), ",").alias("targets"))
-    return urls.select("id", "address", "title1").join(ins, "id", "left").join(outs, "id", "left").select("id", "address", "title1", F.coalesce("sources", F.lit("")).alias("sources"), F.coalesce("targets", F.lit("")).alias("targets"))
+    """id, address, title1, direction (in, out), other: one row per neighbour of a page, one with nulls where there is none."""
+    ways = [edges.select(F.col(a).alias("id"), F.lit(way).alias("direction"), F.col(b).alias("other")) for way, a, b in (("in", "target_id", "source_id"), ("out", "source_id", "target_id"))]
+    return urls.select("id", "address", "title1").join(ways[0].unionByName(ways[1]).distinct(), "id", "left")
 
 
 def robots_rules(texts: DataFrame) -> DataFrame:
@@ -141,14 +140,25 @@ def escape_xml(c: Column) -> Column:
 
 
 def listed(urls: DataFrame) -> DataFrame:
-    return urls.filter("status_code = 200")
+    """Pages with status 200; where the table says so, only those inside the site that may be indexed."""
+    rows = urls.filter("status_code = 200")
+    for flag in {"is_internal", "indexable"} & set(urls.columns):
+        rows = rows.filter(F.col(flag))
+    return rows
 
 
-def sitemap_rows(urls: DataFrame, images: DataFrame) -> DataFrame:
-    """id and one <url> element of each listed page, with its images in order."""
+def last_modified(urls: DataFrame, default: str | None = None) -> Column:
+    """The page's own date, or else the crawl's, the given one, or today."""
+    own = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in ("last_modified", "crawled_at") if c in urls.columns]
+    return F.coalesce(*own, F.lit(default), F.current_date().cast("string"))
+
+
+def sitemap_rows(urls: DataFrame, images: DataFrame, dated: bool = False, lastmod: str | None = None) -> DataFrame:
+    """id and one <url> element of each listed page, with its images in order, and its date if `dated`."""
     per_page = images.groupBy(F.col("source_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("image_id", "url"))).alias("images"))
     image = F.transform(F.coalesce("images", F.array().cast("array<struct<image_id:bigint,url:string>>")), lambda i: F.concat(F.lit("<image:image><image:loc>"), escape_xml(i["url"]), F.lit("</image:loc></image:image>")))
-    return listed(urls).join(per_page, "id", "left").select("id", F.concat(F.lit("<url><loc>"), escape_xml(F.col("address")), F.lit("</loc>"), F.array_join(image, ""), F.lit("</url>")).alias("xml"))
+    date = F.concat(F.lit("<lastmod>"), escape_xml(last_modified(urls, lastmod)), F.lit("</lastmod>")) if dated else F.lit("")
+    return listed(urls).join(per_page, "id", "left").select("id", F.concat(F.lit("<url><loc>"), escape_xml(F.col("address")), F.lit("</loc>"), date, F.array_join(image, ""), F.lit("</url>")).alias("xml"))
 
 
 def llms_rows(urls: DataFrame) -> DataFrame:
@@ -158,6 +168,15 @@ def llms_rows(urls: DataFrame) -> DataFrame:
     return listed(urls).select("id", F.concat(F.lit("- ["), title, F.lit("]("), "address", F.lit(")"), about).alias("line"))
 
 
+def llms_listing(urls: DataFrame) -> DataFrame:
+    """id, text: an entry of each listed page with title and description where it has them; the row without id is the head."""
+    rows = listed(urls)
+    field = lambda label, c: F.when(F.coalesce(F.trim(c), F.lit("")) != "", F.concat(F.lit(f"\n  {label}: "), F.trim(c))).otherwise("")
+    entries = rows.select(F.col("id").cast("long").alias("id"), F.concat(F.lit("- URL: "), "address", field("Title", "title1"), field("Description", "meta_description1")).alias("text"))
+    head = rows.agg(F.count("*").alias("n")).select(F.lit(None).cast("long").alias("id"), F.concat(F.lit("# LLMs.txt - AI Search Visibility\n# Total pages: "), F.col("n").cast("string")).alias("text"))
+    return head.unionByName(entries)
+
+
 def export_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Chosen columns, or all by name; nested ones as JSON, null as empty text."""
     out = []

@@ -535,7 +535,8 @@ def url_page(spark, sf):
     return runs.url_page(_pages(spark, sf), "word_count", 25, 25).select("id", "address", "status_code")
 
 
-@query("SELECT u.id, u.address, u.title1, coalesce((SELECT string_agg(s::VARCHAR, ',' ORDER BY s) FROM (SELECT DISTINCT source_id AS s FROM edge_fx e WHERE e.target_id = u.id)), '') AS sources, coalesce((SELECT string_agg(t::VARCHAR, ',' ORDER BY t) FROM (SELECT DISTINCT target_id AS t FROM edge_fx e WHERE e.source_id = u.id)), '') AS targets FROM url_fx u", "url_fx", "edge_fx")
+@query("""WITH n AS (SELECT DISTINCT target_id AS id, 'in' AS direction, source_id AS other FROM edge_fx UNION ALL SELECT DISTINCT source_id, 'out', target_id FROM edge_fx)
+SELECT u.id, u.address, u.title1, n.direction, n.other FROM url_fx u LEFT JOIN n USING (id)""", "url_fx", "edge_fx")
 def url_detail(spark, sf):
     return runs.url_detail(_pages(spark, sf), derived(spark, sf, "edge_fx"))
 

@@ -12,9 +12,9 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def scan_urls(urls: DataFrame, run: int | None = None, status: str | None = None, content_type: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
-    """Pages by run, status category and content type, in the order of their ids."""
-    for column, value in (("crawl_run_id", run), ("status_category", status), ("content_type", content_type)):
+def scan_urls(urls: DataFrame, run: int | None = None, status: str | None = None, content_type: str | None = None, limit: int | None = None, offset: int = 0, internal: bool | None = None) -> DataFrame:
+    """Pages by run, place (inside the site or not), status category and content type, in the order of their ids."""
+    for column, value in (("crawl_run_id", run), ("is_internal", internal), ("status_category", status), ("content_type", content_type)):
         if value is not None:
             urls = urls.filter(F.col(column) == value)
     out = urls.orderBy("id").offset(offset)
@@ -40,7 +40,7 @@ def robots_sitemaps(texts: DataFrame) -> DataFrame:
     return texts.select("host", F.explode(F.regexp_extract_all("text", F.lit("(?im)^Sitemap:[ \\t]*(\\S+)"), F.lit(1))).alias("url"))
 
 
-def crawl_delays(texts: DataFrame, agents: tuple[str, ...] = ("open", "seo")) -> DataFrame:
+def crawl_delays(texts: DataFrame, agents: tuple[str, ...]) -> DataFrame:
     """host, delay: of the last named agent that contains one of `agents`, or else of *; 0 counts as unset."""
     lines = texts.select("host", F.posexplode(F.split("text", "\\r?\\n")).alias("line_no", "line"))
     key, value = F.lower(F.trim(F.split_part("line", F.lit(":"), F.lit(1)))), F.trim(F.expr("substring(line, instr(line, ':') + 1)"))
@@ -79,6 +79,34 @@ def analytics_metrics(rows: DataFrame) -> DataFrame:
     return rows.select(F.try_element_at(m, F.lit("pagePath")).alias("path"), number("screenPageViews", "pageviews").alias("views"), number("sessions").alias("sessions"))
 
 
+_SPEED = """lighthouseResult STRUCT<categories: STRUCT<performance: STRUCT<score: DOUBLE>>, audits: MAP<STRING, STRUCT<numericValue: DOUBLE, displayValue: STRING, details: STRUCT<overallSavingsMs: DOUBLE>>>>,
+loadingExperience STRUCT<metrics: MAP<STRING, STRUCT<percentile: DOUBLE>>, originLoadingExperience: STRUCT<metrics: MAP<STRING, STRUCT<percentile: DOUBLE>>>>"""
+# Columns and the names of the measures that fill them.
+AUDITS = {"first_contentful_paint": "first-contentful-paint", "largest_contentful_paint": "largest-contentful-paint", "time_to_interactive": "interactive", "total_blocking_time": "total-blocking-time", "cumulative_layout_shift": "cumulative-layout-shift", "speed_index": "speed-index"}
+FIELD = {"lcp": "LARGEST_CONTENTFUL_PAINT_MS", "inp": "INTERACTION_TO_NEXT_PAINT_MS", "cls": "CUMULATIVE_LAYOUT_SHIFT_SCORE"}
+
+
+def page_speed(reports: DataFrame) -> DataFrame:
+    """Page-speed reports (url, strategy, body as JSON text) as metrics, with savings and diagnostics in the report's order.
+
+    What a report lacks is null; a body that is no JSON gives a row of nulls and empty lists.
+    """
+    rows = reports.select("url", "strategy", F.from_json("body", _SPEED).alias("r"))
+    audits, near, origin = F.col("r.lighthouseResult.audits"), F.col("r.loadingExperience.metrics"), F.col("r.loadingExperience.originLoadingExperience.metrics")
+    saves = lambda a: F.coalesce(a["value"]["details"]["overallSavingsMs"] > 0, F.lit(False))
+    shown = lambda a: (F.coalesce(a["value"]["displayValue"], F.lit("")) != "") & ~a["key"].isin("first-contentful-paint", "largest-contentful-paint")
+    entries = F.coalesce(F.map_entries(audits), F.expr("CAST(array() AS ARRAY<STRUCT<key: STRING, value: STRUCT<numericValue: DOUBLE, displayValue: STRING, details: STRUCT<overallSavingsMs: DOUBLE>>>>)"))
+    savings = F.transform(F.filter(entries, saves), lambda a: F.concat(a["key"], F.lit(": save "), F.format_string("%.0fms", a["value"]["details"]["overallSavingsMs"])))
+    diagnostics = F.transform(F.filter(entries, lambda a: ~saves(a) & shown(a)), lambda a: F.concat(a["key"], F.lit(": "), a["value"]["displayValue"]))
+    return rows.select(
+        "url", "strategy", (F.col("r.lighthouseResult.categories.performance.score") * 100).alias("performance_score"),
+        *[audits[name]["numericValue"].alias(c) for c, name in AUDITS.items()],
+        *[near[name]["percentile"].alias(f"crux_{c}") for c, name in FIELD.items()],
+        *[origin[name]["percentile"].alias(f"crux_origin_{c}") for c, name in FIELD.items()],
+        savings.alias("opportunities"), diagnostics.alias("diagnostics"),
+    )
+
+
 def recent(metrics: DataFrame, date: str, lag_days: int, span_days: int = 30) -> DataFrame:
     """The window of metric rows that ends lag_days before today."""
     end = F.date_sub(F.current_date(), lag_days)

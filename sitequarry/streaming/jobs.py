@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sitequarry.operators import logs, rules
+from sitequarry.operators import logs, rules, store
 
 EVENT = "run string, ts timestamp, done long, total long, status string"
 
@@ -40,12 +40,23 @@ def page_issues(pages: DataFrame) -> DataFrame:
     return rules.apply_rules(pages, rules.title_rules() + rules.meta_rules() + rules.url_rules())
 
 
-def append_pages(pages: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch appends its pages and its findings that need other pages, against what is stored."""
+def append_pages(pages: DataFrame, folder: str, checkpoint: str, run: int = 0) -> StreamingQuery:
+    """Each micro-batch appends its pages and the duplicate titles that it touches, against what is stored.
 
-    def store(batch: DataFrame, _: int) -> None:
-        batch.write.mode("append").parquet(f"{folder}/urls")
-        stored = batch.sparkSession.read.parquet(f"{folder}/urls")
-        rules.duplicates(stored, "run_host", "title1", "page-titles", "duplicate_title").write.mode("overwrite").parquet(f"{folder}/duplicates")
+    Both are stored under the batch's number, so a batch that runs again replaces itself.
+    """
 
-    return pages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def write(batch: DataFrame, number: int) -> None:
+        store.append(batch, folder, "urls", run, number)
+        stored = store.read(batch.sparkSession, folder, "urls", run).filter(F.col("batch") <= number)
+        title = F.lower(F.trim("title1"))
+        touched = stored.filter(F.col("batch") == number).select("run_host", title.alias("title_key")).distinct()
+        rows = stored.withColumn("title_key", title).join(touched, ["run_host", "title_key"], "left_semi")
+        store.append(rules.duplicates(rows, "run_host", "title1", "page-titles", "duplicate_title"), folder, "duplicates", run, number)
+
+    return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def duplicate_titles(spark: SparkSession, folder: str, run: int = 0) -> DataFrame:
+    """The newest duplicate finding of each page."""
+    return store.newest(store.read(spark, folder, "duplicates", run), "url_id")

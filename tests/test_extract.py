@@ -39,7 +39,7 @@ def test_readers(spark, tmp_path):
     (tmp_path / "s.xml").write_text("<urlset><url><loc>https://a.test/1</loc></url><url><loc> https://a.test/2</loc></url></urlset>")
     assert sorted(r["url"] for r in readers.sitemap_urls(spark, str(tmp_path / "s.xml")).collect()) == ["https://a.test/1", "https://a.test/2"]
     texts = spark.createDataFrame([("h", "User-agent: *\nCrawl-delay: 5\nUser-agent: openbot\nCrawl-delay: 2\nSitemap: https://h/s.xml"), ("g", "User-agent: *\nCrawl-delay: 0")], "host string, text string")
-    assert {r["host"]: r["delay"] for r in readers.crawl_delays(texts).collect()} == {"h": 2.0, "g": None}
+    assert {r["host"]: r["delay"] for r in readers.crawl_delays(texts, ("open", "seo")).collect()} == {"h": 2.0, "g": None}
     assert [r["url"] for r in readers.robots_sitemaps(texts).collect()] == ["https://h/s.xml"]
     (tmp_path / "m.json").write_text('{"https://old/": "https://new/"}')
     mapping = readers.url_mapping(spark, str(tmp_path / "m.json"))

@@ -12,10 +12,10 @@ def test_requests(spark):
 
 
 def test_listing(spark):
-    text = {"good": "# T\n\n- [A](https://a.test/): x\n  more", "bad": "- [A](nope)\n\n  stray"}
+    text = {"good": "# T\n\n- URL: https://a.test/\n  Title: x\n  Description: y\n# note\n\nfree text", "bad": "- URL: nope\n  more\n\n  no entry", "none": "text"}
     lines = spark.createDataFrame([(d, i + 1, x) for d, t in text.items() for i, x in enumerate(t.split("\n"))], "doc string, line_no int, line string")
     got = sorted(tuple(r) for r in prompts.validate_listing(lines).collect())
-    assert got == [("bad", 0, "no addresses"), ("bad", 0, "no header"), ("bad", 1, "bad address"), ("bad", 3, "stray line")]
+    assert got == [("bad", 0, "no header"), ("bad", 1, "bad address"), ("bad", 2, "stray line"), ("none", 0, "no addresses"), ("none", 0, "no header")]
 
 
 def test_admission(spark):
