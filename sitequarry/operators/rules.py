@@ -205,10 +205,12 @@ def pagination_issues(urls: DataFrame) -> DataFrame:
 
 
 def hreflang_issues(alternates: DataFrame, urls: DataFrame) -> DataFrame:
-    """Findings of alternate links (source_id, source, target, hreflang): targets and return links are joined."""
+    """Findings of alternate links (source_id, source, target, hreflang): targets, by address or else in normal form, and return links are joined."""
     pages = urls.groupBy(F.col("address").alias("target")).agg(F.max_by("status_code", "id").alias("target_status")).withColumn("crawled", F.lit(True))
     back = alternates.select(F.col("target").alias("source"), F.col("source").alias("target")).distinct().withColumn("returns", F.lit(True))
-    rows = alternates.join(pages, "target", "left").join(back, ["source", "target"], "left")
+    normal = urls.groupBy(U.normalize(F.col("address")).alias("normal")).agg(F.max_by("status_code", "id").alias("normal_status")).filter("normal IS NOT NULL").withColumn("known", F.lit(True))
+    rows = alternates.withColumn("normal", U.normalize(F.col("target"))).join(pages, "target", "left").join(normal, "normal", "left").join(back, ["source", "target"], "left")
+    rows = rows.withColumns({"target_status": F.when(F.col("crawled"), F.col("target_status")).otherwise(F.col("normal_status")), "crawled": F.coalesce("crawled", "known")})
     tagged = ~_blank(F.trim("hreflang"))
     per_link = apply_rules(rows, [
         Rule("hreflang", "missing_hreflang", "high", ~tagged, F.col("target")),

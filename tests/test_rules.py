@@ -152,3 +152,10 @@ def test_content_score_bands(spark):
     row = spark.createDataFrame([(1, "alpha beta. alpha gamma.", None, "H", 1, 2, "H", "")], "id long, text string, word_count int, h1 string, h1_count int, h2_count int, title1 string, meta_description1 string")
     got = keywords.content_score(row, "alpha").first()
     assert got["keyword_density"] == 50.0 and got["headings"] == 100 and "add_meta_description" in got["suggestions"]
+
+
+def test_alternates_in_normal_form(spark):
+    urls = spark.createDataFrame([(1, "https://a.test/", 200), (2, "https://a.test/x", 404), (3, None, 500)], "id long, address string, status_code int")
+    found = spark.createDataFrame([(1, "https://a.test/", "https://A.test:443/x", "en"), (1, "https://a.test/", None, "de"), (1, "https://a.test/", "https://b.test/", "fr")], "source_id long, source string, target string, hreflang string")
+    got = sorted((r["type"], r["value"]) for r in rules.hreflang_issues(found, urls).collect())
+    assert got == [("hreflang_to_non_200", "404"), ("missing_hreflang_return_tag", "https://A.test:443/x")]
