@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitequarry.llm import exact_dedup, fim, html_text, licenses, near_dedup, neighbours, packing, pieces, quality, sharding, toxicity
+from sitequarry.llm import exact_dedup, fim, html_text, licenses, near_dedup, neighbours, packing, pieces, quality, secrets, sharding, toxicity
 from sitequarry.llm.common import table
 
 
@@ -54,8 +54,12 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_licenses, op3_toxicity, op4_packing, op5_neighbours, op6_exact_dedup, op7_pieces, op8_html_text, op9_near_dedup, op10_quality, op11_fim)}
+    return {f.__name__: f for f in (op1_sharding, op2_licenses, op3_toxicity, op4_packing, op5_neighbours, op6_exact_dedup, op7_pieces, op8_html_text, op9_near_dedup, op10_quality, op11_fim, op12_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
