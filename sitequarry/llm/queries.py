@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitequarry.llm import exact_dedup, fim, html_text, licenses, near_dedup, neighbours, packing, pieces, quality, secrets, sharding, toxicity
+from sitequarry.llm import exact_dedup, fim, html_text, licenses, near_dedup, negatives, neighbours, packing, pieces, quality, secrets, sharding, toxicity
 from sitequarry.llm.common import table
 
 
@@ -58,12 +58,16 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_licenses, op3_toxicity, op4_packing, op5_neighbours, op6_exact_dedup, op7_pieces, op8_html_text, op9_near_dedup, op10_quality, op11_fim, op12_secrets)}
+    return {f.__name__: f for f in (op1_sharding, op2_licenses, op3_toxicity, op4_packing, op5_neighbours, op6_exact_dedup, op7_pieces, op8_html_text, op9_near_dedup, op10_quality, op11_fim, op12_secrets, op13_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licenses": licenses.oracle(), "op6_exact_dedup": OP6, "op11_fim": fim.ORACLE}
+    return {"op2_licenses": licenses.oracle(), "op6_exact_dedup": OP6, "op11_fim": fim.ORACLE, "op13_negatives": negatives.ORACLE}
 
 
 #: A-Z alone are lower-cased: translate() leaves every other character as it is.
