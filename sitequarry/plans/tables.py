@@ -39,6 +39,10 @@ SELECT p.page_id, p.url, u.status_code,
     CASE WHEN u.id % 2 = 0 THEN concat('<label for="c', CAST(u.id AS VARCHAR(20)), '"></label>') ELSE '' END, '<input id="c', CAST(u.id AS VARCHAR(20)), '">')) AS html
 FROM pages p JOIN url_fx u ON u.id = p.page_id
 """
+#: Text of a page without menus, footers and the like: SQL's side of what the parser's main_text is.
+MAIN = """
+SELECT page_id AS id, trim(RX(UNESC(RX(RX(RX(RX(RX(RX(split_part(split_part(html, '<body>', 2), '</body>', 1), '(?s)<nav>.*?</nav>', ''), '(?s)<footer>.*?</footer>', ''), '(?s)<header>.*?</header>', ''), '(?s)<aside>.*?</aside>', ''), '(?s)<(script|style)>.*?</(script|style)>', ''), '<[^>]+>', '')), '[ \t\r\n]+', ' ')) AS main_text FROM pages
+"""
 EDGES = """
 SELECT s.id AS source_id, t.id AS target_id, s.run_host AS source_host, t.run_host AS target_host, k.pos AS pos
 FROM (SELECT id, run_host, row_number() OVER (PARTITION BY run_host ORDER BY id) - 1 AS rn, count(*) OVER (PARTITION BY run_host) AS cnt FROM url_fx) s
@@ -86,8 +90,8 @@ SELECT id * 2 AS block_id, id AS source_id, CASE id % 5 WHEN 0 THEN 'bad json' W
   CASE id % 4 WHEN 0 THEN 'Product' WHEN 1 THEN 'BreadcrumbList' WHEN 2 THEN 'LocalBusiness' ELSE 'Article' END AS schema_type FROM url_fx
 """
 #: Names in the order in which they build on each other.
-DERIVED = {"url_fx": URLS, "rendered_fx": RENDERED, "edge_fx": EDGES, "log_fx": LOGS, "run_a_fx": RUN_A, "run_b_fx": RUN_B, "image_fx": IMAGES, "alternate_fx": ALTERNATES, "block_fx": BLOCKS}
-_NEEDS = {"url_fx": ["pages"], "rendered_fx": ["pages", "url_fx"], "edge_fx": ["url_fx"], "log_fx": ["events"], "run_a_fx": ["url_fx"], "run_b_fx": ["run_a_fx"], "image_fx": ["url_fx"], "alternate_fx": ["edge_fx", "url_fx"], "block_fx": ["url_fx"]}
+DERIVED = {"url_fx": URLS, "rendered_fx": RENDERED, "main_fx": MAIN, "edge_fx": EDGES, "log_fx": LOGS, "run_a_fx": RUN_A, "run_b_fx": RUN_B, "image_fx": IMAGES, "alternate_fx": ALTERNATES, "block_fx": BLOCKS}
+_NEEDS = {"url_fx": ["pages"], "rendered_fx": ["pages", "url_fx"], "main_fx": ["pages"], "edge_fx": ["url_fx"], "log_fx": ["events"], "run_a_fx": ["url_fx"], "run_b_fx": ["run_a_fx"], "image_fx": ["url_fx"], "alternate_fx": ["edge_fx", "url_fx"], "block_fx": ["url_fx"]}
 
 
 def _call(sql: str, name: str, put) -> str:
