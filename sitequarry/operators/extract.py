@@ -5,34 +5,51 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitequarry.functions import text as T
 from sitequarry.functions import urls as U
-
-_LINK = "array<struct<kind:string,href:string,text:string,rel:string,target:string,hreflang:string,pos:int>>"
-FACTS = (
-    "titles array<string>, descriptions array<string>, keywords array<string>, robots string, h1 array<string>, h2 array<string>, canonical string, rel_next string, rel_prev string, base string, lang string, body_text string, main_text string, "
-    f"links {_LINK}, images array<struct<src:string,alt:string,width:string,height:string,kind:string,pos:int>>, json_ld array<string>, microdata array<string>, controls array<struct<tag:string,id:string,labelled:boolean>>, labels array<string>, resources array<string>"
-)
+from sitequarry.operators.selectors import VOID
+
+LINK, IMAGE, CONTROL = ("kind", "href", "text", "rel", "target", "hreflang", "pos"), ("src", "alt", "width", "height", "kind", "pos"), ("tag", "id", "labelled")
+#: Columns of extract_pages: texts, lists of texts, lists of structs.
+FACT_TYPES = {
+    "titles": "array<string>", "descriptions": "array<string>", "keywords": "array<string>", "robots": "string", "h1": "array<string>", "h2": "array<string>", "canonical": "string", "rel_next": "string", "rel_prev": "string", "base": "string", "lang": "string", "body_text": "string", "main_text": "string",
+    "links": "array<struct<kind:string,href:string,text:string,rel:string,target:string,hreflang:string,pos:int>>", "images": "array<struct<src:string,alt:string,width:string,height:string,kind:string,pos:int>>",
+    "json_ld": "array<string>", "microdata": "array<string>", "controls": "array<struct<tag:string,id:string,labelled:boolean>>", "labels": "array<string>", "resources": "array<string>",
+}
+FACT_NAMES = list(FACT_TYPES)
 #: Elements that main_text leaves out, and inputs that need no label.
 ASIDE = {"script", "style", "nav", "footer", "header", "aside"}
 UNLABELLED_TYPES = {"hidden", "submit", "button", "image", "reset"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+#: Elements that may stand before a page's body; any other start tag, or text, begins it.
+HEAD = {"html", "head", "title", "meta", "link", "script", "style", "base", "noscript", "template"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class _Reader(HTMLParser):
+    """Facts of one page in one pass. Open elements are counted by name, so a tag costs no walk through those around it."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.f: dict = {k: [] for k in "titles descriptions keywords h1 h2 links images json_ld microdata controls labels resources".split()}
         self.f |= dict.fromkeys("robots canonical rel_next rel_prev base lang".split())
         self.open: list[str] = []
-        self.take: list[tuple[str, list]] = []
+        self.count: Counter[str] = Counter()
+        self.aside = 0
+        self.in_body = False
+        self.anchor: list | None = None  # the texts of the open link
+        self.heading: list | None = None  # the texts of the open heading
+        self.title: list | None = None
+        self.data: list | None = None  # the texts of the open data block
         self.body: list[str] = []
         self.main: list[str] = []
 
@@ -45,17 +62,23 @@ class _Reader(HTMLParser):
         for k, v in attrs:
             a.setdefault(k, v or "")
         f = self.f
+        if tag == "a" and self.count["a"]:  # a link ends the one before
+            self.handle_endtag("a")
+        if tag in HEADINGS and self.open and self.open[-1] in HEADINGS:
+            self.handle_endtag(self.open[-1])
+        self.in_body = self.in_body or tag not in HEAD
         if tag not in VOID:
             self.open.append(tag)
+            self.count[tag] += 1
+            self.aside += tag in ASIDE
         if tag == "html" and f["lang"] is None:
             f["lang"] = a.get("lang")
         if "itemscope" in a:
             f["microdata"].append(a.get("itemtype", ""))
-        if "url(" in a.get("style", ""):
-            src = a["style"].split("url(", 1)[1].split(")", 1)[0].strip("'\"")
-            self._add_link("css", src, a)
-            f["images"].append((src, None, None, None, "background", len(f["images"])))
-        if tag == "meta":
+        for src in re.findall(r"url\(\s*[\"']?([^)\"']*)", a.get("style", "")):
+            self._add_link("css", src.strip(), a)
+            f["images"].append((src.strip(), None, None, None, "background", len(f["images"])))
+        if tag == "meta" and not self.in_body:
             name, content = a.get("name", "").lower(), a.get("content")
             if name in ("description", "keywords") and content is not None:
                 f["descriptions" if name == "description" else "keywords"].append(content)
@@ -66,7 +89,7 @@ class _Reader(HTMLParser):
         elif tag == "link":
             rel = a.get("rel", "").lower()
             for word, key in (("canonical", "canonical"), ("next", "rel_next"), ("prev", "rel_prev")):
-                if word == rel and f[key] is None:
+                if word == rel and f[key] is None and not self.in_body:
                     f[key] = a.get("href")
             if rel in ("stylesheet", "alternate"):
                 self._add_link("css" if rel == "stylesheet" else "link", a.get("href"), a)
@@ -84,42 +107,65 @@ class _Reader(HTMLParser):
         elif tag == "a":
             self._add_link("a", a.get("href"), a)
             if a.get("href"):
-                self.take.append((tag, f["links"][-1]))
+                self.anchor = f["links"][-1][2] = []
         elif tag in ("iframe", "script"):
             self._add_link(tag, a.get("src"), a)
             if tag == "script":
                 f["resources"].append(a.get("src", ""))
                 if a.get("type", "").lower() == "application/ld+json":
-                    f["json_ld"].append("")
+                    self.data = []
+                    f["json_ld"].append(self.data)
         elif tag == "form":
             self._add_link("form", a.get("action"), a)
         elif tag == "label" and a.get("for"):
             f["labels"].append(a["for"])
+        elif tag == "title" and not self.in_body:
+            self.title = []
+            f["titles"].append(self.title)
+        elif tag in ("h1", "h2"):
+            self.heading = []
+            f[tag].append(self.heading)
         if tag in ("input", "select", "textarea") and a.get("type", "").lower() not in UNLABELLED_TYPES:
             f["controls"].append((tag, a.get("id", ""), any(a.get(k) for k in ("aria-label", "aria-labelledby", "title", "placeholder"))))
-        if tag in ("title", "h1", "h2"):
-            key = "titles" if tag == "title" else tag
-            f[key].append("")
-            self.take.append((tag, f[key]))
 
     def handle_endtag(self, tag):
-        if tag in self.open:
-            while self.open and self.open.pop() != tag:
-                pass
-        self.take = [t for t in self.take if t[0] != tag]
+        if tag == "head":
+            self.title = None
+        if tag in HEADINGS and not self.count[tag]:  # any heading's end tag ends the open one
+            tag = next((h for h in HEADINGS if self.count[h]), tag)
+        if not self.count[tag]:
+            return
+        while self.open:
+            name = self.open.pop()
+            self.count[name] -= 1
+            self.aside -= name in ASIDE
+            if name == "a":
+                self.anchor = None
+            elif name in HEADINGS:
+                self.heading = None
+            elif name == "title":
+                self.title = None
+            elif name == "script":
+                self.data = None
+            if name == tag:
+                return
 
     def handle_data(self, data):
-        if self.f["json_ld"] and self.open and self.open[-1] == "script":
-            self.f["json_ld"][-1] += data
-        for tag, to in self.take:
-            if tag == "a":
-                to[2] = (to[2] or "") + data
-            else:
-                to[-1] += data
-        if "body" in self.open:
-            self.body.append(data)
-            if not ASIDE & set(self.open):
-                self.main.append(data)
+        if self.data is not None:
+            self.data.append(data)
+        if self.title is not None:
+            self.title.append(data)
+            return
+        if not self.in_body and not data.isspace() and not (self.open and self.open[-1] in ("script", "style", "title", "noscript", "template")):
+            self.in_body = True
+        if not self.in_body:
+            return
+        for to in (self.anchor, self.heading):
+            if to is not None:
+                to.append(data)
+        self.body.append(data)
+        if not self.aside:
+            self.main.append(data)
 
 
 def read_facts(html: str | None) -> dict:
@@ -127,24 +173,42 @@ def read_facts(html: str | None) -> dict:
     r.feed(html or "")
     r.close()
     f = r.f
-    f["links"] = [tuple(x) for x in f["links"]]
+    f["links"] = [dict(zip(LINK, [*x[:2], "".join(x[2]) if isinstance(x[2], list) else x[2], *x[3:]])) for x in f["links"]]
+    f["images"] = [dict(zip(IMAGE, x)) for x in f["images"]]
+    f["controls"] = [dict(zip(CONTROL, x)) for x in f["controls"]]
+    for k in ("titles", "h1", "h2", "json_ld"):
+        f[k] = ["".join(x) for x in f[k]]
     return f | {"body_text": " ".join("".join(r.body).split()), "main_text": " ".join("".join(r.main).split())}
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, html and the facts of each page. Null html gives empty lists and texts."""
-    names = [c.split()[0] for c in FACTS.replace(_LINK, "x").replace("struct<src:string,alt:string,width:string,height:string,kind:string,pos:int>", "x").replace("struct<tag:string,id:string,labelled:boolean>", "x").split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            facts = pd.DataFrame([read_facts(h) for h in b["html"]], columns=names)
-            yield pd.concat([b.reset_index(drop=True), facts], axis=1)
-
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(run, f"page_id long, url string, html string, {FACTS}")
+    """The pages with the facts of each: one row for each row, repeated ones too. Null html gives empty lists and texts.
+
+    Columns besides page_id, url and html come along, but those named like a fact.
+    """
+    more = [c for c in pages.columns if c not in ("page_id", "url", "html") and c.lower() not in FACT_NAMES]
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", *more)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, texts = pa.string(), pa.list_(pa.string())
+        kinds = dict.fromkeys("robots canonical rel_next rel_prev base lang body_text main_text".split(), s)
+        link = pa.list_(pa.struct([(c, pa.int32() if c == "pos" else s) for c in LINK]))
+        image = pa.list_(pa.struct([(c, pa.int32() if c == "pos" else s) for c in IMAGE]))
+        kinds |= {"links": link, "images": image, "controls": pa.list_(pa.struct([("tag", s), ("id", s), ("labelled", pa.bool_())]))}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):  # only so many pages are Python objects at once
+                part = batch.slice(at, 200)
+                found = [read_facts(h) for h in part.column("html").to_pylist()]
+                columns = [pa.array([f[n] for f in found], kinds.get(n, texts)) for n in FACT_NAMES]
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *FACT_NAMES])
+
+    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
+    return rows.mapInArrow(run, ", ".join(own + [f"{n} {t}" for n, t in FACT_TYPES.items()]))
 
 
 def url_facts(facts: DataFrame) -> DataFrame:
-    """The wide page table: titles, descriptions, headings, canonicals, text measures."""
+    """The wide page table: titles, descriptions, headings, canonicals, text measures, and the columns that came with the pages."""
+    more = [c for c in facts.columns if c not in ("page_id", "url", "html", *FACT_NAMES)]
     at = lambda c, i: T.clean(F.get(c, F.lit(i)))
     robots = F.transform(F.split(F.lower(F.coalesce("robots", F.lit(""))), ","), lambda x: F.trim(x))
     out = facts.select(
@@ -152,7 +216,7 @@ def url_facts(facts: DataFrame) -> DataFrame:
         at("h1", 0).alias("h1"), F.size("h1").alias("h1_count"), at("h2", 0).alias("h2"), F.size("h2").alias("h2_count"), "robots", F.arrays_overlap(robots, F.array(F.lit("noindex"), F.lit("none"))).alias("noindex"), F.arrays_overlap(robots, F.array(F.lit("nofollow"), F.lit("none"))).alias("nofollow"),
         U.resolve("canonical", "url").alias("canonical"), U.resolve("rel_next", "url").alias("rel_next"), U.resolve("rel_prev", "url").alias("rel_prev"), "lang", "body_text", "main_text",
         F.size(F.filter(F.split("body_text", " "), lambda w: w != "")).alias("word_count"), F.when(F.length("html") > 0, F.round(100.0 * F.length("body_text") / F.length("html"), 2)).alias("text_ratio"), F.md5("html").alias("hash"), F.octet_length("html").alias("content_length"),
-        (U.is_https(F.col("url")) & F.exists("resources", lambda r: r.startswith("http:"))).alias("mixed_content"),
+        (U.is_https(F.col("url")) & F.exists("resources", lambda r: r.startswith("http:"))).alias("mixed_content"), *more,
     )
     return out
 
@@ -175,12 +239,12 @@ def image_facts(facts: DataFrame) -> DataFrame:
 
 def data_blocks(facts: DataFrame) -> DataFrame:
     """Structured data: kind, type label, errors and warnings."""
-    ld = facts.select(F.col("page_id").alias("source_id"), F.posexplode("json_ld").alias("pos", "data"))
+    ld = facts.select(F.col("page_id").alias("source_id"), F.col("url").alias("source_url"), F.posexplode("json_ld").alias("pos", "data"))
     parsed = F.try_parse_json("data")
     listed = F.array_join(F.expr("try_variant_get(try_parse_json(data), '$[\\'@type\\']', 'array<string>')"), ", ")
     label = F.coalesce(listed, F.try_variant_get(parsed, "$['@type']", "string"), F.regexp_extract("data", '"@type"\\s*:\\s*"([^"]*)"', 1))
-    ld = ld.select("source_id", "pos", F.lit("json-ld").alias("kind"), F.nullif(label, F.lit("")).alias("schema_type"), F.when(parsed.isNull(), "invalid JSON").alias("errors"), F.lit(None).cast("string").alias("warnings"), F.lit(False).alias("eligible"))
-    micro = facts.select(F.col("page_id").alias("source_id"), F.posexplode("microdata").alias("pos", "type")).select("source_id", "pos", F.lit("microdata").alias("kind"), F.element_at(F.split("type", "/"), -1).alias("schema_type"), F.lit(None).cast("string").alias("errors"), F.lit("microdata is not checked").alias("warnings"), F.lit(False).alias("eligible"))
+    ld = ld.select("source_id", "source_url", "pos", F.lit("json-ld").alias("kind"), F.nullif(label, F.lit("")).alias("schema_type"), F.when(parsed.isNull(), "invalid JSON").alias("errors"), F.lit(None).cast("string").alias("warnings"), F.lit(False).alias("eligible"))
+    micro = facts.select(F.col("page_id").alias("source_id"), F.col("url").alias("source_url"), F.posexplode("microdata").alias("pos", "type")).select("source_id", "source_url", "pos", F.lit("microdata").alias("kind"), F.element_at(F.split("type", "/"), -1).alias("schema_type"), F.lit(None).cast("string").alias("errors"), F.lit("microdata is not checked").alias("warnings"), F.lit(False).alias("eligible"))
     return ld.unionByName(micro)
 
 

@@ -222,13 +222,17 @@ def hreflang_issues(alternates: DataFrame, urls: DataFrame) -> DataFrame:
     return per_link.unionByName(several.select(F.col("source_id").alias("url_id"), F.col("source").alias("url"), *_issue("hreflang", "inconsistent_hreflang", "medium", F.col("lang"))))
 
 
+def link_rules() -> list[Rule]:
+    return [
+        Rule("links", "non_descriptive_anchor", "medium", T.is_empty_anchor(F.col("anchor")), F.col("anchor")),
+        Rule("links", "nofollow_internal_link", "low", F.col("nofollow") & F.col("is_internal"), F.col("target_url")),
+    ]
+
+
 def link_issues(links: DataFrame, urls: DataFrame) -> DataFrame:
     """One finding per link of a known page: anchors that say nothing, and nofollow inside the site."""
     rows = links.join(urls.select("id", "address"), links["source_id"] == F.col("id"))
-    return apply_rules(rows, [
-        Rule("links", "non_descriptive_anchor", "medium", T.is_empty_anchor(F.col("anchor")), F.col("anchor")),
-        Rule("links", "nofollow_internal_link", "low", F.col("nofollow") & F.col("is_internal"), F.col("target_url")),
-    ])
+    return apply_rules(rows, link_rules())
 
 
 def unsafe_link_issues(links: DataFrame) -> DataFrame:

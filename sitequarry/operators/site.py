@@ -47,15 +47,18 @@ def site_urls(facts: DataFrame) -> DataFrame:
     Facts of the page itself hold for status 200 only; others keep their address and status.
     """
     own = extract.url_facts(facts)
-    fetched = facts.select(F.col("page_id").alias("id"), "status_code", "headers", "redirect_chain")
     ok = F.col("status_code").eqNullSafe(200)
-    keep = {"id", "url"}
-    rows = own.join(fetched, "id").select("id", F.split_part("url", F.lit("#"), F.lit(1)).alias("address"), *[F.when(ok, F.col(c)).alias(c) for c in own.columns if c not in keep], "status_code", "headers", "redirect_chain")
+    keep = {"id", "url", "status_code", "headers", "redirect_chain"}
+    rows = own.select("id", F.split_part("url", F.lit("#"), F.lit(1)).alias("address"), *[F.when(ok, F.col(c)).alias(c) for c in own.columns if c not in keep], "status_code", "headers", "redirect_chain")
     rows = rows.withColumn("run_host", U.host(F.col("address"))).withColumn("x_robots", header("x-robots-tag")).withColumn("canonical_header", header_link("canonical", header("link")))
     why = indexability_status(F.col("status_code"), F.col("robots"), F.col("x_robots"), F.col("canonical"), F.col("canonical_header"), F.col("address"))
     return rows.withColumn("indexability_status", why).withColumn("indexable", F.col("indexability_status").isNull())
 
 
+def _page(url: Column) -> Column:
+    return F.split_part(url, F.lit("#"), F.lit(1))
+
+
 def index_rules() -> list[rules.Rule]:
     both = ~rules._blank("canonical") & ~rules._blank("canonical_header")
     chain = F.coalesce("redirect_chain", F.array().cast("array<string>"))
@@ -78,14 +81,13 @@ def audit_site(pages: DataFrame) -> DataFrame:
     Pages are parsed once and their facts written; every family reads those. Null html gives no facts; an empty table
     gives no findings.
     """
-    kept = pages.select(F.col("page_id").cast("long").alias("page_id"), "status_code", "headers", "redirect_chain")
-    facts = materialise(extract.extract_pages(pages).join(kept, "page_id"), "page_facts")
+    facts = materialise(extract.extract_pages(pages), "page_facts")
     urls = materialise(site_urls(facts), "site_urls")
     ok = facts.filter("status_code = 200")
     links = materialise(extract.link_facts(ok), "site_links")
     images = extract.image_facts(ok).withColumn("size", F.lit(None).cast("long")).withColumn("status_code", F.lit(None).cast("int"))
     alternates = links.filter("link_type = 'link' AND lower(rel) = 'alternate'").select("source_id", F.col("source_url").alias("source"), F.col("target_url").alias("target"), "hreflang")
-    blocks = extract.data_blocks(ok).join(urls.select(F.col("id").alias("source_id"), "address"), "source_id")
+    blocks = extract.data_blocks(ok).withColumn("address", _page(F.col("source_url")))
     secured = urls.withColumn("header_names", F.map_keys("headers")).withColumn("content_type", F.trim(F.split_part(header("content-type"), F.lit(";"), F.lit(1))))
     row_rules = rules.response_rules() + rules.title_rules("title1", "title2") + rules.meta_rules("meta_description1", "meta_description2") + rules.heading_rules() + rules.url_rules() + rules.content_rules() + rules.language_rules() + rules.redirect_rules() + index_rules() + rules.security_rules()
     parts = [
@@ -94,8 +96,8 @@ def audit_site(pages: DataFrame) -> DataFrame:
         rules.canonical_issues(urls),
         rules.pagination_issues(urls),
         rules.hreflang_issues(alternates, urls),
-        rules.image_issues(images, urls),
-        rules.link_issues(links.filter("link_type = 'a'"), urls),
+        rules.apply_rules(images.join(urls.select(F.col("id").alias("source_id"), "address").distinct(), "source_id"), rules.image_rules(), "source_id"),
+        rules.apply_rules(links.filter("link_type = 'a'").withColumn("address", _page(F.col("source_url"))), rules.link_rules(), "source_id"),
         rules.unsafe_link_issues(links),
         rules.apply_rules(blocks, rules.structured_rules(), "source_id"),
         label_issues(ok),

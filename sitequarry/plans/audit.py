@@ -586,8 +586,7 @@ _WHY = """SELECT id, address, status_code, canonical, CASE WHEN status_code = 40
 @query(f"SELECT id, why AS indexability_status, why IS NULL AS indexable FROM ({_WHY})", "url_fx")
 def indexability(spark, sf):
     pages = _rendered(spark, sf)
-    kept = pages.select("page_id", "status_code", "headers", "redirect_chain")
-    return site.site_urls(extract.extract_pages(pages).join(kept, "page_id")).select("id", "indexability_status", "indexable")
+    return site.site_urls(extract.extract_pages(pages)).select("id", "indexability_status", "indexable")
 
 
 @query(f"""WITH w AS ({_WHY}), c AS (SELECT *, regexp_extract(address, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM w WHERE status_code = 200),

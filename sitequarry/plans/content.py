@@ -1,12 +1,12 @@
-"""Registered queries on what pages say: near duplicates, semantic neighbours, and their SQL."""
+"""Registered queries on what pages say: near duplicates, semantic neighbours, custom extraction, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sitequarry.operators import extract, similar
+from sitequarry.operators import extract, selectors, similar
 from sitequarry.plans.audit import query
-from sitequarry.plans.tables import derived
+from sitequarry.plans.tables import ENTITIES, _replaces, derived
 
 #: All pairs of pages over their shared five-word runs, and the classes that links of 0.9 make.
 _NEAR = """WITH RECURSIVE w AS (SELECT id, list_filter(string_split(main_text, ' '), lambda x: x <> '') AS w FROM main_fx),
@@ -43,3 +43,24 @@ def semantic_neighbours(spark, sf):
     """Rows of at least 0.35 cosine: the given vectors are spread so evenly that few are nearer."""
     rows = similar.semantic_neighbours(derived(spark, sf, "embeddings"), 0.35, every=50, recall=0.99999)
     return rows.withColumn("similarity", F.round("similarity", 6))
+
+
+_RULES = [
+    selectors.Extraction("title", "head > title"),
+    selectors.Extraction("menu", "nav li a[href]", multiple=True, attribute="href"),
+    selectors.Extraction("advert", "body > div.ad, div.banner", multiple=True),
+    selectors.Extraction("heading", "article h1, main h1"),
+    selectors.Extraction("paths", r'href="/([^"]*)"', "regex", multiple=True),
+]
+_PLAIN = lambda x: f"trim(regexp_replace({_replaces(x, ENTITIES)}, '[ \t\r\n]+', ' ', 'g'))"
+_ALL = lambda name, x: f"SELECT page_id, '{name}' AS name, unnest(range(len({x})))::INTEGER AS pos, unnest({x}) AS value FROM pages"
+_FIRST = lambda name, pattern: f"SELECT page_id, '{name}' AS name, 0 AS pos, {_PLAIN(f'regexp_extract(html, {pattern!r}, 1)')} AS value FROM pages WHERE regexp_matches(html, {pattern!r})"
+
+
+@query(" UNION ALL ".join([
+    _FIRST("title", "<title>([^<]*)</title>"), _ALL("menu", "list_transform(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<a href=\"([^\"]*)\">', 1), lambda x: " + _replaces("x", ENTITIES) + ")"),
+    "SELECT page_id, name, pos, " + _PLAIN("value") + " AS value FROM (" + _ALL("advert", "regexp_extract_all(html, '<div class=\"ad\">([^<]*)</div>', 1)") + ")", _FIRST("heading", "<h1>([^<]*)</h1>"), _ALL("paths", "regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1)"),
+]))
+def custom_extraction(spark, sf):
+    """Selectors and a pattern over the raw pages."""
+    return selectors.custom_extraction(derived(spark, sf, "pages"), _RULES)
