@@ -174,34 +174,58 @@ def _issue(category: str, kind: str, priority: str, value: Column) -> list[Colum
     return [F.lit(category).alias("category"), F.lit(kind).alias("type"), F.lit(priority).alias("priority"), value.cast("string").alias("value")]
 
 
+def canonical_rules() -> list[Rule]:
+    """Rules of one declared canonical (`target`, its normal form `resolved`) against what is known of it."""
+    c, a, normal = F.col("target"), F.col("address"), F.coalesce("resolved", "target")
+    return [
+        Rule("canonicals", "canonical_to_non_200", "high", F.col("crawled") & ~F.col("target_status").eqNullSafe(200), F.col("target_status")),
+        Rule("canonicals", "canonical_to_different_url", "medium", normal != F.coalesce(U.normalize(a), a), c),
+        Rule("canonicals", "canonical_to_http", "high", U.is_https(a) & U.is_http(normal), c),
+        Rule("canonicals", "canonical_to_different_domain", "high", U.host(normal) != U.host(a), U.host(normal)),
+    ]
+
+
 def canonical_issues(urls: DataFrame) -> DataFrame:
-    """Canonical findings of pages with address and canonical; the target's status comes from the crawled pages."""
-    statuses = urls.groupBy(F.col("address").alias("target")).agg(F.max_by("status_code", "id").alias("target_status"), F.lit(True).alias("crawled"))
-    rows = urls.withColumn("target", F.col("canonical")).join(statuses.withColumn("crawled", F.lit(True)), "target", "left")
-    has, c, a = ~_blank("canonical"), F.col("canonical"), F.col("address")
-    return apply_rules(rows, [
-        Rule("canonicals", "missing_canonical", "medium", ~has),
-        Rule("canonicals", "canonical_to_non_200", "high", has & F.col("crawled").isNotNull() & ~F.col("target_status").eqNullSafe(200), F.col("target_status")),
-        Rule("canonicals", "canonical_to_different_url", "medium", has & (c != a), c),
-        Rule("canonicals", "canonical_to_http", "high", has & U.is_https(a) & U.is_http(c), c),
-        Rule("canonicals", "canonical_to_different_domain", "high", has & (U.host(c) != U.host(a)), U.host(c)),
-    ])
+    """Canonical findings of pages with address, canonical and perhaps canonical_header.
+
+    A page without either lacks one; each distinct one is held against the crawled pages in normal form, so a default port
+    or the case of a host makes no difference. Of pages that share a normal form the one with the greatest id counts.
+    """
+    both = F.array("canonical", "canonical_header") if "canonical_header" in urls.columns else F.array("canonical")
+    declared = F.array_distinct(F.filter(F.transform(both, lambda c: F.trim(c)), lambda c: ~_blank(c)))
+    rows = urls.select("id", "address", declared.alias("declared"))
+    normal = lambda c: F.coalesce(U.normalize(F.col(c)), F.col(c))
+    statuses = urls.groupBy(normal("address").alias("resolved")).agg(F.max_by(F.struct("status_code"), "id")["status_code"].alias("target_status"), F.lit(True).alias("crawled"))
+    links = rows.select("id", "address", F.explode("declared").alias("target")).withColumn("resolved", normal("target")).join(statuses, "resolved", "left")
+    missing = apply_rules(rows, [Rule("canonicals", "missing_canonical", "medium", F.size("declared") == 0)])
+    return missing.unionByName(apply_rules(links.withColumn("crawled", F.coalesce("crawled", F.lit(False))), canonical_rules()))
+
+
+def next_rules() -> list[Rule]:
+    """Rules of rel_next (`target`) against the page at it (`page`: status_code, rel_next, rel_prev; null if unknown)."""
+    page, known, ok = F.col("page"), F.col("page").isNotNull(), F.col("page.status_code").eqNullSafe(200)
+    return [
+        Rule("pagination", "last_page_with_next", "medium", ~known, F.col("target")),
+        Rule("pagination", "broken_pagination_next", "high", known & ~ok, page["status_code"]),
+        Rule("pagination", "missing_reciprocal_prev", "medium", known & ok & ~page["rel_prev"].eqNullSafe(F.col("address")), F.col("target")),
+    ]
+
+
+def prev_rules() -> list[Rule]:
+    """Rules of rel_prev, likewise."""
+    page, known, ok = F.col("page"), F.col("page").isNotNull(), F.col("page.status_code").eqNullSafe(200)
+    return [
+        Rule("pagination", "broken_pagination_prev", "high", ~known | ~ok, F.col("target")),
+        Rule("pagination", "missing_reciprocal_next", "medium", known & ok & ~page["rel_next"].eqNullSafe(F.col("address")), F.col("target")),
+        Rule("pagination", "first_page_with_prev", "medium", U.is_first_page(F.col("address")), F.col("target")),
+    ]
 
 
 def pagination_issues(urls: DataFrame) -> DataFrame:
     """Findings of rel=next and rel=prev: both neighbours are joined by address."""
-    page = urls.groupBy("address").agg(F.max_by(F.struct("status_code", "rel_next", "rel_prev"), "id").alias("p"))
-    rows = urls.join(page.select(F.col("address").alias("rel_next"), F.col("p").alias("n")), "rel_next", "left").join(page.select(F.col("address").alias("rel_prev"), F.col("p").alias("b")), "rel_prev", "left")
-    nxt, prev, n, b = ~_blank("rel_next"), ~_blank("rel_prev"), F.col("n"), F.col("b")
-    ok_next, ok_prev = n["status_code"].eqNullSafe(200), b["status_code"].eqNullSafe(200)
-    return apply_rules(rows, [
-        Rule("pagination", "last_page_with_next", "medium", nxt & n.isNull(), F.col("rel_next")),
-        Rule("pagination", "broken_pagination_next", "high", nxt & n.isNotNull() & ~ok_next, n["status_code"]),
-        Rule("pagination", "missing_reciprocal_prev", "medium", nxt & n.isNotNull() & ok_next & ~n["rel_prev"].eqNullSafe(F.col("address")), F.col("rel_next")),
-        Rule("pagination", "broken_pagination_prev", "high", prev & (b.isNull() | ~ok_prev), F.col("rel_prev")),
-        Rule("pagination", "missing_reciprocal_next", "medium", prev & b.isNotNull() & ok_prev & ~b["rel_next"].eqNullSafe(F.col("address")), F.col("rel_prev")),
-        Rule("pagination", "first_page_with_prev", "medium", prev & U.is_first_page(F.col("address")), F.col("rel_prev")),
-    ])
+    page = urls.groupBy(F.col("address").alias("target")).agg(F.max_by(F.struct("status_code", "rel_next", "rel_prev"), "id").alias("page"))
+    of = lambda c, rules: apply_rules(urls.filter(~_blank(c)).select("id", "address", F.col(c).alias("target")).join(page, "target", "left"), rules)
+    return of("rel_next", next_rules()).unionByName(of("rel_prev", prev_rules()))
 
 
 def hreflang_issues(alternates: DataFrame, urls: DataFrame) -> DataFrame:

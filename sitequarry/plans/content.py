@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitequarry.operators import extract, selectors, similar
-from sitequarry.plans.audit import query
+from sitequarry.operators.scratch import folder
+from sitequarry.plans.audit import CANONICALS, EXACT, PAGINATION, _duplicates, query
 from sitequarry.plans.tables import ENTITIES, _replaces, derived
+from sitequarry.streaming import upkeep
 
 #: All pairs of pages over their shared five-word runs, and the classes that links of 0.9 make.
 _NEAR = """WITH RECURSIVE w AS (SELECT id, list_filter(string_split(main_text, ' '), lambda x: x <> '') AS w FROM main_fx),
@@ -64,3 +66,18 @@ _FIRST = lambda name, pattern: f"SELECT page_id, '{name}' AS name, 0 AS pos, {_P
 def custom_extraction(spark, sf):
     """Selectors and a pattern over the raw pages."""
     return selectors.custom_extraction(derived(spark, sf, "pages"), _RULES)
+
+
+_KEPT = [_duplicates("title1", "page-titles", "duplicate_title"), _duplicates("meta_description1", "meta-description", "duplicate_meta_description"), _duplicates("h1", "headings", "duplicate_h1"), EXACT, CANONICALS, PAGINATION]
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({q})" for q in _KEPT), "url_fx")
+def incremental_findings(spark, sf):
+    """Pages taken in by three batches, a third of them first with another title, status and next page."""
+    place, pages = folder(spark, "findings"), derived(spark, sf, "url_fx").select(*upkeep.COLUMNS)
+    early = F.col("id") % 3 == 1
+    first = pages.filter(early).withColumns({"title1": F.lit("draft"), "status_code": F.lit(404), "rel_next": F.col("address")})
+    upkeep.take_in(first.unionByName(pages.filter("id % 3 = 0")), 0, place)
+    upkeep.take_in(pages.filter("id % 3 = 2"), 1, place)
+    upkeep.take_in(pages.filter(early), 2, place)
+    return upkeep.current_findings(spark, place)
