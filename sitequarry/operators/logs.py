@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sitequarry.functions import text as T
@@ -12,17 +12,56 @@ COMBINED = '^(\\S+)\\s+(\\S+)\\s+(\\S+)\\s+\\[([^\\]]+)\\]\\s+"([^"]+)"\\s+(\\d{
 CDN = '(?i)^([^\\s,]+).*?(\\d+\\.\\d+\\.\\d+\\.\\d+).*?(GET|POST|PUT|DELETE|HEAD|OPTIONS|PATCH).*?(\\S+).*?(\\d{3}).*?(\\d+|-).*?"([^"]*)"'
 
 
-def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """ip, ts, method, url, status_code, bytes, referrer, user_agent of log lines; lines of neither format are dropped."""
-    line = F.trim(F.col(column))
-    part = lambda pattern, i: F.regexp_extract(line, pattern, i)
-    request = F.split(part(COMBINED, 5), "\\s+")
-    combined = F.struct(part(COMBINED, 1).alias("ip"), part(COMBINED, 4).alias("time"), F.get(request, F.lit(0)).alias("method"), F.coalesce(F.get(request, F.lit(1)), F.lit("")).alias("target"), part(COMBINED, 6).cast("int").alias("status_code"), F.expr(f"try_cast(nullif(regexp_extract(trim({column}), r'{COMBINED}', 7), '-') as long)").alias("bytes"), part(COMBINED, 8).alias("referrer"), part(COMBINED, 9).alias("user_agent"))
-    cdn = F.struct(part(CDN, 2).alias("ip"), part(CDN, 1).alias("time"), F.upper(part(CDN, 3)).alias("method"), part(CDN, 4).alias("target"), part(CDN, 5).cast("int").alias("status_code"), F.expr(f"try_cast(nullif(regexp_extract(trim({column}), r'{CDN}', 6), '-') as long)").alias("bytes"), F.lit("").alias("referrer"), part(CDN, 7).alias("user_agent"))
-    entry = F.when(line.rlike(COMBINED), combined).when(line.rlike(CDN), cdn)
+#: What every line of the second format holds: tested first, since the pattern is slow to fail.
+CDN_SIGNS = ['\\d+\\.\\d+\\.\\d+\\.\\d+', '(?i)GET|POST|PUT|DELETE|HEAD|OPTIONS|PATCH', '"[^"]*"']
+_MARK = "\u0001"
+
+
+def _groups(line: Column, pattern: str, groups: list[int]) -> Column:
+    """The groups of a pattern that takes the whole line, by one match; a line that doesn't match is one piece."""
+    return F.split(F.regexp_replace(line, pattern, "".join(f"{_MARK}${g}" for g in groups)), _MARK)
+
+
+def _matched(lines: DataFrame, column: str) -> DataFrame:
+    """The lines that aren't blank, with the pieces of each format; the second is tried where the first fails."""
+    line = F.translate(F.trim(F.col(column)), _MARK, "\ufffd")
+    rows = lines.filter(F.trim(F.col(column)) != "").withColumn("_line", line).withColumn("_first", _groups(F.col("_line"), COMBINED, [1, 4, 5, 6, 7, 8, 9]))
+    likely = F.lit(True)
+    for sign in CDN_SIGNS:
+        likely = likely & F.col("_line").rlike(sign)
+    return rows.withColumn("_second", F.when((F.size("_first") == 1) & likely, _groups(F.col("_line"), CDN + ".*$", [2, 1, 3, 4, 5, 6, 7])).otherwise(F.array().cast("array<string>")))
+
+
+def parse_lines(lines: DataFrame, column: str = "value", observe: Observation | str | None = None) -> DataFrame:
+    """ip, ts, method, url, status_code, bytes, referrer, user_agent of log lines, with the other columns of the lines.
+
+    Lines of neither format make no entry; `observe` counts them in the same pass: lines, combined, cdn, rejected (an
+    Observation for a batch, a name for a stream's progress). Each pattern is matched once for a line. A control
+    character U+0001 in a line reads as U+FFFD.
+    """
+    rows = _matched(lines, column)
+    combined, cdn = F.size("_first") == 8, F.size("_second") == 8
+    if observe is not None:
+        rows = rows.observe(observe, F.count("*").alias("lines"), F.count_if(combined).alias("combined"), F.count_if(cdn).alias("cdn"), F.count_if(~combined & ~cdn).alias("rejected"))
     rest = [c for c in lines.columns if c != column]
-    rows = lines.filter(line != "").select(*rest, entry.alias("e")).filter("e is not null")
-    return rows.select(*rest, "e.ip", T.log_time(F.col("e.time")).alias("ts"), "e.method", F.regexp_replace("e.target", "^[a-zA-Z]+://[^/?#]+", "").alias("url"), "e.status_code", "e.bytes", F.nullif(F.col("e.referrer"), F.lit("-")).alias("referrer"), "e.user_agent")
+    one, two = (lambda i: F.col("_first")[i]), (lambda i: F.col("_second")[i])
+    request = F.split(one(3), "\\s+")
+    number = lambda c: F.nullif(c, F.lit("-")).try_cast("long")
+    first = F.struct(one(1).alias("ip"), one(2).alias("time"), F.get(request, F.lit(0)).alias("method"), F.coalesce(F.get(request, F.lit(1)), F.lit("")).alias("target"), one(4).cast("int").alias("status_code"), number(one(5)).alias("bytes"), one(6).alias("referrer"), one(7).alias("user_agent"))
+    second = F.struct(two(1).alias("ip"), two(2).alias("time"), F.upper(two(3)).alias("method"), two(4).alias("target"), two(5).cast("int").alias("status_code"), number(two(6)).alias("bytes"), F.lit("").alias("referrer"), two(7).alias("user_agent"))
+    entries = rows.select(*rest, F.inline(F.array_compact(F.array(F.when(combined, first).when(cdn, second)))))
+    return entries.select(*rest, "ip", T.log_time(F.col("time")).alias("ts"), "method", F.regexp_replace("target", "^[a-zA-Z]+://[^/?#]+", "").alias("url"), "status_code", "bytes", F.nullif(F.col("referrer"), F.lit("-")).alias("referrer"), "user_agent")
+
+
+def rejected_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """The lines of neither format, as they came. Blank lines are none."""
+    return _matched(lines, column).filter((F.size("_first") != 8) & (F.size("_second") != 8)).select(*lines.columns)
+
+
+def line_formats(lines: DataFrame, column: str = "value") -> DataFrame:
+    """format, lines: how many lines each format has, `rejected` among them."""
+    kind = F.when(F.size("_first") == 8, "combined").when(F.size("_second") == 8, "cdn").otherwise("rejected")
+    return _matched(lines, column).groupBy(kind.alias("format")).agg(F.count("*").alias("lines"))
 
 
 def select_entries(entries: DataFrame, start: str | None = None, end: str | None = None, bot: str | None = None) -> DataFrame:
@@ -76,3 +115,13 @@ def by_hour(entries: DataFrame, watermark: str | None = None) -> DataFrame:
     """Requests and bot requests of each hour; with a watermark the same works on a stream with bounded state."""
     rows = entries.withWatermark("ts", watermark) if watermark else entries
     return rows.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("hits"), F.count(_bot()).alias("bot_hits")).select(F.col("w.start").alias("hour"), "hits", "bot_hits")
+
+
+def unique_sketches(entries: DataFrame, precision: int = 14) -> DataFrame:
+    """hour, requests, urls, visitors: a row per hour whose sketches of distinct URLs and addresses can be merged."""
+    return entries.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("requests"), F.hll_sketch_agg("url", precision).alias("urls"), F.hll_sketch_agg("ip", precision).alias("visitors"))
+
+
+def merged_uniques(sketches: DataFrame, period: str = "day") -> DataFrame:
+    """period, requests, unique_urls, unique_visitors over any longer period, from the stored hours alone."""
+    return sketches.groupBy(F.date_trunc(period, "hour").alias("period")).agg(F.sum("requests").alias("requests"), F.hll_sketch_estimate(F.hll_union_agg("urls")).alias("unique_urls"), F.hll_sketch_estimate(F.hll_union_agg("visitors")).alias("unique_visitors"))

@@ -411,11 +411,17 @@ _BOT = "CASE WHEN regexp_matches(user_agent, '(?i)Googlebot/') THEN 'Googlebot'
 _LOG = f"WITH l AS (SELECT *, {_BOT} AS bot, {_BOT} IS NOT NULL AND NOT status_code BETWEEN 200 AND 299 AS waste FROM log_fx)"
 
 
-def _log(spark, sf):
-    """The entries written as lines of a server's log, and parsed again."""
+def _log_lines(spark, sf):
+    """The entries written as lines of a server's log, every fifth in the other format, and lines of no format between."""
     e = derived(spark, sf, "log_fx")
-    line = F.format_string('%s - - [%s] "%s %s HTTP/1.1" %d 512 "-" "%s"', "ip", F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss Z"), "method", "url", "status_code", "user_agent")
-    return logs.parse_lines(e.select("line_no", line.alias("value")))
+    combined = F.format_string('%s - - [%s] "%s %s HTTP/1.1" %d 512 "-" "%s"', "ip", F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss Z"), "method", "url", "status_code", "user_agent")
+    cdn = F.format_string('%s edge7 %s %s %s %d 512 "%s"', F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), "ip", F.lower("method"), "url", "status_code", "user_agent")
+    other = F.array_compact(F.array(F.when(F.col("line_no") % 5 == 1, cdn).otherwise(combined), F.when(F.col("line_no") % 7 == 2, F.format_string('%s - - [broken "GET %s', "ip", "url")), F.when(F.col("line_no") % 11 == 3, F.lit("   ")), F.when(F.col("line_no") % 13 == 4, F.format_string("10.1.2.3 GET %s but no quotes", "url"))))
+    return e.select("line_no", F.explode(other).alias("value"))
+
+
+def _log(spark, sf):
+    return logs.parse_lines(_log_lines(spark, sf))
 
 
 @query(_LOG + " SELECT count(*) AS total_requests, count(bot) AS bot_requests, count(DISTINCT url) AS unique_urls FROM l", "log_fx")
@@ -433,6 +439,25 @@ def log_bots(spark, sf):
     return logs.by_bot(_log(spark, sf))
 
 
+@query("SELECT line_no, ip || ' - - [broken \"GET ' || url AS value FROM log_fx WHERE line_no % 7 = 2 UNION ALL SELECT line_no, '10.1.2.3 GET ' || url || ' but no quotes' FROM log_fx WHERE line_no % 13 = 4", "log_fx")
+def log_rejects(spark, sf):
+    return logs.rejected_lines(_log_lines(spark, sf))
+
+
+@query("SELECT CASE WHEN line_no % 5 = 1 THEN 'cdn' ELSE 'combined' END AS format, count(*) AS lines FROM log_fx GROUP BY 1 UNION ALL SELECT 'rejected', count(*) FILTER (line_no % 7 = 2) + count(*) FILTER (line_no % 13 = 4) FROM log_fx", "log_fx")
+def log_formats(spark, sf):
+    return logs.line_formats(_log_lines(spark, sf))
+
+
+@query("SELECT date_trunc('day', ts) AS period, count(*) AS requests, count(DISTINCT ip) AS visitors, true AS urls_close FROM log_fx GROUP BY 1", "log_fx")
+def log_uniques(spark, sf):
+    """Days from the sketches of their hours: few visitors are counted exactly, URLs within 3 %."""
+    entries = _log(spark, sf)
+    exact = entries.groupBy(F.date_trunc("day", "ts").alias("period")).agg(F.count_distinct("url").alias("exact"))
+    rows = logs.merged_uniques(logs.unique_sketches(entries)).join(exact, "period")
+    return rows.select("period", "requests", F.col("unique_visitors").alias("visitors"), (F.abs(F.col("unique_urls") - F.col("exact")) <= 0.03 * F.col("exact")).alias("urls_close"))
+
+
 @query(_LOG + " SELECT url, count(*) AS hits, count(bot) AS bot_hits FROM l GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20", "log_fx")
 def log_top_urls(spark, sf):
     return logs.top_urls(_log(spark, sf))

@@ -28,8 +28,16 @@ def newest_run(runs: DataFrame) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of log files with the file they come from; blank lines are dropped."""
-    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).filter(F.trim("value") != "")
+    """Lines of log files with the file they come from and their number in it, from 1; blank lines are counted and dropped.
+
+    A file is read in blocks by many tasks. The lines of each block are counted first; a line's number is the sum of the
+    blocks before it, a table of one row per block, and its place in its own.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("lines"))
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(blocks.select("file", "block", "first", before.alias("before")), ["file", "block"])
+    return placed.filter(F.trim("value") != "").select("value", "file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"))
 
 
 def sitemap_urls(spark: SparkSession, path: str) -> DataFrame:

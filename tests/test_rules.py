@@ -1,10 +1,12 @@
 """Each rule with the smallest input that fires it and one that does not."""
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from sitequarry.functions import text as T
 from sitequarry.functions import urls as U
+from sitequarry.sources import readers
 from sitequarry.operators import keywords, links, logs, rules, runs
 
 PAGE = "id long, address string, run_host string, title1 string, title2 string, meta_description1 string, h1 string, h1_count int, h2_count int, lang string, word_count int, text_ratio double, status_code int, hash string, canonical string, rel_next string, rel_prev string"
@@ -114,6 +116,36 @@ def test_log_lines(spark):
     assert logs.select_entries(logs.parse_lines(lines), start="2030-01-01").count() == 1  # no readable time passes
 
 
+def test_log_formats_in_one_pass(spark):
+    rows = [(1, '2024-10-10T13:55:36Z edge 9.8.7.6 get /c/404?x=1 503 77 "Bing bingbot/2.0" more'), (2, '1.2.3.4 - - [10/Oct/2024:13:55:36 +0000] "GET /a HTTP/1.1" 404 - "-" "A\u0001B"'), (3, "   "), (4, '1.2.3.4 - - [cut "GET'), (5, None), (6, 'GET "x" 1.2.3'), (6, 'GET "x" 1.2.3')]
+    lines = spark.createDataFrame(rows, "line_no long, value string")
+    seen = Observation("log")
+    got = sorted(logs.parse_lines(lines, observe=seen).collect(), key=lambda r: r["line_no"])
+    assert [(r["line_no"], r["ip"], r["method"], r["url"], r["status_code"], r["bytes"], r["user_agent"]) for r in got] == [(1, "9.8.7.6", "GET", "/c/404?x=1", 503, 77, "Bing bingbot/2.0"), (2, "1.2.3.4", "GET", "/a", 404, None, "A\ufffdB")]
+    assert seen.get == {"lines": 5, "combined": 1, "cdn": 1, "rejected": 3}
+    assert sorted(r["line_no"] for r in logs.rejected_lines(lines).collect()) == [4, 6, 6]
+    assert {r["format"]: r["lines"] for r in logs.line_formats(lines).collect()} == {"combined": 1, "cdn": 1, "rejected": 3}
+    plan = logs.parse_lines(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 4
+
+
+def test_line_numbers_over_split_files(spark, tmp_path):
+    for name, n in (("a", 3000), ("b", 1)):
+        (tmp_path / f"{name}.log").write_text("\n".join("" if i % 10 == 4 else f"{name} line {i + 1} " + "x" * (i % 50) for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = readers.log_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 2701 and all(r["value"].split()[2] == str(r["line_no"]) and f"/{r['value'][0]}.log" in r["file"] for r in rows)
+
+
+def test_unique_counts_merge(spark):
+    entries = spark.range(20000).selectExpr("timestamp_seconds(id * 20) as ts", "concat('/', id % 3000) as url", "concat('10.0.0.', id % 7) as ip")
+    got = logs.merged_uniques(logs.unique_sketches(entries), "year").collect()
+    assert len(got) == 1 and got[0]["requests"] == 20000 and got[0]["unique_visitors"] == 7 and abs(got[0]["unique_urls"] - 3000) < 90
+
+
 def test_depth_equals_python(spark):
     edges = [(1, 2), (2, 3), (3, 1), (2, 4), (9, 1)]
     got = links.crawl_depth(spark.createDataFrame(edges, "source_id long, target_id long"), spark.createDataFrame([(1,)], "id long"))
