@@ -114,10 +114,18 @@ def robots_rules(texts: DataFrame) -> DataFrame:
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
-    """id, allowed: the last rule in file order whose agent is part of ours and whose value begins the path decides."""
+    """id, allowed: the last rule in file order whose agent is part of ours and whose value begins the path decides.
+
+    A path is cut to the lengths that the values of its host have, and these prefixes meet equal values, so a host's rules
+    are never held against a path one by one. An empty path or value matches as a prefix like any other; a null path meets
+    no rule. Ids should be distinct.
+    """
     ours = rules.filter((F.col("agent") == "*") | F.lit(agent.lower()).contains(F.col("agent")))
-    rows = urls.alias("u").join(ours.alias("r"), (F.col("u.run_host") == F.col("r.host")) & F.startswith(F.col("u.path"), F.col("r.value")), "left")
-    return rows.groupBy(F.col("u.id").alias("id")).agg(F.coalesce(F.max_by(F.col("r.kind") == "allow", F.col("r.line_no")), F.lit(True)).alias("allowed"))
+    decides = ours.groupBy("host", "value").agg(F.max_by(F.struct("line_no", (F.col("kind") == "allow").alias("allowed")), "line_no").alias("rule"))
+    lengths = ours.groupBy("host").agg(F.collect_set(F.length("value")).alias("lengths"))
+    rows = urls.select("id", F.col("run_host").alias("host"), "path").join(lengths, "host", "left")
+    rows = rows.select("id", "host", F.explode_outer(F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))).alias("value"))
+    return rows.join(decides, ["host", "value"], "left").groupBy("id").agg(F.coalesce(F.max("rule")["allowed"], F.lit(True)).alias("allowed"))
 
 
 def redirect_closure(hops: DataFrame, most: int = 10) -> DataFrame:
