@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from urllib.parse import urljoin, urlsplit
+from urllib.parse import quote, unquote, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,6 +26,10 @@ PAGED_URL = "(?i)/(page|p)/[0-9]+/?|/(page|p)-[0-9]+/?|page=[0-9]+|p=[0-9]+"
 FIRST_PATH = "(?i)/(page|p)/1/|/(page|p)-1/"
 SKIPPED_SCHEMES = "(?i)^(mailto:|tel:|javascript:|data:|#)"
 
+# Characters that stay as they are, besides letters, digits, -._* and %.
+KEPT_IN_PATH = "!$&'()+,/:;=@[]^|~"
+KEPT_IN_QUERY = "!$&()+,/:;=?@[]\\^`{|}~"
+
 _URL = "^([a-zA-Z][a-zA-Z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]+)(:[0-9]*)?([^?#]*)([?][^#]*)?(#.*)?$"
 
 
@@ -217,11 +221,58 @@ def encode_path(u: Column) -> Column:
     return F.concat(scheme(u), F.lit("://"), host(u), F.regexp_extract(u, _URL, 3), encoded, F.regexp_extract(u, _URL, 5))
 
 
+def _percent(c: Column, keep: str) -> Column:
+    """UTF-8 bytes percent-encoded, but letters, digits, -._* and what is kept; a % stays as it is."""
+    out = F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    for ch in keep:
+        out = F.replace(out, F.lit(f"%{ord(ch):02X}"), F.lit(ch))
+    return F.replace(out, F.lit("%25"), F.lit("%"))
+
+
+def _without_dots(p: Column) -> Column:
+    """A path whose . and .. segments are taken away; .. above the top has no effect."""
+    parts = F.split(p, "/")
+    up = lambda a: F.when(F.size(a) > 1, F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array(F.lit("")), lambda a, s: F.when(s == "..", up(a)).when(s == ".", a).otherwise(F.concat(a, F.array(s))))
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(p.rlike("(^|/)[.]{1,2}(/|$)"), F.array_join(kept, "/")).otherwise(p)
+
+
+def normal_path(p: Column) -> Column:
+    """The path decoded, where it can be, and encoded anew; plain paths are left as they are."""
+    decoded = F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B")))
+    bad = decoded.isNull() | (decoded.contains("\ufffd") & ~p.contains("\ufffd"))  # no UTF-8
+    text = F.replace(F.when(bad, p).otherwise(decoded), F.lit("\\"), F.lit("/"))
+    return _without_dots(F.when(p.rlike("^[A-Za-z0-9*._/,:;=@!$&'()+~-]*$"), p).otherwise(_percent(text, KEPT_IN_PATH)))
+
+
 def normalize(u: Column) -> Column:
-    """Absolute URLs: no fragment, lower-case host, no default port, spaces encoded; else null."""
-    port = F.regexp_extract(u, _URL, 3)
+    """Absolute URLs: no fragment, lower-case host, no default port, path and query encoded once, no dot segments; else null."""
+    port, query_ = F.regexp_extract(u, _URL, 3), F.regexp_extract(u, _URL, 5)
     standard = ((scheme(u) == "http") & (port == ":80")) | ((scheme(u) == "https") & (port == ":443")) | (port == ":")
-    return F.when(is_valid(u), F.concat(scheme(u), F.lit("://"), host(u), F.when(standard, "").otherwise(port), F.replace(path(u), F.lit(" "), F.lit("%20")), F.regexp_extract(u, _URL, 5)))
+    encoded = F.when(query_.rlike("^[!$-&(-;=?-~]*$"), query_).otherwise(_percent(query_, KEPT_IN_QUERY))
+    return F.when(is_valid(u), F.concat(scheme(u), F.lit("://"), host(u), F.when(standard, "").otherwise(port), normal_path(path(u)), encoded))
+
+
+def normal_path_text(p: str) -> str:
+    """What normal_path does, for one path."""
+    text = p
+    if not re.search("%(?![0-9A-Fa-f]{2})", p):
+        try:
+            text = unquote(p, errors="strict")
+        except UnicodeDecodeError:
+            pass
+    text = quote(text.replace("\\", "/"), safe="%*-._" + KEPT_IN_PATH)
+    if not re.search(r"(^|/)\.{1,2}(/|$)", text):
+        return text
+    first, *parts = text.split("/")
+    kept = [first]
+    for s in parts:
+        if s == "..":
+            kept = kept[: max(1, len(kept) - 1)]
+        elif s != ".":
+            kept.append(s)
+    return "/".join(kept + [""] if parts and parts[-1] in (".", "..") else kept)
 
 
 def resolve_text(link: str | None, base: str | None) -> str | None:
@@ -238,7 +289,7 @@ def resolve_text(link: str | None, base: str | None) -> str | None:
         return None
     host_, port = parts.hostname or "", f":{parts.port}" if parts.port and (parts.scheme, parts.port) not in (("http", 80), ("https", 443)) else ""
     keep = f"#{parts.fragment}" if link.startswith("//") and parts.fragment else ""
-    return f"{parts.scheme}://{host_}{port}{(parts.path or '/').replace(' ', '%20')}{'?' + parts.query if parts.query else ''}{keep}"
+    return f"{parts.scheme}://{host_}{port}{normal_path_text(parts.path or '/')}{'?' + quote(parts.query, safe='%*-._' + KEPT_IN_QUERY) if parts.query else ''}{keep}"
 
 
 @F.pandas_udf(StringType())

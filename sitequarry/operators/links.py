@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitequarry.functions import text as T
+from sitequarry.functions import urls as U
 from sitequarry.operators.scratch import discard, materialise
 
 
@@ -18,6 +19,30 @@ def link_counts(urls: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("inlinks", "unique_inlinks", "outlinks", "unique_outlinks", "external_outlinks", "unique_external_outlinks")])
 
 
+def rendered_links(raw: DataFrame, rendered: DataFrame) -> DataFrame:
+    """source_id, target_url, link_type, location: links of pages as they came and after scripts ran.
+
+    A link that only the rendered page has is `rendered`, one that only the raw page has is `raw`, others are `both`. Links
+    that repeat on a page are one. Both sides: source_id, target_url, link_type.
+    """
+    key = ["source_id", "target_url", "link_type"]
+    sides = raw.select(*key, F.lit(1).alias("side")).unionByName(rendered.select(*key, F.lit(2).alias("side")))
+    seen = sides.groupBy(*key).agg(F.bit_or("side").alias("sides"))
+    return seen.select(*key, F.when(F.col("sides") == 3, "both").when(F.col("sides") == 2, "rendered").otherwise("raw").alias("location"))
+
+
+def script_link_counts(urls: DataFrame, located: DataFrame) -> DataFrame:
+    """id, unique_js_inlinks, unique_js_outlinks, unique_external_js_outlinks of anchors that only rendered pages have.
+
+    urls: id, address in normal form, run_host; links of other kinds don't count.
+    """
+    js = located.filter("location = 'rendered' and link_type = 'a'").select("source_id", "target_url", U.host(F.col("target_url")).alias("host"))
+    out = js.join(urls.select(F.col("id").alias("source_id"), "run_host"), "source_id").groupBy(F.col("source_id").alias("id")).agg(F.count_distinct("target_url").alias("outlinks"), F.count_distinct(F.when(F.col("host") != F.col("run_host"), F.col("target_url"))).alias("external"))
+    into = js.join(urls.select(F.col("id"), U.normalize(F.col("address")).alias("target_url")), "target_url").groupBy("id").agg(F.count_distinct("source_id").alias("inlinks"))
+    rows = urls.select("id").join(into, "id", "left").join(out, "id", "left")
+    return rows.select("id", *[F.coalesce(a, F.lit(0)).alias(b) for a, b in (("inlinks", "unique_js_inlinks"), ("outlinks", "unique_js_outlinks"), ("external", "unique_external_js_outlinks"))])
+
+
 def percent_of_total(urls: DataFrame, edges: DataFrame) -> DataFrame:
     """Each page's share of the unique inlinks of its site, in percent; 0 for a site without links."""
     counts = edges.groupBy(F.col("target_id").alias("id")).agg(F.count_distinct("source_id").alias("unique_inlinks"))

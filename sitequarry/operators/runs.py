@@ -200,7 +200,3 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, rows_p
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
-
-
-def write_sitemaps(urls: DataFrame, images: DataFrame, path: str, per_file: int = 50_000) -> None:
-    sitemap_rows(urls, images).select("xml").write.option("maxRecordsPerFile", per_file).mode("overwrite").text(path)

@@ -1,19 +1,26 @@
-"""Registered queries on crawl budgets and their SQL."""
+"""Registered queries on crawl budgets, addresses of links, links made by scripts, sitemap files, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sitequarry.operators import frontier, links
+from sitequarry.functions import urls as U
+from sitequarry.operators import extract, frontier, links, sitemaps
+from sitequarry.operators.scratch import folder
 from sitequarry.plans.audit import query
 from sitequarry.plans.tables import derived
 
 #: Addresses that a run takes in these queries; the sites of the given tables are small.
 BUDGET = 12
 
-_FOUND = """WITH a AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS run, lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) AS site, regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1) AS hrefs FROM pages),
-f AS (SELECT run, page_id, unnest(range(len(hrefs))) AS pos, replace(site || unnest(hrefs), ' ', '%20') AS url FROM a),
-s AS (SELECT DISTINCT run, replace(site || hrefs[1], ' ', '%20') AS url FROM a WHERE page_id % 5 = 0 AND len(hrefs) > 0),
+#: An href as a path, encoded once.
+_ENCODED = "url_encode(h)"
+for _c in "!$&'()*+,/:;=@":
+    _ENCODED = f"replace({_ENCODED}, '%{ord(_c):02X}', '{_c.replace(chr(39), chr(39) * 2)}')"
+
+_FOUND = f"""WITH a AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS run, lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) AS site, regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1) AS hrefs FROM pages),
+f AS (SELECT run, page_id, unnest(range(len(hrefs))) AS pos, site || unnest(list_transform(hrefs, lambda h: {_ENCODED})) AS url FROM a),
+s AS (SELECT DISTINCT run, site || list_transform(hrefs[1:1], lambda h: {_ENCODED})[1] AS url FROM a WHERE page_id % 5 = 0 AND len(hrefs) > 0),
 n AS (SELECT run, url, min(struct_pack(p := page_id, q := pos)) AS first FROM f WHERE (run, url) NOT IN (SELECT (run, url) FROM s) GROUP BY 1, 2),
 t AS (SELECT run, count(*) AS taken FROM s GROUP BY 1),
 r AS (SELECT n.run, url, 1 AS depth, row_number() OVER (PARTITION BY n.run ORDER BY first, url) + coalesce(taken, 0) AS place FROM n LEFT JOIN t ON t.run = n.run) """
@@ -25,7 +32,7 @@ def _admitted(spark, sf):
     site = F.lower(F.regexp_extract("url", "^(https?://[^/?#]+)", 1))
     hosts = pages.select(F.col("page_id").alias("source_id"), F.lower(F.regexp_extract("url", "^https?://([^/?#]+)", 1)).alias("run"), site.alias("site"))
     found = links.anchor_links(pages).join(hosts, "source_id").select("run", "source_id", "pos", F.concat("site", "href").alias("url"), F.lit(1).alias("depth"))
-    seen = found.filter("source_id % 5 = 0 and pos = 0").select("run", F.replace("url", F.lit(" "), F.lit("%20")).alias("url"))
+    seen = found.filter("source_id % 5 = 0 and pos = 0").select("run", U.normalize(F.col("url")).alias("url"))
     return frontier.admitted(found, seen, BUDGET, ["source_id", "pos"])
 
 
@@ -54,3 +61,34 @@ def bfs_budget(spark, sf):
     """Pages in the order in which a crawl of each site takes them, from its page of least id, within the budget."""
     seeds = derived(spark, sf, "url_fx").groupBy(F.col("run_host").alias("run")).agg(F.min("id").alias("id"))
     return frontier.crawl_order(derived(spark, sf, "edge_fx").filter("source_host = target_host"), seeds, BUDGET)
+
+
+@query(f"SELECT page_id AS source_id, unnest(range(len(hrefs))) AS pos, site || unnest(list_transform(hrefs, lambda h: {_ENCODED})) AS url FROM (SELECT page_id, lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) AS site, regexp_extract_all(html, '<a href=\"([^\"]*)\">[^<]*</a>', 1) AS hrefs FROM pages)")
+def normalized_links(spark, sf):
+    """Every href of the given pages as a normalised address."""
+    pages = derived(spark, sf, "pages")
+    site = pages.select(F.col("page_id").alias("source_id"), F.lower(F.regexp_extract("url", "^(https?://[^/?#]+)", 1)).alias("site"))
+    return links.anchor_links(pages).join(site, "source_id").select("source_id", "pos", U.normalize(F.concat("site", "href")).alias("url"))
+
+
+def _located(spark, sf):
+    """Links of the given pages, and of the same pages after a script put two links in and took the menu's first away."""
+    pages = derived(spark, sf, "pages")
+    more = F.concat(F.lit('<a href="https://scripts.example.com/'), F.col("page_id") % 7, F.lit('">x</a><a href="'), F.split_part("url", F.lit("#"), F.lit(1)), F.lit('">self</a></body>'))
+    html = F.regexp_replace(F.replace("html", F.lit("</body>"), more), '(?s)^(.*?)<li><a href="[^"]*">[^<]*</a></li>', "$1")
+    raw, rendered = (extract.link_facts(extract.extract_pages(p)) for p in (pages, pages.withColumn("html", html)))
+    return links.rendered_links(raw, rendered)
+
+
+@query("SELECT page_id AS id, count(*) FILTER (whole) OVER (PARTITION BY split_part(url, '#', 1)) AS unique_js_inlinks, 2 * whole::INTEGER AS unique_js_outlinks, whole::INTEGER AS unique_external_js_outlinks FROM (SELECT page_id, url, contains(html, '</body>') AS whole FROM pages)")
+def script_links(spark, sf):
+    urls = derived(spark, sf, "pages").select(F.col("page_id").alias("id"), F.split_part("url", F.lit("#"), F.lit(1)).alias("address"), U.host(F.col("url")).alias("run_host"))
+    return links.script_link_counts(urls, _located(spark, sf))
+
+
+@query("SELECT ((row_number() OVER (ORDER BY id) - 1) // 100 + 1)::INTEGER AS file, replace(address, '&', '&amp;') AS loc FROM url_fx WHERE status_code = 200", "url_fx")
+def sitemap_files(spark, sf):
+    """What files of 100 addresses list, written and read again."""
+    place = folder(spark, "sitemaps")
+    sitemaps.write_sitemaps(derived(spark, sf, "url_fx"), derived(spark, sf, "image_fx"), place, "https://a.test", per_file=100)
+    return sitemaps.read_sitemaps(spark, place)
