@@ -50,7 +50,7 @@ def site_urls(facts: DataFrame) -> DataFrame:
     ok = F.col("status_code").eqNullSafe(200)
     keep = {"id", "url", "status_code", "headers", "redirect_chain"}
     rows = own.select("id", F.split_part("url", F.lit("#"), F.lit(1)).alias("address"), *[F.when(ok, F.col(c)).alias(c) for c in own.columns if c not in keep], "status_code", "headers", "redirect_chain")
-    rows = rows.withColumn("run_host", U.host(F.col("address"))).withColumn("x_robots", header("x-robots-tag")).withColumn("canonical_header", header_link("canonical", header("link")))
+    rows = rows.withColumn("run_host", U.host(F.col("address"))).withColumn("x_robots", header("x-robots-tag")).withColumn("canonical_header", F.when(ok, header_link("canonical", header("link"))))
     why = indexability_status(F.col("status_code"), F.col("robots"), F.col("x_robots"), F.col("canonical"), F.col("canonical_header"), F.col("address"))
     return rows.withColumn("indexability_status", why).withColumn("indexable", F.col("indexability_status").isNull())
 

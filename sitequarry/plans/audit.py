@@ -614,18 +614,66 @@ def indexability(spark, sf):
     return site.site_urls(extract.extract_pages(pages)).select("id", "indexability_status", "indexable")
 
 
+def _on_site(q: str) -> str:
+    """SQL of a family over what an audit of the rendered pages sees."""
+    return f"SELECT url_id, type, priority FROM ({q.replace('url_fx', 'site_fx')})"
+
+
+_DECLARED = """SELECT s.id AS url_id, i.type, i.priority FROM (SELECT *, unnest(list_distinct(list_filter([canonical, canonical_header], lambda c: coalesce(c, '') <> ''))) AS c FROM site_fx) s
+LEFT JOIN (SELECT address AS target, arg_max(status_code, id) AS status FROM site_fx GROUP BY 1) t ON t.target = s.c, LATERAL (SELECT unnest([
+  CASE WHEN t.target IS NOT NULL AND t.status IS DISTINCT FROM 200 THEN {'type': 'canonical_to_non_200', 'priority': 'high'} END,
+  CASE WHEN c <> address THEN {'type': 'canonical_to_different_url', 'priority': 'medium'} END,
+  CASE WHEN starts_with(address, 'https://') AND starts_with(c, 'http://') THEN {'type': 'canonical_to_http', 'priority': 'high'} END,
+  CASE WHEN HOST(c) <> HOST(address) THEN {'type': 'canonical_to_different_domain', 'priority': 'high'} END]) AS i) WHERE i IS NOT NULL
+UNION ALL SELECT id, 'missing_canonical', 'medium' FROM site_fx WHERE coalesce(canonical, '') = '' AND canonical_header IS NULL"""
+_DECLARED = _DECLARED.replace("HOST(c)", _HOST.format("c")).replace("HOST(address)", _HOST.format("address"))
+_SITE_LINKS = _ISSUE_LINKS.replace("CASE WHEN (l.source_id + pos) % 5 = 0 THEN", "CASE WHEN false THEN").replace("JOIN url_fx u ON u.id = l.source_id", "JOIN (SELECT id, address FROM url_fx WHERE status_code = 200) u ON u.id = l.source_id")
+_SITE = " UNION ALL ".join([*map(_on_site, [RESPONSE, TITLES, METAS, HEADINGS, URLS_SQL, CONTENT, LANG, EXACT, PAGINATION]), _DECLARED, f"SELECT url_id, type, priority FROM ({_SITE_LINKS})"])
+
+
 @query(f"""WITH w AS ({_WHY}), c AS (SELECT *, regexp_extract(address, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM w WHERE status_code = 200),
-i AS (SELECT id, address, 'non_indexable' AS type, 'medium' AS priority FROM w WHERE why IS NOT NULL
-UNION ALL SELECT id, address, 'multiple_canonicals', 'high' FROM c WHERE id % 7 = 2 AND canonical <> address
-UNION ALL SELECT id, address, 'canonical_chain_loop', 'critical' FROM c WHERE id % 12 = 5 AND canonical = 'https://other.example.com' || path
-UNION ALL SELECT id, address, 'redirect_chain', 'medium' FROM w WHERE id % 12 = 5
-UNION ALL SELECT id, address, 'missing_form_label', 'medium' FROM c WHERE id % 2 = 1
-UNION ALL SELECT id, address, 'missing_alt_text', 'high' FROM c WHERE id % 3 = 0
-UNION ALL SELECT id, address, 'missing_image_dimensions', 'low' FROM c WHERE id % 4 = 0
-UNION ALL SELECT id, address, 'structured_data_error', 'high' FROM c WHERE id % 5 = 0
-UNION ALL SELECT id, address, 'not_rich_result_eligible', 'low' FROM c WHERE id % 5 = 1)
-SELECT id AS url_id, type, priority FROM i""", "url_fx")
+i AS (SELECT id, 'non_indexable' AS type, 'medium' AS priority FROM w WHERE why IS NOT NULL
+UNION ALL SELECT id, 'multiple_canonicals', 'high' FROM c WHERE id % 7 = 2 AND canonical <> address
+UNION ALL SELECT id, 'canonical_chain_loop', 'critical' FROM c WHERE id % 12 = 5 AND canonical = 'https://other.example.com' || path
+UNION ALL SELECT id, 'redirect_chain', 'medium' FROM w WHERE id % 12 = 5
+UNION ALL SELECT id, 'temporary_redirect', 'medium' FROM w WHERE status_code IN (302, 307)
+UNION ALL SELECT id, 'missing_form_label', 'medium' FROM c WHERE id % 2 = 1
+UNION ALL SELECT id, 'missing_alt_text', 'high' FROM c WHERE id % 3 = 0
+UNION ALL SELECT id, 'missing_image_dimensions', 'low' FROM c WHERE id % 4 = 0
+UNION ALL SELECT id, 'structured_data_error', 'high' FROM c WHERE id % 5 = 0
+UNION ALL SELECT id, 'not_rich_result_eligible', 'low' FROM c WHERE id % 5 = 1
+UNION ALL SELECT id, unnest({list(rules.HEADERS.values())}), 'medium' FROM w
+UNION ALL SELECT id, 'insecure_http', 'high' FROM w WHERE starts_with(address, 'http://')
+UNION ALL SELECT id, 'mixed_content', 'high' FROM site_fx WHERE starts_with(address, 'https://') AND (starts_with(canonical, 'http://') OR starts_with(rel_next, 'http://') OR starts_with(rel_prev, 'http://')))
+SELECT id AS url_id, type, priority FROM i UNION ALL {_SITE}""", "url_fx", "site_fx")
 def site_findings(spark, sf):
-    """The audit from raw pages on, for the types that the written facts decide."""
-    types = ["non_indexable", "multiple_canonicals", "canonical_chain_loop", "redirect_chain", "missing_form_label", "missing_alt_text", "missing_image_dimensions", "structured_data_error", "not_rich_result_eligible"]
-    return site.audit_site(_rendered(spark, sf)).filter(F.col("type").isin(types)).select("url_id", "type", "priority")
+    """The audit from raw pages on, all its types."""
+    return site.audit_site(_rendered(spark, sf)).select("url_id", "type", "priority")
+
+
+_SCHEMA = "(SELECT source_id, list(DISTINCT schema_type) AS types FROM block_fx GROUP BY 1)"
+
+
+@query(f"""WITH raw AS (SELECT u.*, p.html, coalesce(b.types, []) AS types, regexp_matches(lower(path), '/(en|de)/') AS product FROM url_fx u JOIN pages p ON p.page_id = u.id LEFT JOIN {_SCHEMA} b ON b.source_id = u.id),
+s AS (SELECT * FROM raw WHERE run_host IN (SELECT run_host FROM raw WHERE product)), k AS (SELECT *, list_filter({_KEYS}, lambda k: regexp_matches(lower(k), '{"|".join(U.FACET_KEYS)}')) AS facets FROM s), i AS (
+SELECT id, address, 'missing_product_schema' AS type, 'high' AS priority FROM s WHERE product AND NOT list_contains(types, 'Product')
+UNION ALL SELECT id, address, 'missing_breadcrumb_schema', 'medium' FROM s WHERE product AND NOT list_contains(types, 'BreadcrumbList')
+UNION ALL SELECT id, address, 'product_missing_price', 'high' FROM s WHERE product AND NOT regexp_matches(html, 'price|Price|offers')
+UNION ALL SELECT id, address, 'product_missing_reviews', 'low' FROM s WHERE product AND NOT regexp_matches(html, '(?i)review|rating')
+UNION ALL SELECT id, address, 'faceted_nav_indexable', 'medium' FROM k WHERE len(facets) > 0 AND status_code = 200 AND coalesce(canonical, '') = ''
+UNION ALL SELECT id, address, 'pagination_missing_rel', 'low' FROM s WHERE regexp_matches(address, '(?i)[?&](page|p)=[0-9]+|/(page|p)/[0-9]+') AND coalesce(rel_next, '') = '' AND coalesce(rel_prev, '') = ''
+UNION ALL SELECT id, address, 'cart_checkout_indexable', 'high' FROM s WHERE regexp_matches(lower(path), '/cart/?$') AND status_code = 200)
+SELECT id AS url_id, address AS url, 'ecommerce' AS category, type, priority, NULL::VARCHAR AS value FROM (SELECT id, replace(replace(address, '/en/', '/product/'), '/de/', '/item/') AS address, type, priority FROM i)""", "url_fx", "block_fx")
+def issues_ecommerce(spark, sf):
+    """Shop rules over the raw pages; folders of two languages stand in for product folders."""
+    shop = lambda c: F.replace(F.replace(c, F.lit("/en/"), F.lit("/product/")), F.lit("/de/"), F.lit("/item/"))
+    pages = derived(spark, sf, "pages").select(F.col("page_id").alias("id"), "html")
+    urls = _pages(spark, sf).join(pages, "id").withColumns({"address": shop(F.col("address")), "indexable": F.col("status_code") == 200})
+    return rules.commerce_issues(urls, derived(spark, sf, "block_fx"))
+
+
+@query("""WITH l AS (SELECT page_id AS source_id, regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1) AS h, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS a FROM pages),
+r AS (SELECT source_id, unnest(h) AS target_url, unnest(a) AS anchor, unnest(range(len(h))) AS pos FROM l) SELECT source_id, target_url, anchor, min(pos) AS pos FROM r GROUP BY 1, 2, 3""")
+def link_dedup(spark, sf):
+    found = links.anchor_links(derived(spark, sf, "pages")).withColumnRenamed("href", "target_url")
+    return links.dedup_links(found.unionByName(found.withColumn("pos", F.col("pos") + 100)))

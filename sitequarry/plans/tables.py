@@ -43,6 +43,17 @@ FROM pages p JOIN url_fx u ON u.id = p.page_id
 MAIN = """
 SELECT page_id AS id, trim(RX(UNESC(RX(RX(RX(RX(RX(RX(split_part(split_part(html, '<body>', 2), '</body>', 1), '(?s)<nav>.*?</nav>', ''), '(?s)<footer>.*?</footer>', ''), '(?s)<header>.*?</header>', ''), '(?s)<aside>.*?</aside>', ''), '(?s)<(script|style)>.*?</(script|style)>', ''), '<[^>]+>', '')), '[ \t\r\n]+', ' ')) AS main_text FROM pages
 """
+#: What an audit of the rendered pages sees: facts of pages with status 200, addresses and statuses of all.
+SITE = """
+SELECT u.id, u.run_host, u.address, u.path, u.query, u.status_code, CASE WHEN u.status_code = 200 THEN u.title1 END AS title1,
+  CASE WHEN u.status_code = 200 THEN u.meta_description1 END AS meta_description1, CASE WHEN u.status_code = 200 THEN u.h1 END AS h1,
+  CASE WHEN u.status_code = 200 THEN u.h1_count ELSE 0 END AS h1_count, CASE WHEN u.status_code = 200 THEN u.h2_count ELSE 0 END AS h2_count,
+  CASE WHEN u.status_code = 200 THEN u.lang END AS lang, CASE WHEN u.status_code = 200 THEN u.word_count ELSE 0 END AS word_count,
+  CASE WHEN u.status_code = 200 THEN 100.0 * length(u.body_text) / length(r.html) ELSE 0 END AS text_ratio, CASE WHEN u.status_code = 200 THEN md5(r.html) END AS hash,
+  CASE WHEN u.status_code = 200 THEN u.canonical END AS canonical, CASE WHEN u.status_code = 200 AND u.id % 7 = 2 THEN u.address END AS canonical_header,
+  CASE WHEN u.status_code = 200 THEN u.rel_next END AS rel_next, CASE WHEN u.status_code = 200 THEN u.rel_prev END AS rel_prev
+FROM url_fx u JOIN rendered_fx r ON r.page_id = u.id
+"""
 EDGES = """
 SELECT s.id AS source_id, t.id AS target_id, s.run_host AS source_host, t.run_host AS target_host, k.pos AS pos
 FROM (SELECT id, run_host, row_number() OVER (PARTITION BY run_host ORDER BY id) - 1 AS rn, count(*) OVER (PARTITION BY run_host) AS cnt FROM url_fx) s
@@ -90,8 +101,8 @@ SELECT id * 2 AS block_id, id AS source_id, CASE id % 5 WHEN 0 THEN 'bad json' W
   CASE id % 4 WHEN 0 THEN 'Product' WHEN 1 THEN 'BreadcrumbList' WHEN 2 THEN 'LocalBusiness' ELSE 'Article' END AS schema_type FROM url_fx
 """
 #: Names in the order in which they build on each other.
-DERIVED = {"url_fx": URLS, "rendered_fx": RENDERED, "main_fx": MAIN, "edge_fx": EDGES, "log_fx": LOGS, "run_a_fx": RUN_A, "run_b_fx": RUN_B, "image_fx": IMAGES, "alternate_fx": ALTERNATES, "block_fx": BLOCKS}
-_NEEDS = {"url_fx": ["pages"], "rendered_fx": ["pages", "url_fx"], "main_fx": ["pages"], "edge_fx": ["url_fx"], "log_fx": ["events"], "run_a_fx": ["url_fx"], "run_b_fx": ["run_a_fx"], "image_fx": ["url_fx"], "alternate_fx": ["edge_fx", "url_fx"], "block_fx": ["url_fx"]}
+DERIVED = {"url_fx": URLS, "rendered_fx": RENDERED, "main_fx": MAIN, "site_fx": SITE, "edge_fx": EDGES, "log_fx": LOGS, "run_a_fx": RUN_A, "run_b_fx": RUN_B, "image_fx": IMAGES, "alternate_fx": ALTERNATES, "block_fx": BLOCKS}
+_NEEDS = {"url_fx": ["pages"], "rendered_fx": ["pages", "url_fx"], "main_fx": ["pages"], "site_fx": ["url_fx", "rendered_fx"], "edge_fx": ["url_fx"], "log_fx": ["events"], "run_a_fx": ["url_fx"], "run_b_fx": ["run_a_fx"], "image_fx": ["url_fx"], "alternate_fx": ["edge_fx", "url_fx"], "block_fx": ["url_fx"]}
 
 
 def _call(sql: str, name: str, put) -> str:
