@@ -402,7 +402,20 @@ def tfidf(spark, sf):
     return keywords.tfidf(_pages(spark, sf), ["title1", "h1", "meta_description1"])
 
 
-@query()
+_WORDS = _TOKENS.format("body_text", "''-", 2, T.COMMON_WORDS)
+
+
+@query(f"""WITH w AS (SELECT *, CASE WHEN body_text IS NULL THEN [] ELSE {_WORDS} END AS words FROM url_fx),
+n AS (SELECT *, len(words) AS n, len(list_filter(words, lambda x: contains(x, 'the'))) AS hits, length(array_to_string(words, '')) AS letters, greatest(1, len(list_filter(regexp_split_to_array(body_text, '[.!?]+'), lambda x: length(trim(x)) > 0))) AS sentences,
+  lower(h1) AS a, substr(lower(title1), 1, 20) AS b FROM w),
+d AS (SELECT *, CASE WHEN n > 0 THEN round(100::DOUBLE * hits / n, 2) ELSE 0 END AS density, least(100, CASE WHEN h1_count > 0 THEN 35 ELSE 0 END + CASE WHEN h1_count = 1 THEN 15 ELSE 0 END + CASE WHEN h2_count >= 2 THEN 30 ELSE 0 END
+  + CASE WHEN h2_count >= 1 THEN 10 ELSE 0 END + CASE WHEN a <> '' AND b <> '' AND contains(a, b) THEN 10 ELSE 0 END) AS heads,
+  CASE WHEN n = 0 THEN 0 ELSE greatest(0, least(100, floor(100::DOUBLE - (n::DOUBLE / sentences - 10) * 3 - (letters::DOUBLE / n - 4.5::DOUBLE) * 10 + 0.5::DOUBLE))) END::BIGINT AS ease FROM n),
+p AS (SELECT *, CASE WHEN density BETWEEN 1 AND 2.5 THEN 100 WHEN density > 2.5 AND density <= 4 THEN 70 WHEN density > 4 THEN 40 WHEN density > 0 THEN 50 ELSE 30 END AS dp,
+  CASE WHEN word_count >= 1200 THEN 100 WHEN word_count >= 900 THEN 90 WHEN word_count >= 600 THEN 80 WHEN word_count >= 300 THEN 65 WHEN word_count >= 150 THEN 40 WHEN word_count > 0 THEN 20 ELSE 0 END AS wp FROM d)
+SELECT id, floor(wp * 0.35::DOUBLE + dp * 0.25::DOUBLE + heads * 0.25::DOUBLE + ease * 0.15::DOUBLE + 0.5::DOUBLE)::BIGINT AS score, density AS keyword_density, heads::BIGINT AS headings, ease AS readability,
+  concat_ws(',', CASE WHEN word_count < 300 THEN 'more_content' END, CASE WHEN word_count BETWEEN 300 AND 599 THEN 'longer_content' END, CASE WHEN density < 0.5 THEN 'raise_density' END, CASE WHEN density > 4 THEN 'lower_density' END, CASE WHEN h1_count = 0 THEN 'add_h1' END, CASE WHEN h1_count > 1 THEN 'single_h1' END,
+  CASE WHEN h2_count = 0 THEN 'add_h2' END, CASE WHEN heads < 60 THEN 'better_headings' END, CASE WHEN ease < 50 THEN 'simpler_language' END, CASE WHEN coalesce(meta_description1, '') = '' THEN 'add_meta_description' END) AS suggestions FROM p""", "url_fx")
 def content_score(spark, sf):
     return keywords.content_score(_pages(spark, sf).withColumn("text", F.col("body_text")), "the")
 
@@ -677,3 +690,51 @@ r AS (SELECT source_id, unnest(h) AS target_url, unnest(a) AS anchor, unnest(ran
 def link_dedup(spark, sf):
     found = links.anchor_links(derived(spark, sf, "pages")).withColumnRenamed("href", "target_url")
     return links.dedup_links(found.unionByName(found.withColumn("pos", F.col("pos") + 100)))
+
+
+_STRIPPED = "regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g')"
+_PHONE = "regexp_replace(CASE WHEN {0} <> '' THEN {0} ELSE {1} END, '[^+0-9]', '', 'g')".format("regexp_extract(t, '\\+?1?[\\s.-]?\\(?\\d{3}\\)?[\\s.-]?\\d{3}[\\s.-]?\\d{4}')", "regexp_extract(t, '\\+?\\d{1,4}[\\s.-]?\\d{1,4}[\\s.-]?\\d{1,4}[\\s.-]?\\d{1,4}')")
+
+
+@query(f"""WITH raw AS (SELECT u.id, u.address, u.run_host, u.path, p.html || CASE WHEN id % 4 = 1 THEN '<p>Call +1 (555) 010-' || lpad((id % 3)::VARCHAR, 4, '1') || ' or visit 1234' || (id % 2) || '</p>' ELSE '' END || CASE WHEN id % 9 = 2 THEN '<iframe src="https://www.google.com/maps/embed?x"></iframe>' ELSE '' END AS html FROM url_fx u JOIN pages p ON p.page_id = u.id),
+x AS (SELECT *, {_STRIPPED} AS t FROM raw), f AS (SELECT id, address, run_host, path = '/' AS home, contains(lower(path), 'en') AS contact, {_PHONE} AS phone, regexp_extract(t, '\\b\\d{{5}}(-\\d{{4}})?\\b') AS zip, regexp_matches(html, '(?i)google[.]com/maps/embed|maps[.]google[.]com') AS map,
+  regexp_matches(html, '(?i)business[.]google[.]com|g[.]page|goo[.]gl/maps') AS profile, EXISTS (SELECT 1 FROM block_fx b WHERE b.source_id = x.id AND b.schema_type = 'LocalBusiness') AS local FROM x),
+s AS (SELECT run_host, arg_min(struct_pack(id := id, address := address), struct_pack(h := NOT home, i := id)) AS top, bool_or(local) AS local, count(*) FILTER (phone <> '' OR zip <> '') AS n, count(DISTINCT phone) FILTER (phone <> '' OR zip <> '') AS phones, count(DISTINCT zip) FILTER (phone <> '' OR zip <> '') AS zips,
+  bool_or(map) AS map, bool_or(profile) AS profile, bool_or(contact) AS has_contact, arg_min(struct_pack(id := id, address := address, phone := phone, zip := zip), id) FILTER (contact) AS c FROM f GROUP BY 1),
+i AS (SELECT top.id AS id, top.address AS address, unnest([CASE WHEN NOT local THEN {{'t': 'missing_local_business_schema', 'p': 'high', 'v': NULL::VARCHAR}} END, CASE WHEN n > 1 AND phones > 1 THEN {{'t': 'inconsistent_nap_phone', 'p': 'high', 'v': phones::VARCHAR}} END, CASE WHEN n > 1 AND zips > 1 THEN {{'t': 'inconsistent_nap_address', 'p': 'high', 'v': zips::VARCHAR}} END,
+  CASE WHEN n = 0 THEN {{'t': 'missing_nap', 'p': 'high', 'v': NULL::VARCHAR}} END, CASE WHEN NOT has_contact THEN {{'t': 'missing_contact_page', 'p': 'medium', 'v': NULL::VARCHAR}} END, CASE WHEN NOT map THEN {{'t': 'missing_google_map_embed', 'p': 'low', 'v': NULL::VARCHAR}} END, CASE WHEN NOT profile THEN {{'t': 'missing_gbp_link', 'p': 'low', 'v': NULL::VARCHAR}} END]) AS v FROM s
+UNION ALL SELECT c.id, c.address, unnest([CASE WHEN c.phone = '' THEN {{'t': 'contact_page_missing_phone', 'p': 'medium', 'v': NULL::VARCHAR}} END, CASE WHEN c.zip = '' THEN {{'t': 'contact_page_missing_address', 'p': 'medium', 'v': NULL::VARCHAR}} END]) FROM s WHERE has_contact)
+SELECT id AS url_id, replace(address, '/en/', '/contact/') AS url, 'local-seo' AS category, v.t AS type, v.p AS priority, v.v AS value FROM i WHERE v IS NOT NULL""", "url_fx", "block_fx")
+def issues_local(spark, sf):
+    """Rules of local businesses over the raw pages, into some of which a phone number, a postal code and a map were put; one folder stands in for contact pages."""
+    pages, i = derived(spark, sf, "pages").select(F.col("page_id").alias("id"), "html"), F.col("id")
+    number = F.concat(F.lit("<p>Call +1 (555) 010-"), F.lpad((i % 3).cast("string"), 4, "1"), F.lit(" or visit 1234"), i % 2, F.lit("</p>"))
+    html = F.concat("html", F.when(i % 4 == 1, number).otherwise(""), F.when(i % 9 == 2, '<iframe src="https://www.google.com/maps/embed?x"></iframe>').otherwise(""))
+    urls = _pages(spark, sf).select("id", "run_host", F.replace("address", F.lit("/en/"), F.lit("/contact/")).alias("address")).join(pages, "id").withColumn("html", html)
+    return rules.local_issues(urls, derived(spark, sf, "block_fx"))
+
+
+_HREFS = """WITH a AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS run_host, lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) AS site, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href FROM pages) """
+
+
+@query(_HREFS + "SELECT p.page_id AS id, count(a.href) AS outlinks, count(DISTINCT a.href) AS unique_outlinks, count(a.href) FILTER (a.href NOT LIKE '/%') AS external_outlinks FROM pages p LEFT JOIN a ON a.page_id = p.page_id GROUP BY 1")
+def parsed_outlinks(spark, sf):
+    """Links out of the raw pages as the parser finds them."""
+    pages = derived(spark, sf, "pages")
+    found = extract.link_facts(extract.extract_pages(pages)).filter("link_type = 'a'")
+    counts = found.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("outlinks"), F.count_distinct("target_url").alias("unique_outlinks"), F.count_if(~F.col("is_internal")).alias("external_outlinks"))
+    return pages.select(F.col("page_id").alias("id")).join(counts, "id", "left").na.fill(0)
+
+
+@query(_HREFS + "SELECT run_host, count(*) FILTER (href LIKE '/%') AS internal_links, count(*) FILTER (href NOT LIKE '/%') AS external_links, 0::BIGINT AS nofollow_links FROM a GROUP BY 1")
+def parsed_link_profile(spark, sf):
+    found = extract.link_facts(extract.extract_pages(derived(spark, sf, "pages"))).filter("link_type = 'a'")
+    return links.link_profile(found.withColumn("source_host", U.host(F.col("source_url"))))
+
+
+@query(_HREFS + "SELECT site || href AS target, count(*) AS inlinks, count(DISTINCT page_id) AS unique_inlinks FROM (SELECT page_id, site, regexp_replace(href, '[^ -~]', '', 'g') AS href FROM a) GROUP BY 1 HAVING count(*) > 1")
+def parsed_inlinks(spark, sf):
+    """Addresses that several links of the raw pages name; characters outside ASCII are left out of the name on both sides."""
+    found = extract.link_facts(extract.extract_pages(derived(spark, sf, "pages"))).filter("link_type = 'a'")
+    name = F.regexp_replace(F.try_url_decode(F.replace("target_url", F.lit("+"), F.lit("%2B"))), "[^ -~]", "")
+    return found.withColumn("target", name).groupBy("target").agg(F.count("*").alias("inlinks"), F.count_distinct("source_id").alias("unique_inlinks")).filter("inlinks > 1")
