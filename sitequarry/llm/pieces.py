@@ -15,9 +15,12 @@ from __future__ import annotations
 
 import heapq
 import math
+import operator
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import public_tokenizers
@@ -33,6 +36,12 @@ SPACE = "▁"
 MANDELBROT = 1000
 #: Characters of words kept in a Python worker from task to task; then the caches start anew.
 CACHE_CHARS = 4_000_000
+#: Characters that the transition table knows; units with others take the pass for single units.
+CLASSES = 127
+#: Units up to these lengths run together, at least LEAST_UNITS of them and CELLS places at a time.
+WIDTHS = (8, 16, 32, 64)
+LEAST_UNITS = 64
+CELLS = 1 << 19
 _state: dict = {}
 
 
@@ -65,6 +74,7 @@ class Lattice:
         #: All pieces and their beginnings, so that one look-up tells both whether to use and whether to go on.
         self.walk = dict.fromkeys(self.starts, (-1, 0.0)) | self.pieces
         self.spanned = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        self.build_table()
         self.words: dict[str, int] = {}
         self.parts: dict[str, tuple[float, float, bytes, bytes]] = {}
         self.clear()
@@ -81,8 +91,27 @@ class Lattice:
         self.scores: list[float] = []
         self.gaps: list[float] = []
 
+    def build_table(self) -> None:
+        """The pieces of the most used characters as a table: state and character give the next state, or 0."""
+        used = Counter(c for p in self.pieces for c in p)
+        self.classes = {c: i + 1 for i, (c, _) in enumerate(used.most_common()) if c in self.pieces and i < CLASSES}
+        self.class_of = np.zeros(0x110000, np.uint8)
+        for c, i in self.classes.items():
+            self.class_of[ord(c)] = i
+        self.known = frozenset(self.classes)
+        inside = [p for p in self.walk if self.known.issuperset(p)]
+        states = {p: i + 2 for i, p in enumerate(inside)} | {"": 1}
+        self.next = np.zeros((len(states) + 1, CLASSES + 1), np.int32)
+        self.state_piece = np.full(len(states) + 1, -1, np.int32)
+        self.state_score = np.zeros(len(states) + 1)
+        for p in inside:
+            self.next[states[p[:-1]], self.classes[p[-1]]] = states[p]
+            self.state_piece[states[p]], self.state_score[states[p]] = self.walk[p]
+
     def units(self, word: str) -> list[str]:
         """The word cut where no piece spans two neighbours."""
+        if self.spanned.issuperset(map(operator.add, word, word[1:])):
+            return [word]
         out, start = [], 0
         for i in range(1, len(word)):
             if word[i - 1 : i + 1] not in self.spanned:
@@ -181,18 +210,78 @@ class Lattice:
         self.parts[unit] = out
         return out
 
+    def fill_parts(self, units: list[str]) -> None:
+        """`part` of many units at once: the same Viterbi pass in the same order, place by place for all units."""
+        lower = 0
+        short = [u for u in units if self.known.issuperset(u)]
+        for width in WIDTHS:
+            group = [u for u in short if lower < len(u) <= width]
+            lower = width
+            step = CELLS // width
+            for at in range(0, len(group), step):
+                if len(group) - at >= LEAST_UNITS:
+                    self.fill_group(group[at : at + step], width)
+
+    def fill_group(self, units: list[str], width: int) -> None:
+        rows, low = len(units), -1e300
+        lengths = np.fromiter(map(len, units), np.int64, rows)
+        points = np.frombuffer("".join([u.ljust(width, "\0") for u in units]).encode("utf-32-le"), np.uint32)
+        codes = np.ascontiguousarray(self.class_of[points].reshape(rows, width).T)
+        first, second = np.full((width + 1, rows), low), np.full((width + 1, rows), low)
+        start, piece = np.zeros((width + 1, rows), np.int32), np.full((width + 1, rows), -1, np.int32)
+        first[0] = 0.0
+        for s in range(width):
+            at = np.flatnonzero(lengths > s)
+            state = np.ones(len(at), np.int32)
+            for e in range(s + 1, width + 1):
+                state = self.next[state, codes[e - 1, at]]
+                on = state > 0
+                at, state = at[on], state[on]
+                if not len(at):
+                    break
+                p = self.state_piece[state]
+                ends = p >= 0
+                r, p, v = at[ends], p[ends], self.state_score[state[ends]]
+                score, old = first[s, r] + v, first[e, r]
+                better = score > old
+                second[e, r] = np.where(better, np.maximum(old, second[s, r] + v), np.maximum(second[e, r], score))
+                b = r[better]
+                first[e, b], start[e, b], piece[e, b] = score[better], s, p[better]
+        r = np.arange(rows)
+        best, other = first[lengths, r], second[lengths, r]
+        gaps = np.where(other > -1e200, best - other, np.inf)
+        steps, at = [], lengths
+        while at.any():
+            steps.append(np.where(at > 0, piece[at, r], -1))
+            at = np.where(at > 0, start[at, r], 0)
+        path = np.stack(steps[::-1], axis=1)
+        held = path >= 0
+        flat = path[held].astype("<u4")
+        ends = np.cumsum(held.sum(axis=1))
+        ids, raw = flat.tobytes(), list(map(self.texts.__getitem__, flat.tolist()))
+        a = 0
+        for u, x, g, z in zip(units, best.tolist(), gaps.tolist(), ends.tolist()):
+            self.parts[u] = (x, g, ids[4 * a : 4 * z], b"".join(raw[a:z]))
+            a = z
+
     def look_up(self, words: list[str]) -> list[int]:
         """Numbers of words (each with its leading blank), into ids, merged, raw, scores and gaps."""
         known = self.words
+        try:
+            return list(map(known.__getitem__, words))
+        except KeyError:
+            pass
         if self.held > CACHE_CHARS:
             self.clear()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        for w, merged in zip(new, self.library.encode(new, num_threads=1) if new else ()):
+        new = list(dict.fromkeys(filterfalse(known.__contains__, words)))
+        cuts = [self.units(SPACE + w) for w in new]
+        parts = self.parts
+        self.fill_parts(list(dict.fromkeys(filterfalse(parts.__contains__, chain.from_iterable(cuts)))))
+        for w, units, merged in zip(new, cuts, self.library.encode(new, num_threads=1)):
             self.held += len(w)
-            units = self.units(SPACE + w)
-            score, gap, ids, raw = self.part(units[0])
+            score, gap, ids, raw = parts.get(units[0]) or self.part(units[0])
             for u in units[1:]:
-                more, gap2, ids2, raw2 = self.part(u)
+                more, gap2, ids2, raw2 = parts.get(u) or self.part(u)
                 score, gap, ids, raw = score + more, min(gap, gap2), ids + ids2, raw + raw2
             known[w] = len(self.ids)
             self.ids.append(ids)
@@ -202,14 +291,16 @@ class Lattice:
             self.gaps.append(gap)
         return list(map(known.__getitem__, words))
 
-    def encode(self, text: str, n: int = 1) -> tuple[list[tuple[float, bytes]], bytes, bytes]:
+    def encode(self, text: str, n: int = 1, words: list[str] | None = None) -> tuple[list[tuple[float, bytes]], bytes, bytes]:
         """The n best segmentations of the whole text (score, ids), the library's ids, and the decoded bytes of the best.
 
+        words is the text split at blanks, where the caller has it already.
+
         Only the words whose second best is nearest can take part in the n best: n - 1 of them are searched.
         """
         if not text:
             return [(0.0, b"")], b"", b""
-        words = text.split(" ")
+        words = text.split(" ") if words is None else words
         numbers = self.look_up(words)
         total = math.fsum(map(self.scores.__getitem__, numbers))
         parts = list(map(self.ids.__getitem__, numbers))
@@ -220,7 +311,9 @@ class Lattice:
         best = [(0.0, ())]
         if n > 1:
             gaps = np.fromiter(map(self.gaps.__getitem__, numbers), np.float64, len(numbers))
-            near = np.argsort(gaps, kind="stable")[: n - 1] if len(gaps) <= 4 * n else np.argpartition(gaps, n - 2)[: n - 1]
+            # smallest gaps first, of equal ones the earlier places
+            near = np.flatnonzero(gaps <= np.partition(gaps, n - 2)[n - 2]) if len(gaps) >= n else np.arange(len(gaps))
+            near = near[np.argsort(gaps[near], kind="stable")][: n - 1]
             for i in sorted(near.tolist()):
                 if np.isfinite(gaps[i]):
                     options = self.word_options(words[i], n)
@@ -283,9 +376,11 @@ def encode_documents(docs: DataFrame, model: str | None = None, n_best: int = N_
         numbers = lambda ids: np.frombuffer(ids, "<u4").tolist()
         for batch in batches:
             for at, texts in text_slices(batch.column(1)):
+                split = [t.split(" ") for t in texts]
+                coder.look_up(list(chain.from_iterable(split)))  # new words of all these texts in one pass
                 rows = []
-                for t in texts:
-                    best, merged, raw = coder.encode(t, n_best)
+                for t, words in zip(texts, split):
+                    best, merged, raw = coder.encode(t, n_best, words)
                     back = (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
                     row = (len(best[0][1]) // 4, zlib.crc32(best[0][1]), best[0][0], [s for s, _ in best], [zlib.crc32(x) for _, x in best], len(merged) // 4, zlib.crc32(merged), zlib.crc32(back.encode()), back == t)
                     rows.append((*row, numbers(best[0][1]), [numbers(x) for _, x in best], numbers(merged)) if with_ids else row)
