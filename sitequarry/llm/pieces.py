@@ -13,14 +13,15 @@ order of its merges; that one comes from the library, as merge_ids.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import math
-import operator
 import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, filterfalse
+from operator import itemgetter
 
 import numpy as np
 import public_tokenizers
@@ -74,8 +75,10 @@ class Lattice:
         #: All pieces and their beginnings, so that one look-up tells both whether to use and whether to go on.
         self.walk = dict.fromkeys(self.starts, (-1, 0.0)) | self.pieces
         self.spanned = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        self.pairs = np.array(sorted(ord(p[0]) << 21 | ord(p[1]) for p in self.spanned), np.int64)
         self.build_table()
-        self.words: dict[str, int] = {}
+        #: Of each word: best score, gap to the second best, best ids, what they decode to, the library's ids.
+        self.words: dict[str, tuple[float, float, bytes, bytes, bytes]] = {}
         self.parts: dict[str, tuple[float, float, bytes, bytes]] = {}
         self.clear()
 
@@ -84,12 +87,6 @@ class Lattice:
         self.parts.clear()
         self.options: dict[tuple[str, int], list] = {}
         self.held = 0
-        #: Of each word: ids, the library's ids, decoded ids, best score, gap to the second best.
-        self.ids: list[bytes] = []
-        self.merged: list[bytes] = []
-        self.raw: list[bytes] = []
-        self.scores: list[float] = []
-        self.gaps: list[float] = []
 
     def build_table(self) -> None:
         """The pieces of the most used characters as a table: state and character give the next state, or 0."""
@@ -110,14 +107,24 @@ class Lattice:
 
     def units(self, word: str) -> list[str]:
         """The word cut where no piece spans two neighbours."""
-        if self.spanned.issuperset(map(operator.add, word, word[1:])):
-            return [word]
-        out, start = [], 0
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in self.spanned:
-                out.append(word[start:i])
-                start = i
-        out.append(word[start:])
+        return self.cut([word])[0]
+
+    def cut(self, words: list[str]) -> list[list[str]]:
+        """Each word (none is empty) cut where no piece spans two neighbours."""
+        text = "".join(words)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        pairs = points[:-1] << 21 | points[1:]
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        apart = self.pairs[np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)] != pairs
+        apart[ends[:-1] - 1] = False
+        out = [[w] for w in words]
+        places = np.flatnonzero(apart) + 1
+        owners = np.searchsorted(ends, places, "right")
+        starts = ends - np.fromiter(map(len, words), np.int64, len(words))
+        for i, at in zip(owners.tolist(), (places - starts[owners]).tolist()):
+            last = out[i].pop()
+            at -= len(words[i]) - len(last)
+            out[i] += [last[:at], last[at:]]
         return out
 
     def edges(self, unit: str) -> list[list[tuple[int, int | None, float]]]:
@@ -264,8 +271,8 @@ class Lattice:
             self.parts[u] = (x, g, ids[4 * a : 4 * z], b"".join(raw[a:z]))
             a = z
 
-    def look_up(self, words: list[str]) -> list[int]:
-        """Numbers of words (each with its leading blank), into ids, merged, raw, scores and gaps."""
+    def look_up(self, words: list[str]) -> list[tuple[float, float, bytes, bytes, bytes]]:
+        """What is known of each word (with its leading blank); new words are segmented together."""
         known = self.words
         try:
             return list(map(known.__getitem__, words))
@@ -274,21 +281,16 @@ class Lattice:
         if self.held > CACHE_CHARS:
             self.clear()
         new = list(dict.fromkeys(filterfalse(known.__contains__, words)))
-        cuts = [self.units(SPACE + w) for w in new]
+        cuts = self.cut([SPACE + w for w in new])
         parts = self.parts
         self.fill_parts(list(dict.fromkeys(filterfalse(parts.__contains__, chain.from_iterable(cuts)))))
         for w, units, merged in zip(new, cuts, self.library.encode(new, num_threads=1)):
-            self.held += len(w)
             score, gap, ids, raw = parts.get(units[0]) or self.part(units[0])
             for u in units[1:]:
                 more, gap2, ids2, raw2 = parts.get(u) or self.part(u)
                 score, gap, ids, raw = score + more, min(gap, gap2), ids + ids2, raw + raw2
-            known[w] = len(self.ids)
-            self.ids.append(ids)
-            self.merged.append(array("I", merged).tobytes())
-            self.raw.append(raw)
-            self.scores.append(score)
-            self.gaps.append(gap)
+            known[w] = (score, gap, ids, raw, array("I", merged).tobytes())
+        self.held += sum(map(len, new))
         return list(map(known.__getitem__, words))
 
     def encode(self, text: str, n: int = 1, words: list[str] | None = None) -> tuple[list[tuple[float, bytes]], bytes, bytes]:
@@ -301,16 +303,16 @@ class Lattice:
         if not text:
             return [(0.0, b"")], b"", b""
         words = text.split(" ") if words is None else words
-        numbers = self.look_up(words)
-        total = math.fsum(map(self.scores.__getitem__, numbers))
-        parts = list(map(self.ids.__getitem__, numbers))
+        rows = self.look_up(words)
+        total = math.fsum(map(itemgetter(0), rows))
+        parts = list(map(itemgetter(2), rows))
         ids = b"".join(parts)
         # runs of blanks are pieces of the library's own that cross words
         plain = "" not in words
-        merged = b"".join(map(self.merged.__getitem__, numbers)) if plain else array("I", self.library.encode(text)).tobytes()
+        merged = b"".join(map(itemgetter(4), rows)) if plain else array("I", self.library.encode(text)).tobytes()
         best = [(0.0, ())]
         if n > 1:
-            gaps = np.fromiter(map(self.gaps.__getitem__, numbers), np.float64, len(numbers))
+            gaps = np.fromiter(map(itemgetter(1), rows), np.float64, len(rows))
             # smallest gaps first, of equal ones the earlier places
             near = np.flatnonzero(gaps <= np.partition(gaps, n - 2)[n - 2]) if len(gaps) >= n else np.arange(len(gaps))
             near = near[np.argsort(gaps[near], kind="stable")][: n - 1]
@@ -319,17 +321,17 @@ class Lattice:
                     options = self.word_options(words[i], n)
                     best = sorted((a + b, (*chosen, (i, own)) if b else chosen) for a, chosen in best for b, own in options)[:n]
         out = []
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) if len(best) > 1 else None
         for loss, chosen in best:
             other = ids
             if chosen:
-                ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
                 at, pieces = 0, []
                 for i, own in chosen:
                     pieces += [ids[at : ends[i] - len(parts[i])], own]
                     at = ends[i]
                 other = b"".join([*pieces, ids[at:]])
             out.append((total - loss, other))
-        return out, merged, b"".join(map(self.raw.__getitem__, numbers))
+        return out, merged, b"".join(map(itemgetter(3), rows))
 
     def word_options(self, word: str, n: int) -> list[tuple[float, bytes]]:
         """The n best segmentations of a word: what each loses against the best, and its ids."""
@@ -353,6 +355,7 @@ class Lattice:
 def lattice(path: str) -> Lattice:
     if _state.get("path") != path:
         _state.update(path=path, lattice=Lattice(path))
+        gc.freeze()  # the model's many objects live as long as the worker
     return _state["lattice"]
 
 

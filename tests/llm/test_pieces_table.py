@@ -31,7 +31,7 @@ def test_slices_of_cells(monkeypatch):
     whole.look_up(some)
     monkeypatch.setattr(pieces, "CELLS", 64 * 100)
     small.look_up(some)
-    assert whole.ids == small.ids and whole.gaps == small.gaps and whole.merged == small.merged
+    assert whole.words == small.words
 
 
 def test_texts_do_not_depend_on_company():
@@ -44,11 +44,11 @@ def test_texts_do_not_depend_on_company():
 
 def test_ties_go_to_the_earlier_word():
     coder = pieces.Lattice(PATH)
-    gap = {w: coder.gaps[coder.look_up([w])[0]] for w in ("window", "garden", "people")}
+    gap = {w: coder.look_up([w])[0][1] for w in ("window", "garden", "people")}
     first = min(gap, key=gap.get)
     for length in (3, 40):  # few and many words: one rule
         best, _, _ = coder.encode(" ".join([first] * length), 2)
-        parts = [coder.ids[coder.look_up([first])[0]]] * length
+        parts = [coder.look_up([first])[0][2]] * length
         assert best[1][1][len(best[1][1]) - sum(map(len, parts[1:])) :] == b"".join(parts[1:])
 
 
