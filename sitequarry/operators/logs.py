@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from sitequarry.functions import text as T
+from sitequarry.operators.scratch import materialise
 
 # The combined format, and the looser format of delivery networks.
 COMBINED = '^(\\S+)\\s+(\\S+)\\s+(\\S+)\\s+\\[([^\\]]+)\\]\\s+"([^"]+)"\\s+(\\d{3})\\s+(\\S+)\\s+"([^"]*)"\\s+"([^"]*)"$'
@@ -111,6 +112,41 @@ def orphan_urls(entries: DataFrame, least: int = 3) -> DataFrame:
     return per_url(entries).filter(F.col("wasted") >= least).select("url", F.col("wasted").alias("hits"))
 
 
+def summary(entries: DataFrame, k: int = 20, least: int = 3) -> DataFrame:
+    """The whole summary of a log as rows (section, rank, key, hits, status_code), for any writer.
+
+    Sections: total (requests, bot_requests, unique_urls: zeros for an empty log), status, bot, top_url (rank 1 to k),
+    waste (rank 1 to k, with the first failing status by line) and orphan. Entries are read once: counts by URL, status and
+    bot are written, and all sections come from these.
+    """
+    entries = entries.withColumn("bot", _bot())
+    cells = materialise(entries.groupBy("url", "status_code", "bot").agg(F.count("*").alias("n"), F.min("line_no").alias("line_no")), "log_cells")
+    hits, none = F.sum("n"), F.lit(None).cast("int")
+    bots = F.sum(F.when(F.col("bot").isNotNull(), F.col("n")))
+    waste = F.col("bot").isNotNull() & ~F.col("status_code").between(200, 299)
+    urls = cells.groupBy("url").agg(hits.alias("hits"), F.sum(F.when(waste, F.col("n"))).alias("wasted"), F.min_by("status_code", F.when(waste, F.col("line_no"))).alias("first_status"))
+    row = lambda section, key, n, rank=none, status=none: (F.lit(section).alias("section"), rank.cast("int").alias("rank"), key.cast("string").alias("key"), n.cast("long").alias("hits"), status.cast("int").alias("status_code"))
+
+    def ranked(section: str, df: DataFrame, column: str, status: Column = none) -> DataFrame:
+        rank = F.row_number().over(Window.orderBy(F.desc(column), "url"))  # over k rows
+        return df.orderBy(F.desc(column), "url").limit(k).select(*row(section, F.col("url"), F.col(column), rank, status))
+
+    totals_ = cells.agg(F.coalesce(hits, F.lit(0)).alias("requests"), F.coalesce(bots, F.lit(0)).alias("bot_requests"), F.count_distinct("url").alias("unique_urls"))
+    failing = urls.filter("wasted > 0")
+    parts = [
+        totals_.unpivot([], ["requests", "bot_requests", "unique_urls"], "name", "n").select(*row("total", F.col("name"), F.col("n"))),
+        cells.groupBy("status_code").agg(hits.alias("n")).select(*row("status", F.col("status_code"), F.col("n"))),
+        cells.filter("bot IS NOT NULL").groupBy("bot").agg(hits.alias("n")).select(*row("bot", F.col("bot"), F.col("n"))),
+        ranked("top_url", urls, "hits"),
+        ranked("waste", failing, "wasted", F.col("first_status")),
+        failing.filter(F.col("wasted") >= least).select(*row("orphan", F.col("url"), F.col("wasted"))),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def by_hour(entries: DataFrame, watermark: str | None = None) -> DataFrame:
     """Requests and bot requests of each hour; with a watermark the same works on a stream with bounded state."""
     rows = entries.withWatermark("ts", watermark) if watermark else entries

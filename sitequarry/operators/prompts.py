@@ -17,7 +17,27 @@ def substitute(template: str, columns: list[str]) -> Column:
 
 
 def truncated(c: Column, most: int) -> Column:
-    return F.when(F.length(c) > most, F.concat(F.rtrim(F.substring(c, 1, most)), F.lit("..."))).otherwise(c)
+    """The first characters, trimmed, and three dots where text is left out; null is empty."""
+    return F.when(F.length(c) > most, F.concat(F.btrim(F.substring(c, 1, most), F.lit(" \t\r\n")), F.lit("..."))).otherwise(F.coalesce(c, F.lit("")))
+
+
+#: What is asked, the facts given with it, and how much of the page's text.
+REVIEWS = {
+    "title": ("Propose a better title of at most 60 characters and say why.", ["url", "title", "h1"], 2000),
+    "description": ("Propose a better description of 120 to 158 characters and say why.", ["url", "title", "description"], 2000),
+    "content": ("Rate the text from 1 to 10 for the keyword and name 3 to 5 improvements.", ["url", "keyword"], 3000),
+    "issue": ("Say step by step how to mend this finding and which files to look at.", ["url", "type", "details"], 0),
+}
+
+
+def review_requests(rows: DataFrame, kind: str) -> DataFrame:
+    """kind, id, request: one request per row, of its facts (blank ones are '(none)') and the beginning of its `content`."""
+    task, facts, most = REVIEWS[kind]
+    shown = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("(none)"))
+    lines = [F.concat(F.lit(f"{c}: "), shown(c)) for c in facts]
+    if most:
+        lines.append(F.concat(F.lit("text: "), truncated(F.col("content"), most)))
+    return rows.select(F.lit(kind).alias("kind"), "id", F.concat_ws("\n", *lines, F.lit(task)).alias("request"))
 
 
 def prompt_requests(urls: DataFrame, prompts: DataFrame, issues: DataFrame, columns: list[str]) -> DataFrame:

@@ -481,6 +481,20 @@ def log_waste(spark, sf):
     return logs.wasted_urls(_log(spark, sf))
 
 
+@query(_LOG + """, u AS (SELECT url, count(*) AS hits, count(*) FILTER (waste) AS wasted, arg_min(status_code, line_no) FILTER (waste) AS first FROM l GROUP BY 1),
+t AS (SELECT 'requests' AS key, count(*) AS hits FROM l UNION ALL SELECT 'bot_requests', count(bot) FROM l UNION ALL SELECT 'unique_urls', count(DISTINCT url) FROM l),
+r AS (SELECT *, row_number() OVER (ORDER BY hits DESC, url) AS a, row_number() OVER (ORDER BY wasted DESC, url) AS b FROM u)
+SELECT 'total' AS section, NULL::INTEGER AS rank, key, hits, NULL::INTEGER AS status_code FROM t
+UNION ALL SELECT 'status', NULL, status_code::VARCHAR, count(*), NULL FROM l GROUP BY status_code
+UNION ALL SELECT 'bot', NULL, bot, count(*), NULL FROM l WHERE bot IS NOT NULL GROUP BY bot
+UNION ALL SELECT 'top_url', a, url, hits, NULL FROM r WHERE a <= 20
+UNION ALL SELECT 'waste', b, url, wasted, first FROM r WHERE b <= 20 AND wasted > 0
+UNION ALL SELECT 'orphan', NULL, url, wasted, NULL FROM u WHERE wasted >= 3""", "log_fx")
+def log_document(spark, sf):
+    """The summary as one table of sections."""
+    return logs.summary(_log(spark, sf))
+
+
 @query(_LOG + " SELECT url, count(*) AS hits FROM l WHERE waste GROUP BY 1 HAVING count(*) >= 3", "log_fx")
 def log_orphans(spark, sf):
     return logs.orphan_urls(_log(spark, sf))

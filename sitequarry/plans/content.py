@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sitequarry.operators import extract, selectors, similar
+from sitequarry.operators import extract, prompts, selectors, similar
 from sitequarry.operators.scratch import folder
 from sitequarry.plans.audit import CANONICALS, EXACT, PAGINATION, _duplicates, query
 from sitequarry.plans.tables import ENTITIES, _replaces, derived
@@ -81,3 +81,15 @@ def incremental_findings(spark, sf):
     upkeep.take_in(pages.filter("id % 3 = 2"), 1, place)
     upkeep.take_in(pages.filter(early), 2, place)
     return upkeep.current_findings(spark, place)
+
+
+_SHOWN = lambda name, c: f"'{name}: ' || coalesce(nullif({c}, ''), '(none)') || chr(10) || "
+_TEXT = "'text: ' || CASE WHEN length(body_text) > 2000 THEN trim(substr(body_text, 1, 2000)) || '...' ELSE coalesce(body_text, '') END || chr(10) || "
+_ASK = lambda kind, *facts: f"SELECT '{kind}' AS kind, id, {''.join(facts)}{_TEXT}'{prompts.REVIEWS[kind][0]}' AS request FROM url_fx"
+
+
+@query(_ASK("title", _SHOWN("url", "address"), _SHOWN("title", "title1"), _SHOWN("h1", "h1")) + " UNION ALL " + _ASK("description", _SHOWN("url", "address"), _SHOWN("title", "title1"), _SHOWN("description", "meta_description1")), "url_fx")
+def review_requests(spark, sf):
+    """Requests for better titles and descriptions of all pages."""
+    rows = derived(spark, sf, "url_fx").select("id", F.col("address").alias("url"), F.col("title1").alias("title"), "h1", F.col("meta_description1").alias("description"), F.col("body_text").alias("content"))
+    return prompts.review_requests(rows, "title").unionByName(prompts.review_requests(rows, "description"))

@@ -1,6 +1,6 @@
 """Request tables, listings and admission."""
 
-from sitequarry.operators import prompts
+from sitequarry.operators import logs, prompts
 
 
 def test_requests(spark):
@@ -23,3 +23,19 @@ def test_admission(spark):
     seen = spark.createDataFrame([("https://a.test/seen",)], "url string")
     got = [tuple(r) for r in prompts.admit(found, seen, most_depth=5, search_pages=False).collect()]
     assert got == [("https://a.test/x", 1)]
+
+
+def test_reviews(spark):
+    rows = spark.createDataFrame([(1, "https://a.test/", "T", None, " x" * 2000), (2, "https://a.test/b", "", "H", None)], "id long, url string, title string, h1 string, content string")
+    got = {r["id"]: r["request"].split("\n") for r in prompts.review_requests(rows, "title").collect()}
+    task = prompts.REVIEWS["title"][0]
+    assert got[1] == ["url: https://a.test/", "title: T", "h1: (none)", "text: " + (" x" * 1000).strip() + "...", task]
+    assert got[2] == ["url: https://a.test/b", "title: (none)", "h1: H", "text: ", task]
+    found = spark.createDataFrame([(1, "https://a.test/", "missing_h1", None)], "id long, url string, type string, details string")
+    assert "type: missing_h1\ndetails: (none)\n" in prompts.review_requests(found, "issue").first()["request"]
+    assert prompts.review_requests(found.limit(0), "issue").count() == 0
+
+
+def test_summary_of_an_empty_log(spark):
+    none = spark.createDataFrame([], "line_no long, url string, status_code int, user_agent string")
+    assert sorted((r["section"], r["key"], r["hits"]) for r in logs.summary(none).collect()) == [("total", "bot_requests", 0), ("total", "requests", 0), ("total", "unique_urls", 0)]
