@@ -1,11 +1,13 @@
 """Approximate nearest neighbours: a graph by NN-descent, queries by greedy search on it.
 
-Equal vectors are one node. A first graph comes from sorting the nodes by random hyperplane codes, a few times over, and
-comparing runs of LEAF neighbours in that order. NN-descent then lets nodes that share a neighbour meet: every node sends
-its vector to the neighbours on its list, the vectors that arrive at a node are compared with each other where one of the
-two is new there, and each node keeps the nearest it has heard of. Rounds go on until few lists change. A query walks the
-graph: the nearest nodes that it has not expanded name their neighbours, these are joined with their vectors, and the
-query keeps the nearest. All queries walk together, a join for each round.
+Equal vectors are one node. Nodes are numbered along an order of random hyperplane codes, so that near nodes often have
+near numbers; a block is a run of numbers. A first graph comes from several such orders, by comparing runs of LEAF
+neighbours. NN-descent then lets nodes that share a neighbour meet: every node sends its vector once to each block that
+holds neighbours on its list, those that meet at a node are compared with each other where one of the two is new there,
+and each node keeps the nearest it has heard of. Rounds go on until few lists change. A query walks the graph: the
+nearest nodes that it has not expanded name their neighbours, these are joined with their vectors, and the query keeps
+the nearest. All queries walk together, a join for each round. How many nodes a query keeps is measured, not fixed:
+a sample of queries is compared with all rows, and the number is doubled until enough of their nearest are found.
 
 Vectors keep the precision they come with, distances are differences in double, so near copies are told apart.
 """
@@ -29,8 +31,13 @@ CHANGED, MOST_ROUNDS = 0.02, 12
 #: Of the nodes that have a node on their lists so many meet there in one round, as in the paper chosen at random anew
 #: each time; each hears of so many nearer ones from one meeting; so many reverse edges serve the search (the nearest).
 MEET, HEAR, BACK = 80, 8, 40
-#: Nodes that a query keeps, and those it expands in a round.
-BEAM, EXPAND = 96, 48
+#: Nodes that a query keeps at first (it expands half of them in a round); the share of the nearest that must be found for a
+#: sample of so many queries before all walk; the gain in that share under which a larger number is given up.
+BEAM, RECALL, CHECKED, GAIN = 96, 0.96, 200, 0.002
+#: Bytes of the vectors that meet in a block at most, and the nodes of a block at least.
+BLOCK_BYTES, LEAST_BLOCK = 256 << 20, 1024
+#: Nodes whose in-degree the driver knows at most (numbers only): those on more than one in so many of all list entries.
+HUBS = 100_000
 #: Pairs of a task that are merged together before they are sent.
 AT_ONCE = 1_000_000
 LISTS = "node long, vector binary, near binary, away binary, fresh binary"
@@ -135,15 +142,10 @@ def merged(lists: DataFrame, k: int) -> DataFrame:
     return lists.repartition("node").sortWithinPartitions("node").mapInArrow(run, LISTS)
 
 
-def first_graph(nodes: DataFrame, n: int, kind: str, k: int, orders: int, leaf: int) -> DataFrame:
-    """Lists from runs of `leaf` nodes in `orders` sorted orders.
+def centre(rows: DataFrame, n: int, kind: str) -> np.ndarray:
+    """The mean of n vectors, where the planes meet: a row of sums from each task."""
+    width = len(rows.select("vector").first()["vector"]) // np.dtype(kind).itemsize
 
-    An order goes by the signs of the vector on random directions, so many that a cell of equal signs holds about one run,
-    and within a cell by one more direction: large cells, as of near copies, are sorted too.
-    """
-    width = len(nodes.select("vector").first()["vector"]) // np.dtype(kind).itemsize
-    bits = max(1, math.ceil(math.log2(max(2, n / leaf))))
-    # the mean of all vectors is where the planes meet: a row of sums from each task
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
         for batch in batches:
@@ -151,25 +153,59 @@ def first_graph(nodes: DataFrame, n: int, kind: str, k: int, orders: int, leaf:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(total)], names=["i", "v"])
 
     mean = np.zeros(width)
-    for r in nodes.select("vector").mapInArrow(sums, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+    for r in rows.select("vector").mapInArrow(sums, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
         mean[r["i"]] = r["v"]
-    planes = np.random.default_rng(0).standard_normal((orders, bits + 1, width))
+    return mean
+
+
+def in_order(rows: DataFrame, n: int, kind: str, mean: np.ndarray, orders: int, leaf: int, seed: int) -> DataFrame:
+    """The rows, once for each order, sorted within it.
+
+    An order goes by the signs of the vector on random directions, so many that a cell of equal signs holds about one run,
+    and within a cell by one more direction: large cells, as of near copies, are sorted too.
+    """
+    bits = max(1, math.ceil(math.log2(max(2, n / leaf))))
+    planes = np.random.default_rng(seed).standard_normal((orders, bits + 1, len(mean)))
+    names = rows.columns
+    at = names.index("vector")
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(1).to_pylist(), kind, width) - mean
+            x = _matrix(batch.column(at).to_pylist(), kind, len(mean)) - mean
             for t in range(orders):
                 p = x @ planes[t].T
                 gray = p[:, :bits] > 0
                 gray = np.bitwise_xor.accumulate(gray, 1) @ (1 << np.arange(bits - 1, -1, -1))  # neighbours in Gray code are near
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(gray.astype(np.int64)), pa.array(p[:, bits]), batch.column(0), batch.column(1)], names=["t", "code", "place", "node", "vector"])
+                own = [pa.array(np.full(len(x), t, np.int32)), pa.array(gray.astype(np.int64)), pa.array(p[:, bits])]
+                yield pa.RecordBatch.from_arrays(own + batch.columns, names=["t", "code", "place", *names])
+
+    schema = ", ".join(["t int, code long, place double", *(f"{name} {kind_}" for name, kind_ in rows.dtypes)])
+    placed = rows.mapInArrow(codes, schema)
+    return placed.repartitionByRange("t", "code", "place").sortWithinPartitions("t", "code", "place").select(*names)
+
+
+def numbered_nodes(rows: DataFrame, n: int, kind: str, mean: np.ndarray, leaf: int = LEAF) -> DataFrame:
+    """The rows with gapless numbers `node` along one order."""
+    high = materialise(in_order(rows, n, kind, mean, 1, leaf, 1).withColumn("high", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("high", 33)
+    sizes = high.groupBy(part.alias("part")).agg(F.count("*").alias("rows"), F.min("high").alias("first"))  # a row for each partition
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("part", (before - F.col("first")).alias("shift"))
+    out = high.withColumn("part", part).join(F.broadcast(starts), "part").select(*rows.columns, (F.col("high") + F.col("shift")).alias("node"))
+    out = materialise(out, "nodes")
+    discard(high)
+    return out
+
+
+def first_graph(nodes: DataFrame, n: int, kind: str, mean: np.ndarray, k: int, orders: int, leaf: int) -> DataFrame:
+    """Lists from runs of `leaf` nodes in `orders` sorted orders."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         heard = _Heard(k)
 
         def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            node, x = t["node"].to_numpy(), _matrix(t["vector"].to_pylist(), kind, width).astype(np.float64)
+            node, x = t["node"].to_numpy(), _matrix(t["vector"].to_pylist(), kind, len(mean)).astype(np.float64)
             for lo in range(0, len(node), leaf):
                 d = _squares(x[lo : lo + leaf])
                 i, j = np.nonzero(~np.eye(len(d), dtype=bool))
@@ -186,8 +222,7 @@ def first_graph(nodes: DataFrame, n: int, kind: str, k: int, orders: int, leaf:
             yield from compare(pa.Table.from_batches(held))
         yield from heard.send()
 
-    placed = nodes.select("node", "vector").mapInArrow(codes, "t int, code long, place double, node long, vector binary")
-    lists = placed.repartitionByRange("t", "code", "place").sortWithinPartitions("t", "code", "place").select("node", "vector").mapInArrow(runs, LISTS)
+    lists = in_order(nodes.select("node", "vector"), n, kind, mean, orders, leaf, 0).mapInArrow(runs, LISTS)
     empty = F.lit(b"").cast("binary")
     own = nodes.select("node", "vector", empty.alias("near"), empty.alias("away"), empty.alias("fresh"))
     return materialise(merged(own.unionByName(lists), k), "graph")
@@ -210,60 +245,130 @@ def _entries(lists: DataFrame) -> DataFrame:
     return lists.select("node", "near", "away", "fresh").mapInArrow(run, "node long, other long, away float")
 
 
-def descend(lists: DataFrame, n: int, kind: str, k: int, turn: int) -> DataFrame:
-    """A round of NN-descent: nodes that share a neighbour meet there and become neighbours where they are nearer."""
-    # a node that very many lists hold: of the vectors sent to it a random share that still gives MEET is sent
-    hubs = _entries(lists).groupBy("other").agg(F.count("*").alias("lists")).filter(F.col("lists") > max(10 * MEET, n * k // 200)).collect()  # 200 rows at most
-    shares = {r["other"]: 4 * MEET / r["lists"] for r in hubs}
+class _Inbox:
+    """Who meets at the nodes of a block: at each the node itself and at most MEET of those that list it, as they come."""
+
+    def __init__(self, block: int, size: int):
+        self.first, self.size, self.count = block * size, size, 0
+        self.taken = np.zeros(size, np.int64)
+        self.visitors: list[tuple] = []
+        self.entries: list[tuple] = []
+
+    def add(self, t: pa.RecordBatch) -> None:
+        node, targets, fresh = t["node"].to_numpy(), t["targets"], t["fresh"].flatten().to_numpy(zero_copy_only=False)
+        to = targets.flatten().to_numpy() - self.first
+        row = np.repeat(np.arange(len(node)), targets.value_lengths().to_numpy())
+        own = to + self.first == node[row]
+        others = np.flatnonzero(~own)
+        others = others[np.argsort(to[others], kind="stable")]
+        place = to[others]
+        rank = np.arange(len(place)) - np.searchsorted(place, place)
+        others = others[rank + self.taken[place] < MEET]
+        self.taken += np.bincount(to[others], minlength=self.size)
+        keep = np.concatenate([np.flatnonzero(own), others])
+        used, at = np.unique(row[keep], return_inverse=True)
+        self.visitors.append((node[used], t["worst"].to_numpy()[used], t["vector"].take(pa.array(used))))
+        self.entries.append((to[keep], at + self.count, fresh[keep]))
+        self.count += len(used)
+
+    def meetings(self) -> tuple[np.ndarray, ...]:
+        """Place, visitor and newness of each entry by place, then numbers, worst distances and vectors of the visitors."""
+        place, visitor, fresh = (np.concatenate(c) for c in zip(*self.entries))
+        order = np.argsort(place, kind="stable")
+        vectors = [x for _, _, v in self.visitors for x in v.to_pylist()]
+        node, worst = (np.concatenate([v[i] for v in self.visitors]) for i in (0, 1))
+        return place[order], visitor[order], fresh[order], node, worst, vectors
+
+
+def block_size(n: int, width: int, parallel: int) -> int:
+    """Nodes of a block, a power of two: a block for each core, in the bounds of memory, and not too small."""
+    most = BLOCK_BYTES // ((MEET + 1) * width)
+    return 1 << max(4, int(math.log2(max(1, min(most, max(LEAST_BLOCK, n // parallel))))))
+
+
+def descend(lists: DataFrame, n: int, kind: str, k: int, turn: int, block: int) -> DataFrame:
+    """A round of NN-descent: nodes that share a neighbour meet there and become neighbours where they are nearer.
+
+    Of the vectors sent to a node MEET are used, chosen at random anew in each round; so a block holds a bounded number,
+    however many lists hold one of its nodes. Fewer are sent to nodes that very many lists hold: a random share that still
+    gives MEET.
+    """
+    hubs = _entries(lists).groupBy("other").agg(F.count("*").alias("lists")).filter(F.col("lists") > max(10 * MEET, n * k // HUBS)).orderBy("other").collect()
+    hub, share = np.array([r["other"] for r in hubs], np.int64), np.array([4 * MEET / r["lists"] for r in hubs])
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node = batch.column(0).to_numpy()
+            if not len(node):
+                continue
             rows, to, away, new = _flat(*(batch.column(i).to_pylist() for i in (2, 3, 4)))
             count = np.bincount(rows, minlength=len(node))
             worst = np.where(count >= k, np.append(away, 0)[np.maximum(np.cumsum(count) - 1, 0)], np.inf).astype(np.float32)
-            luck = np.random.default_rng([turn, int(node[0]) & 0x7FFFFFFF] if len(node) else turn).random(len(rows), np.float32)
-            if shares:
-                keep = luck < np.array([shares.get(x, 1.0) for x in to.tolist()])
-                rows, to, new, luck = rows[keep], to[keep], new[keep], luck[keep]
+            rng = np.random.default_rng([turn, int(node[0])])
+            if len(hub):
+                at = np.minimum(np.searchsorted(hub, to), len(hub) - 1)
+                keep = (hub[at] != to) | (rng.random(len(to)) < share[at])
+                rows, to, new = rows[keep], to[keep], new[keep]
             # the node itself meets those who list it
-            everyone = np.concatenate([rows, np.arange(len(node))])
-            new, luck = np.concatenate([new, np.zeros(len(node), bool)]), np.concatenate([luck, np.full(len(node), -1, np.float32)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([to, node])), pa.array(node[everyone]), pa.array(luck), pa.array(new), pa.array(worst[everyone]), batch.column(1).take(pa.array(everyone))], names=["at", "node", "luck", "fresh", "worst", "vector"])
+            rows, to, new = np.concatenate([rows, np.arange(len(node))]), np.concatenate([to, node]), np.concatenate([new, np.zeros(len(node), bool)])
+            order = np.lexsort((to, rows))
+            rows, to, new = rows[order], to[order], new[order]
+            start = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (to[1:] // block != to[:-1] // block)))
+            ends = pa.array(np.append(start, len(rows)).astype(np.int32))
+            r = rows[start]
+            yield pa.RecordBatch.from_arrays([pa.array((to[start] // block).astype(np.int32)), pa.array(node[r]), pa.array(rng.random(len(node), np.float32)[r]), pa.array(worst[r]), pa.ListArray.from_arrays(ends, pa.array(to)), pa.ListArray.from_arrays(ends, pa.array(new)), batch.column(1).take(pa.array(r))], names=["block", "node", "luck", "worst", "targets", "fresh", "vector"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heard = _Heard(k)
-        for t in whole_groups(batches, "at"):
-            at, node, fresh, worst = (t[c].to_numpy() for c in ("at", "node", "fresh", "worst"))
-            start, count = np.unique(at, return_index=True, return_counts=True)[1:]
-            vectors = t["vector"].combine_chunks()
-            for lo in range(0, len(start), 200):
-                s, c = start[lo : lo + 200], np.minimum(count[lo : lo + 200], MEET + 1)
-                width = int(c.max())
-                i = np.minimum(s[:, None] + np.arange(width), len(at) - 1)
-                real, new = np.arange(width) < c[:, None], fresh[i]
-                d = _squares(_matrix(vectors.take(pa.array(i.ravel())).to_pylist(), kind).reshape(*i.shape, -1).astype(np.float64))
-                d[~(real[:, :, None] & real[:, None] & (new[:, :, None] | new[:, None]) & (d < worst[i][:, :, None]) & (node[i][:, :, None] != node[i][:, None]))] = np.inf
-                if width > HEAR:
-                    b = np.argpartition(d, HEAR, 2)[:, :, :HEAR]
-                    d = np.take_along_axis(d, b, 2)
-                else:
-                    b = np.broadcast_to(np.arange(width), d.shape)
-                g, a, e = np.nonzero(np.isfinite(d))
-                yield from heard.add(node[i[g, a]], node[i[g, b[g, a, e]]], d[g, a, e])
+        held: _Inbox | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            number = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(number)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if held is not None and held.first != number[lo] * block:
+                    yield from compared(held, heard)
+                    held = None
+                held = held or _Inbox(int(number[lo]), block)
+                held.add(batch.slice(lo, hi - lo))
+        if held is not None:
+            yield from compared(held, heard)
         yield from heard.send()
 
-    messages = lists.select("node", "vector", "near", "away", "fresh").mapInArrow(sent, "at long, node long, luck float, fresh boolean, worst float, vector binary")
-    found = messages.repartition("at").sortWithinPartitions("at", "luck", "node").mapInArrow(meet, LISTS)
+    def compared(held: _Inbox, heard: _Heard) -> Iterator[pa.RecordBatch]:
+        place, visitor, fresh, node, worst, vectors = held.meetings()
+        x = _matrix(vectors, kind)
+        start, count = np.unique(place, return_index=True, return_counts=True)[1:]
+        for lo in range(0, len(start), 200):
+            s, c = start[lo : lo + 200], count[lo : lo + 200]
+            width = int(c.max())
+            e = np.minimum(s[:, None] + np.arange(width), len(place) - 1)
+            i, real, new = visitor[e], np.arange(width) < c[:, None], fresh[e]
+            d = _squares(x[i].astype(np.float64))
+            d[~(real[:, :, None] & real[:, None] & (new[:, :, None] | new[:, None]) & (d < worst[i][:, :, None]) & (i[:, :, None] != i[:, None]))] = np.inf
+            if width > HEAR:
+                b = np.argpartition(d, HEAR, 2)[:, :, :HEAR]
+                d = np.take_along_axis(d, b, 2)
+            else:
+                b = np.broadcast_to(np.arange(width), d.shape)
+            g, a, h = np.nonzero(np.isfinite(d))
+            yield from heard.add(node[i[g, a]], node[i[g, b[g, a, h]]], d[g, a, h])
+
+    schema = "block int, node long, luck float, worst float, targets array<long>, fresh array<boolean>, vector binary"
+    messages = lists.select("node", "vector", "near", "away", "fresh").mapInArrow(sent, schema)
+    blocks = -(-n // block)
+    found = messages.repartitionById(min(blocks, 10_000), F.col("block")).sortWithinPartitions("block", "luck", "node").mapInArrow(meet, LISTS)
     old = lists.withColumn("fresh", F.expr("unhex(repeat('00', length(fresh)))"))
     return materialise(merged(old.unionByName(found), k), "graph")
 
 
-def build(nodes: DataFrame, n: int, kind: str, k: int = DEGREE, orders: int = ORDERS, leaf: int = LEAF, changed: float = CHANGED, most_rounds: int = MOST_ROUNDS) -> tuple[DataFrame, int]:
+def build(nodes: DataFrame, n: int, kind: str, mean: np.ndarray, k: int = DEGREE, orders: int = ORDERS, leaf: int = LEAF, changed: float = CHANGED, most_rounds: int = MOST_ROUNDS) -> tuple[DataFrame, int]:
     """The graph, and the rounds it took."""
-    lists = first_graph(nodes, n, kind, k, orders, leaf)
+    lists = first_graph(nodes, n, kind, mean, k, orders, leaf)
+    block = block_size(n, len(mean) * np.dtype(kind).itemsize, nodes.sparkSession.sparkContext.defaultParallelism)
     for turn in range(1, most_rounds + 1):
-        new = descend(lists, n, kind, k, turn)
+        new = descend(lists, n, kind, k, turn, block)
         discard(lists)
         lists = new
         moved = lists.agg(F.sum(F.regexp_count(F.hex("fresh"), F.lit("01"))).alias("n")).first()["n"] or 0  # bytes 00 or 01, so hex digits pair up
@@ -272,17 +377,22 @@ def build(nodes: DataFrame, n: int, kind: str, k: int = DEGREE, orders: int = OR
     return lists, turn
 
 
-def walk(queries: DataFrame, lists: DataFrame, kind: str, beam: int, expand: int) -> DataFrame:
+def search_graph(lists: DataFrame) -> DataFrame:
+    """node, vector, around: the nodes on its list and the nearest BACK of those that list it."""
+    entries = _entries(lists)
+    back = entries.select(F.col("other").alias("node"), F.col("node").alias("other"), "away")
+    nearest = back.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("away", "other"))).filter(F.col("r") <= BACK)
+    around = entries.select("node", "other").unionByName(nearest.select("node", "other")).groupBy("node").agg(F.collect_set("other").alias("around"))
+    return materialise(lists.select("node", "vector").join(around, "node", "left"), "search_graph")
+
+
+def walk(queries: DataFrame, graph: DataFrame, kind: str, beam: int) -> DataFrame:
     """query, node, away (squared): the beam of each query when all its nodes are expanded.
 
     A query starts at its own node. A round sends its vector to the neighbours of the nearest nodes that it hasn't
     expanded; those nearer than the last of its beam answer with their distance and their own neighbours.
     """
-    entries = _entries(lists)
-    back = entries.select(F.col("other").alias("node"), F.col("node").alias("other"), "away")
-    nearest = back.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("away", "other"))).filter(F.col("r") <= BACK)
-    around = entries.select("node", "other").unionByName(nearest.select("node", "other")).groupBy("node").agg(F.collect_set("other").alias("around"))
-    graph = materialise(lists.select("node", "vector").join(around, "node", "left"), "search_graph")
+    expand = beam // 2
     state = "query long, vector binary, nodes array<long>, away array<double>, done array<boolean>, around array<array<long>>"
     start = queries.join(graph.withColumnRenamed("node", "query"), "query")
     walks = materialise(start.select("query", "vector", F.array("query").alias("nodes"), F.array(F.lit(0.0)).alias("away"), F.array(F.lit(False)).alias("done"), F.array(F.coalesce("around", F.array().cast("array<long>"))).alias("around")), "walks")
@@ -317,7 +427,8 @@ def walk(queries: DataFrame, lists: DataFrame, kind: str, beam: int, expand: int
                     w["vector"], open_ = r["vector"], 0
                     for x in zip(r["away"], r["nodes"], r["done"], r["around"]):
                         open_ += not x[2]
-                        w["seen"].append((x[0], x[1], x[2] or open_ <= expand, x[3]))
+                        done = x[2] or open_ <= expand
+                        w["seen"].append((x[0], x[1], done, [] if done else x[3]))
                 else:
                     w["seen"].append((r["away"][0], r["nodes"][0], False, r["around"][0]))
             rows = [(q, w["vector"], sorted(w["seen"], key=lambda x: x[:2])[:beam]) for q, w in held.items()]
@@ -332,17 +443,55 @@ def walk(queries: DataFrame, lists: DataFrame, kind: str, beam: int, expand: int
         discard(walks)
         walks = following
     out = materialise(walks.select("query", F.explode(F.arrays_zip("nodes", "away")).alias("b")).select("query", F.col("b.nodes").alias("node"), F.col("b.away").alias("away")), "beams")
-    discard(walks, graph)
+    discard(walks)
     return out
 
 
-def search(embeddings: DataFrame, every: int = 100, k: int = 10, beam: int = BEAM, expand: int = EXPAND, **graph) -> DataFrame:
+def _last_exact(queries: DataFrame, nodes: DataFrame, kind: str, k: int) -> DataFrame:
+    """query, last: the k-th smallest squared distance from each of at most CHECKED queries to any other node."""
+    asked = queries.join(nodes, F.col("query") == F.col("node")).select("query", "vector").orderBy("query").limit(CHECKED).collect()
+    own, x = np.array([r["query"] for r in asked]), _matrix([bytes(r["vector"]) for r in asked], kind).astype(np.float64)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(own), k), np.inf)
+        for batch in batches:
+            node, y = batch.column(0).to_numpy(), _matrix(batch.column(1).to_pylist(), kind, x.shape[1]).astype(np.float64)
+            for q in range(len(own)):
+                d = y - x[q]
+                d = np.append(best[q], (d * d).sum(1)[node != own[q]])
+                best[q] = np.partition(d, k - 1)[:k]
+        q, _ = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(best[np.isfinite(best)])], names=["query", "away"])
+
+    found = nodes.select("node", "vector").mapInArrow(nearest, "query long, away double")
+    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("away"))).filter(F.col("r") <= k)
+    return ranked.groupBy("query").agg(F.max("away").alias("last"), F.count("*").alias("wanted"))
+
+
+def fitting_beam(queries: DataFrame, graph: DataFrame, n: int, kind: str, k: int, beam: int, recall: float) -> int:
+    """The number of nodes that a query must keep: doubled until a sample of CHECKED queries finds the share `recall` of its
+    k nearest nodes, all nodes are kept, or a doubling gains under GAIN."""
+    sample = materialise(queries.orderBy(F.xxhash64("query"), "query").limit(CHECKED), "sample")
+    last = materialise(_last_exact(sample, graph, kind, k), "exact")
+    before = -1.0
+    while True:
+        beams = walk(sample, graph, kind, beam)
+        hits = beams.filter("query <> node").join(last, "query").filter("away <= last").groupBy("query").agg(F.least(F.count("*"), F.max("wanted")).alias("hits"))
+        share = (hits.agg(F.sum("hits")).first()[0] or 0) / max(1, last.agg(F.sum("wanted")).first()[0] or 0)
+        discard(beams)
+        if share >= recall or beam >= n or share < before + GAIN:
+            discard(sample, last)
+            return beam
+        before, beam = share, 2 * beam
+
+
+def search(embeddings: DataFrame, every: int = 100, k: int = 10, beam: int = BEAM, recall: float = RECALL, **graph) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by `every`.
 
     Vectors that are null, zero, of another length than the first by id, or that hold null or non-finite components take
     no part, nor do null ids. Ties go to the smaller vec_id; equal vectors all count; rows that repeat an id and vector
-    count once. Fewer than k candidates give fewer rows; an empty table gives none. Other columns are not read. `graph`
-    are arguments of build().
+    count once. Fewer than k candidates give fewer rows; an empty table gives none. Other columns are not read. A query
+    keeps `beam` nodes, or as many more as a sample needs for `recall`. `graph` are arguments of build().
     """
     kind = "<f4" if dict(embeddings.dtypes)["embedding"] == "array<float>" else "<f8"
     x = F.col("embedding").cast("array<double>")
@@ -359,16 +508,22 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, beam: int = BEA
             yield pa.RecordBatch.from_arrays([batch.column(0), _binary(v.astype(kind))], names=["vec_id", "vector"])
 
     plain = materialise(rows.mapInArrow(binary, "vec_id long, vector binary"), "vectors")
-    nodes = materialise(plain.groupBy("vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = materialise(plain.groupBy("vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least")), "distinct")
     n = nodes.count()
-    lists, _ = build(nodes, n, kind, **{"k": max(DEGREE, k)} | graph)
+    mean = centre(nodes, n, kind)
+    nodes = numbered_nodes(nodes, n, kind, mean)
+    lists, _ = build(nodes, n, kind, mean, **{"k": max(DEGREE, k)} | graph)
     # a node that holds queries is walked once; single vectors know their id, the rows of copies are looked up by digest
     digest = F.xxhash64("vector")
     several = nodes.filter("copies > 1").select(digest.alias("digest"), "vector", "node")
     found = plain.withColumn("digest", digest).join(several, ["digest", "vector"]).select("node", "vec_id").distinct()
     members = materialise(nodes.filter("copies = 1").select("node", F.col("least").alias("vec_id")).unionByName(found), "members")
     asked = materialise(members.filter(F.col("vec_id") % every == 0), "queries")
-    close = walk(asked.select(F.col("node").alias("query")).distinct(), lists, kind, max(beam, 2 * k), expand)
+    walkers = asked.select(F.col("node").alias("query")).distinct()
+    around = search_graph(lists)
+    beam = fitting_beam(walkers, around, n, kind, k, max(beam, 2 * k), recall)
+    close = walk(walkers, around, kind, beam)
+    discard(lists, around)
     # of a node's copies only the k + 1 smallest ids can be among the k nearest: k + 1 of each task, then of all
     part = F.spark_partition_id()
     some = members.withColumn("p", part).withColumn("r", F.row_number().over(Window.partitionBy("node", "p").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
