@@ -31,7 +31,7 @@ CHANGED, MOST_ROUNDS = 0.02, 12
 #: Of the nodes that have a node on their lists so many meet there in one round, as in the paper chosen at random anew
 #: each time; each hears of so many nearer ones from one meeting; so many reverse edges serve the search (the nearest).
 MEET, HEAR, BACK = 80, 8, 40
-#: Nodes that a query keeps at first (it expands half of them in a round); the share of the nearest that must be found for a
+#: Nodes that a query keeps at first; the share of the nearest that must be found for a
 #: sample of so many queries before all walk; the gain in that share under which a larger number is given up.
 BEAM, RECALL, CHECKED, GAIN = 96, 0.96, 200, 0.002
 #: Bytes of the vectors that meet in a block at most, and the nodes of a block at least.
@@ -389,10 +389,9 @@ def search_graph(lists: DataFrame) -> DataFrame:
 def walk(queries: DataFrame, graph: DataFrame, kind: str, beam: int) -> DataFrame:
     """query, node, away (squared): the beam of each query when all its nodes are expanded.
 
-    A query starts at its own node. A round sends its vector to the neighbours of the nearest nodes that it hasn't
+    A query starts at its own node. A round sends its vector to the neighbours of all nodes of the beam that it hasn't
     expanded; those nearer than the last of its beam answer with their distance and their own neighbours.
     """
-    expand = beam // 2
     state = "query long, vector binary, nodes array<long>, away array<double>, done array<boolean>, around array<array<long>>"
     start = queries.join(graph.withColumnRenamed("node", "query"), "query")
     walks = materialise(start.select("query", "vector", F.array("query").alias("nodes"), F.array(F.lit(0.0)).alias("away"), F.array(F.lit(False)).alias("done"), F.array(F.coalesce("around", F.array().cast("array<long>"))).alias("around")), "walks")
@@ -401,7 +400,7 @@ def walk(queries: DataFrame, graph: DataFrame, kind: str, beam: int) -> DataFram
         for batch in batches:
             query, node, worst, rows = [], [], [], []
             for r, (q, nodes, away, done, around) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)))):
-                turn = [a for a, d in zip(around, done) if not d][:expand]
+                turn = [a for a, d in zip(around, done) if not d]
                 to = sorted({x for a in turn for x in a} - set(nodes))
                 query += [q] * len(to)
                 node += to
@@ -424,11 +423,8 @@ def walk(queries: DataFrame, graph: DataFrame, kind: str, beam: int) -> DataFram
             for r in t.to_pylist():
                 w = held.setdefault(r["query"], {"vector": None, "seen": []})
                 if r["vector"] is not None:
-                    w["vector"], open_ = r["vector"], 0
-                    for x in zip(r["away"], r["nodes"], r["done"], r["around"]):
-                        open_ += not x[2]
-                        done = x[2] or open_ <= expand
-                        w["seen"].append((x[0], x[1], done, [] if done else x[3]))
+                    w["vector"] = r["vector"]
+                    w["seen"] += [(a, node, True, []) for a, node in zip(r["away"], r["nodes"])]
                 else:
                     w["seen"].append((r["away"][0], r["nodes"][0], False, r["around"][0]))
             rows = [(q, w["vector"], sorted(w["seen"], key=lambda x: x[:2])[:beam]) for q, w in held.items()]
