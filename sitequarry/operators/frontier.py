@@ -67,13 +67,13 @@ def crawl_order(edges: DataFrame, seeds: DataFrame, most_urls: int, most_depth:
     """run, id, depth, place: pages in the order in which a crawl of each run takes them, most_urls at most.
 
     edges: source_id, target_id, pos (order of the links of a page); seeds: run, id, taken in order of id at depth 0. A
-    page is found by the first link to it, from the page that was taken first. Each level is one join of its front, and only
-    fronts are written: what was seen is all fronts together. Links of a run stay in it; a page may be in several runs.
+    page is found by the first link to it, from the page that was taken first. The links are written once. Each level is one join of its
+    front, and only fronts are written: what was seen is all fronts together. Links of a run stay in it; a page may be in several runs.
     """
     front = placed(seeds.select("run", "id").distinct(), "run", ["id"]).filter(F.col("place") <= most_urls).withColumn("depth", F.lit(0))
     front = materialise(front.select("run", "id", "depth", "place"), "front")
     fronts, seen = [front], front
-    steps = edges.select(F.col("source_id").alias("id"), "target_id", "pos")
+    steps = materialise(edges.select(F.col("source_id").alias("id"), "target_id", "pos"), "steps")
     for depth in range(1, most_depth + 1):
         links = front.join(steps, "id").groupBy("run", F.col("target_id").alias("id")).agg(F.min(F.struct("place", "pos")).alias("by"))
         new = links.join(seen.select("run", "id"), ["run", "id"], "left_anti").select("run", "id", F.col("by.place").alias("parent"), F.col("by.pos").alias("pos"))

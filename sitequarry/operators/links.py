@@ -81,10 +81,13 @@ def backlinks(edges: DataFrame, urls: DataFrame) -> DataFrame:
 
 
 def crawl_depth(edges: DataFrame, seeds: DataFrame, most: int = 10) -> DataFrame:
-    """id, depth: least number of links from the seeds, up to `most`; one join per level, each level written."""
+    """id, depth: least number of links from the seeds, up to `most`; one join per level, each level written.
+
+    The links are written first: a level reads them, and doesn't derive them anew or plan what derives them.
+    """
     seen = materialise(seeds.select("id", F.lit(0).alias("depth")).distinct(), "depth")
     front = seen
-    steps = edges.select(F.col("source_id").alias("id"), "target_id").distinct()
+    steps = materialise(edges.select(F.col("source_id").alias("id"), "target_id").distinct(), "steps")
     for depth in range(1, most + 1):
         reached = front.join(steps, "id").select(F.col("target_id").alias("id")).distinct()
         front = materialise(reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)), "depth")
