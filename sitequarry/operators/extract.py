@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sitequarry.functions import text as T
 from sitequarry.functions import urls as U
-from sitequarry.operators.selectors import VOID
+from sitequarry.operators.selectors import VOID, closed_references
 
 LINK, IMAGE, CONTROL = ("kind", "href", "text", "rel", "target", "hreflang", "pos"), ("src", "alt", "width", "height", "kind", "pos"), ("tag", "id", "labelled")
 #: Columns of extract_pages: texts, lists of texts, lists of structs.
@@ -181,10 +181,11 @@ def read_facts(html: str | None) -> dict:
     return f | {"body_text": " ".join("".join(r.body).split()), "main_text": " ".join("".join(r.main).split())}
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
+def extract_pages(pages: DataFrame, bare_references: bool = True) -> DataFrame:
     """The pages with the facts of each: one row for each row, repeated ones too. Null html gives empty lists and texts.
 
-    Columns besides page_id, url and html come along, but those named like a fact.
+    Columns besides page_id, url and html come along, but those named like a fact. Character references without a semicolon
+    (&amp at the end of a cut title) are decoded as browsers do; with bare_references false they stay as they stand.
     """
     more = [c for c in pages.columns if c not in ("page_id", "url", "html") and c.lower() not in FACT_NAMES]
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", *more)
@@ -198,7 +199,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):  # only so many pages are Python objects at once
                 part = batch.slice(at, 200)
-                found = [read_facts(h) for h in part.column("html").to_pylist()]
+                found = [read_facts(h if bare_references or not h else closed_references(h)) for h in part.column("html").to_pylist()]
                 columns = [pa.array([f[n] for f in found], kinds.get(n, texts)) for n in FACT_NAMES]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *FACT_NAMES])
 

@@ -75,13 +75,13 @@ def label_issues(facts: DataFrame) -> DataFrame:
     return rules.apply_rules(controls, [rules.Rule("accessibility", "missing_form_label", "medium", F.lit(True), F.col("tag"))], "id", "url")
 
 
-def audit_site(pages: DataFrame) -> DataFrame:
+def audit_site(pages: DataFrame, bare_references: bool = True) -> DataFrame:
     """All findings on raw pages: page_id, url, html, status_code, headers map<string,string>, redirect_chain array<string>.
 
     Pages are parsed once and their facts written; every family reads those. Null html gives no facts; an empty table
-    gives no findings.
+    gives no findings. bare_references is extract_pages' own.
     """
-    facts = materialise(extract.extract_pages(pages), "page_facts")
+    facts = materialise(extract.extract_pages(pages, bare_references), "page_facts")
     urls = materialise(site_urls(facts), "site_urls")
     ok = facts.filter("status_code = 200")
     links = materialise(extract.link_facts(ok), "site_links")
