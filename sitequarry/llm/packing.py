@@ -8,6 +8,7 @@ smallest of the other, until one partition into k windows is left. If a window e
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ WINDOW = 4096
 END = 2
 BUCKET = 1000
 #: Characters of words and parts kept with their ids in a task; then the cache starts anew.
-CACHE_CHARS = 2_000_000
+CACHE_CHARS = 4_000_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 _state: dict = {}
@@ -36,6 +37,13 @@ _state: dict = {}
 #: The tokenizer's splitting pattern, and the bytes that byte-level vocabularies show as themselves.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 SHOWN = (range(33, 127), range(161, 173), range(174, 256))
+#: Letters whose lower case or composition may depend on what stands around them.
+BOUND = re.compile("[\u0130\u0180-\U0010ffff]")
+
+
+def _plain(text: str) -> bool:
+    """Whether lower case and splitting go letter by letter and no special token can stand in the text."""
+    return "<|" not in text and (text.isascii() or not BOUND.search(text))
 
 
 def _byte_map() -> dict[int, int]:
@@ -45,59 +53,55 @@ def _byte_map() -> dict[int, int]:
     return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
 
 
-class _Encoder:
-    """The tokenizer's ids, word by word: its splitter never crosses white space, so words are encoded once each.
+class _Encoder(dict):
+    """The tokenizer's ids by word: its splitter never crosses white space, so words are encoded once each.
 
     Words of plain Latin letters are split as the tokenizer does and their parts given to its model; all others, and
-    those that might hold a special token, go through the tokenizer as a whole.
+    those that might hold a special token, go through the tokenizer as a whole. A part stands for itself as a word, so
+    both are held together. A text of plain letters alone is lowered first, so its words are met in one case only.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.split, self.shown = regex.compile(SPLIT), _byte_map()
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.split, self.shown = regex.compile(SPLIT).findall, _byte_map()
         self.held = 0
 
     def clear(self) -> None:
-        self.known.clear()
-        self.parts.clear()
+        super().clear()
         self.held = 0
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def part(self, text: str) -> bytes:
-        ids = self.model.tokenize(text.encode().decode("latin-1").translate(self.shown))
+        plain = text.isascii() and text.isprintable()  # then the bytes show as themselves
+        ids = self.tokenize(text if plain else text.encode().decode("latin-1").translate(self.shown))
         return array("I", [t.id for t in ids]).tobytes()
 
-    def word(self, word: str) -> bytes:
-        if "<|" in word or max(word) >= "\u0180":
-            return self.whole(word)
-        parts, out = self.parts, []
-        for p in self.split.findall(word.lower()):
-            if p not in parts:
-                self.held += len(p)
-                parts[p] = self.part(p)
-            out.append(parts[p])
-        return b"".join(out)
+    def __missing__(self, word):
+        self.held += len(word)
+        if not _plain(word):
+            ids = self.whole(word)
+        else:
+            low = word.lower()
+            parts = [low] if low.isalpha() else self.split(low)  # letters alone are one part
+            ids = self.part(low) if parts == [word] else b"".join([self[p] for p in parts])
+        self[word] = ids
+        return ids
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
             if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # str.split() breaks at these, the tokenizer doesn't
                 yield self.whole(text)
                 continue
-            words, known = text.split(), self.known
             if self.held > CACHE_CHARS:
                 self.clear()
-            for w in words:
-                if w not in known:
-                    self.held += len(w)
-                    known[w] = self.word(w)
-            yield b"".join([known[w] for w in words])
+            words = (text.lower() if _plain(text) else text).split()
+            yield b"".join(map(self.__getitem__, words))
 
 
 def _encoder(path: str) -> _Encoder:
