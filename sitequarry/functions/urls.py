@@ -9,7 +9,7 @@ from urllib.parse import quote, unquote, urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # Fixed values.
 SEARCH_KEYS = ["s", "search", "q", "query", "keyword", "terms", "find"]
@@ -298,6 +298,19 @@ def resolve(link: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([resolve_text(a, b) for a, b in zip(link, base)], dtype=object)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def resolve_all(links: pd.Series, base: pd.Series, start: pd.Series) -> pd.Series:
+    """All links of a page against its base, which counts from the start; without a base against the start itself.
+
+    One call a page, to be exploded: a filter on the addresses stays above the explode, so no link is resolved twice.
+    """
+    out = []
+    for found, b, s in zip(links, base, start):
+        at = resolve_text(b, s) or s
+        out.append([resolve_text(x, at) for x in found])
+    return pd.Series(out, dtype=object)
+
+
 def matches_any(u: Column, patterns: Sequence[str]) -> Column:
     """Any of the patterns; one that is no regular expression counts as plain text."""
     out = F.lit(False)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -181,12 +181,14 @@ def read_facts(html: str | None) -> dict:
     return f | {"body_text": " ".join("".join(r.body).split()), "main_text": " ".join("".join(r.main).split())}
 
 
-def extract_pages(pages: DataFrame, bare_references: bool = True) -> DataFrame:
+def extract_pages(pages: DataFrame, bare_references: bool = True, facts: Sequence[str] | None = None) -> DataFrame:
     """The pages with the facts of each: one row for each row, repeated ones too. Null html gives empty lists and texts.
 
     Columns besides page_id, url and html come along, but those named like a fact. Character references without a semicolon
     (&amp at the end of a cut title) are decoded as browsers do; with bare_references false they stay as they stand.
+    Where `facts` names the facts that are wanted, only they leave the workers, and html doesn't.
     """
+    wanted = FACT_NAMES if facts is None else list(facts)
     more = [c for c in pages.columns if c not in ("page_id", "url", "html") and c.lower() not in FACT_NAMES]
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", *more)
 
@@ -200,11 +202,12 @@ def extract_pages(pages: DataFrame, bare_references: bool = True) -> DataFrame:
             for at in range(0, batch.num_rows, 200):  # only so many pages are Python objects at once
                 part = batch.slice(at, 200)
                 found = [read_facts(h if bare_references or not h else closed_references(h)) for h in part.column("html").to_pylist()]
-                columns = [pa.array([f[n] for f in found], kinds.get(n, texts)) for n in FACT_NAMES]
-                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *FACT_NAMES])
+                columns = [pa.array([f[n] for f in found], kinds.get(n, texts)) for n in wanted]
+                given = [n for n in part.schema.names if facts is None or n != "html"]
+                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in given], *columns], names=[*given, *wanted])
 
-    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
-    return rows.mapInArrow(run, ", ".join(own + [f"{n} {t}" for n, t in FACT_TYPES.items()]))
+    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if facts is None or f.name != "html"]
+    return rows.mapInArrow(run, ", ".join(own + [f"{n} {FACT_TYPES[n]}" for n in wanted]))
 
 
 def url_facts(facts: DataFrame) -> DataFrame:
@@ -225,15 +228,16 @@ def url_facts(facts: DataFrame) -> DataFrame:
 def link_facts(facts: DataFrame, resolve_against: str = "start") -> DataFrame:
     """Links of pages, resolved against the base, which counts from the site's start page or (`page`) the page itself."""
     start = F.concat(U.scheme(F.col("url")), F.lit("://"), U.host(F.col("url")), F.lit("/")) if resolve_against == "start" else F.col("url")
-    rows = facts.select(F.col("page_id").alias("source_id"), F.col("url").alias("source_url"), F.coalesce(U.resolve("base", start), start).alias("from"), F.explode("links").alias("l"))
+    rows = facts.select(F.col("page_id").alias("source_id"), F.col("url").alias("source_url"), F.explode(F.arrays_zip(F.col("links").alias("l"), U.resolve_all("links.href", "base", start).alias("to"))).alias("x")).select("source_id", "source_url", "x.l", "x.to")
     rel = F.lower(F.coalesce("l.rel", F.lit("")))
-    out = rows.select("source_id", "source_url", U.resolve("l.href", "from").alias("target_url"), F.col("l.kind").alias("link_type"), T.clean(F.col("l.text")).alias("anchor"), F.col("l.rel").alias("rel"), rel.contains("nofollow").alias("nofollow"), rel.contains("noopener").alias("noopener"), rel.contains("noreferrer").alias("noreferrer"), F.col("l.target").alias("target_attr"), F.col("l.hreflang").alias("hreflang"), F.col("l.pos").alias("pos"))
+    out = rows.select("source_id", "source_url", F.col("to").alias("target_url"), F.col("l.kind").alias("link_type"), T.clean(F.col("l.text")).alias("anchor"), F.col("l.rel").alias("rel"), rel.contains("nofollow").alias("nofollow"), rel.contains("noopener").alias("noopener"), rel.contains("noreferrer").alias("noreferrer"), F.col("l.target").alias("target_attr"), F.col("l.hreflang").alias("hreflang"), F.col("l.pos").alias("pos"))
     return out.filter("target_url is not null").withColumn("is_internal", U.same_host(F.col("target_url"), F.col("source_url")))
 
 
 def image_facts(facts: DataFrame) -> DataFrame:
     """Images of pages; of one URL on a page the first counts."""
-    rows = facts.select(F.col("page_id").alias("source_id"), "url", F.explode("images").alias("i")).select("source_id", U.resolve("i.src", "url").alias("image_url"), F.col("i.alt").alias("alt"), F.expr("try_cast(i.width as int)").alias("width"), F.expr("try_cast(i.height as int)").alias("height"), F.col("i.kind").alias("kind"), F.col("i.pos").alias("pos"))
+    to = U.resolve_all("images.src", F.lit(None).cast("string"), "url")
+    rows = facts.select(F.col("page_id").alias("source_id"), F.explode(F.arrays_zip(F.col("images").alias("i"), to.alias("to"))).alias("x")).select("source_id", "x.i", F.col("x.to").alias("image_url")).select("source_id", "image_url", F.col("i.alt").alias("alt"), F.expr("try_cast(i.width as int)").alias("width"), F.expr("try_cast(i.height as int)").alias("height"), F.col("i.kind").alias("kind"), F.col("i.pos").alias("pos"))
     first = rows.filter("image_url is not null").groupBy("source_id", "image_url").agg(F.min_by(F.struct("alt", "width", "height", "kind", "pos"), "pos").alias("i"))
     return first.select("source_id", F.col("image_url").alias("url"), "i.*", U.extension(F.col("image_url")).alias("format"))
 

@@ -76,7 +76,7 @@ def _located(spark, sf):
     pages = derived(spark, sf, "pages")
     more = F.concat(F.lit('<a href="https://scripts.example.com/'), F.col("page_id") % 7, F.lit('">x</a><a href="'), F.split_part("url", F.lit("#"), F.lit(1)), F.lit('">self</a></body>'))
     html = F.regexp_replace(F.replace("html", F.lit("</body>"), more), '(?s)^(.*?)<li><a href="[^"]*">[^<]*</a></li>', "$1")
-    raw, rendered = (extract.link_facts(extract.extract_pages(p)) for p in (pages, pages.withColumn("html", html)))
+    raw, rendered = (extract.link_facts(extract.extract_pages(p, facts=("base", "links"))) for p in (pages, pages.withColumn("html", html)))
     return links.rendered_links(raw, rendered)
 
 

@@ -54,3 +54,15 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = sorted((r["url"], r["hits"]) for r in spark.table("totals").collect())
     assert got == [("/0", 8), ("/1", 8), ("/2", 8)]
+
+
+def test_links_are_resolved_in_one_step(spark):
+    """One step of Python behind the reader: not one for each filter and column that uses an address, each with a worker of its own."""
+    pages = spark.createDataFrame([(1, "https://a.test/d/p", '<base href="/b/"><a href="x">1</a><a href="mailto:q">2</a><img src="i.png">'), (2, "https://a.test/d/p", '<a href="x">1</a>')], "page_id long, url string, html string")
+    found = extract.extract_pages(pages, facts=("base", "links", "images"))
+    assert found.columns == ["page_id", "url", "base", "links", "images"]
+    links, images = extract.link_facts(found).filter("is_internal"), extract.image_facts(found)
+    assert sorted((r["source_id"], r["pos"], r["target_url"]) for r in links.collect()) == [(1, 0, "https://a.test/b/x"), (1, 2, "https://a.test/b/i.png"), (2, 0, "https://a.test/x")]
+    assert [(r["source_id"], r["url"]) for r in images.collect()] == [(1, "https://a.test/d/i.png")]
+    for rows in (links, images):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("resolve") == 1
