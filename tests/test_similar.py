@@ -80,6 +80,18 @@ def test_one_large_class(spark):
     assert all(r["closest_similarity"] == 100 for r in got if r["id"] >= 1000)
 
 
+def test_large_buckets_of_unlike_pages(spark, monkeypatch):
+    """Pages of two passages each, all passages shared, of many lengths: paired by length and place, with no round for each head."""
+    passages = [" ".join(f"p{k}w{i}" for i in range(50 + 25 * k)) for k in range(16)]
+    pages = [(16 * i + j, passages[i] + " " + passages[j]) for i in range(16) for j in range(i)]
+    pages.append((999, pages[-1][1] + " x y"))
+    written, write = [], similar.materialise
+    monkeypatch.setattr(similar, "materialise", lambda df, name: written.append(name) or write(df, name))
+    got = {r["id"]: (r["class_id"], r["near_duplicate_count"], r["closest_id"], r["closest_similarity"]) for r in similar.near_duplicates(spark.createDataFrame(pages, "id long, text string"), small=8).collect()}
+    assert got == slow(pages)
+    assert written.count("near_heads") <= 1
+
+
 def test_empty_and_repeated(spark):
     none = spark.createDataFrame([], "id long, text string")
     assert similar.near_duplicates(none).count() == 0
