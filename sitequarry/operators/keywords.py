@@ -11,7 +11,8 @@ from sitequarry.functions import text as T
 def keyword_counts(urls: DataFrame, sources: list[str]) -> DataFrame:
     """id, keyword, n: words and neighbouring pairs of each text source; pairs don't cross sources."""
     texts = urls.select("id", F.explode(F.array_compact(F.array(*sources))).alias("t"))
-    grams = texts.select("id", F.explode(T.ngrams(T.tokens(F.col("t"), T.STOP_WORDS, 3))).alias("keyword"))
+    words = texts.select("id", T.tokens(F.col("t"), T.STOP_WORDS, 3).alias("words"))  # a column of its own: pairs name it six times
+    grams = words.select("id", F.explode(T.ngrams(F.col("words"))).alias("keyword"))
     return grams.groupBy("id", "keyword").agg(F.count("*").alias("n"))
 
 
