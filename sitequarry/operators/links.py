@@ -34,9 +34,10 @@ def rendered_links(raw: DataFrame, rendered: DataFrame) -> DataFrame:
 def script_link_counts(urls: DataFrame, located: DataFrame) -> DataFrame:
     """id, unique_js_inlinks, unique_js_outlinks, unique_external_js_outlinks of anchors that only rendered pages have.
 
-    urls: id, address in normal form, run_host; links of other kinds don't count.
+    urls: id, address in normal form, run_host; links of other kinds don't count. The links that count are written, so that
+    both sides of a link read them and no page is parsed for each.
     """
-    js = located.filter("location = 'rendered' and link_type = 'a'").select("source_id", "target_url", U.host(F.col("target_url")).alias("host"))
+    js = materialise(located.filter("location = 'rendered' and link_type = 'a'").select("source_id", "target_url", U.host(F.col("target_url")).alias("host")), "script_links")
     out = js.join(urls.select(F.col("id").alias("source_id"), "run_host"), "source_id").groupBy(F.col("source_id").alias("id")).agg(F.count_distinct("target_url").alias("outlinks"), F.count_distinct(F.when(F.col("host") != F.col("run_host"), F.col("target_url"))).alias("external"))
     into = js.join(urls.select(F.col("id"), U.normalize(F.col("address")).alias("target_url")), "target_url").groupBy("id").agg(F.count_distinct("source_id").alias("inlinks"))
     rows = urls.select("id").join(into, "id", "left").join(out, "id", "left")
