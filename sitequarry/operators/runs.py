@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,15 +131,22 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
 
 
 def redirect_closure(hops: DataFrame, most: int = 10) -> DataFrame:
-    """src, final, hops, loop: chains of (src, dst) followed up to `most` hops; every hop is one join."""
-    rows = materialise(hops.select("src", "dst", F.array("src").alias("chain")).select("src", F.concat("chain", F.array("dst")).alias("chain"), (F.col("src") == F.col("dst")).alias("loop")), "redirects")
+    """src, final, hops, loop: chains of (src, dst) followed up to `most` hops; every hop is one join.
+
+    The hops are written once, so that no round derives them anew, and a round takes only the chains that may go on.
+    """
+    hops = materialise(hops.select("src", "dst"), "hops")
     step = hops.select(F.col("src").alias("at"), F.col("dst").alias("next"))
+    rows = hops.select("src", F.array("src", "dst").alias("chain"), (F.col("src") == F.col("dst")).alias("loop"), F.lit(True).alias("moved"))
+    ended, still = [], F.col("moved") & F.coalesce(~F.col("loop"), F.lit(False))
     for _ in range(most - 1):
-        joined = rows.withColumn("at", F.element_at("chain", -1)).join(step, "at", "left")
-        go = F.col("next").isNotNull() & ~F.col("loop")
-        rows = materialise(joined.select("src", F.when(go, F.concat("chain", F.array("next"))).otherwise(F.col("chain")).alias("chain"), (F.col("loop") | (go & F.array_contains("chain", F.col("next")))).alias("loop"), go.alias("moved")), "redirects")
-        if rows.filter("moved").isEmpty():
+        joined = rows.filter(still).withColumn("at", F.element_at("chain", -1)).join(step, "at", "left")
+        go = F.col("next").isNotNull()
+        ended.append(rows.filter(~still))
+        rows = materialise(joined.select("src", F.when(go, F.concat("chain", F.array("next"))).otherwise(F.col("chain")).alias("chain"), (go & F.array_contains("chain", F.col("next"))).alias("loop"), go.alias("moved")), "redirects")
+        if rows.filter(still).isEmpty():
             break
+    rows = reduce(DataFrame.unionByName, ended, rows)
     return rows.select("src", F.element_at("chain", -1).alias("final"), (F.size("chain") - 1).alias("hops"), "loop")
 
 

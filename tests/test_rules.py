@@ -157,6 +157,25 @@ def test_redirects(spark):
     assert got == {1: (3, 2, False), 2: (3, 1, False), 5: (5, 2, True), 6: (6, 2, True), 7: (7, 1, True)}
 
 
+def test_rounds_of_redirects_derive_no_hops_and_take_open_chains_only(spark, monkeypatch):
+    """A line of 14 pages, 50 pages that lead to themselves and 50 that lead to a page without a hop."""
+    written, write = [], runs.materialise
+
+    def watch(df, name):
+        out = write(df, name)
+        written.append(("Range" in df._jdf.queryExecution().optimizedPlan().toString(), out.count()))
+        return out
+
+    monkeypatch.setattr(runs, "materialise", watch)
+    hops = spark.range(113).selectExpr("id AS src", "CASE WHEN id < 13 THEN id + 1 WHEN id < 63 THEN id ELSE 999 END AS dst")
+    got = {r["src"]: (r["final"], r["hops"], r["loop"]) for r in runs.redirect_closure(hops).collect()}
+    wanted = {i: (i + 10, 10, False) if i < 4 else (13, 14 - i, True) for i in range(13)}
+    wanted |= {i: (i, 1, True) for i in range(13, 63)} | {i: (999, 1, False) for i in range(63, 113)}
+    assert got == wanted
+    assert [derives for derives, _ in written] == [True] + [False] * 9
+    assert [n for _, n in written[1:]] == [63, 12, 11, 10, 9, 8, 7, 6, 5]
+
+
 def test_diff_of_a_run_with_itself_is_empty(spark):
     rows = page(spark, {}, {"address": "https://a.test/z", "title1": None})
     assert {r["status"] for r in runs.diff_runs(rows, rows, ["title1", "status_code"]).collect()} == {"same"}
