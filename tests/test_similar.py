@@ -92,6 +92,35 @@ def test_large_buckets_of_unlike_pages(spark, monkeypatch):
     assert written.count("near_heads") <= 1
 
 
+def drifting(seed, chains=2, links=20, versions=60):
+    """Chains of texts in which each has one other word than the one before, with ids in random order, and versions of one text."""
+    g = random.Random(seed)
+    ids = iter(g.sample(range(10_000), chains * links + versions))
+    pages = []
+    common = " ".join(f"c{i}" for i in range(40))
+    for c in range(chains):
+        words = [f"w{c}x{i}" for i in range(110)]
+        for _ in range(links):
+            pages.append((next(ids), common + " " + " ".join(words)))
+            words[g.randrange(len(words))] = f"n{g.randint(0, 10**9)}"
+    words = [f"v{i}" for i in range(160)]
+    for i in range(versions):
+        own = words[:20] + (["other"] if i % 3 else []) + words[20:60] + [f"kind{i % 7}"] * (i % 2) + words[60:]
+        own[100:100] = [f"own{i}"] * g.randint(0, 3)
+        pages.append((next(ids), common + " " + " ".join(own)))
+    return pages
+
+
+@pytest.mark.parametrize(("seed", "small"), [(1, 3), (2, 8)])
+def test_large_buckets_lose_nothing(spark, seed, small):
+    """Classes, closest pages and similarities are those of all pairs, where buckets are compared with heads."""
+    pages = drifting(seed)
+    rows = similar.near_duplicates(spark.createDataFrame(pages, "id long, text string"), small=small).collect()
+    got = {r["id"]: (r["class_id"], r["near_duplicate_count"], r["closest_id"], r["closest_similarity"]) for r in rows}
+    assert got == slow(pages)
+    assert len({r["class_id"] for r in rows}) < 10
+
+
 def test_empty_and_repeated(spark):
     none = spark.createDataFrame([], "id long, text string")
     assert similar.near_duplicates(none).count() == 0
