@@ -40,6 +40,8 @@ BLOCK_BYTES, LEAST_BLOCK = 256 << 20, 1024
 HUBS = 100_000
 #: Pairs of a task that are merged together before they are sent.
 AT_ONCE = 1_000_000
+#: Bytes of the vectors that a task sends in one batch, and rows that it unpacks at a time; both whatever batches it gets.
+SEND_BYTES, UNPACKED = 4 << 20, 256
 LISTS = "node long, vector binary, near binary, away binary, fresh binary"
 
 
@@ -67,6 +69,12 @@ def _matrix(rows: list, dtype, width: int = 0) -> np.ndarray:
     return np.frombuffer(b"".join(rows), dtype).reshape(len(rows), -1) if rows else np.zeros((0, width), dtype)
 
 
+def _bytes(array: pa.Array) -> np.ndarray:
+    """The bytes of binary values of equal length as rows, not copied."""
+    ends = np.frombuffer(array.buffers()[1], np.int64 if pa.types.is_large_binary(array.type) else np.int32)[array.offset : array.offset + len(array) + 1]
+    return np.frombuffer(array.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(array), -1)
+
+
 def _binary(rows) -> pa.Array:
     return pa.array([r.tobytes() for r in rows], pa.binary())
 
@@ -118,7 +126,8 @@ class _Heard:
         if self.size:
             owner, near, away = (np.concatenate(c) for c in zip(*self.parts))
             self.parts, self.size = [], 0
-            heads, out, d, f = _merge(owner, near, away, np.ones(len(owner), bool), self.k)
+            most = int(np.unique(owner, return_counts=True)[1].max())  # no padding that nothing needs
+            heads, out, d, f = _merge(owner, near, away, np.ones(len(owner), bool), min(self.k, most))
             yield _lists(heads, pa.nulls(len(heads), pa.binary()), out, d, f & (out >= 0))
 
 
@@ -267,16 +276,25 @@ class _Inbox:
         self.taken += np.bincount(to[others], minlength=self.size)
         keep = np.concatenate([np.flatnonzero(own), others])
         used, at = np.unique(row[keep], return_inverse=True)
-        self.visitors.append((node[used], t["worst"].to_numpy()[used], t["vector"].take(pa.array(used))))
+        self.visitors.append((node[used], t["worst"].to_numpy()[used], _bytes(t["vector"])[used]))
         self.entries.append((to[keep], at + self.count, fresh[keep]))
         self.count += len(used)
 
     def meetings(self) -> tuple[np.ndarray, ...]:
-        """Place, visitor and newness of each entry by place, then numbers, worst distances and vectors of the visitors."""
+        """Place, visitor and newness of each entry by place, then numbers, worst distances and vectors of the visitors.
+
+        The inbox is empty then: vectors leave it as they are copied, so they are held once.
+        """
         place, visitor, fresh = (np.concatenate(c) for c in zip(*self.entries))
         order = np.argsort(place, kind="stable")
-        vectors = [x for _, _, v in self.visitors for x in v.to_pylist()]
+        self.entries = []
         node, worst = (np.concatenate([v[i] for v in self.visitors]) for i in (0, 1))
+        vectors = np.empty((len(node), self.visitors[0][2].shape[1]), np.uint8)
+        at = len(node)
+        while self.visitors:
+            part = self.visitors.pop()[2]
+            vectors[at - len(part) : at] = part
+            at -= len(part)
         return place[order], visitor[order], fresh[order], node, worst, vectors
 
 
@@ -286,6 +304,14 @@ def block_size(n: int, width: int, parallel: int) -> int:
     return 1 << max(4, int(math.log2(max(1, min(most, max(LEAST_BLOCK, n // parallel))))))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Few enough rows that their vectors, once for each entry and the node itself, are one batch."""
+    for batch in batches:
+        if batch.num_rows:
+            few = max(1, SEND_BYTES // ((k + 1) * len(batch.column(1)[0].as_py())))
+            yield from (batch.slice(lo, few) for lo in range(0, batch.num_rows, few))
+
+
 def descend(lists: DataFrame, n: int, kind: str, k: int, turn: int, block: int) -> DataFrame:
     """A round of NN-descent: nodes that share a neighbour meet there and become neighbours where they are nearer.
 
@@ -297,10 +323,8 @@ def descend(lists: DataFrame, n: int, kind: str, k: int, turn: int, block: int)
     hub, share = np.array([r["other"] for r in hubs], np.int64), np.array([4 * MEET / r["lists"] for r in hubs])
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches, k):
             node = batch.column(0).to_numpy()
-            if not len(node):
-                continue
             rows, to, away, new = _flat(*(batch.column(i).to_pylist() for i in (2, 3, 4)))
             count = np.bincount(rows, minlength=len(node))
             worst = np.where(count >= k, np.append(away, 0)[np.maximum(np.cumsum(count) - 1, 0)], np.inf).astype(np.float32)
@@ -338,10 +362,11 @@ def descend(lists: DataFrame, n: int, kind: str, k: int, turn: int, block: int)
 
     def compared(held: _Inbox, heard: _Heard) -> Iterator[pa.RecordBatch]:
         place, visitor, fresh, node, worst, vectors = held.meetings()
-        x = _matrix(vectors, kind)
+        x = vectors.view(kind)
         start, count = np.unique(place, return_index=True, return_counts=True)[1:]
-        for lo in range(0, len(start), 200):
-            s, c = start[lo : lo + 200], count[lo : lo + 200]
+        few = max(1, min(200, 2 * SEND_BYTES // ((MEET + 1) * 8 * max(x.shape[1], MEET + 1))))
+        for lo in range(0, len(start), few):
+            s, c = start[lo : lo + few], count[lo : lo + few]
             width = int(c.max())
             e = np.minimum(s[:, None] + np.arange(width), len(place) - 1)
             i, real, new = visitor[e], np.arange(width) < c[:, None], fresh[e]
@@ -378,14 +403,42 @@ def build(nodes: DataFrame, n: int, kind: str, mean: np.ndarray, k: int = DEGREE
 
 
 def search_graph(lists: DataFrame) -> DataFrame:
-    """node, vector, around: the nodes on its list and the nearest BACK of those that list it."""
+    """node, vector, around: the nodes on its list and the nearest BACK of those that list it, as 64-bit numbers."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            ends = np.append(0, np.cumsum(lists.value_lengths().to_numpy())).astype(np.int32) * 8
+            values = np.ascontiguousarray(lists.flatten().to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends), pa.py_buffer(values)])], names=["node", "around"])
+
     entries = _entries(lists)
     back = entries.select(F.col("other").alias("node"), F.col("node").alias("other"), "away")
     nearest = back.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("away", "other"))).filter(F.col("r") <= BACK)
-    around = entries.select("node", "other").unionByName(nearest.select("node", "other")).groupBy("node").agg(F.collect_set("other").alias("around"))
+    around = entries.select("node", "other").unionByName(nearest.select("node", "other")).groupBy("node").agg(F.collect_set("other").alias("around")).mapInArrow(packed, "node long, around binary")
     return materialise(lists.select("node", "vector").join(around, "node", "left"), "search_graph")
 
 
+def _asked(batches: Iterator[pa.RecordBatch], beam: int) -> Iterator[pa.RecordBatch]:
+    """query, node, worst, x of what queries ask next: the vector goes to each neighbour, so batches are cut by its bytes."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, UNPACKED):
+            part = batch.slice(lo, UNPACKED)
+            vectors, most = part.column(1), SEND_BYTES // max(1, len(part.column(1)[0].as_py()))
+            held: list[tuple] = []
+            size = 0
+            for r, (q, nodes, away, done, around) in enumerate(zip(*(part.column(i).to_pylist() for i in (0, 2, 3, 4, 5)))):
+                turn = b"".join([a for a, d in zip(around, done) if not d][: beam // 2])
+                to = np.setdiff1d(np.frombuffer(turn, np.int64), np.array(nodes, np.int64))
+                held.append((q, r, to, away[-1] if len(away) >= beam else float("inf")))
+                size += len(to)
+                if size >= most or r == part.num_rows - 1:
+                    count = [len(h[2]) for h in held]
+                    query, rows, worst = (np.repeat(np.array([h[i] for h in held], kind_), count) for i, kind_ in ((0, np.int64), (1, np.int64), (3, np.float64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.concatenate([h[2] for h in held])), pa.array(worst), vectors.take(pa.array(rows))], names=["query", "node", "worst", "x"])
+                    held, size = [], 0
+
+
 def walk(queries: DataFrame, graph: DataFrame, kind: str, beam: int) -> DataFrame:
     """query, node, away (squared): the beam of each query when all its nodes are expanded.
 
@@ -393,21 +446,10 @@ def walk(queries: DataFrame, graph: DataFrame, kind: str, beam: int) -> DataFram
     expanded; those nearer than the last of its beam answer with their distance and their own neighbours.
     """
     expand = beam // 2
-    state = "query long, vector binary, nodes array<long>, away array<double>, done array<boolean>, around array<array<long>>"
+    state = "query long, vector binary, nodes array<long>, away array<double>, done array<boolean>, around array<binary>"
+    none = F.lit(b"").cast("binary")
     start = queries.join(graph.withColumnRenamed("node", "query"), "query")
-    walks = materialise(start.select("query", "vector", F.array("query").alias("nodes"), F.array(F.lit(0.0)).alias("away"), F.array(F.lit(False)).alias("done"), F.array(F.coalesce("around", F.array().cast("array<long>"))).alias("around")), "walks")
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            query, node, worst, rows = [], [], [], []
-            for r, (q, nodes, away, done, around) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)))):
-                turn = [a for a, d in zip(around, done) if not d][:expand]
-                to = sorted({x for a in turn for x in a} - set(nodes))
-                query += [q] * len(to)
-                node += to
-                worst += [away[-1] if len(away) >= beam else float("inf")] * len(to)
-                rows += [r] * len(to)
-            yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(node, pa.int64()), pa.array(worst, pa.float64()), batch.column(1).take(pa.array(rows, pa.int64()))], names=["query", "node", "worst", "x"])
+    walks = materialise(start.select("query", "vector", F.array("query").alias("nodes"), F.array(F.lit(0.0)).alias("away"), F.array(F.lit(False)).alias("done"), F.array(F.coalesce("around", none)).alias("around")), "walks")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -419,25 +461,42 @@ def walk(queries: DataFrame, graph: DataFrame, kind: str, beam: int) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0).take(near), batch.column(1).take(near), pa.array(d).take(near), batch.column(5).take(near)], names=["query", "node", "away", "around"])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, "query"):
-            held: dict[int, dict] = {}
-            for r in t.to_pylist():
-                w = held.setdefault(r["query"], {"vector": None, "seen": []})
-                if r["vector"] is not None:
-                    w["vector"], open_ = r["vector"], 0
-                    for x in zip(r["away"], r["nodes"], r["done"], r["around"]):
-                        open_ += not x[2]
-                        done = x[2] or open_ <= expand
-                        w["seen"].append((x[0], x[1], done, [] if done else x[3]))
-                else:
-                    w["seen"].append((r["away"][0], r["nodes"][0], False, r["around"][0]))
-            rows = [(q, w["vector"], sorted(w["seen"], key=lambda x: x[:2])[:beam]) for q, w in held.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary()), *(pa.array([[x[i] for x in r[2]] for r in rows], kind_) for i, kind_ in ((1, pa.list_(pa.int64())), (0, pa.list_(pa.float64())), (2, pa.list_(pa.bool_())), (3, pa.list_(pa.list_(pa.int64())))))], names=["query", "vector", "nodes", "away", "done", "around"])
+        kinds = {"query": pa.int64(), "vector": pa.binary(), "nodes": pa.list_(pa.int64()), "away": pa.list_(pa.float64()), "done": pa.list_(pa.bool_()), "around": pa.list_(pa.binary())}
+
+        def told(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
+
+        def kept(query: int, vector: bytes, seen: list[tuple]) -> tuple:
+            best = sorted(seen, key=lambda x: x[:2])[:beam]
+            return query, vector, *([x[i] for x in best] for i in (1, 0, 2, 3))
+
+        query, vector, seen, out, size = None, None, [], [], 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, UNPACKED):
+                for r in batch.slice(lo, UNPACKED).to_pylist():
+                    if r["query"] != query:
+                        if query is not None:
+                            out.append(kept(query, vector, seen))
+                            size += sum(map(len, out[-1][5]))
+                        if size >= SEND_BYTES or len(out) >= UNPACKED:
+                            yield told(out)
+                            out, size = [], 0
+                        query, vector, seen = r["query"], None, []
+                    if r["vector"] is not None:
+                        vector, open_ = r["vector"], 0
+                        for x in zip(r["away"], r["nodes"], r["done"], r["around"]):
+                            open_ += not x[2]
+                            done = x[2] or open_ <= expand
+                            seen.append((x[0], x[1], done, b"" if done else x[3]))
+                    else:
+                        seen.append((r["away"][0], r["nodes"][0], False, r["around"][0]))
+        if query is not None:
+            yield told([*out, kept(query, vector, seen)])
 
     while not walks.filter(F.exists("done", lambda d: ~d)).isEmpty():
-        wanted = walks.mapInArrow(asked, "query long, node long, worst double, x binary")
-        pairs = wanted.join(graph, "node").select("query", "node", "worst", "x", "vector", F.coalesce("around", F.array().cast("array<long>")).alias("around"))
-        found = pairs.mapInArrow(measured, "query long, node long, away double, around array<long>")
+        wanted = walks.mapInArrow(lambda batches: _asked(batches, beam), "query long, node long, worst double, x binary")
+        pairs = wanted.join(graph, "node").select("query", "node", "worst", "x", "vector", F.coalesce("around", none).alias("around"))
+        found = pairs.mapInArrow(measured, "query long, node long, away double, around binary")
         answers = found.select("query", F.lit(None).cast("binary").alias("vector"), F.array("node").alias("nodes"), F.array("away").alias("away"), F.array(F.lit(False)).alias("done"), F.array("around").alias("around"))
         following = materialise(walks.unionByName(answers).repartition("query").sortWithinPartitions("query").mapInArrow(step, state), "walks")
         discard(walks)

@@ -30,6 +30,22 @@ def test_inbox_is_bounded():
     assert (place == 3).sum() == neighbours.MEET + 1 and (place == 4).sum() == neighbours.MEET
     assert 35 in node[visitor[place == 3]] and len(vectors) == len(node) <= 2 * neighbours.MEET + 1
     assert fresh[place == 3].sum() == neighbours.MEET and not fresh[place == 4].any()
+    assert vectors.nbytes == 4 * len(node) and not inbox.visitors  # held once
+
+
+def test_batches_are_bounded_whatever_arrives():
+    """A node's vector goes to many blocks, a query's to thousands of nodes: what is sent at once is bounded by its bytes."""
+    vector, none = b"v" * 256, pa.array([b""] * 5000, pa.binary())
+    lists = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array([vector] * 5000, pa.binary()), none, none, none], names=["node", "vector", "near", "away", "fresh"])
+    parts = list(neighbours._pieces(iter([lists, lists.slice(0, 0), lists.slice(4990)]), 40))
+    assert [n for p in parts for n in p["node"].to_pylist()] == [*range(5000), *range(4990, 5000)]
+    assert max(p.num_rows for p in parts) * 41 * 256 <= neighbours.SEND_BYTES
+    around = [np.arange(80 * i, 80 * i + 80).tobytes() for i in range(96)]
+    state = [pa.array(range(300)), pa.array([vector] * 300, pa.binary()), pa.array([[0, 5]] * 300), pa.array([[0.0, 1.0]] * 300), pa.array([[True] + [False] * 95] * 300), pa.array([around] * 300, pa.list_(pa.binary()))]
+    asked = list(neighbours._asked(iter([pa.RecordBatch.from_arrays(state, names=["query", "vector", "nodes", "away", "done", "around"])]), 96))
+    assert max(b.nbytes for b in asked) <= 2 * neighbours.SEND_BYTES
+    got = pa.Table.from_batches(asked).to_pandas()
+    assert len(got) == 300 * 48 * 80 and (got.groupby("query").node.agg(["min", "max"]) == [80, 49 * 80 - 1]).all(axis=None)
 
 
 def test_block_size():
